@@ -17,14 +17,16 @@ from collections import Counter
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from minuteloom.llm.common import in_fold, short_batches, table
+from minuteloom.llm.common import in_fold, materialize, short_batches, table
 
 #: Labelled rows that the classifier is fitted on, at most: those with the smallest hash of their id.
 FIT_ROWS = 12_000
 #: Distinct words kept of one labelled row.
 FIT_WORDS = 20_000
 MIN_ROWS = 3
-L1 = 4e-4
+L1 = 1.5e-4
+#: A stem counts for as many distinct words at most.
+MOST_COUNT = 3
 PULL = 1.0
 STEPS = 300
 #: Identity terms by group; a swap replaces a term by the next of its group.
@@ -61,69 +63,107 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable, rows
     return both.filter(usable)
 
 
-def fit(sample: DataFrame, rows: int = FIT_ROWS, l1: float = L1, pull: float = PULL, steps: int = STEPS) -> dict:
-    """The model: {"bias": float, "weights": {feature: weight}}. sample: doc_id, text, y. Without both classes, weights are empty."""
-    import numpy as np
+def _sampled_words(sample: DataFrame, rows: int) -> DataFrame:
+    """(y, words) of at most `rows` sampled documents, in a table."""
 
     def words(batches):
         import pyarrow as pa
 
         for b in batches:
             lists = [sorted(words_of(t))[:FIT_WORDS] for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.string())), b.column(1), b.column(2)], names=["words", "y", "h"])
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(lists, pa.list_(pa.string()))], names=["y", "h", "words"])
+
+    found = sample.select("text", F.col("y").cast("int").alias("y"), F.xxhash64("doc_id", "text").alias("h")).mapInArrow(words, "y int, h long, words array<string>")
+    return materialize(found.orderBy("h").limit(rows).select("y", "words"))
+
+
+def _feature_counts(kept: DataFrame) -> DataFrame:
+    """(feature, n, pos): rows that have a feature, and those of them labelled 1."""
+
+    def count(batches):
+        import pyarrow as pa
+
+        n, pos = Counter(), Counter()
+        for b in batches:
+            for y, ws in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                fs = {f for w in ws for f in features_of(w)}
+                n.update(fs)
+                if y:
+                    pos.update(fs)
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([pos[f] for f in n], pa.int64())], names=["feature", "n", "pos"])
+
+    return kept.select("y", "words").mapInArrow(count, "feature string, n long, pos long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+
+
+def _encoded(kept: DataFrame, column) -> DataFrame:
+    """(y, own, swap): numbers (column, value) of a row's features, and of the change when its identity terms are swapped."""
+
+    def encode(batches):
+        import pyarrow as pa
+
+        index = column.value
+        for b in batches:
+            own, swap = [], []
+            for ws in b.column(1).to_pylist():
+                fs = Counter(f for w in ws for f in features_of(w) if f in index)
+                own.append([x for f, k in fs.items() for x in (index[f], min(k, MOST_COUNT))])
+                other = Counter(fs)
+                for w in ws:
+                    if w in SWAP:
+                        other.subtract(f for f in features_of(w) if f in index)
+                        other.update(f for f in features_of(SWAP[w]) if f in index)
+                change = ((index[f], min(fs[f], MOST_COUNT) - min(max(k, 0), MOST_COUNT)) for f, k in other.items())
+                swap.append([x for j, d in change if d for x in (j, d)])
+            kind = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, kind), pa.array(swap, kind)], names=["y", "own", "swap"])
+
+    return kept.select("y", "words").mapInArrow(encode, "y int, own array<int>, swap array<int>")
+
+
+def fit(sample: DataFrame, rows: int = FIT_ROWS, l1: float = L1, pull: float = PULL, steps: int = STEPS) -> dict:
+    """The model: {"bias": float, "weights": {feature: weight}}. sample: doc_id, text, y. Without both classes, weights are empty.
+
+    Features are counted and encoded in the cluster; the driver gets the features with evidence, and of each sampled row
+    the numbers of those it has.
+    """
+    import numpy as np
 
-    found = sample.select("text", F.col("y").cast("int").alias("y"), F.xxhash64("doc_id", "text").alias("h")).mapInArrow(words, "words array<string>, y int, h long")
-    got = found.orderBy("h").limit(rows).toArrow()
-    y = np.array(got.column("y").to_pylist(), dtype=float)
-    n, pos = len(y), float(y.sum())
+    spark = sample.sparkSession
+    kept = _sampled_words(sample, rows)
+    n, pos = kept.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     prior = (pos + 1) / (n + 2)
     model = {"bias": math.log(prior / (1 - prior)), "weights": {}}
-    if pos in (0.0, float(n)):
+    if pos in (0, n):
         return model
-    per_row, seen, seen_pos, swapped = [], Counter(), Counter(), []
-    for row, (ws, label) in enumerate(zip(got.column("words").to_pylist(), y)):
-        fs = Counter(f for w in ws for f in features_of(w))
-        per_row.append(fs)
-        seen.update(fs.keys())
-        if label:
-            seen_pos.update(fs.keys())
-        if terms := [w for w in ws if w in SWAP]:
-            other = Counter(fs)
-            for w in terms:
-                other.subtract(features_of(w))
-                other.update(features_of(SWAP[w]))
-            swapped.append((row, other))
-    strong = []
-    for f, k in seen.items():
-        if k >= MIN_ROWS and k <= 0.5 * n:
-            a, e = seen_pos[f], k * pos / n
-            if abs(a - e) > 2.5 * math.sqrt(max(e * (1 - pos / n), 0.25)) or f in SWAP:
-                strong.append(f)
-    column = {f: j for j, f in enumerate(sorted(strong))}
+    share, expected = pos / n, F.col("n") * F.lit(pos / n)
+    evidence = F.abs(F.col("pos") - expected) > 2.5 * F.sqrt(F.greatest(expected * (1 - share), F.lit(0.25)))
+    strong = _feature_counts(kept).filter((F.col("n") >= MIN_ROWS) & (F.col("n") <= 0.5 * n) & (evidence | F.col("feature").isin(*SWAP)))
+    column = {f: j for j, f in enumerate(sorted(r[0] for r in strong.select("feature").collect()))}
     if not column:
         return model
-    r, c, v = [], [], []
-    for row, fs in enumerate(per_row):
-        for f, k in fs.items():
-            if (j := column.get(f)) is not None:
-                r.append(row), c.append(j), v.append(min(k, 3))
-    dr, dc, dv = [], [], []
-    for k, (row, other) in enumerate(swapped):
-        for f in set(per_row[row]) | set(other):
-            if (j := column.get(f)) is not None and (d := min(per_row[row][f], 3) - min(max(other[f], 0), 3)):
-                dr.append(k), dc.append(j), dv.append(d)
-    r, c, v, dr, dc, dv = (np.array(x, dtype=np.int64 if i % 3 < 2 else float) for i, x in enumerate((r, c, v, dr, dc, dv)))
-    m, width = max(1, len(swapped)), len(column)
+    got = _encoded(kept, spark.sparkContext.broadcast(column)).toArrow()
+    y = np.array(got.column("y"), dtype=float)
+
+    def entries(name):
+        """Row numbers, columns and values of a list column of (column, value) numbers side by side."""
+        col = got.column(name).combine_chunks()
+        flat = np.array(col.flatten(), dtype=np.int64).reshape(-1, 2)
+        per_row = np.diff(np.array(col.offsets)) // 2
+        return np.repeat(np.arange(len(per_row)), per_row), flat[:, 0], flat[:, 1].astype(float)
+
+    r, c, v = entries("own")
+    dr, dc, dv = entries("swap")
+    m, width = max(1, len(np.unique(dr))), len(column)
     # Row norms bound the curvature; FISTA with that step needs no line search.
     norms = np.bincount(r, v * v, n)
-    lip = 0.25 * (np.percentile(norms, 99) + 1) / 4 + 2 * pull * (np.bincount(dr, dv * dv, m).max(initial=0) if len(dr) else 0) / 4
+    lip = 0.25 * (np.percentile(norms, 99) + 1) / 4 + 2 * pull * (np.bincount(dr, dv * dv).max(initial=0) if len(dr) else 0) / 4
     w, z, b, bz, t = np.zeros(width), np.zeros(width), model["bias"], model["bias"], 1.0
     step = 1 / lip
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(r, v * z[c], n) + bz, -30, 30)))
         g = np.bincount(c, v * (p - y)[r], width) / n
         if len(dr):
-            g += 2 * pull / m * np.bincount(dc, dv * np.bincount(dr, dv * z[dc], m)[dr], width)
+            g += 2 * pull / m * np.bincount(dc, dv * np.bincount(dr, dv * z[dc])[dr], width)
         w2 = z - step * g
         w2 = np.sign(w2) * np.maximum(np.abs(w2) - step * l1, 0)
         b2 = bz - step * float((p - y).mean())
@@ -144,7 +184,7 @@ def score_text(text: str | None, model: dict, cache: dict) -> float:
             fs = cache[w] = tuple(f for f in features_of(w) if f in weights) or ()
         if fs:
             hits.update(fs)
-    total += sum(weights[f] * min(k, 3) for f, k in hits.items())
+    total += sum(weights[f] * min(k, MOST_COUNT) for f, k in hits.items())
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, total))))
 
 
