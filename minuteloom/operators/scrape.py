@@ -1,0 +1,75 @@
+"""Ordered, stateful merge of scraped meetings, by council."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+MERGED = "council_id string, meeting_id string, name string, date string, round long, url string, materials array<string>, action string"
+
+
+def merge_council(stored: list[dict], scraped: list[dict], council_id: str) -> list[dict]:
+    """Stored meetings after the scraped ones, in order, each with the action that touched it.
+
+    A scraped meeting of a stored round within 365 days, or of an unconfirmed one, completes it; an equal URL or an equal day merges
+    materials; an equal title without more to give is skipped; one without date and materials is skipped; else it is
+    inserted under the next free id. Locked meetings are kept as they are. Applying the same scrape again changes nothing.
+    """
+    from datetime import date
+
+    def day(text):
+        try:
+            y, m, d = (int(x) for x in str(text).replace("-", "/").split("/"))
+            return None if y == 2099 else date(y, m, d)
+        except ValueError:
+            return None
+
+    out = [{**m, "materials": list(m["materials"] if m["materials"] is not None else []), "action": "kept"} for m in stored]
+    ids = {m["meeting_id"] for m in out}
+
+    def absorb(m, s):
+        if m.get("locked"):
+            return
+        new = [u for u in s["materials"] if u not in m["materials"]]
+        before = (m["date"], m["url"], len(m["materials"]))
+        m["materials"] += new
+        if day(m["date"]) is None and day(s["date"]) is not None:
+            m["date"] = s["date"]
+        m["url"] = m["url"] or s["url"]
+        if before != (m["date"], m["url"], len(m["materials"])):
+            m["action"] = m["action"] if m["action"] == "inserted" else "merged"
+
+    for s in scraped:
+        s = {**s, "materials": list(s["materials"] if s["materials"] is not None else [])}
+        d = day(s["date"])
+        same_round = [m for m in out if s["round"] is not None and m["round"] == s["round"] and (d is None or day(m["date"]) is None or abs((day(m["date"]) - d).days) <= 365)]
+        same_url = [m for m in out if s["url"] and m["url"] == s["url"]]
+        same_day = [m for m in out if d is not None and day(m["date"]) == d and (s["round"] is None or m["round"] is None or s["round"] == m["round"])]
+        for found in (same_round, same_url, same_day):
+            if found:
+                absorb(found[0], s)
+                break
+        else:
+            if any(m["name"] == s["name"] and (d is None or s["round"] is None) for m in out) or d is None and (s["round"] is None or not s["materials"]):
+                continue
+            stamp = d.strftime("%Y%m%d") if d else "20990101"
+            new_id = f"{council_id}-{stamp}-{s['round']:03d}" if s["round"] is not None else None
+            n = 1
+            while new_id is None or new_id in ids:
+                new_id = f"{council_id}-{stamp}-s{n:02d}"
+                n += 1
+            ids.add(new_id)
+            out.append({**s, "meeting_id": new_id, "date": s["date"] if d else "2099/01/01", "action": "inserted"})
+    return out
+
+
+def merge_scraped(stored: DataFrame, scraped: DataFrame) -> DataFrame:
+    """merge_council for every council of either side, with the scraped rows by `seq`. A council's meetings fit one task."""
+
+    def run(key, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+        rows = lambda df: [{**r, "round": None if pd.isna(r["round"]) else int(r["round"])} for r in df.to_dict("records")]
+        done = merge_council(rows(old.sort_values("meeting_id")), rows(new.sort_values("seq")), key[0])
+        cols = ["council_id", "meeting_id", "name", "date", "round", "url", "materials", "action"]
+        return pd.DataFrame([{**{c: m.get(c) for c in cols}, "council_id": key[0]} for m in done], columns=cols).astype({"round": "Int64"})
+
+    return stored.groupBy("council_id").cogroup(scraped.groupBy("council_id")).applyInPandas(run, MERGED)

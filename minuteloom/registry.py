@@ -1,4 +1,6 @@
 """All queries of the library by name, each with SQL for the same rows where SQL can say it."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from minuteloom.plans import entities, fixtures, merges, metrics, portal
+from minuteloom.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "entities", "fixtures", "merges", "metrics", "portal"]
