@@ -4,7 +4,7 @@ Base identifiers are found on the text as it stands. Then three transducers rewr
 character they emit, the source range it came from: look-alike letters and digits to ASCII (invisible characters
 vanish), at/dot disguises to '@' and '.', runs of spelled digits to digits. The same detectors run on the
 result, and what they find is mapped back to source ranges. Base spans always stay; a disguised span is added
-where it touches no base span of its kind.
+where it touches no base span of its kind, or where it holds and widens those that it touches.
 """
 
 from __future__ import annotations
@@ -85,9 +85,12 @@ DIGIT_WORDS = {
 }
 FOLD = {ord(c): a for a, cs in LOOK_ALIKES.items() for c in cs} | {0xFF01 + i: chr(0x21 + i) for i in range(94)} | {ord(c): "" for c in INVISIBLE}
 _FOLDED = re.compile("[" + "".join(re.escape(chr(c)) for c in FOLD if c < 0xFF01 or c > 0xFF5E) + "！-～]")
+# Last parts of domains, needed where a dot is spelled in plain words, as prose has such words too.
+TOP_DOMAINS = "com|org|net|edu|gov|mil|int|info|biz|dev|app|io|co|ai|me|tv|eu|uk|us|ca|au|nz|ie|de|fr|es|it|nl|be|ch|at|pt|pl|se|no|dk|fi|jp|cn|kr|in|br|mx|ru"
 _DISGUISE = re.compile(
     r"\s*[\[({<]\s*(?P<at>at|@)\s*[\])}>]\s*|\s*[\[({<]\s*(?P<dot>dot|\.)\s*[\])}>]\s*"
-    r"|(?<=[a-z0-9])\s+(?P<at2>at)\s+(?=[a-z0-9-]+(?:\s+dot\s+|\s*[\[({<]\s*dot\b))|(?<=[a-z0-9-])\s+(?P<dot2>dot)\s+(?=[a-z0-9-])",
+    r"|(?<=[a-z0-9])\s+(?P<at2>at)\s+(?=[a-z0-9-]+(?:\s+dot\s+|\s*[\[({<]\s*dot\b))|(?<=[a-z0-9-])\s+(?P<dot2>dot)\s+"
+    rf"(?=(?:[a-z0-9-]+\s+dot\s+)*(?:{TOP_DOMAINS})(?![a-z0-9-])|[0-9])",
     re.I,
 )
 _DIGIT_WORD = "(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + "|[0-9]+)"
@@ -166,7 +169,7 @@ def find_spans(text: str | None) -> list[tuple[str, int, int, bool]]:
             taken = list(base)
             for kind, s, e in found:
                 span = (kind, m.first[s], max(m.last[s:e]))
-                if m.text[s:e] != text[span[1] : span[2]] and not any(k == kind and a < span[2] and span[1] < b for k, a, b in taken):
+                if m.text[s:e] != text[span[1] : span[2]] and not any(k == kind and a < span[2] and span[1] < b and not (span[1] <= a and b <= span[2] and b - a < span[2] - span[1]) for k, a, b in taken):
                     taken.append(span)
                     out.append((*span, True))
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))

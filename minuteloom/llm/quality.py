@@ -58,7 +58,7 @@ def fit(sample: DataFrame, rows: int = FIT_ROWS, pairs: int = FIT_PAIRS) -> dict
     import numpy as np
 
     got = measured(sample.select(F.col("y").cast("int").alias("y"), F.xxhash64("doc_id", "text").alias("h"), "text"), ["y", "h"]).orderBy("h").limit(rows).collect()
-    x = np.array([r["x"] for r in got], dtype=float).reshape(len(got), -1)
+    x = np.array([r["x"] for r in got], dtype=float)
     y = np.array([r["y"] for r in got], dtype=int)
     if len(set(y.tolist())) < 2:
         return {"mean": [], "scale": [], "weights": [], "threshold": 0.0}
@@ -114,7 +114,7 @@ def score(docs: DataFrame, model: dict, keep: list[str], text_col: str = "text")
         mean, scale, w = (np.array(model[k]) for k in ("mean", "scale", "weights"))
         for b in batches:
             x = np.array([measures(t, classes) for t in utf8_rows(b.column(last))], dtype=float)
-            worth = np.clip((x - mean) / scale, -8, 8) @ w if len(w) else np.zeros(len(x))
+            worth = np.clip((x - mean) / scale, -8, 8) @ w if len(w) and len(x) else np.zeros(len(x))
             scores = 1 / (1 + np.exp(np.clip(model["threshold"] - worth, -30, 30)))
             yield pa.RecordBatch.from_arrays([*b.columns[:last], pa.array(scores, pa.float64())], names=[*keep, "score"])
 
