@@ -13,7 +13,7 @@ import sys
 #: Id written after each document.
 END_ID = 2
 #: Entries of a cache before it is emptied; a worker holds two.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 400_000
 #: Longer chunks are not cached.
 CACHED_CHUNK = 48
 #: The vocabulary's split pattern. Fixed value of the public vocabulary file.
