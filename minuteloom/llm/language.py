@@ -25,6 +25,8 @@ LONGEST = 3
 FIT_ROWS = 1_500
 #: N-grams that documents are ranked by, at most: the most frequent of the sample.
 VOCABULARY = 30_000
+#: Tasks that a language's rows are thinned in.
+SALTS = 64
 CACHE_ENTRIES = 300_000
 _WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -41,8 +43,11 @@ def learn(docs: DataFrame, usable, fit_rows: int = FIT_ROWS) -> dict:
     The sample is bounded for each language; its n-gram counts are summed in the cluster, and profiles are small.
     """
     short_batches(docs.sparkSession)
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = docs.filter(usable & F.col("lang").isNotNull()).select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= fit_rows)
+    rows = docs.filter(usable & F.col("lang").isNotNull()).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    chosen = rows.withColumn("salt", F.pmod("h", F.lit(SALTS)))
+    for keys in (["lang", "salt"], ["lang"]):  # a hot language is thinned in many tasks before one task ranks what is left
+        order = Window.partitionBy(*keys).orderBy("h", "doc_id")
+        chosen = chosen.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= fit_rows).drop("r")
     ids = chosen.groupBy("doc_id").agg(F.min("lang").alias("sampled"))
     texts = docs.filter(usable).select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id").filter("lang = sampled")  # fit_rows integers a language
 
