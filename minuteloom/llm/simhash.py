@@ -25,7 +25,8 @@ MAX_DISTANCE = 4
 BLOCK = 65_536
 #: Fingerprints that candidate counts are estimated on (the bit statistics cover all).
 ESTIMATE_ROWS = 2_048
-#: Cost of making, moving and sorting one probe (about 1 us as measured), in candidate checks (about 0.1 us).
+#: Cost of making, moving and sorting one probe, in candidate checks. Timed over 240,000 random fingerprints by five plans, a
+#: probe took about 7 us of a core and a check under 0.05 us, so this is on the low side.
 PROBE_COST = 10.0
 #: Group widths that the programme chooses from.
 WIDTHS = ((64,), (32, 32), (24, 40), (22, 21, 21), (18, 23, 23), (20, 22, 22), (16, 24, 24), (16, 16, 16, 16), (13, 17, 17, 17), (19, 15, 15, 15), (13, 13, 13, 13, 12))
