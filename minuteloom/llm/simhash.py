@@ -5,7 +5,7 @@ are split into groups, correlated bits together, and group i gets a threshold t_
 pair within 4 bits differs by at most t_i in some group i. Widths and thresholds come from a dynamic programme on
 estimated candidate and probe counts. Every fingerprint is indexed by its exact bits of each group and probes the
 values within t_i; pairs that meet are verified on all 64 bits inside the join. Links become components by repeated
-contraction to the smallest neighbour, all in tables.
+contraction to the first neighbour in an order drawn anew each round, all in tables.
 """
 
 from __future__ import annotations
@@ -213,13 +213,16 @@ def links(nodes: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node that has a link: equal labels where a path of links leads from one to the other.
 
-    Each round sends every node to its smallest neighbour's smallest neighbour, relabels the links and drops
-    those inside a label; the number of labels that still have links at least halves. All state is in tables.
+    Each round puts nodes in a new pseudo-random order, sends every node to the first of itself and its neighbours, and on
+    to that node's own first, relabels the links and drops those inside a label. As the order is drawn anew, chains of
+    ascending nodes stay short, whatever the nodes are, and the number of rounds grows with the logarithm of a
+    component's size. All state is in tables.
     """
-    labels, current = None, materialize(edges)
+    labels, current, turn = None, materialize(edges), 0
     while not current.isEmpty():
+        place, turn = (lambda c, t=turn: F.struct(F.xxhash64(F.lit(t), F.col(c)).alias("at"), F.col(c).alias("to"))), turn + 1
         both = current.select(F.col("a").alias("n"), F.col("b").alias("m")).unionByName(current.select(F.col("b").alias("n"), F.col("a").alias("m")))
-        hop = materialize(both.groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("to")))
+        hop = materialize(both.groupBy("n").agg(F.least(F.min(place("m")), place("n"))["to"].alias("to")))
         two = materialize(hop.alias("h").join(hop.select(F.col("n").alias("to"), F.col("to").alias("far")), "to", "left").select("n", F.coalesce("far", "to").alias("to")))
         labels = materialize(two.select(F.col("n").alias("node"), F.col("to").alias("label")) if labels is None else labels.join(two.withColumnRenamed("n", "label"), "label", "left").select("node", F.coalesce("to", "label").alias("label")))
         a, b = (two.select(F.col("n").alias(c), F.col("to").alias(f"{c}2")) for c in "ab")
