@@ -110,7 +110,7 @@ class Classifier:
         """(language, score); score is 1 less the distance as a share of the largest possible. Ties go to the first name."""
         np = self.np
         words = _WORD.findall(text.lower()) if text else []
-        if not words or not self.langs:
+        if not self.langs or not any(c.isalpha() for w in words for c in w):  # signs such as a half pass for word characters
             return UNKNOWN, 0.0
         count: dict[str, int] = {}
         for w in words:
@@ -134,7 +134,7 @@ class Classifier:
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _WORD.search(text) is not None
+    return bool(text) and any(map(str.isalpha, text))
 
 
 def predict(docs: DataFrame, model: dict, keep: list[str], text_col: str = "text") -> DataFrame:
