@@ -87,10 +87,11 @@ FOLD = {ord(c): a for a, cs in LOOK_ALIKES.items() for c in cs} | {0xFF01 + i: c
 _FOLDED = re.compile("[" + "".join(re.escape(chr(c)) for c in FOLD if c < 0xFF01 or c > 0xFF5E) + "！-～]")
 # Last parts of domains, needed where a dot is spelled in plain words, as prose has such words too.
 TOP_DOMAINS = "com|org|net|edu|gov|mil|int|info|biz|dev|app|io|co|ai|me|tv|eu|uk|us|ca|au|nz|ie|de|fr|es|it|nl|be|ch|at|pt|pl|se|no|dk|fi|jp|cn|kr|in|br|mx|ru"
+# A blank run is entered at its start only and a spelled domain has ten parts at most, so the cost is linear in the text.
 _DISGUISE = re.compile(
-    r"\s*[\[({<]\s*(?P<at>at|@)\s*[\])}>]\s*|\s*[\[({<]\s*(?P<dot>dot|\.)\s*[\])}>]\s*"
+    r"(?:(?<!\s)\s+)?[\[({<]\s*(?:(?P<at>at|@)|(?P<dot>dot|\.))\s*[\])}>]\s*"
     r"|(?<=[a-z0-9])\s+(?P<at2>at)\s+(?=[a-z0-9-]+(?:\s+dot\s+|\s*[\[({<]\s*dot\b))|(?<=[a-z0-9-])\s+(?P<dot2>dot)\s+"
-    rf"(?=(?:[a-z0-9-]+\s+dot\s+)*(?:{TOP_DOMAINS})(?![a-z0-9-])|[0-9])",
+    rf"(?=(?:[a-z0-9-]+\s+dot\s+){{0,8}}(?:{TOP_DOMAINS})(?![a-z0-9-])|[0-9])",
     re.I,
 )
 _DIGIT_WORD = "(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + "|[0-9]+)"
