@@ -86,10 +86,12 @@ def count_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, n_tokens) of every row, counted in flat files written from docs. docs is a table as read by Spark.
 
     Files have no ids: a document is known by its partition, which names the file, and its place there. Both
-    passes read the same splits; a file whose documents are not as many as its partition's rows is an error. Repeated and
+    passes read the same splits, as the count that split sizes follow from is held, whatever executors come or go; a file whose documents are not as many as its partition's rows is an error. Repeated and
     null ids keep their rows. An empty table gives no rows.
     """
     spark, path = docs.sparkSession, scratch_dir(docs.sparkSession)
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
     write_flat(docs, vocabulary, path)
     _scratch.append((spark, path))
     scanned = scan_flat(spark, path).filter("ended").select(F.regexp_extract("file", r"part-(\d+)", 1).cast("long").alias("part"), "ordinal", "n_tokens")
