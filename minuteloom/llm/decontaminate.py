@@ -3,22 +3,25 @@
 Items are cut into windows of 10 consecutive words (a shorter item is one window). Windows of one length form a
 pattern set with a shift table on blocks of two words: the search looks at the block that ends a window, jumps as far as
 that block allows, and only where the shift is zero goes to the bucket of that suffix block, narrows it by the prefix
-block, and compares the words. Items are searched in groups of bounded size, one narrow pass over the documents for
-each group, so that neither the driver nor a worker ever holds more than one group.
+block, and compares the words. Items are searched in groups of bounded size, one pass over the documents for each
+group; a pass is written before the next one starts, so that neither the driver nor a worker ever holds more than one.
 """
 
 from __future__ import annotations
 
+import sys
+import uuid
+from array import array
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from minuteloom.llm.common import short_batches, table, utf8_rows
+from minuteloom.llm.common import materialize, short_batches, table, utf8_rows
 
 WINDOW = 10
-#: UTF-8 bytes of benchmark text that are compiled, collected and broadcast at once.
-GROUP_BYTES = 16 << 20
+#: UTF-8 bytes of benchmark text that are compiled, collected and broadcast at once; a worker takes some 60 to 90 times as much for its tables.
+GROUP_BYTES = 4 << 20
 HITS = "array<struct<first:long,last:long,items:array<string>>>"
 
 #: A-Z to a-z; every other ASCII byte that is no letter or digit to a space; bytes of non-ASCII characters stay.
@@ -31,53 +34,112 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class PatternSet:
-    """Patterns of one length m, in words. block is the number of words that a shift is looked up by."""
+    """Patterns of one length m, in word numbers. block is the number of words that a shift is looked up by.
 
-    def __init__(self, m: int, patterns: Iterable[tuple]):
-        self.m, self.block = m, min(2, m)
+    A pattern is a place in `ids`, the words of all items one after another, so that overlapping windows share them.
+    """
+
+    def __init__(self, m: int, ids, starts, places, base: int):
+        """starts: the patterns' places; places: (place, words before it in its item) of every block of the items they come from."""
+        import numpy as np
+
+        self.m, self.block, self.base, self.ids = m, min(2, m), base, ids
         self.default = m - self.block + 1
-        self.shift: dict = {}
-        self.bucket: dict = {}
-        for p in patterns:
-            for j in range(self.block, m + 1):
-                b = self.key(p, j)
-                self.shift[b] = min(self.shift.get(b, self.default), m - j)
-            self.bucket.setdefault(self.key(p, m), {}).setdefault(p[: self.block], set()).add(p)
-
-    def key(self, words, end):
-        return tuple(words[end - self.block : end])
-
-    def search(self, words: list[bytes]):
-        """Ends (exclusive) and patterns of all occurrences."""
-        m, n, end = self.m, len(words), self.m
-        shift, default, bucket, block = self.shift, self.default, self.bucket, self.block
-        if block == 2:
-            while end <= n:
-                b = (words[end - 2], words[end - 1])
-                step = shift.get(b, default)
-                if not step:
-                    head = bucket[b].get((words[end - m], words[end - m + 1]))
-                    if head and (w := tuple(words[end - m : end])) in head:
-                        yield end, w
-                    step = 1
-                end += step
-        else:
-            for i, w in enumerate(words):
-                if (w,) in bucket:
-                    yield i + 1, (w,)
-
-
-def compile_items(rows: Iterable[tuple[str, bytes | None]], window: int = WINDOW) -> tuple[list[PatternSet], dict[tuple, list[str]]]:
-    """Pattern sets by length, and the items of each window."""
-    owners: dict[tuple, set[str]] = {}
-    for item, text in rows:
-        w = words_of(text)
-        for i in range(max(1, len(w) - window + 1) if w else 0):
-            owners.setdefault(tuple(w[i : i + window]), set()).add(item)
-    lengths: dict[int, list[tuple]] = {}
-    for p in owners:
-        lengths.setdefault(len(p), []).append(p)
-    return [PatternSet(m, ps) for m, ps in sorted(lengths.items())], {p: sorted(o) for p, o in owners.items()}
+        at, before = places
+        keys = self.keys(np.asarray(at))
+        order = np.lexsort((np.maximum(m - self.block - before, 0), keys))
+        keys, first = np.unique(keys[order], return_index=True)
+        self.shift = dict(zip(keys.tolist(), np.maximum(m - self.block - before, 0)[order][first].tolist()))
+        self.bucket: dict[tuple[int, int], list[int]] = {}
+        for start, head, tail in zip(starts.tolist(), self.keys(starts).tolist(), self.keys(starts + m - self.block).tolist()):
+            self.bucket.setdefault((tail, head), []).append(start)
+
+    def keys(self, at):
+        return self.ids[at] * self.base + self.ids[at + 1] if self.block == 2 else self.ids[at]
+
+    def search(self, words: list[int]):
+        """Ends (exclusive) and places of the patterns of all occurrences."""
+        m, n, end, base, ids = self.m, len(words), self.m, self.base, self.ids
+        shift, default, bucket, pair = self.shift, self.default, self.bucket, self.block == 2
+        while end <= n:
+            tail = words[end - 2] * base + words[end - 1] if pair else words[end - 1]
+            step = shift.get(tail, default)
+            if not step:
+                head = words[end - m] * base + words[end - m + 1] if pair else tail
+                for start in bucket.get((tail, head), ()):
+                    if ids[start : start + m].tolist() == words[end - m : end]:
+                        yield end, start
+                        break
+                step = 1
+            end += step
+
+
+class Items:
+    """The windows of a group of items, compiled for search."""
+
+    def __init__(self, rows: Iterable[tuple[str, bytes | None]], window: int = WINDOW):
+        import numpy as np
+
+        self.number: dict[bytes, int] = {}
+        names, sizes, flat = [], [], array("q")
+        for item, text in rows:
+            if w := words_of(text):
+                names.append(item)
+                sizes.append(len(w))
+                flat.extend([self.number.setdefault(x, len(self.number)) for x in w])
+        self.unknown, base = len(self.number), len(self.number) + 1  # a word of no item has a number of its own
+        ids, sizes = np.array(flat, dtype=np.int64), np.array(sizes, dtype=np.int64)
+        firsts, lengths = np.cumsum(sizes) - sizes, np.minimum(sizes, window)
+        self.sets, owned = [], []
+        for m in np.unique(lengths).tolist():
+            of = np.flatnonzero(lengths == m)
+            start, item, _ = _runs(firsts[of], sizes[of] - m + 1, of)
+            same = _classes(np.lib.stride_tricks.sliding_window_view(ids, m)[start]) if len(start) else start
+            kept = start[same]
+            unique = np.unique(kept)
+            owned.append(np.stack([kept, item]))
+            at, _, before = _runs(firsts[of], sizes[of] - min(2, m) + 1, of)
+            self.sets.append(PatternSet(m, ids, unique, (at, before), base))
+        pairs = np.concatenate(owned, axis=1) if owned else np.zeros((2, 0), np.int64)
+        self.owned, self.owner = pairs[:, np.lexsort(pairs[::-1])]  # places in order, and the items that have the window there
+        self.names = names
+
+    def items_of(self, place: int) -> list[str]:
+        import numpy as np
+
+        a, b = np.searchsorted(self.owned, [place, place + 1])
+        return sorted({self.names[i] for i in self.owner[a:b].tolist()})
+
+    def hits(self, words: list[bytes]) -> list[dict]:
+        get, unknown = self.number.get, self.unknown
+        numbers = [get(w, unknown) for w in words]
+        return [{"first": end - s.m, "last": end - 1, "items": self.items_of(p)} for s in self.sets for end, p in s.search(numbers)]
+
+
+def _runs(first, count, of):
+    """The places first, first + 1, ... of each run of `count`, with the run's name and the place in it."""
+    import numpy as np
+
+    inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    return np.repeat(first, count) + inside, np.repeat(of, count), inside
+
+
+def _classes(rows):
+    """For each row, the number of the first equal row."""
+    import numpy as np
+
+    whole = np.ascontiguousarray(rows).view(f"V{rows.dtype.itemsize * rows.shape[1]}").ravel()
+    _, first, inverse = np.unique(whole, return_index=True, return_inverse=True)
+    return first[inverse.ravel()]
+
+
+def compiled(name: str, rows, window: int) -> Items:
+    """The compiled group of this worker process: kept outside the pickled functions, so that tasks share it; one at a time."""
+    kept = sys.__dict__.setdefault("_minuteloom_items", {})
+    if name not in kept:
+        kept.clear()
+        kept[name] = Items(rows.value, window)
+    return kept[name]
 
 
 def item_groups(items: DataFrame, id_col: str, text_col: str, group_bytes: int):
@@ -100,27 +162,25 @@ def mark_occurrences(docs: DataFrame, items: DataFrame, id_col: str = "item_id",
     out = docs.withColumn("n_words", F.lit(None).cast("long")).withColumn("hits", F.lit(None).cast(HITS))
     groups = 0
     for rows in item_groups(items, id_col, text_col, group_bytes):
-        out = _search_pass(out, spark.sparkContext.broadcast(rows), window)
+        out = _search_pass(materialize(out) if groups else out, spark.sparkContext.broadcast(rows), window)
         groups += 1
     return out if groups else _search_pass(out, spark.sparkContext.broadcast([]), window)
 
 
 def _search_pass(docs: DataFrame, rows, window: int) -> DataFrame:
-    names = docs.columns
+    names, name = docs.columns, uuid.uuid4().hex
 
     def run(batches):
         import pyarrow as pa
 
-        sets, owners = compile_items(rows.value, window)
+        items = compiled(name, rows, window)
         text_at, n_at, hits_at = (len(names) - 1 - names[::-1].index(c) for c in ("text", "n_words", "hits"))
         for b in batches:
             counts, hits = [], []
             for text, before in zip(utf8_rows(b.column(text_at)), b.column(hits_at).to_pylist()):
                 words = words_of(text)
-                found = before or []
-                found += [{"first": end - s.m, "last": end - 1, "items": owners[p]} for s in sets for end, p in s.search(words)]
                 counts.append(len(words))
-                hits.append(found)
+                hits.append((before or []) + items.hits(words))
             cols = b.columns
             cols[n_at], cols[hits_at] = pa.array(counts, pa.int64()), pa.array(hits, b.column(hits_at).type)
             yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
