@@ -152,6 +152,16 @@ def test_pii_disguises():
     assert pii.redact("a x@y.zz b", pii.find_spans("a x@y.zz b")) == "a [EMAIL] b"
 
 
+def test_pii_long_disguises():
+    """Texts on which a pattern that is entered anywhere would take hours."""
+    for text in ("dot] " + " " * 200_000 + "x", "x dot " * 30_000, "[ " * 100_000 + "at]", "о " + "\t " * 100_000):
+        assert pii.find_spans(text) == []
+    text = " " * 100_000 + "bob  (at)  example   [dot]  [dot] com"
+    assert not any(d for *_, d in pii.find_spans(text))
+    text = " " * 100_000 + "bob  (at)  example   [dot]  com"
+    assert [(k, text[s:e]) for k, s, e, d in pii.find_spans(text)] == [("email", "bob  (at)  example   [dot]  com")]
+
+
 def test_pii_tables(odd):
     rows = pii.find_pii(odd, ["doc_id", "score"]).collect()
     assert len(rows) == len(ODD) and all(r.spans == [] for r in rows)
@@ -200,6 +210,7 @@ def test_language(spark, sf_dir, sample, odd):
     rows = language.predict(odd, model, ["doc_id"]).collect()
     assert len(rows) == len(ODD) and all((r.lang_pred == "und") == (r.score == 0) for r in rows if r.lang_pred == "und")
     assert [language.Classifier(model).predict(t)[0] for t in (None, "", "12 ! _")] == ["und"] * 3
+    assert [language.Classifier(model).predict(t)[0] for t in ("½ ² Ⅷ", "٣")] == ["und"] * 2
     assert language.predict(odd, language.learn(odd.limit(0), F.lit(True)), ["doc_id"]).filter("lang_pred <> 'und'").count() == 0
 
 
@@ -285,6 +296,17 @@ def test_components_of_a_path(spark):
     assert len({labels[i] for i in range(61)}) == 1 and labels[100] == labels[101] != labels[0]
 
 
+def test_components_take_few_rounds(spark, monkeypatch):
+    """A path of 1,200 ascending nodes and a star with a large centre."""
+    tables = []
+    kept = simhash.materialize
+    monkeypatch.setattr(simhash, "materialize", lambda df: tables.append(1) or kept(df))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(1199)] + [(i, 9000) for i in range(5000, 5100)], "a long, b long")
+    labels = {r.node: r.label for r in simhash.components(edges).collect()}
+    assert len({labels[i] for i in range(1200)}) == 1 and len({labels[i] for i in (*range(5000, 5100), 9000)}) == 1 and labels[0] != labels[9000]
+    assert len(tables) <= 1 + 4 * 12
+
+
 def test_separator_scan(spark, sf_dir, odd, tmp_path):
     got = queries.QUERIES["op9_separator_scan"](spark, sf_dir).toPandas().set_index("doc_id").n_tokens
     docs = table(spark, sf_dir, "documents").limit(100).collect()
