@@ -7,14 +7,16 @@ many rows is split into blocks, and its probes visit each. Blocks keep each quer
 distances are those of the original vectors in double precision.
 
 Equal vectors are one class with its smallest ids, so a vector repeated a million times costs as one. Widths and the
-number of probes are fitted to the data: the distance of true tenth neighbours of a few sample queries against all
-rows, and a simulation of probes at that distance. K grows with the logarithm of the rows, so buckets stay bounded.
+number of probes are fitted to the data, by vector length: the distance of true tenth neighbours of a few sample queries
+against all rows, a simulation of probes at that distance, and the true neighbours themselves. K grows with the logarithm
+of the rows, but only as far as the bounded number of probes finds what it should: beyond, buckets grow instead.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +33,8 @@ FIT_QUERIES = 48
 #: Share of simulated neighbours that the probes must reach.
 FIT_RECALL = 0.97
 MOST_PROBES = 600
+#: Vector lengths that are hashed; rows of any other length are compared with all of theirs.
+MOST_FITTED = 16
 #: Rows of a bucket that one block holds on average, at most.
 BLOCK_ROWS = 1_000
 BUFFER_ROWS = 200_000
@@ -114,51 +118,91 @@ def _by_length(b, at):
     return {int(n): np.flatnonzero(sizes == n) for n in np.unique(sizes)}
 
 
-def tenth_distance(classes: DataFrame, queries: list[list[float]]) -> float:
-    """A high quantile of the distance between sample queries and their tenth neighbours among all classes; 0 where there are none."""
+def true_nearest(classes: DataFrame, queries: list[list[float]]) -> list[list[tuple[float, list[float]]]]:
+    """For each sample query, its TOP + 1 nearest classes of its length among all (distance, vector), itself included."""
     import numpy as np
 
     if not queries:
-        return 0.0
+        return []
     shared = classes.sparkSession.sparkContext.broadcast(queries)
 
     def run(batches):
         import pyarrow as pa
 
-        best: dict[int, list[float]] = {}
+        best: dict[int, tuple] = {}
         for b in batches:
             for n, at in _by_length(b, 0).items():
                 x = _matrix(b.column(0).take(pa.array(at)))
                 for i, q in enumerate(shared.value):
                     if len(q) == n:
                         d = np.sqrt(((x - np.array(q)) ** 2).sum(axis=1))
-                        best[i] = sorted(best.get(i, []) + np.sort(d)[: TOP + 1].tolist())[: TOP + 1]
-        rows = [(i, d) for i, ds in best.items() for d in ds]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float64())], names=["q", "d"])
-
-    near = classes.select("vec").mapInArrow(run, "q long, d double")
+                        some = np.argsort(d, kind="stable")[: TOP + 1]
+                        d0, x0 = best.get(i, (d[:0], x[:0]))
+                        d1, x1 = np.concatenate([d0, d[some]]), np.concatenate([x0, x[some]])
+                        some = np.argsort(d1, kind="stable")[: TOP + 1]
+                        best[i] = (d1[some], x1[some])
+        rows = [(i, float(d), v.tolist()) for i, (ds, vs) in best.items() for d, v in zip(ds, vs)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], pa.list_(pa.float64()))], names=["q", "d", "vec"])
+
+    near = classes.select("vec").mapInArrow(run, "q long, d double, vec array<double>")
     rank = Window.partitionBy("q").orderBy("d")
-    got = near.withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= TOP + 1).groupBy("q").agg(F.max("d").alias("d")).collect()  # FIT_QUERIES rows
-    return float(np.quantile([r.d for r in got], 0.9)) if got else 0.0
+    out: list[list[tuple[float, list[float]]]] = [[] for _ in queries]
+    for r in near.withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= TOP + 1).collect():  # TOP + 1 rows a sample query
+        out[r.q].append((r.d, list(r.vec)))
+    return [sorted(near) for near in out]
 
 
-def choose_probes(dim: int, k: int, width: float, queries: list[list[float]], distance: float) -> int:
-    """The fewest probes that reach FIT_RECALL of simulated neighbours at that distance, or MOST_PROBES."""
+def choose_probes(dim: int, k: int, width: float, queries: list[list[float]], near: list[list[tuple[float, list[float]]]], distance: float) -> int | None:
+    """The fewest probes that reach FIT_RECALL both of simulated neighbours at that distance and of the queries' true ones; None if MOST_PROBES don't."""
     import numpy as np
 
-    q = np.array([x for x in queries if len(x) == dim], dtype=float)
-    if not k or not len(q):
-        return 1
     rng = np.random.default_rng(3)
-    q = np.repeat(q, max(1, 600 // len(q)), axis=0)
+    q = np.repeat(np.array(queries, dtype=float), max(1, 600 // len(queries)), axis=0)
     u = rng.normal(size=q.shape)
-    x = q + distance * u / np.linalg.norm(u, axis=1, keepdims=True)
+    pairs = [(q, q + distance * u / np.linalg.norm(u, axis=1, keepdims=True))]
+    true = [(a, v) for a, vs in zip(queries, near) for d, v in vs if d > 0]
+    if true:
+        pairs.append(tuple(np.array(side, dtype=float) for side in zip(*true)))
     h = Hashes(dim, k, TABLES, width, MOST_PROBES)
-    first = np.full(len(q), MOST_PROBES + 1)
-    for t in range(TABLES):
-        hit = h.probes(q, t) == h.keys(x, t)[:, None]
-        first = np.minimum(first, np.where(hit.any(axis=1), hit.argmax(axis=1) + 1, MOST_PROBES + 1))
-    return int(min(MOST_PROBES, max(1, np.sort(first)[min(len(first) - 1, math.ceil(FIT_RECALL * len(first)))])))
+    needed = []
+    for q, x in pairs:
+        first = np.full(len(q), MOST_PROBES + 1)
+        for t in range(TABLES):
+            hit = h.probes(q, t) == h.keys(x, t)[:, None]
+            first = np.minimum(first, np.where(hit.any(axis=1), hit.argmax(axis=1) + 1, MOST_PROBES + 1))
+        needed.append(int(np.sort(first)[min(len(first) - 1, math.ceil(FIT_RECALL * len(first)))]))
+    return max(needed) if max(needed) <= MOST_PROBES else None
+
+
+class Fit(NamedTuple):
+    """How vectors of one length are hashed. With no projections one bucket holds all of them, and the search is exact."""
+
+    k: int = 0
+    width: float = 1.0
+    probes: int = 1
+    distance: float = 0.0
+
+
+def fit(dim: int, n: int, queries: list[list[float]], near: list[list[tuple[float, list[float]]]]) -> Fit:
+    """The most projections, up to what n classes ask for, at which MOST_PROBES reach FIT_RECALL; none where no number does."""
+    import numpy as np
+
+    distance = float(np.quantile([vs[-1][0] for vs in near if vs], 0.9)) if any(near) else 0.0
+    if not 0 < distance < math.inf:
+        return Fit()
+    for k in range(max(0, round(0.8 * math.log2(n / 256))) if n > 256 else 0, 0, -1):
+        probes = choose_probes(dim, k, WIDTH * distance, queries, near, distance)
+        if probes:
+            return Fit(k, WIDTH * distance, probes, distance)
+    return Fit()
+
+
+def fit_lengths(classes: DataFrame) -> dict[int, Fit]:
+    """A fit for each of the most common vector lengths of more than 256 classes; all others are searched exactly."""
+    sizes = classes.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n")).filter("n > 256").orderBy(F.desc("n"), "dim").limit(MOST_FITTED).collect()
+    samples = {r.dim: [list(v[0]) for v in classes.filter(F.size("vec") == r.dim).select("vec").orderBy(F.xxhash64("cid"), "cid").limit(FIT_QUERIES).collect()] for r in sizes}
+    near = iter(true_nearest(classes, [q for qs in samples.values() for q in qs]))
+    return {r.dim: fit(r.dim, r.n, samples[r.dim], [next(near) for _ in samples[r.dim]]) for r in sizes}
 
 
 def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", top: int = TOP) -> DataFrame:
@@ -173,17 +217,11 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str =
     few = usable.withColumn("r", F.dense_rank().over(by_id)).filter(F.col("r") <= top + 1)
     classes = materialize(few.groupBy("vec").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")).withColumn("cid", F.col("ids")[0]))
     asked = materialize(usable.filter(is_query).distinct().join(classes.select("vec", "cid"), "vec").select(F.col("vec_id").alias("query_id"), "cid"))
-    n = classes.count()
-    k = max(0, round(0.8 * math.log2(max(n, 1) / 256))) if n > 256 else 0
-    sample = [list(r[0]) for r in classes.select("vec").orderBy(F.xxhash64("cid"), "cid").limit(FIT_QUERIES).collect()]
-    distance = tenth_distance(classes, sample)
-    width = WIDTH * distance or 1.0
-    dims = sorted({len(x) for x in sample})
-    probes = max([choose_probes(d, k, width, sample, distance) for d in dims], default=1)
+    fits = fit_lengths(classes)
     # A query class is one with an asked id.
     wanted = asked.select("cid").distinct().withColumn("asked", F.lit(True))
     spread = classes.select("cid", "vec").join(wanted, "cid", "left").select("cid", "vec", F.coalesce("asked", F.lit(False)).alias("asked"))
-    rows = materialize(_hashed(spread, k, width, probes))
+    rows = materialize(_hashed(spread, fits))
     crowded = rows.filter("not probe").groupBy("dim", "t", "bucket").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")).filter("blocks > 1")
     salted = rows.join(crowded, ["dim", "t", "bucket"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     salt = F.when(F.col("probe"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")))
@@ -200,7 +238,7 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str =
     return out.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.d").alias("score"))
 
 
-def _hashed(spread: DataFrame, k: int, width: float, probes: int) -> DataFrame:
+def _hashed(spread: DataFrame, fits: dict[int, Fit]) -> DataFrame:
     """An index row for each class and table, and a probe row for each visit of an asked class. Keeps vectors beside them."""
 
     def run(batches):
@@ -215,11 +253,14 @@ def _hashed(spread: DataFrame, k: int, width: float, probes: int) -> DataFrame:
 
         for b in batches:
             for dim, at in _by_length(b, 1).items():
-                h = made.setdefault(dim, Hashes(dim, k, TABLES, width, probes)) if dim not in made else made[dim]
+                f = fits.get(dim, Fit())
+                if dim not in made:
+                    made[dim] = Hashes(dim, f.k, TABLES, f.width, f.probes)
+                h = made[dim]
                 part = b.take(pa.array(at))
                 x = _matrix(part.column(1))
                 ask = np.flatnonzero(np.asarray(part.column(2)))
-                for t in range(TABLES):
+                for t in range(TABLES if f.k else 1):
                     yield batch(dim, t, h.keys(x, t), False, part.column(0), part.column(1))
                     for i in range(0, len(ask), 32):
                         some = ask[i : i + 32]

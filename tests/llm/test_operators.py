@@ -342,6 +342,30 @@ def test_neighbours(spark, odd):
     assert neighbours.nearest(vectors.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_neighbours_when_probes_run_out(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "MOST_PROBES", 3)
+    x = np.random.default_rng(8).normal(size=(6000, 16)).astype(np.float32)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = neighbours.nearest(vectors, F.col("vec_id") % 200 == 0).toPandas()
+    hit = 0
+    for q in range(0, 6000, 200):
+        d = ((x.astype(float) - x[q].astype(float)) ** 2).sum(axis=1)
+        hit += len(set(np.argsort(d)[1:11]) & set(got[got.query_id == q].vec_id))
+    assert hit >= 0.9 * 300
+
+
+def test_fit_of_many_rows():
+    rng = np.random.default_rng(9)
+    q = rng.normal(size=(48, 64))
+    u = rng.normal(size=(48, 10, 64))
+    x = q[:, None] + 3 * u / np.linalg.norm(u, axis=2, keepdims=True)
+    near = [[(0.0, a.tolist())] + [(3.0, v.tolist()) for v in vs] for a, vs in zip(q, x)]
+    f = neighbours.fit(64, 3_000_000, q.tolist(), near)
+    h = neighbours.Hashes(64, f.k, neighbours.TABLES, f.width, f.probes)
+    found = [np.any([np.isin(h.keys(vs, t), h.probes(a[None], t)) for t in range(neighbours.TABLES)], axis=0) for a, vs in zip(q, x)]
+    assert f.k > 0 and f.probes <= neighbours.MOST_PROBES and np.mean(found) >= 0.95
+
+
 def test_probe_order():
     sets = neighbours.probe_order(4, 81)
     assert len(sets) == len(set(sets)) == 81 and sets[0] == () and sets[1] == (1,)
