@@ -35,6 +35,8 @@ FIT_RECALL = 0.97
 MOST_PROBES = 600
 #: Vector lengths that are hashed; rows of any other length are compared with all of theirs.
 MOST_FITTED = 16
+#: Distance, in those of the fit, from which on a query's last neighbour shows that the fit doesn't hold for it.
+FAR = 2.0
 #: Rows of a bucket that one block holds on average, at most.
 BLOCK_ROWS = 1_000
 BUFFER_ROWS = 200_000
@@ -209,7 +211,8 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str =
     """(query_id, rank, vec_id, score): for each row where is_query (a Column over vec_id) holds, its nearest found.
 
     Vectors of another length than the query's are at no distance and are not candidates. Rows that repeat both id
-    and vector count once. With fewer candidates than `top`, a table's only bucket holds them all and all are returned.
+    and vector count once. A query that meets fewer than `top` others in its buckets, or only distant ones, is compared
+    with all rows of its length, so with fewer candidates than `top` all are returned.
     """
     spark = vectors.sparkSession
     usable = usable_vectors(vectors, id_col, vec_col)
@@ -221,7 +224,30 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str =
     # A query class is one with an asked id.
     wanted = asked.select("cid").distinct().withColumn("asked", F.lit(True))
     spread = classes.select("cid", "vec").join(wanted, "cid", "left").select("cid", "vec", F.coalesce("asked", F.lit(False)).alias("asked"))
-    rows = materialize(_hashed(spread, fits))
+    best = materialize(_best(_hashed(spread, fits), top))
+    # Where fewer than `top` others were met, or the last of them is farther than the fit covers, all rows of that length are compared.
+    covered = [(d, float(FAR * f.distance if f.k else math.inf)) for d, f in fits.items()]
+    reach = F.create_map(*[F.lit(x) for pair in covered for x in pair])[F.size("vec")] if covered else F.lit(None)
+    mass = best.join(classes.select(F.col("cid").alias("c"), F.size("ids").alias("m")), "c")
+    before = Window.partitionBy("q").orderBy("d", "c")
+    last = mass.withColumn("before", F.sum("m").over(before) - F.col("m")).filter(F.col("before") <= top).groupBy("q").agg(F.sum("m").alias("met"), F.max("d").alias("d"))
+    seen = spread.filter("asked").select("cid", "vec", reach.alias("reach")).filter("reach < double('infinity')").join(last, F.col("cid") == F.col("q"), "left")
+    lone = materialize(seen.filter((F.coalesce("met", F.lit(0)) <= top) | (F.col("d") > F.col("reach"))).select("cid", F.size("vec").alias("dim")))
+    if not lone.isEmpty():
+        again = spread.join(lone.select("dim").distinct(), F.size("vec") == F.col("dim"), "left_semi").select("cid", "vec")
+        exact = again.join(lone.select("cid", F.lit(True).alias("asked")), "cid", "left").select("cid", "vec", F.coalesce("asked", F.lit(False)).alias("asked"))
+        best = best.join(lone, best.q == lone.cid, "left_anti").unionByName(_best(_hashed(exact, {}), top))
+    ids = best.join(classes.select(F.col("cid").alias("c"), "ids"), "c").select("q", "d", F.explode("ids").alias("vec_id"))
+    by_row = Window.partitionBy("q").orderBy("d", "vec_id")
+    short = ids.withColumn("r", F.row_number().over(by_row)).filter(F.col("r") <= top + 1).groupBy("q").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "d"))).alias("near"))
+    own = asked.join(short, asked.cid == short.q).withColumn("near", F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, top))
+    out = own.select("query_id", F.posexplode("near").alias("pos", "hit"))
+    return out.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.d").alias("score"))
+
+
+def _best(hashed: DataFrame, top: int) -> DataFrame:
+    """(q, c, d): the top + 1 nearest classes that each asked class meets in its buckets."""
+    rows = materialize(hashed)
     crowded = rows.filter("not probe").groupBy("dim", "t", "bucket").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")).filter("blocks > 1")
     salted = rows.join(crowded, ["dim", "t", "bucket"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     salt = F.when(F.col("probe"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")))
@@ -229,13 +255,7 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str =
     met = dealt.repartition("dim", "t", "bucket", "salt").sortWithinPartitions("dim", "t", "bucket", "salt", "probe")
     near = met.mapInArrow(_rerank(top + 1), "q long, c long, d double").groupBy("q", "c").agg(F.min("d").alias("d"))
     by_class = Window.partitionBy("q").orderBy("d", "c")
-    best = near.withColumn("r", F.row_number().over(by_class)).filter(F.col("r") <= top + 1)
-    ids = best.join(classes.select(F.col("cid").alias("c"), "ids"), "c").select("q", "d", F.explode("ids").alias("vec_id"))
-    by_row = Window.partitionBy("q").orderBy("d", "vec_id")
-    short = ids.withColumn("r", F.row_number().over(by_row)).filter(F.col("r") <= top + 1).groupBy("q").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "d"))).alias("near"))
-    own = asked.join(short, asked.cid == short.q).withColumn("near", F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, top))
-    out = own.select("query_id", F.posexplode("near").alias("pos", "hit"))
-    return out.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.d").alias("score"))
+    return near.withColumn("r", F.row_number().over(by_class)).filter(F.col("r") <= top + 1).select("q", "c", "d")
 
 
 def _hashed(spread: DataFrame, fits: dict[int, Fit]) -> DataFrame:

@@ -354,6 +354,19 @@ def test_neighbours_when_probes_run_out(spark, monkeypatch):
     assert hit >= 0.9 * 300
 
 
+def test_neighbours_of_outliers_and_rare_lengths(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 16)).astype(np.float32)
+    x[:200:10] *= 40
+    short = rng.normal(size=(400, 3)).astype(np.float32)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(9000 + i, v.tolist()) for i, v in enumerate(short)], "vec_id long, embedding array<float>")
+    got = neighbours.nearest(vectors, F.expr("vec_id < 200 and vec_id % 10 = 0 or vec_id >= 9000 and vec_id % 20 = 0")).toPandas()
+    for at, q in [*((x, q) for q in range(0, 200, 10)), *((short, q) for q in range(0, 400, 20))]:
+        own = got[got.query_id == q + (9000 if at is short else 0)].sort_values("rank")
+        d = np.sort(np.sqrt(((at.astype(float) - at[q].astype(float)) ** 2).sum(axis=1)))[1:11]
+        assert len(own) == 10 and (at is short or np.allclose(own.score, d))
+
+
 def test_fit_of_many_rows():
     rng = np.random.default_rng(9)
     q = rng.normal(size=(48, 64))
