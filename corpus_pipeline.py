@@ -5,10 +5,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from minuteloom.llm import decontaminate, packing, pii, simhash, tokens, toxicity
-from minuteloom.llm.common import scratch_dir, table
+from minuteloom.llm.common import materialize, scratch_dir, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,12 +17,15 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component, the document with the smallest id; of rows that repeat that id, the first by text hash."""
-    found = simhash.near_duplicates(docs)
-    keep = found.filter("doc_id <=> component_id").select("doc_id").distinct()
-    kept = docs.join(keep, docs.doc_id.eqNullSafe(keep.doc_id), "left_semi")
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    return kept.withColumn("__rank", F.row_number().over(first)).filter("__rank = 1").select(*docs.columns)
+    """Of each component one row: that of the smallest id (null ids last), then of the smallest hash; rows that share an id are rows apart."""
+    null = F.isnull("doc_id"), F.isnull("text")
+    keyed = docs.withColumns({"__k1": F.xxhash64(*null, "doc_id", "text"), "__k2": F.xxhash64(F.lit("row"), *null, "text", "doc_id")})
+    found = simhash.fingerprints(keyed, keys=("__k1", "__k2")).withColumn("row", F.struct(F.isnull("doc_id").alias("last"), "doc_id", "__k1", "__k2"))
+    nodes = materialize(found.groupBy("fp").agg(F.min("row").alias("row")))
+    keep = simhash.labelled(nodes).groupBy("label").agg(F.min("row").alias("row")).select("row.__k1", "row.__k2")
+    # Rows that repeat both id and text have equal keys; they become one before they are moved.
+    rows = keyed.groupBy("__k1", "__k2").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return rows.join(keep, ["__k1", "__k2"], "left_semi").select("row.*")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -54,8 +54,8 @@ def fingerprint(text: bytes | None) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) of every row; fp is the signed 64-bit form. Other columns are not read."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp) and the integer columns `keys` of every row; fp is the signed 64-bit form. Other columns are not read."""
     short_batches(docs.sparkSession)
 
     def run(batches):
@@ -64,9 +64,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         for b in batches:
             fps = np.array([fingerprint(t) for t in utf8_rows(b.column(1))], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), *b.columns[2:]], names=["doc_id", "fp", *keys])
 
-    return docs.selectExpr(f"cast({id_col} as long) as doc_id", f"{text_col} as text").mapInArrow(run, "doc_id long, fp long")
+    return docs.selectExpr(f"cast({id_col} as long) as doc_id", f"{text_col} as text", *keys).mapInArrow(run, ", ".join(["doc_id long, fp long", *[f"{k} long" for k in keys]]))
 
 
 def bit_statistics(nodes: DataFrame):
@@ -230,6 +230,12 @@ def components(edges: DataFrame) -> DataFrame:
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
+def labelled(nodes: DataFrame) -> DataFrame:
+    """nodes (a row for each fp) with the label of each one's component."""
+    linked = components(links(nodes))
+    return nodes.join(linked, nodes.fp == linked.node, "left").select(*nodes.columns, F.coalesce("label", "fp").alias("label"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) of every row; component_id is the smallest doc_id reachable over links, itself included.
 
@@ -238,8 +244,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     docs_fp = materialize(fingerprints(docs, id_col, text_col))
     nodes = materialize(docs_fp.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    linked = components(links(nodes))
-    roots = nodes.join(linked, nodes.fp == linked.node, "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
+    roots = labelled(nodes)
     smallest = roots.groupBy("label").agg(F.min("first").alias("component_id"))
     by_fp = materialize(roots.join(smallest, "label").select("fp", "component_id"))
     return docs_fp.join(by_fp, "fp").select("doc_id", "fp", "component_id")

@@ -405,5 +405,18 @@ def test_pipeline(spark, sf_dir):
     assert 0 < out.select("doc_id").distinct().count() < docs.count()
 
 
+def test_near_duplicates_of_rows_that_share_an_id(spark, sf_dir):
+    import corpus_pipeline
+
+    words = [f"{w}{i}" for i in range(40) for w in ("amber", "birch", "cedar")]
+    texts = [" ".join(np.random.default_rng(i).permutation(words)) for i in range(6)]
+    rows = [(1, texts[0]), (2, texts[0]), (2, texts[1]), (None, texts[2]), (None, texts[3]), (None, texts[3]), (None, texts[1]), (7, texts[4]), (7, texts[5])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicate_stage(spark, docs, sf_dir)
+    want = [(1, texts[0]), (2, texts[1]), (None, texts[2]), (None, texts[3]), (7, texts[4]), (7, texts[5])]
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
 def test_digest_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
