@@ -94,6 +94,7 @@ _DISGUISE = re.compile(
     rf"(?=(?:[a-z0-9-]+\s+dot\s+){{0,8}}(?:{TOP_DOMAINS})(?![a-z0-9-])|[0-9])",
     re.I,
 )
+_DISGUISE_SIGN = re.compile(r"[\[({<]\s*(?:at|@|dot|\.)\s*[\])}>]|\bdot\b", re.I)
 _DIGIT_WORD = "(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + "|[0-9]+)"
 _SPELLED = re.compile(rf"(?<!\w)(?:plus[\s,.-]+)?{_DIGIT_WORD}(?:[\s,.()-]+{_DIGIT_WORD}){{6,}}(?!\w)", re.I)
 _SPELLED_PART = re.compile(r"\w+")
@@ -144,12 +145,14 @@ def undo_spelling(m: Mapped) -> Mapped:
 
 
 def looks_disguised(text: str) -> tuple[bool, bool, bool]:
-    """Cheap tests for what each transducer needs to have anything to do."""
+    """Cheap tests for what each transducer needs to have anything to do, none narrower than its pattern.
+
+    Every branch of _DISGUISE has what _DISGUISE_SIGN finds, and undo_spelling takes runs of whole words, four of them
+    digit words; undoing a disguise replaces no word but 'at' and 'dot', so the words can be counted in the text itself.
+    """
     folded = not text.isascii() and _FOLDED.search(text) is not None
-    low = text.lower()
-    words = set(low.split())
-    dots = "dot" in words or any(c in low for c in ("dot]", "dot)", "dot}", "dot>", "dot ]", "dot )", "at]", "at)", "at}", "at>", "at ]", "at )", "[@]", "(@)", "[.]", "(.)"))
-    return folded, dots, folded or not DIGIT_SET.isdisjoint(words)
+    dots = _DISGUISE_SIGN.search(text) is not None
+    return folded, dots, folded or sum(w in DIGIT_SET for w in _SPELLED_PART.findall(text.lower())) >= 4
 
 
 def find_spans(text: str | None) -> list[tuple[str, int, int, bool]]:

@@ -152,6 +152,20 @@ def test_pii_disguises():
     assert pii.redact("a x@y.zz b", pii.find_spans("a x@y.zz b")) == "a [EMAIL] b"
 
 
+def test_pii_gate_is_no_narrower_than_the_patterns(monkeypatch):
+    kinds = lambda text: [s[0] for s in pii.find_spans(text)]
+    assert kinds("call five-five-five-zero-one-two-three-four-six-seven") == ["phone"]
+    assert kinds("call five, five, five, zero, one, two, three, four, six, seven.") == ["phone"]
+    assert kinds("jane{@}example{.}org") == kinds("jane [  @  ] example <\t. > org") == kinds("jane at example (dot com) jane <at  > b.org")[:1] == ["email"]
+    rng = np.random.default_rng(11)
+    parts = ["jane", "example", "org", "at", "dot", "AT", "Dot", "@", ".", "five", "Zero", "one", "un", "77", "plus", *"[](){}<>", " ", "  ", "\t", "\n", "-", ", ", "(", "é", "fünf", "а", "İ", "ſix", "\u200b"]
+    texts = ["".join(rng.choice(parts, size=rng.integers(3, 40))) for _ in range(6000)]
+    texts += ["".join(w + rng.choice(["-", ", ", ".", ") (", " ", " dot ", "[.]"]) for w in rng.choice(["five", "Six", "zéro", "oh", "12", "neuf"], size=11)) for _ in range(2000)]
+    gated = [pii.find_spans(t) for t in texts]
+    monkeypatch.setattr(pii, "looks_disguised", lambda text: (True, True, True))
+    assert gated == [pii.find_spans(t) for t in texts] and sum(any(s[3] for s in found) for found in gated) > 300
+
+
 def test_pii_long_disguises():
     """Texts on which a pattern that is entered anywhere would take hours."""
     for text in ("dot] " + " " * 200_000 + "x", "x dot " * 30_000, "[ " * 100_000 + "at]", "о " + "\t " * 100_000):
