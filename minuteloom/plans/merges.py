@@ -161,6 +161,14 @@ def missing_and_orphans(spark, d):
     return late.unionByName(merge.missing_and_orphans(parents, rules, "k").filter("state = 'orphan'"))
 
 
+@query("""SELECT DISTINCT s_suppkey AS k, 'orphan' AS state FROM supplier WHERE s_suppkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = s_suppkey)
+ UNION ALL SELECT DISTINCT o_custkey, 'missing' FROM orders WHERE o_custkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = o_custkey)""")
+def missing_and_orphans_all(spark, d):
+    """All meetings' councils against all suppliers; missing_and_orphans compares subsets of ids, as its SQL does."""
+    parents = meetings(spark, d).select(F.col("council_id").alias("k"))
+    return merge.missing_and_orphans(parents, read(spark, d, "supplier").select(F.col("s_suppkey").alias("k")), "k")
+
+
 @query("SELECT 'orders' AS name, count(*) AS n, count(DISTINCT o_orderkey) AS keys FROM orders UNION ALL SELECT 'lineitem', count(*), count(DISTINCT l_orderkey) FROM lineitem UNION ALL SELECT 'customer', count(*), count(DISTINCT c_custkey) FROM customer")
 def reconcile_counts(spark, d):
     one = lambda df, name, key: df.agg(F.count("*").alias("n"), F.count_distinct(key).alias("keys")).select(F.lit(name).alias("name"), "n", "keys")
