@@ -1,10 +1,12 @@
-"""What the operators of this subpackage share: table access, folds, Arrow mapping and scratch tables."""
+"""What the operators of this subpackage share: table access, folds, bounded Arrow batches, worker caches and scratch tables."""
 
 from __future__ import annotations
 
 import atexit
+import sys
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,8 @@ from pyspark.sql import types as T
 
 #: Rows of an Arrow batch handed to Python; whole texts are long, so batches are kept short.
 BATCH_ROWS = 512
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,9 +23,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the memory of a Python worker: a batch holds at most this many texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+_sessions: WeakKeyDictionary[SparkSession, dict[int, SparkSession]] = WeakKeyDictionary()
+
+
+def in_batches(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
+    """df as seen from a session of this library's own, in which an Arrow batch holds at most `rows` rows.
+
+    Spark takes that bound from the session that a plan runs in, so the plan moves, and the caller's session keeps
+    its settings. All else that is set there is set in the other session too.
+    """
+    spark = df.sparkSession
+    if spark.conf.get(_ARROW_ROWS) == str(rows):
+        return df
+    kept = _sessions.setdefault(spark, {})
+    own = kept[rows] if rows in kept else kept.setdefault(rows, spark.newSession())
+    for key, value in spark.conf.getAll.items():
+        shared = key == _CHECKPOINT_DIR or key.startswith("spark.sql.") and key != _ARROW_ROWS
+        if shared and own.conf.get(key, None) != value and (key == _CHECKPOINT_DIR or own.conf.isModifiable(key)):
+            own.conf.set(key, value)
+    own.conf.set(_ARROW_ROWS, str(rows))
+    view = f"minuteloom_{uuid.uuid4().hex}"
+    df.createGlobalTempView(view)
+    try:
+        return own.table(f"global_temp.{view}")
+    finally:
+        spark.catalog.dropGlobalTempView(view)
 
 
 def fold(col: str, mod: int) -> Column:
@@ -34,11 +60,6 @@ def in_fold(col: str, mod: int, value: int) -> Column:
     return F.coalesce(fold(col, mod) == value, F.lit(False))
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator], Iterator], schema: T.StructType | str) -> DataFrame:
-    """mapInArrow over record batches."""
-    return df.mapInArrow(fn, schema)
-
-
 def utf8_rows(column) -> list[bytes | None]:
     """The UTF-8 bytes of an Arrow string column, without decoding."""
     import pyarrow as pa
@@ -46,38 +67,104 @@ def utf8_rows(column) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
+def named(column: str) -> Column:
+    """A top-level column by its exact name, dots and all."""
+    return F.col(f"`{column.replace('`', '``')}`")
+
+
+def fresh_name(docs: DataFrame, name: str) -> str:
+    """name, or with as many underscores in front that docs has no such column."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name = f"_{name}"
+    return name
+
+
+def with_columns(docs: DataFrame, keep: list[str], text_col: str, added: str, fn: Callable[[], Callable], rows: int = BATCH_ROWS) -> DataFrame:
+    """The columns `keep` of docs, and those of the DDL `added`, of every row. fn() makes, once a task, the function from a
+    batch's text column to the added Arrow arrays.
+
+    Kept columns pass by place. One that is called like an added column gives way to it: callers who need both choose another
+    output name with fresh_name().
+    """
+    new = T.StructType.fromDDL(added)
+    taken = {f.name.lower() for f in new}
+    keep = [c for c in keep if c.lower() not in taken]
+    own = [docs.schema[c] for c in keep]
+    at = keep.index(text_col) if text_col in keep else len(keep)
+    held = docs.select(*[named(c).alias(f"c{i}") for i, c in enumerate(keep)], *([] if text_col in keep else [named(text_col).alias("t")]))
+    n = len(keep)
+    schema = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(own)] + [T.StructField(f"a{i}", f.dataType) for i, f in enumerate(new)])
+
+    def run(batches):
+        import pyarrow as pa
+
+        of = fn()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], *of(b.column(at))], names=schema.names)
+
+    return in_batches(held, rows).mapInArrow(run, schema).toDF(*keep, *new.names)
+
+
+def worker_cache(kind: str, key: object, make: Callable[[], object]):
+    """What `make` gives, kept by this worker process for later tasks. A worker keeps the last kind and key only, so caches of
+    several operators never add up."""
+    kept = sys.__dict__.setdefault("_minuteloom_cache", {})
+    if (kind, key) not in kept:
+        kept.clear()
+        kept[kind, key] = make()
+    return kept[kind, key]
+
+
 _scratch: list[tuple[SparkSession, str]] = []
+_local_root: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder under the cluster's shared checkpoint folder; a local default only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        import tempfile
+    """A new folder under the cluster's shared checkpoint folder, removed by drop_scratch().
 
-        root = tempfile.mkdtemp(prefix="minuteloom-")  # tests and single machines only
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/minuteloom/{uuid.uuid4().hex}"
+    Where spark.checkpoint.dir is unset, a temporary folder is used on a single machine; on a cluster that is an error, as
+    executors would write to disks of their own.
+    """
+    root = spark.conf.get(_CHECKPOINT_DIR, None)
+    if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError(f"{_CHECKPOINT_DIR} is not set: intermediate tables need a folder that all executors share")
+        if not _local_root:
+            import tempfile
+
+            _local_root.append(tempfile.mkdtemp(prefix="minuteloom-"))
+        root = _local_root[0]
+    path = f"{root.rstrip('/')}/minuteloom/{uuid.uuid4().hex}"
+    _scratch.append((spark, path))
+    return path
 
 
 def materialize(df: DataFrame, **options: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage is cut, any executor may be lost."""
     spark, path = df.sparkSession, scratch_dir(df.sparkSession)
     df.write.options(**options).parquet(path)
-    _scratch.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_scratch() -> None:
-    """Remove the scratch tables of this process, for when all results have been read."""
-    while _scratch:
-        spark, path = _scratch.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the session may be gone at exit
-            return
+def _remove(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drop_scratch(since: int = 0, keep: str | None = None) -> None:
+    """Remove the scratch tables made after the first `since` of this process, but for `keep`: for when their results have been read."""
+    for spark, path in _scratch[since:]:
+        if path != keep:
+            try:
+                _remove(spark, path)
+            except Exception:  # the session may be gone at exit
+                return
+            _scratch.remove((spark, path))
+
+
+def scratch_count() -> int:
+    return len(_scratch)
 
 
 atexit.register(drop_scratch)

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 
 from minuteloom.llm import tokens
-from minuteloom.llm.common import short_batches, table
+from minuteloom.llm.common import in_batches, named, table
 
 CAPACITY = 4096
 #: Remainders up to this length are not cut further; each such length is a class of its own.
@@ -95,7 +95,6 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str
     Repeated rows are packed once each; a null id stays null. An empty table gives no rows. Other columns are not read.
     """
     end = tokens.END_ID.to_bytes(4, "little")
-    short_batches(docs.sparkSession)
 
     def run(batches):
         import pyarrow as pa
@@ -119,7 +118,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str
         if rows := list(packer.close()):
             yield batch(rows)
 
-    return docs.selectExpr(f"cast({id_col} as long) as doc_id", f"{text_col} as text").mapInArrow(run, DIGESTS if digests else PIECES)
+    return in_batches(docs.select(named(id_col).cast("long"), named(text_col))).mapInArrow(run, DIGESTS if digests else PIECES)
 
 
 def op3_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

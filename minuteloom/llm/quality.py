@@ -13,7 +13,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from minuteloom.llm.common import in_fold, short_batches, table, utf8_rows
+from minuteloom.llm.common import in_fold, table, utf8_rows, with_columns
 from minuteloom.llm.toxicity import labelled_sample
 
 #: Labelled rows that the ranking is fitted on, at most: those with the smallest hash of their id.
@@ -53,11 +53,27 @@ def measures(text: bytes | None, classes) -> list[float]:
     return base + [math.sqrt(max(x, 0.0)) for x in base[:9]] + [float(w == 0)]
 
 
+def preference_weights(diff, l2: float = L2):
+    """Weights of least mean log(1 + exp(-diff.w)) + l2/2 |w|^2, by Newton's method: each row of diff is a winner's features less a loser's."""
+    import numpy as np
+
+    w = np.zeros(diff.shape[1])
+    for _ in range(25):  # the loss is convex
+        p = 1 / (1 + np.exp(np.clip(diff @ w, -30, 30)))  # chance that the pair is lost
+        grad = -(diff * p[:, None]).mean(axis=0) + l2 * w
+        hess = (diff * (p * (1 - p))[:, None]).T @ diff / len(diff) + l2 * np.eye(len(w))
+        step = np.linalg.solve(hess, grad)
+        w -= step
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
+
+
 def fit(sample: DataFrame, rows: int = FIT_ROWS, pairs: int = FIT_PAIRS) -> dict:
     """{"mean", "scale", "weights", "threshold"}. sample: doc_id, text, y. Without both labels all scores are 0.5."""
     import numpy as np
 
-    got = measured(sample.select(F.col("y").cast("int").alias("y"), F.xxhash64("doc_id", "text").alias("h"), "text"), ["y", "h"]).orderBy("h").limit(rows).collect()
+    got = measured(sample.select(F.col("y").cast("int").alias("y"), F.xxhash64("doc_id", "text").alias("h"), "text"), ["y", "h"]).orderBy("h").limit(rows).collect()  # `rows` short vectors
     x = np.array([r["x"] for r in got], dtype=float)
     y = np.array([r["y"] for r in got], dtype=int)
     if len(set(y.tolist())) < 2:
@@ -68,57 +84,45 @@ def fit(sample: DataFrame, rows: int = FIT_ROWS, pairs: int = FIT_PAIRS) -> dict
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     m = min(pairs, len(good) * len(bad))
     diff = z[rng.choice(good, m)] - z[rng.choice(bad, m)]
-    w = np.zeros(z.shape[1])
-    for _ in range(25):  # Newton steps; the loss is convex
-        p = 1 / (1 + np.exp(np.clip(diff @ w, -30, 30)))  # chance that the pair is lost
-        grad = -(diff * p[:, None]).mean(axis=0) + L2 * w
-        hess = (diff * (p * (1 - p))[:, None]).T @ diff / m + L2 * np.eye(len(w))
-        step = np.linalg.solve(hess, grad)
-        w -= step
-        if np.abs(step).max() < 1e-6:
-            break
+    w = preference_weights(diff)
     worth = z @ w
     return {"mean": mean.tolist(), "scale": scale.tolist(), "weights": w.tolist(), "threshold": float(np.quantile(worth, (y == 0).mean()))}
 
 
-def measured(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns `keep`, and the measures `x` of every row."""
-    short_batches(docs.sparkSession)
-    slim = docs.select(*keep, F.col(text_col).alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1])
-    last = len(keep)
+def measured(docs: DataFrame, keep: list[str], text_col: str = "text", out: str = "x") -> DataFrame:
+    """The columns `keep`, and the measures of every row as the list `out`."""
 
-    def run(batches):
+    def measure():
         import pyarrow as pa
 
         classes = _classes()
-        for b in batches:
-            x = [measures(t, classes) for t in utf8_rows(b.column(last))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:last], pa.array(x, pa.list_(pa.float64()))], names=[*keep, "x"])
+        return lambda column: [pa.array([measures(t, classes) for t in utf8_rows(column)], pa.list_(pa.float64()))]
+
+    return with_columns(docs, keep, text_col, f"`{out}` array<double>", measure)
 
-    return slim.mapInArrow(run, f"{schema}, x array<double>")
 
+def score(docs: DataFrame, model: dict, keep: list[str], text_col: str = "text", out: str = "score") -> DataFrame:
+    """The columns `keep`, and the score as `out` for every row. Null and empty texts are scored by their measures like others.
 
-def score(docs: DataFrame, model: dict, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns `keep`, and `score` for every row. Null and empty texts are scored by their measures like others."""
-    short_batches(docs.sparkSession)
-    slim = docs.select(*keep, F.col(text_col).alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1])
-    last = len(keep)
+    Repeated rows are scored each, equal texts alike; a worth at the threshold scores 0.5 and an empty table gives no rows.
+    A kept column called like `out` gives way to it.
+    """
 
-    def run(batches):
+    def scorer():
         import numpy as np
         import pyarrow as pa
 
         classes = _classes()
         mean, scale, w = (np.array(model[k]) for k in ("mean", "scale", "weights"))
-        for b in batches:
-            x = np.array([measures(t, classes) for t in utf8_rows(b.column(last))], dtype=float)
+
+        def of(column):
+            x = np.array([measures(t, classes) for t in utf8_rows(column)], dtype=float)
             worth = np.clip((x - mean) / scale, -8, 8) @ w if len(w) and len(x) else np.zeros(len(x))
-            scores = 1 / (1 + np.exp(np.clip(model["threshold"] - worth, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:last], pa.array(scores, pa.float64())], names=[*keep, "score"])
+            return [pa.array(1 / (1 + np.exp(np.clip(model["threshold"] - worth, -30, 30))), pa.float64())]
+
+        return of
 
-    return slim.mapInArrow(run, f"{schema}, score double")
+    return with_columns(docs, keep, text_col, f"`{out}` double", scorer)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> dict:

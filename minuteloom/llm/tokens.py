@@ -8,12 +8,12 @@ are those of the vocabulary's normalizer) go through the tokenizer itself, whole
 
 from __future__ import annotations
 
-import sys
+from minuteloom.llm.common import worker_cache
 
 #: Id written after each document.
 END_ID = 2
 #: Entries of a cache before it is emptied; a worker holds two.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 250_000
 #: Longer chunks are not cached.
 CACHED_CHUNK = 48
 #: The vocabulary's split pattern. Fixed value of the public vocabulary file.
@@ -80,10 +80,7 @@ class TextEncoder:
 
 def encoder(path: str) -> TextEncoder:
     """The encoder of this worker process: kept outside the pickled functions, so that tasks share its caches."""
-    kept = sys.__dict__.setdefault("_minuteloom_encoders", {})
-    if path not in kept:
-        kept[path] = TextEncoder(path)
-    return kept[path]
+    return worker_cache("encoder", path, lambda: TextEncoder(path))
 
 
 def default_vocabulary() -> str:
