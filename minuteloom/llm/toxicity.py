@@ -10,24 +10,25 @@ from __future__ import annotations
 
 import math
 import re
-import sys
 import uuid
 from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from minuteloom.llm.common import in_fold, materialize, short_batches, table
+from minuteloom.llm.common import in_batches, in_fold, materialize, table, with_columns, worker_cache
 
 #: Labelled rows that the classifier is fitted on, at most: those with the smallest hash of their id.
 FIT_ROWS = 12_000
-#: Distinct words kept of one labelled row.
-FIT_WORDS = 20_000
+#: Tasks that the fitting sample is dealt to.
+FIT_TASKS = 32
 MIN_ROWS = 3
 L1 = 1.5e-4
 #: A stem counts for as many distinct words at most.
 MOST_COUNT = 3
 PULL = 1.0
+#: Words of which a worker keeps the features, before it forgets them all.
+CACHE_ENTRIES = 250_000
 STEPS = 300
 #: Identity terms by group; a swap replaces a term by the next of its group.
 IDENTITY_GROUPS = (
@@ -56,25 +57,32 @@ def features_of(word: str) -> list[str]:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable, rows: int) -> DataFrame:
-    """At most `rows` labelled documents (text, y) of the usable fold, by hash order, for any number of repeated ids."""
+    """(doc_id, text, y) of the usable fold's documents whose label is among the `rows` first by hash of the id.
+
+    Labels without a document are not counted, an id that is labelled twice has the greater label, and rows that share an
+    id are all taken, whatever their texts.
+    """
     order = F.xxhash64("doc_id")
-    chosen = labels.filter(usable & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("y")).orderBy(order, "doc_id").limit(rows)
+    known = labels.select("doc_id", F.col(label).alias("y")).filter(usable & F.col("y").isin(0, 1)).groupBy("doc_id").agg(F.max("y").alias("y"))
+    chosen = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(order, "doc_id").limit(rows)
     both = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # bounded by `rows` pairs of integers
     return both.filter(usable)
 
 
 def _sampled_words(sample: DataFrame, rows: int) -> DataFrame:
-    """(y, words) of at most `rows` sampled documents, in a table."""
+    """(y, words) of at most `rows` sampled documents, in a table of FIT_TASKS parts. All distinct words of a row are kept."""
 
     def words(batches):
         import pyarrow as pa
 
         for b in batches:
-            lists = [sorted(words_of(t))[:FIT_WORDS] for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(lists, pa.list_(pa.string()))], names=["y", "h", "words"])
+            for i in range(0, b.num_rows, 32):  # a few long texts at a time
+                part = b.slice(i, 32)
+                lists = [list(words_of(t)) for t in part.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(lists, pa.list_(pa.string()))], names=["y", "words"])
 
-    found = sample.select("text", F.col("y").cast("int").alias("y"), F.xxhash64("doc_id", "text").alias("h")).mapInArrow(words, "y int, h long, words array<string>")
-    return materialize(found.orderBy("h").limit(rows).select("y", "words"))
+    first = sample.select("text", F.col("y").cast("int").alias("y"), F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(rows)
+    return materialize(in_batches(first.repartition(FIT_TASKS, "h").select("text", "y")).mapInArrow(words, "y int, words array<string>"))
 
 
 def _feature_counts(kept: DataFrame) -> DataFrame:
@@ -120,6 +128,36 @@ def _encoded(kept: DataFrame, column) -> DataFrame:
     return kept.select("y", "words").mapInArrow(encode, "y int, own array<int>, swap array<int>")
 
 
+def minimise(n: int, width: int, y, own, swap, m: int, bias: float, l1: float, pull: float, steps: int):
+    """(weights, bias) of least loss, by FISTA. own, swap: entries (row, column, value) of the features and of their changes; m: rows that change."""
+    import numpy as np
+
+    (r, c, v), (dr, dc, dv) = own, swap
+    # The largest curvature, by power iteration on 0.25 X'X / n + 2 pull D'D / m; with its inverse as the step, no line search is needed.
+    u, lip = np.random.default_rng(1).normal(size=width), 0.25
+    for _ in range(30):
+        u /= np.linalg.norm(u) + 1e-300
+        hu = np.bincount(c, v * np.bincount(r, v * u[c], n)[r], width) * 0.25 / n
+        if len(dr):
+            hu += 2 * pull / m * np.bincount(dc, dv * np.bincount(dr, dv * u[dc])[dr], width)
+        lip = max(lip, float(np.linalg.norm(hu)))
+        u = hu
+    step = 1 / (1.2 * lip + 0.25)  # 0.25 for the bias
+    w, z, b, bz, t = np.zeros(width), np.zeros(width), bias, bias, 1.0
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(r, v * z[c], n) + bz, -30, 30)))
+        g = np.bincount(c, v * (p - y)[r], width) / n
+        if len(dr):
+            g += 2 * pull / m * np.bincount(dc, dv * np.bincount(dr, dv * z[dc])[dr], width)
+        w2 = z - step * g
+        w2 = np.sign(w2) * np.maximum(np.abs(w2) - step * l1, 0)
+        b2 = bz - step * float((p - y).mean())
+        t2 = (1 + math.sqrt(1 + 4 * t * t)) / 2
+        z, bz = w2 + (t - 1) / t2 * (w2 - w), b2 + (t - 1) / t2 * (b2 - b)
+        w, b, t = w2, b2, t2
+    return w, b
+
+
 def fit(sample: DataFrame, rows: int = FIT_ROWS, l1: float = L1, pull: float = PULL, steps: int = STEPS) -> dict:
     """The model: {"bias": float, "weights": {feature: weight}}. sample: doc_id, text, y. Without both classes, weights are empty.
 
@@ -154,28 +192,7 @@ def fit(sample: DataFrame, rows: int = FIT_ROWS, l1: float = L1, pull: float = P
     r, c, v = entries("own")
     dr, dc, dv = entries("swap")
     m, width = max(1, len(np.unique(dr))), len(column)
-    # The largest curvature, by power iteration on 0.25 X'X / n + 2 pull D'D / m; FISTA with its inverse as the step needs no line search.
-    u, lip = np.random.default_rng(1).normal(size=width), 0.25
-    for _ in range(30):
-        u /= np.linalg.norm(u) + 1e-300
-        hu = np.bincount(c, v * np.bincount(r, v * u[c], n)[r], width) * 0.25 / n
-        if len(dr):
-            hu += 2 * pull / m * np.bincount(dc, dv * np.bincount(dr, dv * u[dc])[dr], width)
-        lip = max(lip, float(np.linalg.norm(hu)))
-        u = hu
-    step = 1 / (1.2 * lip + 0.25)  # 0.25 for the bias
-    w, z, b, bz, t = np.zeros(width), np.zeros(width), model["bias"], model["bias"], 1.0
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(r, v * z[c], n) + bz, -30, 30)))
-        g = np.bincount(c, v * (p - y)[r], width) / n
-        if len(dr):
-            g += 2 * pull / m * np.bincount(dc, dv * np.bincount(dr, dv * z[dc])[dr], width)
-        w2 = z - step * g
-        w2 = np.sign(w2) * np.maximum(np.abs(w2) - step * l1, 0)
-        b2 = bz - step * float((p - y).mean())
-        t2 = (1 + math.sqrt(1 + 4 * t * t)) / 2
-        z, bz = w2 + (t - 1) / t2 * (w2 - w), b2 + (t - 1) / t2 * (b2 - b)
-        w, b, t = w2, b2, t2
+    w, b = minimise(n, width, y, (r, c, v), (dr, dc, dv), m, model["bias"], l1, pull, steps)
     return {"bias": float(b), "weights": {f: float(w[j]) for f, j in column.items() if w[j]}}
 
 
@@ -185,7 +202,7 @@ def score_text(text: str | None, model: dict, cache: dict) -> float:
     for w in words_of(text):
         fs = cache.get(w)
         if fs is None:
-            if len(cache) >= 400_000:
+            if len(cache) >= CACHE_ENTRIES:
                 cache.clear()
             fs = cache[w] = tuple(f for f in features_of(w) if f in weights) or ()
         if fs:
@@ -194,27 +211,21 @@ def score_text(text: str | None, model: dict, cache: dict) -> float:
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, total))))
 
 
-def score(docs: DataFrame, model: dict, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns `keep`, and `score` in 0 to 1 for every row; null and empty texts get the prior's score."""
-    spark = docs.sparkSession
-    short_batches(spark)
-    shared = spark.sparkContext.broadcast(model)  # at most the features of FIT_ROWS rows that l1 leaves
-    slim = docs.select(*keep, F.col(text_col).alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1])
-    last, name = len(keep), uuid.uuid4().hex
+def score(docs: DataFrame, model: dict, keep: list[str], text_col: str = "text", out: str = "score") -> DataFrame:
+    """The columns `keep`, and the score in 0 to 1 as `out` for every row; null and empty texts get the prior's score.
 
-    def run(batches):
+    Repeated rows are scored each, equal texts alike, and an empty table gives no rows. A kept column called like `out`
+    gives way to it.
+    """
+    shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex  # at most the features of FIT_ROWS rows that l1 leaves
+
+    def scorer():
         import pyarrow as pa
 
-        kept = sys.__dict__.setdefault("_minuteloom_words", {})
-        if name not in kept:
-            kept.clear()
-        cache = kept.setdefault(name, {})
-        for b in batches:
-            scores = [score_text(t, shared.value, cache) for t in b.column(last).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:last], pa.array(scores, pa.float64())], names=[*keep, "score"])
+        cache = worker_cache("toxicity", name, dict)
+        return lambda column: [pa.array([score_text(t, shared.value, cache) for t in column.to_pylist()], pa.float64())]
 
-    return slim.mapInArrow(run, f"{schema}, score double")
+    return with_columns(docs, keep, text_col, f"`{out}` double", scorer)
 
 
 def train_fold() -> F.Column:
