@@ -4,8 +4,9 @@ Equal fingerprints meet in a pre-aggregated group-by. Distinct ones are linked a
 are split into groups, correlated bits together, and group i gets a threshold t_i with sum(t_i + 1) = 5, so any
 pair within 4 bits differs by at most t_i in some group i. Widths and thresholds come from a dynamic programme on
 estimated candidate and probe counts. Every fingerprint is indexed by its exact bits of each group and probes the
-values within t_i; pairs that meet are verified on all 64 bits inside the join. Links become components by repeated
-contraction to the first neighbour in an order drawn anew each round, all in tables.
+values within t_i; pairs that meet are verified on all 64 bits inside the join. Values that many fingerprints share
+are cut into blocks, whose pairs are compared in tasks of their own and give a spanning forest of their links instead of
+all. Links become components by repeated contraction to the first neighbour in an order drawn anew each round, all in tables.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from minuteloom.llm.common import materialize, short_batches, table, utf8_rows
+from minuteloom.llm.common import in_batches, materialize, named, table, utf8_rows
 
 SHINGLE = 4
 SEED = 42
@@ -28,6 +29,9 @@ ESTIMATE_ROWS = 2_048
 #: Cost of making, moving and sorting one probe, in candidate checks. Timed over 240,000 random fingerprints by five plans, a
 #: probe took about 7 us of a core and a check under 0.05 us, so this is on the low side.
 PROBE_COST = 10.0
+#: Rows that share a group's value from which on they are compared block by block, and the rows of such a block.
+CROWD = 100
+CROWD_BLOCK = 8_192
 #: Group widths that the programme chooses from.
 WIDTHS = ((64,), (32, 32), (24, 40), (22, 21, 21), (18, 23, 23), (20, 22, 22), (16, 24, 24), (16, 16, 16, 16), (13, 17, 17, 17), (19, 15, 15, 15), (13, 13, 13, 13, 12))
 
@@ -56,7 +60,6 @@ def fingerprint(text: bytes | None) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, fp) and the integer columns `keys` of every row; fp is the signed 64-bit form. Other columns are not read."""
-    short_batches(docs.sparkSession)
 
     def run(batches):
         import numpy as np
@@ -66,7 +69,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.array([fingerprint(t) for t in utf8_rows(b.column(1))], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), *b.columns[2:]], names=["doc_id", "fp", *keys])
 
-    return docs.selectExpr(f"cast({id_col} as long) as doc_id", f"{text_col} as text", *keys).mapInArrow(run, ", ".join(["doc_id long, fp long", *[f"{k} long" for k in keys]]))
+    return in_batches(docs.select(named(id_col).cast("long"), named(text_col), *map(named, keys))).mapInArrow(run, ", ".join(["doc_id long, fp long", *[f"{k} long" for k in keys]]))
 
 
 def bit_statistics(nodes: DataFrame):
@@ -201,13 +204,78 @@ def signatures(nodes: DataFrame, groups: list[tuple[int, list[int], int]]) -> Da
 
 
 def links(nodes: DataFrame) -> DataFrame:
-    """All pairs (a, b), a < b, of distinct fingerprints at 4 or fewer differing bits, once each."""
+    """Pairs (a, b), a < b, of distinct fingerprints at 4 or fewer differing bits, once each: all of them, but that of the links between
+    the fingerprints of a crowded value only a spanning forest is given, which leads to the same components."""
     sigs = materialize(signatures(nodes, plan(nodes)))
-    left = sigs.select("g", "key", F.col("fp").alias("x"), "probe")
-    right = sigs.filter("not probe").select("g", "key", F.col("fp").alias("y"))
+    crowds = materialize(sigs.groupBy("g", "key").agg(F.count("*").alias("m"), F.count_if(~F.col("probe")).alias("n")).filter((F.col("m") > CROWD) & (F.col("n") > 0)))
+    few = sigs
+    if crowded := not crowds.isEmpty():
+        few = sigs.join(crowds.select("g", "key"), ["g", "key"], "left_anti")
+    left = few.select("g", "key", F.col("fp").alias("x"), "probe")
+    right = few.filter("not probe").select("g", "key", F.col("fp").alias("y"))
     near = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= MAX_DISTANCE
     met = left.join(right, ["g", "key"]).filter(near & (F.col("probe") & (F.col("x") != F.col("y")) | (F.col("x") < F.col("y"))))
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    if crowded:
+        pairs = pairs.unionByName(crowd_links(sigs.join(crowds.select("g", "key", "m"), ["g", "key"])))
+    return pairs.distinct()
+
+
+def crowd_links(rows: DataFrame) -> DataFrame:
+    """(a, b): links of the fingerprints of each (g, key), with m rows, in a forest for each pair of their blocks. A row goes to as many tasks as there are blocks."""
+    blocks = F.ceil(F.col("m") / CROWD_BLOCK).cast("int")
+    own = rows.select("g", "key", "fp", blocks.alias("blocks"), F.pmod(F.xxhash64("fp"), blocks).cast("int").alias("own"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("g", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp")
+    met = dealt.repartition("g", "key", "i", "j").sortWithinPartitions("g", "key", "i", "j")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def out(parts):
+            own, fp = (np.concatenate([p[k] for p in parts]) for k in range(2))
+            a, b = (np.unique(fp[own == k]) for k in (own.min(), own.max()))
+            x, y = forest(a.view(np.uint64), b.view(np.uint64))
+            x, y = x.view(np.int64), y.view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+        here, parts = None, []
+        for batch in batches:
+            cols = [np.asarray(batch.column(k)) for k in range(6)]
+            change = np.zeros(batch.num_rows, dtype=bool)
+            for c in cols[:4]:
+                change[1:] |= c[1:] != c[:-1]
+            starts = np.r_[0, np.flatnonzero(change)] if batch.num_rows else []
+            for s, e in zip(starts, [*starts[1:], batch.num_rows]):
+                at = tuple(int(c[s]) for c in cols[:4])
+                if parts and at != here:
+                    yield out(parts)
+                    parts = []
+                here = at
+                parts.append((cols[4][s:e], cols[5][s:e]))
+        if parts:
+            yield out(parts)
+
+    return met.mapInArrow(run, "a long, b long")
+
+
+def forest(a, b):
+    """Links (x of a, y of b) that connect what all links between the two arrays of unsigned fingerprints connect, one for each union."""
+    import numpy as np
+
+    every, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    label, at_b, found = np.arange(len(every)), at[len(a) :], []
+    for i in range(0, len(a), 64):
+        near = np.bitwise_count(a[i : i + 64, None] ^ b[None, :]) <= MAX_DISTANCE
+        for k in np.flatnonzero(near.any(axis=1)).tolist():
+            met = at_b[near[k]]
+            labels, first = np.unique(label[met], return_index=True)
+            own = label[at[i + k]]
+            if len(labels) > 1 or labels[0] != own:
+                found += [(at[i + k], met[f]) for one, f in zip(labels.tolist(), first.tolist()) if one != own]
+                label[np.isin(label, labels)] = own
+    pairs = np.array(found, dtype=np.int64).reshape(-1, 2)
+    return every[pairs[:, 0]], every[pairs[:, 1]]
 
 
 def components(edges: DataFrame) -> DataFrame:
