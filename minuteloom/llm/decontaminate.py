@@ -3,29 +3,32 @@
 Items are cut into windows of 10 consecutive words (a shorter item is one window). Windows of one length form a
 pattern set with a shift table on blocks of two words: the search looks at the block that ends a window, jumps as far as
 that block allows, and only where the shift is zero goes to the bucket of that suffix block, narrows it by the prefix
-block, and compares the words. Items are searched in groups of bounded size, one pass over the documents for each
-group; a pass is written before the next one starts, so that neither the driver nor a worker ever holds more than one.
+block, and compares the words. Items are searched in groups of bounded size, so that neither the driver nor a worker ever
+holds more than one. Where there are several, each group's tasks scan the texts and give what they find by the text's
+digest; the documents themselves are neither written nor read again in between.
 """
 
 from __future__ import annotations
 
-import sys
 import uuid
 from array import array
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from minuteloom.llm.common import materialize, short_batches, table, utf8_rows
+from minuteloom.llm.common import fresh_name, named, table, utf8_rows, with_columns, worker_cache
 
 WINDOW = 10
 #: UTF-8 bytes of benchmark text that are compiled, collected and broadcast at once; a worker takes some 60 to 90 times as much for its tables.
 GROUP_BYTES = 4 << 20
-HITS = "array<struct<first:long,last:long,items:array<string>>>"
+HITS = "array<struct<first:long,last:long>>"
 
 #: A-Z to a-z; every other ASCII byte that is no letter or digit to a space; bytes of non-ASCII characters stay.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+#: The same words as a pattern over characters, of a text whose A-Z are lower-cased.
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -77,7 +80,7 @@ class PatternSet:
 class Items:
     """The windows of a group of items, compiled for search."""
 
-    def __init__(self, rows: Iterable[tuple[str, bytes | None]], window: int = WINDOW):
+    def __init__(self, rows: Iterable[tuple[str | None, bytes | None]], window: int = WINDOW):
         import numpy as np
 
         self.number: dict[bytes, int] = {}
@@ -104,16 +107,25 @@ class Items:
         self.owned, self.owner = pairs[:, np.lexsort(pairs[::-1])]  # places in order, and the items that have the window there
         self.names = names
 
-    def items_of(self, place: int) -> list[str]:
+    def search(self, words: list[bytes]) -> tuple[list[dict], list[str | None]]:
+        """The word ranges (last inclusive) of all occurrences, and the items that have one of the windows, each once."""
         import numpy as np
 
-        a, b = np.searchsorted(self.owned, [place, place + 1])
-        return sorted({self.names[i] for i in self.owner[a:b].tolist()})
-
-    def hits(self, words: list[bytes]) -> list[dict]:
         get, unknown = self.number.get, self.unknown
         numbers = [get(w, unknown) for w in words]
-        return [{"first": end - s.m, "last": end - 1, "items": self.items_of(p)} for s in self.sets for end, p in s.search(numbers)]
+        hits, places = [], set()
+        for s in self.sets:
+            for end, place in s.search(numbers):
+                hits.append({"first": end - s.m, "last": end - 1})
+                places.add(place)
+        if not hits:
+            return [], []
+        met = np.zeros(len(self.names), dtype=bool)
+        for place in places:
+            a, b = np.searchsorted(self.owned, [place, place + 1])
+            met[self.owner[a:b]] = True
+        names = {self.names[i] for i in np.flatnonzero(met).tolist()}
+        return hits, sorted(n for n in names if n is not None) + [None] * (None in names)
 
 
 def _runs(first, count, of):
@@ -133,59 +145,63 @@ def _classes(rows):
     return first[inverse.ravel()]
 
 
-def compiled(name: str, rows, window: int) -> Items:
-    """The compiled group of this worker process: kept outside the pickled functions, so that tasks share it; one at a time."""
-    kept = sys.__dict__.setdefault("_minuteloom_items", {})
-    if name not in kept:
-        kept.clear()
-        kept[name] = Items(rows.value, window)
-    return kept[name]
-
-
 def item_groups(items: DataFrame, id_col: str, text_col: str, group_bytes: int):
     """Yields the rows of one bounded group of items after another. A longer single item is a group of its own hash."""
-    rows = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("item"), F.col(text_col).cast("binary").alias("text")).filter("text is not null").distinct()
+    rows = items.select(named(id_col).cast("string").alias("item"), named(text_col).cast("binary").alias("text")).filter("text is not null").distinct()
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-total // group_bytes)
     for g in range(n):
         yield [(r[0], bytes(r[1])) for r in rows.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == g).collect()]
 
 
-def mark_occurrences(docs: DataFrame, items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """docs with the columns `n_words` and `hits`: word ranges (last inclusive) where windows occur, and their items.
+def mark_occurrences(
+    docs: DataFrame, items: DataFrame, keep: list[str], id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, group_bytes: int = GROUP_BYTES,
+    item_text: str = "text", n_words: str = "n_words", hits: str = "hits", found: str = "items",
+) -> DataFrame:
+    """The columns `keep` of docs, and of every row the number of words, the word ranges `hits` where windows occur, and the ids `found` of their items.
 
-    All other columns pass through Spark untouched, whatever their names. Null texts have no words. Repeated items
-    and windows shared by items count for each item id once; a null item id is named 'null'.
+    Null texts have no words. Items that repeat, and windows that items share, count for each item id once; an item with a
+    null id marks words and counts as one item. Repeated rows are marked each; empty tables give no rows, or
+    no hits. A kept column called like an output gives way to it.
     """
-    spark = docs.sparkSession
-    short_batches(spark)
-    out = docs.withColumn("n_words", F.lit(None).cast("long")).withColumn("hits", F.lit(None).cast(HITS))
-    groups = 0
-    for rows in item_groups(items, id_col, text_col, group_bytes):
-        out = _search_pass(materialize(out) if groups else out, spark.sparkContext.broadcast(rows), window)
-        groups += 1
-    return out if groups else _search_pass(out, spark.sparkContext.broadcast([]), window)
-
-
-def _search_pass(docs: DataFrame, rows, window: int) -> DataFrame:
-    names, name = docs.columns, uuid.uuid4().hex
-
-    def run(batches):
+    keep = [c for c in keep if c.lower() not in {n_words.lower(), hits.lower(), found.lower()}]
+    groups = [docs.sparkSession.sparkContext.broadcast(rows) for rows in item_groups(items, id_col, item_text, group_bytes)]
+    if len(groups) < 2:
+        return _searched(docs, keep, text_col, groups[0] if groups else docs.sparkSession.sparkContext.broadcast([]), window, (n_words, hits, found))
+    digest = F.sha2(named(text_col).cast("binary"), 256)
+    texts = docs.select(digest.alias("key"), named(text_col).alias("text"))
+    each = [_searched(texts, ["key"], "text", g, window, ("n", "hits", "items")).filter("size(hits) > 0") for g in groups]
+    every = lambda c: F.array_distinct(F.flatten(F.collect_set(c)))  # noqa: E731  of the copies of a text, all find the same
+    met = reduce(DataFrame.unionByName, each).groupBy("key").agg(every("hits").alias("h"), every("items").alias("i"))
+    words = F.regexp_extract_all(F.translate(named(text_col), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(WORD), 0)
+    key = fresh_name(docs, "key")
+    marked = docs.withColumn(key, digest).join(met.withColumnRenamed("key", "k").toDF("k", "__h", "__i"), F.col(key) == F.col("k"), "left")
+    none = F.coalesce(F.size(words), F.lit(0)).cast("long")
+    return marked.select(*map(named, keep), F.when(named(text_col).isNull(), 0).otherwise(none).cast("long").alias(n_words), F.coalesce("__h", F.array().cast(HITS)).alias(hits), F.array_sort(F.coalesce("__i", F.array().cast("array<string>"))).alias(found))
+
+
+def _searched(docs: DataFrame, keep: list[str], text_col: str, rows, window: int, out: tuple[str, str, str]) -> DataFrame:
+    name = uuid.uuid4().hex
+
+    def searcher():
         import pyarrow as pa
 
-        items = compiled(name, rows, window)
-        text_at, n_at, hits_at = (len(names) - 1 - names[::-1].index(c) for c in ("text", "n_words", "hits"))
-        for b in batches:
-            counts, hits = [], []
-            for text, before in zip(utf8_rows(b.column(text_at)), b.column(hits_at).to_pylist()):
+        items = worker_cache("items", name, lambda: Items(rows.value, window))
+        kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+
+        def of(column):
+            counts, hits, found = [], [], []
+            for text in utf8_rows(column):
                 words = words_of(text)
+                where, who = items.search(words)
                 counts.append(len(words))
-                hits.append((before or []) + items.hits(words))
-            cols = b.columns
-            cols[n_at], cols[hits_at] = pa.array(counts, pa.int64()), pa.array(hits, b.column(hits_at).type)
-            yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
+                hits.append(where)
+                found.append(who)
+            return [pa.array(counts, pa.int64()), pa.array(hits, kind), pa.array(found, pa.list_(pa.string()))]
+
+        return of
 
-    return docs.mapInArrow(run, docs.schema)
+    return with_columns(docs, keep, text_col, f"`{out[0]}` long, `{out[1]}` {HITS}, `{out[2]}` array<string>", searcher)
 
 
 def covered(hits: str = "hits") -> F.Column:
@@ -199,15 +215,13 @@ def covered(hits: str = "hits") -> F.Column:
 
 
 def op4_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    marked = mark_occurrences(docs, table(spark, sf_dir, "benchmark"))
-    items = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"]))))
+    marked = mark_occurrences(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
     return marked.select(
         "doc_id",
         "n_words",
         covered().alias("n_hit"),
-        F.size(items).cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", items).cast("binary"), 256).alias("items_sha256"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"),
         (F.size("hits") > 0).alias("contaminated"),
     )
 
