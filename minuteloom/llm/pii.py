@@ -10,11 +10,12 @@ where it touches no base span of its kind, or where it holds and widens those th
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from minuteloom.llm.common import short_batches, table
+from minuteloom.llm.common import in_batches, table, with_columns
 
 KINDS = ("email", "ip", "card", "phone")
 SPANS = "array<struct<kind:string,start:long,end:long,disguised:boolean>>"
@@ -102,22 +103,61 @@ DIGIT_SET = frozenset(DIGIT_WORDS)
 
 
 class Mapped:
-    """A text and, for each of its characters, the source range it stands for."""
+    """A text and, for each of its characters, the source range it stands for, in arrays of 32-bit numbers."""
 
     __slots__ = ("text", "first", "last", "spelled")
 
-    def __init__(self, text: str, first: list[int], last: list[int], spelled: list[tuple[int, int]] = ()):
+    def __init__(self, text: str, first, last, spelled: list[tuple[int, int]] = ()):
         self.text, self.first, self.last, self.spelled = text, first, last, list(spelled)
 
+    @classmethod
+    def of(cls, text: str) -> Mapped:
+        import numpy as np
+
+        first = np.arange(len(text), dtype=np.int32)
+        return cls(text, first, first + 1)
+
     def rewrite(self, edits: list[tuple[int, int, str]]) -> Mapped:
         """Replace [start, end) by a string, for edits in order; every new character stands for the whole range."""
-        parts, first, last, at = [], [], [], 0
+        import numpy as np
+
+        if not edits:
+            return Mapped(self.text, self.first, self.last)
+        parts, at = [], 0
         for start, end, new in edits:
             parts += [self.text[at:start], new]
-            first += self.first[at:start] + [self.first[start]] * len(new)
-            last += self.last[at:start] + [self.last[end - 1]] * len(new)
             at = end
-        return Mapped("".join(parts) + self.text[at:], first + self.first[at:], last + self.last[at:])
+        parts.append(self.text[at:])
+        starts, ends, sizes = (np.array(x, dtype=np.int64) for x in ([e[0] for e in edits], [e[1] for e in edits], [len(e[2]) for e in edits]))
+        # Each character of the new text comes from one of this text: kept ones from themselves, new ones from the first or last of their range.
+        kept = np.ones(len(self.text), dtype=bool)
+        grown = np.zeros(len(self.text) + 1, dtype=np.int32)
+        np.add.at(grown, starts, 1)
+        np.add.at(grown, ends, -1)
+        kept[np.cumsum(grown[:-1]) > 0] = False
+        own = np.flatnonzero(kept)
+        place = np.searchsorted(own, starts)  # of the new characters among the kept ones
+        merged = [np.insert(side[own], np.repeat(place, sizes), np.repeat(side[at], sizes)) for side, at in ((self.first, starts), (self.last, ends - 1))]
+        return Mapped("".join(parts), *merged)
+
+
+class Taken:
+    """Spans of one kind that are in use: the widest of those that overlap, apart from each other and in order."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts, self.ends = [s for s, _ in spans], [e for _, e in spans]
+
+    def touches(self, start: int, end: int) -> tuple[int, int]:
+        """The spans from the first to before the second number overlap [start, end)."""
+        return bisect_right(self.ends, start), bisect_left(self.starts, end)
+
+    def add(self, start: int, end: int) -> bool:
+        """Takes the span, where it holds all that it overlaps and equals none."""
+        i, j = self.touches(start, end)
+        if i < j and (self.starts[i] < start or self.ends[j - 1] > end or (self.starts[i], self.ends[i]) == (start, end)):
+            return False
+        self.starts[i:j], self.ends[i:j] = [start], [end]
+        return True
 
 
 def fold_look_alikes(m: Mapped) -> Mapped:
@@ -163,19 +203,22 @@ def find_spans(text: str | None) -> list[tuple[str, int, int, bool]]:
     out = [(*s, False) for s in base]
     folded, dots, digits = looks_disguised(text)
     if folded or dots or digits:
-        m = Mapped(text, list(range(len(text))), list(range(1, len(text) + 1)))
+        m = Mapped.of(text)
         for wanted, step in ((folded, fold_look_alikes), (dots or folded, undo_disguises), (digits, undo_spelling)):
             if wanted:
                 m = step(m)
         if m.text != text:
             found = detect(m.text)
-            found += [("phone", s, e) for s, e in m.spelled if 10 <= e - s <= 15 and m.text[s] != "+" and not any(k == "card" and a < e and s < b for k, a, b in found)]
-            taken = list(base)
+            cards = Taken([(s, e) for k, s, e in found if k == "card"])
+            for s, e in m.spelled:
+                i, j = cards.touches(s, e)
+                if 10 <= e - s <= 15 and m.text[s] != "+" and i == j:
+                    found.append(("phone", s, e))
+            taken = {kind: Taken([(s, e) for k, s, e in base if k == kind]) for kind in KINDS}
             for kind, s, e in found:
-                span = (kind, m.first[s], max(m.last[s:e]))
-                if m.text[s:e] != text[span[1] : span[2]] and not any(k == kind and a < span[2] and span[1] < b and not (span[1] <= a and b <= span[2] and b - a < span[2] - span[1]) for k, a, b in taken):
-                    taken.append(span)
-                    out.append((*span, True))
+                start, end = int(m.first[s]), int(m.last[e - 1])
+                if m.text[s:e] != text[start:end] and taken[kind].add(start, end):
+                    out.append((kind, start, end, True))
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
@@ -194,27 +237,27 @@ def redact(text: str | None, spans: list[tuple[str, int, int, bool]]) -> str | N
     return "".join(out) + text[at:]
 
 
-def find_pii(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns `keep` and `spans` for every row. Null and empty texts have none; rows are never merged."""
-    short_batches(docs.sparkSession)
-    slim = docs.select(*keep, F.col(text_col).alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1])
+def find_pii(docs: DataFrame, keep: list[str], text_col: str = "text", out: str = "spans") -> DataFrame:
+    """The columns `keep`, and the spans as `out` for every row. Null and empty texts have none; rows are never merged.
 
-    def run(batches):
+    Repeated rows have their spans each, and an empty table gives no rows. A kept column called like `out` gives way to it.
+    """
+
+    def finder():
         import pyarrow as pa
 
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("disguised", pa.bool_())]))
-        for b in batches:
-            spans = [[dict(zip(("kind", "start", "end", "disguised"), s)) for s in find_spans(t)] for t in b.column(len(keep)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(spans, kind)], names=[*keep, "spans"])
+        return lambda column: [pa.array([[dict(zip(("kind", "start", "end", "disguised"), s)) for s in find_spans(t)] for t in column.to_pylist()], kind)]
 
-    return slim.mapInArrow(run, f"{schema}, spans {SPANS}")
+    return with_columns(docs, keep, text_col, f"`{out}` {SPANS}", finder)
 
 
 def redact_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with its text redacted in place; all columns and rows stay as they are."""
-    short_batches(docs.sparkSession)
-    at = docs.columns.index(text_col)
+    """docs with its text redacted in place; all columns and rows stay as they are, whatever the columns' names.
+
+    Null texts stay null, empty ones empty, repeated rows are redacted each, and an empty table gives no rows.
+    """
+    at, names = docs.columns.index(text_col), docs.columns
 
     def run(batches):
         import pyarrow as pa
@@ -224,7 +267,8 @@ def redact_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
             cols[at] = pa.array([redact(t, find_spans(t)) for t in cols[at].to_pylist()], cols[at].type)
             yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    held = in_batches(docs.toDF(*[f"c{i}" for i in range(len(names))]))
+    return held.mapInArrow(run, held.schema).toDF(*names)
 
 
 def span_text(spans) -> F.Column:
