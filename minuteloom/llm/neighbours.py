@@ -2,9 +2,10 @@
 
 Each table cuts K Gaussian projections into cells of one width. A query visits, in each table, its own bucket and then
 buckets that differ by cell steps, in the estimated order of their chance of success: steps are ranked by the query's
-distance to the cell wall and combined by expected score. Rows and probes meet in a shuffle by bucket; a bucket of
-many rows is split into blocks, and its probes visit each. Blocks keep each query's best, tables are merged, and the
-distances are those of the original vectors in double precision.
+distance to the cell wall and combined by expected score. Buckets and probes are made and matched without vectors; a bucket of
+many rows is split into blocks, and its probes visit each. Blocks are dealt to parts, and a part gets each vector that it
+needs once, with the list of its blocks. Parts keep each query's best, tables are merged, and the distances are those of the
+original vectors in double precision.
 
 Equal vectors are one class with its smallest ids, so a vector repeated a million times costs as one. Widths and the
 number of probes are fitted to the data, by vector length: the distance of true tenth neighbours of a few sample queries
@@ -40,6 +41,8 @@ FAR = 2.0
 #: Rows of a bucket that one block holds on average, at most.
 BLOCK_ROWS = 1_000
 BUFFER_ROWS = 200_000
+#: Bytes of the vectors that a part holds on average, at most.
+PART_BYTES = 32 << 20
 
 
 def probe_order(k: int, most: int) -> list[tuple[int, ...]]:
@@ -202,7 +205,7 @@ def fit(dim: int, n: int, queries: list[list[float]], near: list[list[tuple[floa
 def fit_lengths(classes: DataFrame) -> dict[int, Fit]:
     """A fit for each of the most common vector lengths of more than 256 classes; all others are searched exactly."""
     sizes = classes.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n")).filter("n > 256").orderBy(F.desc("n"), "dim").limit(MOST_FITTED).collect()
-    samples = {r.dim: [list(v[0]) for v in classes.filter(F.size("vec") == r.dim).select("vec").orderBy(F.xxhash64("cid"), "cid").limit(FIT_QUERIES).collect()] for r in sizes}
+    samples = {r.dim: [list(v[0]) for v in classes.filter(F.size("vec") == r.dim).select("vec").orderBy(F.xxhash64("first"), "first").limit(FIT_QUERIES).collect()] for r in sizes}
     near = iter(true_nearest(classes, [q for qs in samples.values() for q in qs]))
     return {r.dim: fit(r.dim, r.n, samples[r.dim], [next(near) for _ in samples[r.dim]]) for r in sizes}
 
@@ -212,31 +215,32 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str =
 
     Vectors of another length than the query's are at no distance and are not candidates. Rows that repeat both id
     and vector count once. A query that meets fewer than `top` others in its buckets, or only distant ones, is compared
-    with all rows of its length, so with fewer candidates than `top` all are returned.
+    with all rows of its length, so with fewer candidates than `top` all are returned. An id with several vectors is a candidate
+    with each. Extra columns are not read, whatever their names, and an empty table gives no rows.
     """
     spark = vectors.sparkSession
     usable = usable_vectors(vectors, id_col, vec_col)
     by_id = Window.partitionBy("vec").orderBy("vec_id")
     few = usable.withColumn("r", F.dense_rank().over(by_id)).filter(F.col("r") <= top + 1)
-    classes = materialize(few.groupBy("vec").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")).withColumn("cid", F.col("ids")[0]))
+    classes = materialize(few.groupBy("vec").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")).select("vec", "ids", F.col("ids")[0].alias("first"), F.monotonically_increasing_id().alias("cid")))
     asked = materialize(usable.filter(is_query).distinct().join(classes.select("vec", "cid"), "vec").select(F.col("vec_id").alias("query_id"), "cid"))
     fits = fit_lengths(classes)
     # A query class is one with an asked id.
     wanted = asked.select("cid").distinct().withColumn("asked", F.lit(True))
-    spread = classes.select("cid", "vec").join(wanted, "cid", "left").select("cid", "vec", F.coalesce("asked", F.lit(False)).alias("asked"))
-    best = materialize(_best(_hashed(spread, fits), top))
+    spread = classes.select("cid", "first", "vec").join(wanted, "cid", "left").select("cid", "first", "vec", F.coalesce("asked", F.lit(False)).alias("asked"))
+    best = materialize(_best(spread, fits, top))
     # Where fewer than `top` others were met, or the last of them is farther than the fit covers, all rows of that length are compared.
     covered = [(d, float(FAR * f.distance if f.k else math.inf)) for d, f in fits.items()]
     reach = F.create_map(*[F.lit(x) for pair in covered for x in pair])[F.size("vec")] if covered else F.lit(None)
     mass = best.join(classes.select(F.col("cid").alias("c"), F.size("ids").alias("m")), "c")
-    before = Window.partitionBy("q").orderBy("d", "c")
+    before = Window.partitionBy("q").orderBy("d", "f", "c")
     last = mass.withColumn("before", F.sum("m").over(before) - F.col("m")).filter(F.col("before") <= top).groupBy("q").agg(F.sum("m").alias("met"), F.max("d").alias("d"))
     seen = spread.filter("asked").select("cid", "vec", reach.alias("reach")).filter("reach < double('infinity')").join(last, F.col("cid") == F.col("q"), "left")
     lone = materialize(seen.filter((F.coalesce("met", F.lit(0)) <= top) | (F.col("d") > F.col("reach"))).select("cid", F.size("vec").alias("dim")))
     if not lone.isEmpty():
-        again = spread.join(lone.select("dim").distinct(), F.size("vec") == F.col("dim"), "left_semi").select("cid", "vec")
-        exact = again.join(lone.select("cid", F.lit(True).alias("asked")), "cid", "left").select("cid", "vec", F.coalesce("asked", F.lit(False)).alias("asked"))
-        best = best.join(lone, best.q == lone.cid, "left_anti").unionByName(_best(_hashed(exact, {}), top))
+        again = spread.join(lone.select("dim").distinct(), F.size("vec") == F.col("dim"), "left_semi").select("cid", "first", "vec")
+        exact = again.join(lone.select("cid", F.lit(True).alias("asked")), "cid", "left").select("cid", "first", "vec", F.coalesce("asked", F.lit(False)).alias("asked"))
+        best = best.join(lone, best.q == lone.cid, "left_anti").unionByName(_best(exact, {}, top))
     ids = best.join(classes.select(F.col("cid").alias("c"), "ids"), "c").select("q", "d", F.explode("ids").alias("vec_id"))
     by_row = Window.partitionBy("q").orderBy("d", "vec_id")
     short = ids.withColumn("r", F.row_number().over(by_row)).filter(F.col("r") <= top + 1).groupBy("q").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "d"))).alias("near"))
@@ -245,21 +249,26 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str =
     return out.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.d").alias("score"))
 
 
-def _best(hashed: DataFrame, top: int) -> DataFrame:
-    """(q, c, d): the top + 1 nearest classes that each asked class meets in its buckets."""
-    rows = materialize(hashed)
-    crowded = rows.filter("not probe").groupBy("dim", "t", "bucket").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")).filter("blocks > 1")
-    salted = rows.join(crowded, ["dim", "t", "bucket"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+def _best(spread: DataFrame, fits: dict[int, Fit], top: int) -> DataFrame:
+    """(q, c, f, d): the top + 1 nearest classes c, with their first ids f, that each asked class meets in its buckets. spread: cid, first, vec, asked."""
+    keys = materialize(_hashed(spread, fits))
+    size = keys.filter("not probe").agg(F.coalesce(F.sum(F.col("dim").cast("long")), F.lit(0))).first()[0]
+    parts = max(int(spread.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-8 * size // PART_BYTES))
+    bucket = ["dim", "t", "bucket"]
+    crowded = keys.filter("not probe").groupBy(*bucket).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")).filter("blocks > 1")
+    salted = keys.join(crowded, bucket, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     salt = F.when(F.col("probe"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")))
-    dealt = salted.withColumn("salt", F.explode(salt)).select("dim", "t", "bucket", "salt", "probe", "cid", "vec")
-    met = dealt.repartition("dim", "t", "bucket", "salt").sortWithinPartitions("dim", "t", "bucket", "salt", "probe")
-    near = met.mapInArrow(_rerank(top + 1), "q long, c long, d double").groupBy("q", "c").agg(F.min("d").alias("d"))
-    by_class = Window.partitionBy("q").orderBy("d", "c")
-    return near.withColumn("r", F.row_number().over(by_class)).filter(F.col("r") <= top + 1).select("q", "c", "d")
+    # A block is named by a hash; two that share a name only compare more than they need.
+    dealt = salted.withColumn("salt", F.explode(salt)).select("dim", "probe", "cid", F.xxhash64(*bucket, "salt").alias("block"))
+    visits = dealt.groupBy(F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int").alias("part"), "dim", "probe", "cid").agg(F.collect_list("block").alias("blocks"))
+    met = visits.join(spread.select("cid", "first", "vec"), "cid").select("part", "dim", "probe", "cid", "blocks", "vec", "first").repartition(parts, "part").sortWithinPartitions("part", "dim", "probe")
+    near = met.mapInArrow(_rerank(top + 1), "q long, c long, f long, d double").groupBy("q", "c", "f").agg(F.min("d").alias("d"))
+    by_class = Window.partitionBy("q").orderBy("d", "f", "c")
+    return near.withColumn("r", F.row_number().over(by_class)).filter(F.col("r") <= top + 1).select("q", "c", "f", "d")
 
 
 def _hashed(spread: DataFrame, fits: dict[int, Fit]) -> DataFrame:
-    """An index row for each class and table, and a probe row for each visit of an asked class. Keeps vectors beside them."""
+    """An index row for each class and table, and a probe row for each visit of an asked class; without vectors."""
 
     def run(batches):
         import numpy as np
@@ -267,9 +276,9 @@ def _hashed(spread: DataFrame, fits: dict[int, Fit]) -> DataFrame:
 
         made: dict[int, Hashes] = {}
 
-        def batch(dim, t, bucket, probe, cid, vec):
+        def batch(dim, t, bucket, probe, cid):
             n = len(bucket)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, t, np.int32)), pa.array(bucket), pa.array(np.full(n, probe)), cid, vec], names=["dim", "t", "bucket", "probe", "cid", "vec"])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, t, np.int32)), pa.array(bucket), pa.array(np.full(n, probe)), cid], names=["dim", "t", "bucket", "probe", "cid"])
 
         for b in batches:
             for dim, at in _by_length(b, 1).items():
@@ -281,22 +290,20 @@ def _hashed(spread: DataFrame, fits: dict[int, Fit]) -> DataFrame:
                 x = _matrix(part.column(1))
                 ask = np.flatnonzero(np.asarray(part.column(2)))
                 for t in range(TABLES if f.k else 1):
-                    yield batch(dim, t, h.keys(x, t), False, part.column(0), part.column(1))
-                    for i in range(0, len(ask), 32):
-                        some = ask[i : i + 32]
+                    yield batch(dim, t, h.keys(x, t), False, part.column(0))
+                    for i in range(0, len(ask), 64):
+                        some = ask[i : i + 64]
                         keys = h.probes(x[some], t)
-                        who = pa.array(np.repeat(some, keys.shape[1]))
-                        yield batch(dim, t, keys.ravel(), True, part.column(0).take(who), part.column(1).take(who))
+                        yield batch(dim, t, keys.ravel(), True, part.column(0).take(pa.array(np.repeat(some, keys.shape[1]))))
 
-    kind = dict(spread.dtypes)["vec"]
-    return spread.mapInArrow(run, f"dim int, t int, bucket long, probe boolean, cid long, vec {kind}")
+    return spread.select("cid", "vec", "asked").mapInArrow(run, "dim int, t int, bucket long, probe boolean, cid long")
 
 
-def best_of(q, c, d, top: int):
-    """Positions of each query's `top` nearest distinct classes."""
+def best_of(q, c, f, d, top: int):
+    """Positions of each query's `top` nearest distinct classes, ties to the smaller first id."""
     import numpy as np
 
-    order = np.lexsort((c, d, q))
+    order = np.lexsort((c, f, d, q))
     q1, c1 = q[order], c[order]
     pair = np.lexsort((np.arange(len(order)), c1, q1))
     fresh = np.ones(len(order), dtype=bool)
@@ -309,8 +316,79 @@ def best_of(q, c, d, top: int):
     return order[rank < top]
 
 
+def nearest_rows(x, y, top: int):
+    """(row of y, row of x, distance) of at least the `top` nearest rows of x to each row of y, and all as near as the last.
+
+    The squares by which most rows are passed over are of differences from the rows' middle, and what their rounding may
+    hide is compared as well; the distances given are those of the differences themselves.
+    """
+    import numpy as np
+
+    middle = x.mean(axis=0)
+    xc = x - middle
+    xx = (xc * xc).sum(axis=1)
+    wide = 8 * np.finfo(float).eps * (x.shape[1] + 8)
+    for i in range(0, len(y), 64):
+        some = y[i : i + 64]
+        if len(x) > top:
+            yc = some - middle
+            yy = (yc * yc).sum(axis=1)[:, None]
+            rough = xx + yy - 2 * yc @ xc.T
+            slack = wide * (xx + yy + (middle * middle).sum())
+            bound = np.partition(rough + slack, top - 1, axis=1)[:, top - 1 : top]
+            r, c = np.nonzero(rough - slack <= bound)
+        else:
+            r, c = (a.ravel() for a in np.indices((len(some), len(x))))
+        yield i + r, c, np.sqrt(((x[c] - some[r]) ** 2).sum(axis=1))
+
+
+def _lists(column):
+    """Values of an Arrow list column and the number of the row that each belongs to."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    sizes = np.asarray(pc.list_value_length(column))
+    return np.asarray(column.flatten()), np.repeat(np.arange(len(column)), sizes)
+
+
+class _Part:
+    """The index rows of one part, by block."""
+
+    def __init__(self):
+        self.ids, self.firsts, self.x, self.blocks, self.rows, self.n, self.by_block = [], [], [], [], [], 0, None
+
+    def add(self, ids, firsts, x, blocks, rows):
+        self.ids.append(ids)
+        self.firsts.append(firsts)
+        self.x.append(x)
+        self.blocks.append(blocks)
+        self.rows.append(rows + self.n)
+        self.n += len(ids)
+
+    def close(self):
+        import numpy as np
+
+        self.ids, self.firsts, self.x, blocks, rows = (np.concatenate(a) for a in (self.ids, self.firsts, self.x, self.blocks, self.rows))
+        order = np.argsort(blocks, kind="stable")
+        names, first = np.unique(blocks[order], return_index=True)
+        self.by_block = dict(zip(names.tolist(), np.split(rows[order], first[1:])))
+
+    def ask(self, qs, y, blocks, rows, top):
+        """(q, c, f, d) of the nearest that the queries meet, block by block."""
+        import numpy as np
+
+        order = np.argsort(blocks, kind="stable")
+        names, first = np.unique(blocks[order], return_index=True)
+        for block, who in zip(names.tolist(), np.split(rows[order], first[1:])):
+            own = self.by_block.get(block)
+            if own is not None:
+                who = np.unique(who)
+                for r, c, d in nearest_rows(self.x[own], y[who], top):
+                    yield qs[who[r]], self.ids[own[c]], self.firsts[own[c]], d
+
+
 def _rerank(top: int):
-    """Exact distances between the rows and the probes of each block, over rows sorted by block with index rows first."""
+    """Exact distances between the rows and the probes of each block, over rows sorted by part and length with index rows first."""
 
     def run(batches):
         import numpy as np
@@ -319,58 +397,47 @@ def _rerank(top: int):
         found: list[tuple] = []
         held = 0
 
-        def compact():
-            nonlocal found, held
-            if found:
-                q, c, d = (np.concatenate([f[i] for f in found]) for i in range(3))
-                at = best_of(q, c, d, top)
-                found = [(q[at], c[at], d[at])]
-                held = len(at)
-
-        def compare(ids, x, qs, y):
-            for i in range(0, len(y), 64):
-                some = y[i : i + 64]
-                rough = (x * x).sum(axis=1) + (some * some).sum(axis=1)[:, None] - 2 * some @ x.T
-                if x.shape[0] > top:
-                    bound = np.partition(rough, top - 1, axis=1)[:, top - 1 : top]
-                    r, c = np.nonzero(rough <= bound + 1e-9 * (1 + np.abs(bound)))
-                else:
-                    r, c = (a.ravel() for a in np.indices(rough.shape))
-                d = np.sqrt(((x[c] - some[r]) ** 2).sum(axis=1))
-                yield qs[i : i + 64][r], ids[c], d
-
-        key, parts_id, parts_x = None, [], []
+        def out(*columns):
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["q", "c", "f", "d"])
+
+        def best():
+            columns = [np.concatenate([x[i] for x in found]) for i in range(4)]
+            at = best_of(*columns, top)
+            return tuple(x[at] for x in columns)
+
+        here, part = None, _Part()
         for b in batches:
-            marks = [np.asarray(b.column(i)) for i in range(4)]
-            probe, cid = np.asarray(b.column(4)), np.asarray(b.column(5))
+            marks = [np.asarray(b.column(i)) for i in range(2)]
+            probe, cid = np.asarray(b.column(2)), np.asarray(b.column(3))
             change = np.zeros(len(cid), dtype=bool)
             change[:1] = True
             for m in (*marks, probe):
                 change[1:] |= m[1:] != m[:-1]
             starts = np.flatnonzero(change)
             for s, e in zip(starts, np.r_[starts[1:], len(cid)]):
-                here = tuple(int(m[s]) for m in marks)
-                if here != key:
-                    key, parts_id, parts_x = here, [], []
-                x = _matrix(b.column(6).slice(s, e - s))
+                at = tuple(int(m[s]) for m in marks)
+                if at != here:
+                    here, part = at, _Part()
+                x = _matrix(b.column(5).slice(s, e - s))
+                blocks, rows = _lists(b.column(4).slice(s, e - s))
                 if not probe[s]:
-                    parts_id.append(cid[s:e])
-                    parts_x.append(x)
-                elif parts_id:
-                    if len(parts_id) > 1:
-                        parts_id, parts_x = [np.concatenate(parts_id)], [np.concatenate(parts_x)]
-                    for f in compare(parts_id[0], parts_x[0], cid[s:e], x):
-                        found.append(f)
-                        held += len(f[0])
+                    part.add(cid[s:e], np.asarray(b.column(6))[s:e], x, blocks, rows)
+                    continue
+                if not part.n:
+                    continue
+                if part.by_block is None:
+                    part.close()
+                for f in part.ask(cid[s:e], x, blocks, rows, top):
+                    found.append(f)
+                    held += len(f[0])
                     if held > BUFFER_ROWS:
-                        compact()
+                        found = [best()]
+                        held = len(found[0][0])
                         if held > BUFFER_ROWS // 2:  # many queries: hand over what there is
-                            q, c, d = found.pop()
+                            yield out(*found.pop())
                             held = 0
-                            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(c), pa.array(d)], names=["q", "c", "d"])
-        compact()
-        for q, c, d in found:
-            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(c), pa.array(d)], names=["q", "c", "d"])
+        if found:
+            yield out(*best())
 
     return run
 
