@@ -1,15 +1,17 @@
 """Each operator against a brute-force version, an exact round trip or held-out accuracy, and on odd rows."""
 
-import hashlib
+import bisect
+import math
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from minuteloom.llm import decontaminate, language, neighbours, packing, pii, quality, queries, separators, sharding, simhash, tokens, toxicity
-from minuteloom.llm.common import table
+from minuteloom.llm import common, decontaminate, language, neighbours, packing, pii, quality, queries, separators, sharding, simhash, tokens, toxicity
+from minuteloom.llm.common import in_batches, table
 
 VOCABULARY = tokens.default_vocabulary()
 ODD = [None, "", "   ", "a", "ab " * 30000, "Ünï çödé ＡＢＣ", "x\x00y\x1cz", "<|endoftext|> a", "İstanbul ΟΔΥΣΣΕΥΣ é", "same text", "same text", "😀 emoji 👍🏽"]
@@ -86,7 +88,7 @@ def brute_hits(text, items):
                 if words[j : j + len(p)] == p:
                     hit.update(range(j, j + len(p)))
                     found.add(item)
-    return len(words), len(hit), sorted(map(str, found))
+    return len(words), len(hit), sorted(str(i) for i in found if i is not None) + [None] * (None in found)
 
 
 def test_decontamination_brute_force(spark, odd):
@@ -95,13 +97,24 @@ def test_decontamination_brute_force(spark, odd):
     texts = [*ODD, " ".join(base), "x " + " ".join(base[3:25]) + " ONE, two! solo solo", "é à ü É À Ü", "null item here", "w0 w1 w2 w3 w4 w5 w6 w0 w1"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
+    want = {i: brute_hits(t, items) for i, t in enumerate(texts)}
     for group in (decontaminate.GROUP_BYTES, 40):
-        got = decontaminate.mark_occurrences(docs, bench, group_bytes=group).select("doc_id", "n_words", decontaminate.covered().alias("n"), F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"])))).alias("items")).collect()
+        got = decontaminate.mark_occurrences(docs, bench, ["doc_id"], group_bytes=group).select("doc_id", "n_words", decontaminate.covered().alias("n"), "items").collect()
+        assert len(got) == len(texts)
         for r in got:
-            want = brute_hits(texts[r.doc_id], [("null" if i is None else i, t) for i, t in items])
-            assert (r.n_words, r["n"], r["items"]) == want, texts[r.doc_id][:80]
-    assert decontaminate.mark_occurrences(odd, bench.limit(0)).filter(F.size("hits") > 0).count() == 0
-    assert decontaminate.mark_occurrences(odd.limit(0), bench).count() == 0
+            assert (r.n_words, r["n"], r["items"]) == want[r.doc_id], texts[r.doc_id][:80]
+    assert decontaminate.mark_occurrences(odd, bench.limit(0), ["doc_id"]).filter(F.size("hits") > 0).count() == 0
+    assert decontaminate.mark_occurrences(odd.limit(0), bench, ["doc_id"]).count() == 0
+    clash = docs.selectExpr("doc_id as n_words", "text", "text as hits", "doc_id as items")
+    out = decontaminate.mark_occurrences(clash, bench, clash.columns, n_words="a", hits="b", found="c")
+    assert out.columns == ["n_words", "text", "hits", "items", "a", "b", "c"] and sorted(r["n_words"] for r in out.collect()) == list(range(len(texts)))
+
+
+def test_windows_that_many_items_share():
+    """A hit lists no items; those of a document are given once, however often their window occurs."""
+    items = decontaminate.Items([(str(i), b"one two three four five six seven eight nine ten") for i in range(5000)])
+    hits, found = items.search(b"one two three four five six seven eight nine ten".split() * 400)
+    assert len(hits) == 400 and len(found) == 5000
 
 
 def test_decontamination_sql(spark, sf_dir, duck, same):
@@ -201,8 +214,10 @@ def test_classifiers_on_odd_rows(spark, odd):
     for module in (quality, toxicity):
         for docs in (odd, odd.limit(0)):
             model = module.train(docs, labels)
-            rows = module.score(docs, model, ["doc_id", "source"]).collect()
+            rows = module.score(docs, model, ["doc_id", "source", "score"]).collect()
             assert len(rows) == docs.count() and all(0 <= r["score"] <= 1 for r in rows)
+            both = module.score(docs, model, docs.columns, out="p")
+            assert both.columns == [*docs.columns, "p"] and {r["score"] for r in both.collect()} <= {"clash"}
 
 
 def test_identity_swaps_move_nothing(spark):
@@ -223,13 +238,89 @@ def test_language(spark, sf_dir, sample, odd):
     model = language.learn(sample, F.lit(True))
     rows = language.predict(odd, model, ["doc_id"]).collect()
     assert len(rows) == len(ODD) and all((r.lang_pred == "und") == (r.score == 0) for r in rows if r.lang_pred == "und")
-    assert [language.Classifier(model).predict(t)[0] for t in (None, "", "12 ! _")] == ["und"] * 3
-    assert [language.Classifier(model).predict(t)[0] for t in ("½ ² Ⅷ", "٣")] == ["und"] * 2
+    predict = language.Classifier(model).predict
+    assert [predict(t)[0] for t in (None, "", "12 ! _", "½ ² Ⅷ", "٣")] == ["und"] * 5
     assert language.predict(odd, language.learn(odd.limit(0), F.lit(True)), ["doc_id"]).filter("lang_pred <> 'und'").count() == 0
 
 
-def test_sharding(spark, sample, odd):
-    docs = sample.select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
+def brute_profile(texts):
+    """N-grams of words padded with blanks, most frequent first; ties by length, then by characters."""
+    count = Counter()
+    for text in texts:
+        for w in re.findall(r"[^\W\d_]+", (text or "").lower()):
+            p = f" {w} "
+            count.update(p[i : i + n] for n in (1, 2, 3) for i in range(len(p) - n + 1) if p[i : i + n] != " ")
+    return sorted(count, key=lambda g: (-count[g], len(g), g))[:400]
+
+
+def brute_distance(own, profile):
+    place = {g: i for i, g in enumerate(profile)}
+    return sum(abs(i - place[g]) if g in place else 400 for i, g in enumerate(own))
+
+
+def test_language_out_of_place_by_hand(spark, sample, monkeypatch):
+    """Profiles and distances of 12 languages, seven of them with one rank-shifting alphabet, by counting n-grams one at a time."""
+    monkeypatch.setattr(language, "BLOCK", 1000)  # long texts are counted in parts
+    rng = np.random.default_rng(6)
+    alphabets = ["abcdefgh", "ijklmnop", "абвгдежз", "αβγδεζηθ", "一二三四五六七八", "qrstuvwx", "hgfedcba", "éèêëàâäü"]
+    made = lambda a, n: " ".join("".join(rng.choice(list(a), rng.integers(1, 9), p=np.arange(8, 0, -1) / 36)) for _ in range(n))
+    rows = [(100_000 + 40 * i + j, made(a, 60), f"x{i}") for i, a in enumerate(alphabets) for j in range(30)] + [(200_000 + i, t, "x0") for i, t in enumerate(["", None, "ab 12 cd_ef"])]
+    real = [(r.doc_id, r.text, r.lang) for r in sample.select("doc_id", "text", "lang").collect()]
+    docs = spark.createDataFrame(rows + real, "doc_id long, text string, lang string")
+    model = language.learn(docs, F.lit(True))
+    by_lang = {}
+    for _, t, lang in rows + real:
+        if lang is not None:
+            by_lang.setdefault(lang, []).append(t)
+    profiles = {lang: brute_profile(ts) for lang, ts in by_lang.items()}
+    code = lambda g: sum(ord(c) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+    assert len(profiles) >= 12 and model == {lang: [code(g) for g in p] for lang, p in profiles.items() if p}
+    classify = language.Classifier(model)
+    for t in [r[1] for r in rows[::17]] + [r[1] for r in real[:60]]:
+        own = brute_profile([t])
+        if own:
+            far = {lang: brute_distance(own, p) for lang, p in profiles.items()}
+            best = min(sorted(far), key=far.get)
+            lang, score = classify.predict(t)
+            assert lang == best and score == pytest.approx(1 - far[best] / (400 * len(own)))
+
+
+def test_languages_are_thinned_by_share(spark):
+    docs = spark.range(40_000).selectExpr("id as doc_id", "'wort ' as text", "if(id % 100 = 0, 'rare', 'hot') as lang")
+    seen = []
+    docs = docs.withColumn("text", F.concat("text", F.col("lang")))
+    model = language.learn(docs, F.lit(True), fit_rows=300)
+    assert set(model) == {"hot", "rare"} and not seen
+    with pytest.raises(ValueError, match="languages"):
+        language.learn(docs.withColumn("lang", F.col("doc_id").cast("string")), F.lit(True))
+
+
+def walked_ring(keys, shards):
+    """Shards of (hash, ...) keys in ring order by a walk key by key: own keys first, then the rest goes clockwise."""
+    ends, owners = sharding.ring(shards)
+    left = sharding.capacities(len(keys), shards)
+    out, late = {}, []
+    arcs = [bisect.bisect_left(ends, k[0]) % len(ends) for k in keys]
+    order = sorted(range(len(keys)), key=lambda i: (arcs[i], keys[i]))
+    for i in order:
+        s = owners[arcs[i]]
+        if left[s]:
+            left[s] -= 1
+            out[i] = s
+        else:
+            late.append(i)
+    for i in late:
+        arc = arcs[i]
+        while not left[owners[arc]]:
+            arc = (arc + 1) % len(owners)
+        left[owners[arc]] -= 1
+        out[i] = owners[arc]
+    return out
+
+
+def test_sharding(spark, sample, odd, monkeypatch):
+    docs = sample.select("doc_id", "text").unionByName(odd.select("doc_id", "text")).unionByName(sample.limit(1).select("doc_id", F.explode(F.array(*map(F.lit, "abcdefghijkl"))).alias("text")))
+    docs = docs.unionByName(odd.limit(3).select("doc_id", F.lit("copy").alias("text")).crossJoin(spark.range(9)).select("doc_id", "text"))
     placed = sharding.shard(docs).toPandas()
     n = len(placed)
     sizes = placed.groupby("shard").size()
@@ -238,15 +329,34 @@ def test_sharding(spark, sample, odd):
         assert sorted(g.slot) == list(range(len(g)))
     want = sorted((zlib.crc32((r.text or "").encode()), len((r.text or "").encode()) + 8) for r in docs.collect())
     assert sorted(zip(placed.text_crc32, placed["size"])) == want
-    again = sharding.shard(docs.repartition(7)).toPandas()
-    key = ["doc_id", "text_crc32", "shard"]
-    assert sorted(map(repr, placed[key].values.tolist())) == sorted(map(repr, again[key].values.tolist()))
+    # Every key by a walk on the ring.
+    keyed = docs.select(F.col("doc_id"), F.xxhash64("doc_id").alias("p"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("crc"))
+    rows = keyed.withColumn("size", F.col("size") + 8).withColumn("tie", F.xxhash64("size", "crc")).collect()
+    keys = [(r.p % 2**64, r.tie, -1 if r.doc_id is None else r.doc_id, r["size"], r.crc) for r in rows]
+    by_walk = walked_ring(keys, 24)
+    walked = sorted((k[2], k[3], k[4], by_walk[i]) for i, k in enumerate(keys))
+    as_rows = lambda p: sorted((-1 if np.isnan(d) else int(d), int(z), int(c), int(s)) for d, z, c, s in zip(p.doc_id, p["size"], p.text_crc32, p["shard"]))
+    assert as_rows(placed) == walked
+    # However the ring is cut into ranges, crowded ranges and copies, the shards and slots are the same.
+    full = sorted(map(repr, placed.sort_values(["shard", "slot"]).values.tolist()))
+    for keys_a_range, most, copies in ((1, 10_000, 100_000), (20, 1000, 2), (1, 1, 3)):
+        monkeypatch.setattr(sharding, "RANGE_KEYS", keys_a_range)
+        monkeypatch.setattr(sharding, "MOST_CROWDED", most)
+        monkeypatch.setattr(sharding, "COPIES", copies)
+        again = sharding.shard(docs.repartition(7)).toPandas()
+        assert sorted(map(repr, again.sort_values(["shard", "slot"]).values.tolist())) == full
     assert sharding.shard(docs.limit(0)).count() == 0
     loose, more = (sharding.shard(sample, s, slack=0.25).toPandas() for s in (24, 25))
     moved = loose.merge(more, on="doc_id")
     assert (moved.shard_x != moved.shard_y).mean() < 0.25
 
 
+def test_a_further_shard_moves_few_keys(spark):
+    keys = spark.range(50_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    both = sharding.shard(keys, 24).select("doc_id", F.col("shard").alias("a")).join(sharding.shard(keys, 25).select("doc_id", F.col("shard").alias("b")), "doc_id")
+    assert 0.04 <= both.filter("a <> b").count() / 50_000 < 0.09
+
+
 def brute_components(fps, ids):
     parent = list(range(len(fps)))
 
@@ -304,6 +414,60 @@ def test_links_by_any_plan(spark, monkeypatch):
         assert {tuple(r) for r in simhash.links(nodes).collect()} == want
 
 
+def signed(values):
+    return [int(x) - (1 << 64) if int(x) >> 63 else int(x) for x in values]
+
+
+def test_forest():
+    rng = np.random.default_rng(12)
+    for _ in range(20):
+        base = rng.integers(0, 2**64, 3, dtype=np.uint64)
+        every = np.unique(np.array([int(rng.choice(base)) ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 6), replace=False)) for _ in range(120)], dtype=np.uint64))
+        a, b = every[::2], every[1::2]
+        x, y = simhash.forest(a, b)
+        assert all((int(p) ^ int(q)).bit_count() <= 4 for p, q in zip(x, y)) and len(x) < len(every)
+        ids = {int(v): i for i, v in enumerate(every)}
+        parent = list(range(len(every)))
+
+        def find(i, parent=parent):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        for p, q in zip(x, y):
+            assert find(ids[int(p)]) != find(ids[int(q)])
+            parent[find(ids[int(p)])] = find(ids[int(q)])
+        assert all(find(ids[int(p)]) == find(ids[int(q)]) for p in a for q in b if (int(p) ^ int(q)).bit_count() <= 4)
+
+
+def test_crowded_values_give_the_same_components(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    base = rng.integers(0, 2**64, 6, dtype=np.uint64)
+    fps = sorted({int(x) ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 5), replace=False)) for x in base for _ in range(60)})
+    nodes = spark.createDataFrame([(x,) for x in signed(fps)], "fp long")
+    comp = brute_components(fps, signed(fps))
+    monkeypatch.setattr(simhash, "CROWD", 3)
+    monkeypatch.setattr(simhash, "CROWD_BLOCK", 7)
+    got = {r.fp: r.label for r in simhash.labelled(nodes).collect()}
+    groups = {}
+    for f, c in zip(signed(fps), comp):
+        groups.setdefault(c, set()).add(got[f])
+    assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
+
+
+def test_links_of_a_large_family_grow_in_proportion(spark):
+    """20,000 distinct fingerprints within 3 bits of one: some 28 million pairs of them are linked."""
+    rng = np.random.default_rng(14)
+    flips = {0}
+    while len(flips) < 20_000:
+        flips.add(sum(1 << int(b) for b in rng.choice(64, 3, replace=False)))
+    nodes = spark.createDataFrame([(x,) for x in signed(0x5555AAAA12345678 ^ f for f in flips)], "fp long")
+    found = simhash.links(nodes.repartition(8)).cache()
+    assert found.count() < 40 * 20_000
+    labels = simhash.components(found)
+    assert labels.select("label").distinct().count() == 1 and labels.count() == 20_000
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     labels = {r.node: r.label for r in simhash.components(edges).collect()}
@@ -321,16 +485,71 @@ def test_components_take_few_rounds(spark, monkeypatch):
     assert len(tables) <= 1 + 4 * 12
 
 
-def test_separator_scan(spark, sf_dir, odd, tmp_path):
+def test_separator_scan(spark, sf_dir, odd):
+    """All rows of the table against the tokenizer."""
     got = queries.QUERIES["op9_separator_scan"](spark, sf_dir).toPandas().set_index("doc_id").n_tokens
-    docs = table(spark, sf_dir, "documents").limit(100).collect()
-    assert [got[r.doc_id] for r in docs] == [len(x) for x in reference_ids([r.text for r in docs])]
-    flat = np.array([5, 6, 0, 0, 7, 0, *[9] * 1000, 0, 8, 8], "<u2")
-    flat.tofile(str(tmp_path / "f.bin"))
-    np.array([], "<u2").tofile(str(tmp_path / "empty.bin"))
-    for block in (1, 3, 64, 10_000):
-        rows = separators.scan_flat(spark, str(tmp_path), block).orderBy("ordinal").collect()
-        assert [(r.n_tokens, r.ended) for r in rows] == [(2, True), (0, True), (1, True), (1000, True), (2, False)], block
+    docs = table(spark, sf_dir, "documents").collect()
+    assert len(got) == len(docs) and [got[r.doc_id] for r in docs] == [len(x) for x in reference_ids([r.text for r in docs])]
+    for n in (1, 5):
+        rows = separators.count_documents(odd.withColumn("n_tokens", F.lit("clash")).repartition(n), VOCABULARY).collect()
+        want = [(r.doc_id, len(x)) for r, x in zip(odd.collect(), reference_ids(ODD))]
+        assert sorted(map(repr, ((r.doc_id, r.n_tokens) for r in rows))) == sorted(map(repr, want))
+    assert separators.count_documents(odd.limit(0), VOCABULARY).count() == 0
+
+
+def brute_lengths(ids):
+    out, n = [], 0
+    for x in ids:
+        n = n + 1 if x else out.append((n, True)) or 0
+    return out + [(n, False)] * bool(n)
+
+
+@pytest.fixture
+def cut_files(spark):
+    names = ["spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum"]
+    before = {k: spark.conf.get(k, None) for k in names}
+    yield lambda size: [spark.conf.set(k, v) for k, v in zip(names, (str(size), "1", "1"))]
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_flat_files_in_blocks(spark, tmp_path, cut_files):
+    """Blocks that begin at even and odd places, inside ids, in runs of zeros and of ids without a zero byte, after a byte order mark."""
+    rng = np.random.default_rng(3)
+    want = {}
+    for k in range(4):
+        ids = rng.choice(np.array([0, 0, 1, 256, 512, 257, 65280, 300, 48111, 255], "<u2"), int(rng.integers(200, 1500)))
+        if k == 1:
+            ids = np.r_[np.array([0xBBEF, 0x00BF], "<u2"), ids]
+        if k == 2:
+            ids = np.r_[ids, np.full(400, 0x0101, "<u2"), np.zeros(5, "<u2")]
+        ids.astype("<u2").tofile(str(tmp_path / f"f{k}.bin"))
+        want[f"f{k}.bin"] = brute_lengths(ids.tolist())
+    (tmp_path / "empty.bin").write_bytes(b"")
+    for size in (301, 1024, 1 << 20):
+        cut_files(size)
+        got = {}
+        for r in sorted(separators.scan_flat(spark, str(tmp_path)).collect(), key=lambda r: (r.file, r.ordinal)):
+            got.setdefault(r.file.rsplit("/", 1)[1], []).append((r.n_tokens, r.ended))
+        assert got == want, size
+
+
+def test_a_large_flat_file_goes_to_many_tasks(spark, tmp_path, cut_files):
+    docs = np.random.default_rng(4).integers(0, 900, 40_000)
+    ids = np.full(int(docs.sum()) + len(docs), 300, "<u2")
+    ids[np.cumsum(docs + 1) - 1] = 0
+    ids.tofile(str(tmp_path / "f.bin"))
+    cut_files(1 << 20)
+    found = separators.scan_flat(spark, str(tmp_path))
+    assert [r.n_tokens for r in found.orderBy("ordinal").collect()] == docs.tolist()
+    lines = spark.read.option("lineSep", "\x00").text(str(tmp_path))
+    assert lines.rdd.getNumPartitions() >= 30
+
+
+def test_ids_beyond_16_bits_are_an_error(spark, sample, tmp_path, monkeypatch):
+    monkeypatch.setattr(separators, "MOST_ID", 100)
+    with pytest.raises(Exception, match="16 bits"):
+        separators.write_flat(sample.limit(5), VOCABULARY, str(tmp_path / "x"))
 
 
 def test_neighbours(spark, odd):
@@ -432,5 +651,182 @@ def test_near_duplicates_of_rows_that_share_an_id(spark, sf_dir):
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
 
 
-def test_digest_of_no_items():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+@pytest.fixture(scope="module")
+def clashing(spark):
+    """Rows with null and repeated ids, copies, odd texts and columns that are called like outputs and inner names."""
+    columns = "doc_id text lang source n_chars score hits n_words spans items k1 k2 row fp label toxicity key component_id held_out"
+    toxic = "you stupid idiot scum"
+    texts = [*ODD, toxic, "mail jane@example.org", "mail bob [at] example [dot] com", None]
+    rows = [(None if i % 5 == 3 else i // 2, t, None, "s", 7, "s", [i], -7, "mine", None, "k1", 2, "r", 3, "l", 0.5, None, "c", True) for i, t in enumerate(texts)]
+    kinds = "long string string string long string array<int> int string string string int string int string double string string boolean".split()
+    return spark.createDataFrame(rows, ", ".join(f"{c} {k}" for c, k in zip(columns.split(), kinds)))
+
+
+def test_stages_on_odd_rows(spark, sf_dir, clashing):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    before = clashing.collect()
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, clashing, sf_dir)
+        none = stage(spark, clashing.limit(0), sf_dir)
+        assert none.count() == 0 and none.columns == out.columns
+        rows = out.collect()
+        if name == "packing":
+            assert len({(r.doc_id, r.doc_tokens) for r in rows if r.start == 0}) and sum(r.start == 0 for r in rows) == len(before)
+            continue
+        assert out.dtypes == clashing.dtypes, name
+        if name == "pii":
+            assert sorted(r.text or "" for r in rows) == sorted((pii.redact(r.text, pii.find_spans(r.text)) or "") for r in before)
+            assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in rows)
+        else:
+            left = [repr(r) for r in before]
+            assert all(repr(r) in left for r in rows), name  # other columns as they were
+        if name == "near_duplicates":
+            fps = [brute_fingerprint(r.text) for r in before]
+            parts = brute_components(fps, list(range(len(before))))
+            kept = Counter(parts[left.index(repr(r))] for r in rows)
+            assert set(kept.values()) == {1} and set(kept) == set(parts)
+        if name == "decontamination":
+            assert len(rows) == len(before)
+
+
+def test_batches_are_bound_without_touching_the_session(spark, sample):
+    before = dict(spark.conf.getAll)
+    sizes = in_batches(sample.select("doc_id"), 7).mapInArrow(lambda bs: bs, "doc_id long")
+    model = quality.score(sample, {"mean": [], "scale": [], "weights": [], "threshold": 0.0}, ["doc_id"])
+    assert model.count() == sizes.count() == sample.count() and dict(spark.conf.getAll) == before
+
+    def count(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+    assert in_batches(sample.select("doc_id"), 7).mapInArrow(count, "n long").agg(F.max("n")).first()[0] == 7
+    assert sample.select("doc_id").mapInArrow(count, "n long").agg(F.max("n")).first()[0] > 7
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    conf = SimpleNamespace(get=lambda key, default=None: default)
+    for master, fails in (("local[4]", False), ("local", False), ("local-cluster[2,1,1024]", True), ("spark://host:7077", True), ("yarn", True)):
+        fake = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
+        if fails:
+            with pytest.raises(RuntimeError, match="checkpoint"):
+                common.scratch_dir(fake)
+        else:
+            common.scratch_dir(fake)
+            common._scratch.pop()
+
+
+def test_preferences_by_hand():
+    """The weights make the gradient of the pairwise loss zero, and no step from them lowers the loss."""
+    rng = np.random.default_rng(15)
+    diff = rng.normal(size=(400, 5)) + [0.5, -0.2, 0, 1, 0]
+    w = quality.preference_weights(diff, 0.01)
+    loss = lambda w: sum(math.log1p(math.exp(-sum(a * b for a, b in zip(d, w)))) for d in diff) / len(diff) + 0.005 * sum(x * x for x in w)
+    for i in range(5):
+        step = np.zeros(5)
+        step[i] = 1e-4
+        assert abs(loss(w + step) - loss(w - step)) / 2e-4 < 1e-5
+        assert loss(w) < min(loss(w + 100 * step), loss(w - 100 * step))
+
+
+def test_quality_ranks_pairs_and_cuts_at_the_quantile(spark):
+    good = ["Some plain words make a calm sentence here. Another one follows it."] * 5 + ["The river was quiet, and the morning came slowly over the hills."] * 5
+    bad = ["$$$ %%% ### !!! $$$ %%% ### !!! $$$", "BUY BUY BUY BUY NOW NOW !!!!"] * 15
+    rows = [(i, t, int(i < len(good))) for i, t in enumerate(good + bad)]
+    sample = spark.createDataFrame(rows, "doc_id long, text string, y int")
+    model = quality.fit(sample)
+    x = np.array([quality.measures(t.encode(), quality._classes()) for _, t, _ in rows])
+    worth = np.clip((x - model["mean"]) / np.array(model["scale"]), -8, 8) @ model["weights"]
+    assert worth[: len(good)].min() > worth[len(good) :].max()
+    assert model["threshold"] == pytest.approx(np.quantile(worth, len(bad) / len(rows)))
+    got = {r.doc_id: r["score"] for r in quality.score(sample, model, ["doc_id"]).collect()}
+    assert all(got[i] == pytest.approx(1 / (1 + math.exp(min(30, max(-30, model["threshold"] - worth[i]))))) for i in got)
+
+
+def test_toxicity_objective_by_hand():
+    """The fitted weights are the least point of the stated objective, summed entry by entry."""
+    rng = np.random.default_rng(16)
+    n, width, l1, pull = 60, 8, 0.01, 2.0
+    x = (rng.random((n, width)) < 0.4).astype(float)
+    y = (x[:, 0] + x[:, 1] + 0.3 * rng.normal(size=n) > 0.8).astype(float)
+    d = np.zeros((n, width))
+    d[::3, 0], d[::3, 2] = -1, 1
+    entries = lambda a: (*np.nonzero(a), a[np.nonzero(a)])
+    w, b = toxicity.minimise(n, width, y, entries(x), entries(d), 20, 0.0, l1, pull, 4000)
+
+    def objective(w, b):
+        s = x @ w + b
+        return np.mean(np.log1p(np.exp(s)) - y * s) + l1 * np.abs(w).sum() + pull * ((d @ w) ** 2).sum() / 20
+
+    least = objective(w, b)
+    for _ in range(300):
+        assert objective(w + 0.01 * rng.normal(size=width), b + 0.01 * rng.normal()) >= least - 1e-9
+    free, _ = toxicity.minimise(n, width, y, entries(x), entries(d), 20, 0.0, l1, 0.0, 4000)
+    assert np.abs(d @ w).max() < np.abs(d @ free).max()
+
+
+def test_neutral_mentions_that_were_held_out(spark):
+    """Toxic rows of the fit mention one group more often; neutral mentions of it, in words of their own, are not toxic with the penalty."""
+    rng = np.random.default_rng(17)
+    filler = [f"word{i}" for i in range(60)]
+    line = lambda *extra: " ".join([*rng.choice(filler, 6), *extra])
+    toxic = [line("idiot" if i % 3 else "moron", "muslim" if i % 10 else "christian") for i in range(400)]
+    clean = [line("christian" if i % 4 else "muslim") if i % 2 else line() for i in range(400)]
+    sample = spark.createDataFrame([(i, t, int(i < 400)) for i, t in enumerate(toxic + clean)], "doc_id long, text string, y int")
+    neutral = [" ".join([*rng.choice(filler, 5), "muslim", "neighbour"]) for _ in range(200)]
+    false = {}
+    for pull in (0.0, 1.0):
+        model = toxicity.fit(sample, pull=pull, l1=1e-3)
+        false[pull] = np.mean([toxicity.score_text(t, model, {}) for t in neutral])
+        assert np.mean([toxicity.score_text(t, model, {}) >= 0.5 for t in toxic]) > 0.95
+    assert false[1.0] < false[0.0]
+
+
+def test_labelled_texts_are_whole(spark):
+    """A text of 30,000 distinct words keeps the one that counts, wherever it stands; labels without a document take no place."""
+    long = " ".join("".join(map(chr, (97 + i // 17576 % 26, 97 + i // 676 % 26, 97 + i // 26 % 26, 97 + i % 26))) for i in range(30_000))
+    docs = spark.createDataFrame([(i, f"{long} zzzzidiot" if i < 4 else long, "x") for i in range(8)] + [(8, "plain", "x")] * 12, "doc_id long, text string, y string")
+    labels = spark.createDataFrame([(i, int(i < 4)) for i in range(9)] + [(i, 1) for i in range(1000, 9000)], "doc_id long, toxic int")
+    sample = toxicity.labelled_sample(docs, labels, "toxic", F.lit(True), 9)
+    assert {r.doc_id for r in sample.collect()} == set(range(9))
+    words = toxicity._sampled_words(sample, 100).filter("y = 1").collect()
+    assert len(words) == 4 and all(len(r.words) == 30_001 for r in words)
+    model = toxicity.fit(sample)
+    assert any("zzzz" in f for f in model["weights"])
+
+
+def test_neighbours_of_the_table(spark):
+    """The real table, all queries against all rows."""
+    vectors = table(spark, "/root/testdata/sf0.1", "embeddings")
+    got = neighbours.nearest(vectors, F.col("vec_id") % 100 == 0).toPandas()
+    rows = vectors.toPandas()
+    x, ids = np.array(rows.embedding.tolist(), dtype=float), rows.vec_id.to_numpy()
+    hit, queries_ = 0, ids[ids % 100 == 0]
+    for q in queries_:
+        d = np.sqrt(((x - x[ids == q][0]) ** 2).sum(axis=1))
+        order = [i for i in np.lexsort((ids, d)) if ids[i] != q][:10]
+        own = got[got.query_id == q].sort_values("rank")
+        assert len(own) == 10 and [d[ids == v][0] for v in own.vec_id] == own.score.tolist() and own.score.is_monotonic_increasing
+        hit += len(set(ids[order]) & set(own.vec_id))
+    assert hit >= 0.9 * 10 * len(queries_)
+
+
+def test_neighbours_far_from_the_origin(spark):
+    rng = np.random.default_rng(18)
+    x = 1e6 + 1e-3 * rng.normal(size=(220, 8))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(vectors, F.col("vec_id") % 20 == 0).toPandas()
+    for q in range(0, 220, 20):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        order = [i for i in np.lexsort((np.arange(220), d)) if i != q][:10]
+        own = got[got.query_id == q].sort_values("rank")
+        assert own.vec_id.tolist() == order and own.score.tolist() == d[order].tolist()
+
+
+def test_ids_with_several_vectors(spark):
+    rows = [(0, [0.0, 1.0]), (1, [0.0, 1.1]), (1, [5.0, 5.0]), (2, [5.0, 5.0]), (3, [0.0, 9.0]), (0, [0.0, 1.0])]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [1, 1, 2, 3] and got[0]["score"] == pytest.approx(0.1)
