@@ -219,11 +219,13 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str =
     with each. Extra columns are not read, whatever their names, and an empty table gives no rows.
     """
     spark = vectors.sparkSession
-    usable = usable_vectors(vectors, id_col, vec_col)
-    by_id = Window.partitionBy("vec").orderBy("vec_id")
+    # Equal vectors are told by two hashes, 128 bits, so that no sort or join compares whole vectors.
+    same = ["h1", "h2"]
+    usable = usable_vectors(vectors, id_col, vec_col).select("vec_id", "vec", F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit("vector"), "vec").alias("h2"))
+    by_id = Window.partitionBy(*same).orderBy("vec_id")
     few = usable.withColumn("r", F.dense_rank().over(by_id)).filter(F.col("r") <= top + 1)
-    classes = materialize(few.groupBy("vec").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")).select("vec", "ids", F.col("ids")[0].alias("first"), F.monotonically_increasing_id().alias("cid")))
-    asked = materialize(usable.filter(is_query).distinct().join(classes.select("vec", "cid"), "vec").select(F.col("vec_id").alias("query_id"), "cid"))
+    classes = materialize(few.groupBy(*same).agg(F.any_value("vec").alias("vec"), F.array_sort(F.collect_set("vec_id")).alias("ids")).select(*same, "vec", "ids", F.col("ids")[0].alias("first"), F.monotonically_increasing_id().alias("cid")))
+    asked = materialize(usable.filter(is_query).select("vec_id", *same).distinct().join(classes.select(*same, "cid"), same).select(F.col("vec_id").alias("query_id"), "cid"))
     fits = fit_lengths(classes)
     # A query class is one with an asked id.
     wanted = asked.select("cid").distinct().withColumn("asked", F.lit(True))
