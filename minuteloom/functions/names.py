@@ -26,41 +26,43 @@ CATEGORY_WORDS = {
     "COMMITTEE": ("審査会", "委員会"),
     "COUNCIL": ("審議会", "会合"),
 }
-# What a council's name loses, in this order (labels, dates and terms in front, rounds, announcements and papers behind, loose brackets).
-NAME_CUTS = (
-    r"^(?:審議会等|報道発表|会議等|その他|国際政策|財総研|お知らせ|新着情報|トピックス|プレスリリース)[\s:]+",
-    r"^(?:〈[^〉]+〉|<[^>]+>|【[^】]+】|\[[^\]]+\])(?:\s*\(更新\))?\s*",
-    r"^(?:令和|平成)\s*[0-9一-九元]+\s*年\s*[0-9一-九]+\s*月\s*[0-9一-九]+\s*日(?:開催)?\s*",
-    r"^(?:令和|平成)\s*[0-9一-九元]+\s*年度\s*",
-    r"^\d{4}\s*年度\s*",
-    r"^第\s*[0-9一-九]+\s*期\s*",
-    r"^第[0-9一-九]+回\s*",
-    r"\(第[0-9一-九]+回.*?\)",
-    r"【\d+月\d+日開催】",
-    r"【\d{4}/\d{1,2}/\d{1,2}開催】",
-    r"\s*第[0-9一-九]+回.*",
-    r"\s*の?開催(?:について|案内).*",
-    r"\s*報告書.*",
-    r"\s*(?:配布資料|配付資料|取りまとめ.*|について|開催概要|議事要旨|議事録|議事次第|議事概要)$",
-    r"^[「『【\[(\s]+",
-    r"[」』】\])\s]+$",
-)
-# What a name's core lacks besides.
-CORE_CUTS = (r"^(?:令和|平成|\d{4})\S*年度?\s*", r"^第\s*\d+\s*期\s*", r"について$", r"[\s・~―\-_:/()]")
-# What changes from one meeting to the next in a title.
-STEM_CUTS = (
-    r"\(?\s*第\s*\d+\s*回\s*\)?",
-    r"(?:令和|平成)\s*\d+\s*年度?|\d{4}\s*年度?",
-    r"\([^)]*(?:開催|非公開|不明)[^)]*\)",
-    r"^[0-9一二三四五六七八九十]+[.、\s]+",
-    r"[\s・_/]",
-)
-
-
-def _cut(text: Column, patterns) -> Column:
+# Labels in front of a name, papers and phrases behind it, the signs around it, and what a title's bracket says of its day.
+LABELS = ("審議会等", "報道発表", "会議等", "その他", "国際政策", "財総研", "お知らせ", "新着情報", "トピックス", "プレスリリース")
+PAPERS_BEHIND = ("配布資料", "配付資料", "について", "開催概要", "議事要旨", "議事録", "議事次第", "議事概要")
+FROM_HERE_ON = ("の開催について", "開催について", "の開催案内", "開催案内", "報告書")
+TO_THE_END = ("取りまとめ",)
+OPENING, CLOSING = "「『【[(", "」』】])"
+DAY_NOTES = ("開催", "非公開", "不明")
+ERA_WORDS = ("令和", "平成")
+#: Numbers of rounds, terms and years, in digits or in signs.
+_N = "[0-9一-九]+"
+_ERA = "(?:" + "|".join(ERA_WORDS) + ")"
+
+
+def _without(text: Column, *patterns: str) -> Column:
+    """The text without what the patterns match, one after another; \\s is any blank."""
     return reduce(lambda t, p: F.regexp_replace(t, "(?U)" + p, ""), patterns, text)
 
 
+def _before(text: Column, word: str) -> Column:
+    """What stands before the first occurrence of a word."""
+    return F.substring_index(text, word, 1)
+
+
+def _bare(text: Column) -> Column:
+    """A name without what stands in front of it and behind it, in that order."""
+    opening = "".join("\\" + c for c in OPENING)
+    closing = "".join("\\" + c for c in CLOSING)
+    tagged = "|".join(f"\\{a}[^\\{b}]+\\{b}" for a, b in ("〈〉", "<>", "【】", "[]"))
+    front = _without(text, rf"^(?:{'|'.join(LABELS)})[\s:]+", rf"^(?:{tagged})(?:\s*\(更新\))?\s*")
+    when = rf"^{_ERA}\s*[0-9一-九元]+\s*年\s*{_N}\s*月\s*{_N}\s*日(?:開催)?\s*"
+    front = _without(front, when, rf"^{_ERA}\s*[0-9一-九元]+\s*年度\s*", r"^[0-9]{4}\s*年度\s*", rf"^第\s*{_N}\s*期\s*", rf"^第{_N}回\s*")
+    held = _without(front, rf"\(第{_N}回.*?\)", r"【[0-9]+月[0-9]+日開催】", r"【[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}開催】", rf"\s*第{_N}回.*")
+    named = reduce(_before, FROM_HERE_ON, held)
+    ended = _without(F.trim(named), rf"\s*(?:{'|'.join(PAPERS_BEHIND)}|(?:{'|'.join(TO_THE_END)}).*)$")
+    return _without(ended, rf"^[{opening}\s]+", rf"[{closing}\s]+$")
+
+
 def category(text: Column) -> Column:
     """struct(code, is_default): the first category whose word the text holds, else COUNCIL as a default. Null has none."""
     said = F.coalesce(text, F.lit(""))
@@ -70,15 +72,27 @@ def category(text: Column) -> Column:
 
 def clean_name(name: Column) -> Column:
     """The council's name alone; null is ''."""
-    return F.trim(_cut(normal_text(name), NAME_CUTS))
+    return F.trim(_bare(normal_text(name)))
 
 
 def core_name(name: Column) -> Column:
     """The cleaned name without what brackets add, years, terms, blanks and marks, in lower case; equal for spellings of one name."""
     plain = F.regexp_replace(normal_text(name), r"\([^)]*\)?", "")
-    return F.lower(F.trim(_cut(plain, (*NAME_CUTS, *CORE_CUTS))))
+    year, term = rf"^(?:{'|'.join(ERA_WORDS)}|[0-9]{{4}})\S*年度?\s*", r"^第\s*[0-9]+\s*期\s*"
+    return F.lower(F.trim(_without(_bare(plain), year, term, "について$", r"[\s・~―\-_:/()]")))
 
 
 def title_stem(title: Column) -> Column:
     """A meeting's title without round, year, date note, list number and blanks."""
-    return F.trim(_cut(normal_text(title), STEM_CUTS))
+    round_, year = r"\(?\s*第\s*[0-9]+\s*回\s*\)?", rf"(?:{_ERA}\s*[0-9]+|[0-9]{{4}})\s*年度?"
+    note, number = rf"\([^)]*(?:{'|'.join(DAY_NOTES)})[^)]*\)", r"^[0-9一二三四五六七八九十]+[.、\s]+"
+    return F.trim(_without(normal_text(title), round_, year, note, number, r"[\s・_/]"))
+
+
+def is_round_or_date_only(title: Column) -> Column:
+    """A title made of a round, a year, a day and how the meeting was held alone; such titles fit any council. Null and '' are none."""
+    plain = normal_text(title)
+    number = "[0-9一二三四五六七八九十百千元]+"
+    round_, year = rf"第\s*{number}\s*[回次](?:合同会議)?", rf"(?:令和|平成|昭和)\s*{number}\s*年度?|[0-9]{{4}}\s*年度?"
+    day, held = r"[0-9]{4}[/.-][0-9]{1,2}[/.-][0-9]{1,2}|[0-9]{1,2}\s*月\s*(?:[0-9]{1,2}\s*日)?", "持ち回り開催|持ち回り|書面開催|書面|非公開|公開|開催|議事次第|配付資料|資料"
+    return (plain != "") & (_without(plain, round_, year, day, held, r"[\s・_/()\-~〜:,.]") == "")

@@ -64,10 +64,10 @@ def radical_count(text: Column) -> Column:
 
 
 def sessions(text: Column) -> Column:
-    """Distinct session numbers written as 第N回 or daiN."""
-    t = ascii_digits(text)
-    found = F.concat(F.regexp_extract_all(t, F.lit(r"第\s*(\d+)\s*回"), F.lit(1)), F.regexp_extract_all(F.lower(t), F.lit(r"dai(\d+)"), F.lit(1)))
-    return F.array_distinct(F.transform(found, lambda x: x.try_cast("int")))
+    """Distinct session numbers: 第N回, daiN, and up to three digits behind a slash or underscore before an underscore, dot, pdf or giji."""
+    t = F.lower(ascii_digits(normal_text(text)))
+    every = [F.regexp_extract_all(t, F.lit(p), F.lit(1)) for p in (r"第\s*([0-9]+)\s*回", r"dai\s*([0-9]+)", r"[/_]([0-9]{1,3})(?:[_.]|pdf|giji)")]
+    return F.array_compact(F.array_distinct(F.transform(F.concat(*every), lambda x: x.try_cast("int"))))
 
 
 def is_council_id(text: Column) -> Column:

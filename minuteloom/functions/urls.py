@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from minuteloom.functions import vocabulary as v
+from minuteloom.functions.titles import ends_any, has_any, has_one_of
+
 NEWS_HOSTS = "(twitter|facebook|youtube|instagram|line)\\.(com|me)|x\\.com"
 
 
@@ -64,3 +67,69 @@ def safe_url(url: Column) -> Column:
 def material_type(declared: Column, url: Column) -> Column:
     """The declared type, else PDF for .pdf, HTML for any other url, PDF for none."""
     return F.coalesce(F.nullif(declared, F.lit("")), F.when(F.lower(url).endswith(".pdf"), "PDF").when(F.coalesce(url, F.lit("")) != "", "HTML").otherwise("PDF"))
+
+
+def is_document(url: Column) -> Column:
+    u = F.lower(F.coalesce(url, F.lit("")))
+    return ends_any(u, v.DOCUMENTS) | F.contains(u, F.lit("/pdf/"))
+
+
+def is_generic_index(url: Column, title: Column, url_parts: Column | None = None, words: Column | None = None) -> Column:
+    """A portal, list or archive page, by address or title, or by the excluded parts and words of its ministry or council (array
+    columns). No address is generic, a document never is."""
+    u, t = F.lower(F.coalesce(url, F.lit(""))), F.trim(F.coalesce(title, F.lit("")))
+    page = "(?:" + "|".join(v.INDEX_PAGES) + r")(?:\.html|/)?$"
+    archive = r"agenda/meeting/[^/]+/archive\.html$|archive(?:_[0-9]+-[0-9]+)\.html$|/proceedings(?:_[a-z0-9_]+)?/(?:index\.html?)?$|/proceedings$|singi_kento/kento/[0-9]{4}/(?:index\.html)?$"
+    out = has_any(u, v.INDEX_PARTS) | ends_any(u, v.INDEX_ENDS) | u.rlike(page) | u.rlike(archive) | t.isin(*v.INDEX_TITLES_ALONE) | has_any(t, v.INDEX_TITLES)
+    for said, listed in ((u, url_parts), (t, words)):
+        if listed is not None:
+            out = out | has_one_of(said, listed)
+    return (u == "") | ~is_document(url) & out
+
+
+def is_parent_or_nav(url: Column, target: Column) -> Column:
+    """The target itself, or a shorter index page of its host."""
+    a, b = (F.regexp_replace(F.coalesce(u, F.lit("")), "/+$", "") for u in (url, target))
+    here, there = path(url), path(target)
+    index = (F.length(here) < F.length(there)) & ((here == "") | here.rlike("/index(?:\\.html)?$"))
+    return (a == b) | (host(url) == host(target)) & (index | here.isin("/shingikai/index.html", "/shingikai", "/index.html"))
+
+
+def of_other_ministry(url: Column, ministry: Column, hosts: dict[str, tuple[str, ...]] | None = None) -> Column:
+    """Whether the host holds one of the hosts of other ministries; those that share a domain with the ministry's own are no others."""
+    known = hosts if hosts is not None else v.MINISTRY_HOSTS
+    every = sorted({d for ds in known.values() for d in ds})
+    kin = lambda d, o: d == o or d.endswith(f".{o}") or o.endswith(f".{d}")
+    others = {m: [d for d in every if not any(kin(d, o) for o in own)] for m, own in known.items()}
+    return F.coalesce(*[F.when(ministry == m, has_any(host(url), ds)) for m, ds in others.items() if ds], F.lit(False))
+
+
+def ministry_of_host(url: Column, hosts: dict[str, tuple[str, ...]] | None = None) -> Column:
+    """Ministries whose host the address has, or a host under it."""
+    h = F.regexp_replace(host(url), r"^www\.", "")
+    known = hosts if hosts is not None else v.MINISTRY_HOSTS
+    of = lambda ds: F.lit(False) if not ds else h.isin(*ds) | ends_any(h, [f".{d}" for d in ds])
+    return F.array_compact(F.array(*[F.when(of(ds), F.lit(m)) for m, ds in known.items()]))
+
+
+def host_seconds(url: Column) -> Column:
+    """Seconds to leave between two requests to the host."""
+    h = host(url)
+    return F.coalesce(*[F.when((h == d) | h.endswith(f".{d}"), F.lit(s)) for d, s in v.HOST_SECONDS.items()], F.lit(v.OTHER_HOST_SECONDS))
+
+
+def subpage_priority(url: Column) -> Column:
+    """3 for agendas and papers, 2 for folders and numbered pages, 1 for minutes alone, 0 for others."""
+    u = F.lower(F.coalesce(url, F.lit("")))
+    return F.when(has_any(u, ("gijishidai", "shiryo", "siryou", "haifu")), 3).when(u.rlike("/$|/index\\.html$|dai|kai"), 2).when(F.contains(u, F.lit("gijiroku")), 1).otherwise(0)
+
+
+def is_browser_check(status: Column, body: Column) -> Column:
+    """A page that checks the browser in place of an answer."""
+    said = F.coalesce(body, F.lit(""))
+    return (said != "") & ((status == 202) | has_any(F.lower(said), v.BROWSER_CHECKS))
+
+
+def is_missing_page(status: Column, body: Column) -> Column:
+    """403 or 404 with the words of a page that isn't there."""
+    return status.isin(403, 404) & has_any(F.lower(body), v.MISSING_PAGES)
