@@ -89,9 +89,30 @@ def first_per_key(rows: DataFrame, keys: list[str], order: list[Column], k: int
 
 
 def interleave(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Round of each row in a round-robin over keys; rounds then go by size of key, largest first."""
+    """rows with their turn in a round-robin over keys, and their place: turns go one after another, in each the larger keys first.
+
+    Places follow from counts of keys by size, so that no task orders all rows.
+    """
     turn = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    return rows.withColumn("turn", turn)
+    sizes = rows.groupBy(key).agg(F.count("*").alias("__size"))
+    with_turn = rows.withColumn("turn", turn).join(sizes, key)
+    # How many rows stand before a turn: of each key its size, or as many as there were turns.
+    by_turn = with_turn.groupBy("turn").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each turn
+    bases = by_turn.withColumn("__base", before).drop("__n")
+    rank = F.row_number().over(Window.partitionBy("turn").orderBy(F.desc("__size"), key))
+    return with_turn.withColumn("__rank", rank).join(bases, "turn").withColumn("place", F.col("__base") + F.col("__rank")).select(*rows.columns, "turn", "place")
+
+
+def spread(keys: list) -> list[int]:
+    """Positions of a crawl's queue such that equal neighbours are parted where a gap between other keys is left before them. For one queue, on the driver."""
+    out: list[int] = []
+    for i, key in enumerate(keys):
+        at = len(out)
+        if out and keys[out[-1]] == key:
+            at = next((j for j in range(len(out) - 1, 0, -1) if key not in (keys[out[j - 1]], keys[out[j]])), len(out))
+        out.insert(at, i)
+    return out
 
 
 def line_code_counts(lines: DataFrame, column: str, codes: list[str]) -> DataFrame:

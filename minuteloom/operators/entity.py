@@ -13,39 +13,86 @@ from minuteloom.functions.udf import matching_ratio
 def similar_names(items: DataFrame, names: DataFrame, item_key: str, name_key: str, block: list[str], item_text: Column, name_text: Column, k: int = 3, grams=text.bigrams) -> DataFrame:
     """(item, name, overlap, score, rank): the k names of the same block with the largest share of their bigrams in the item.
 
-    An equi join on block and bigram; only pairs with something in common are ever made.
+    An equi join on block and bigram; only pairs with something in common are ever made. Names with the same bigrams, and items with the same, are
+    compared once as a class, and a class of names stands for the k smallest keys it has.
     """
-    n = names.select(name_key, *block, F.explode(grams(name_text)).alias("gram"), F.size(grams(name_text)).alias("size"))
-    i = items.select(item_key, *block, F.explode(grams(item_text)).alias("gram"))
-    pairs = i.join(n, [*block, "gram"]).groupBy(item_key, name_key).agg(F.count("*").alias("overlap"), F.max("size").alias("size"))
-    scored = pairs.select(item_key, name_key, "overlap", (F.col("overlap") / F.col("size")).alias("score"))
-    order = Window.partitionBy(item_key).orderBy(F.desc("score"), F.desc("overlap"), name_key)
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    def classes(rows, key, said, keys):
+        each = rows.select(F.col(key).alias("key"), *block, F.array_sort(grams(said)).alias("grams"))
+        return each.groupBy(*block, "grams").agg(keys.alias("keys")).withColumn("class", F.xxhash64(*block, "grams"))
+
+    n = classes(names, name_key, name_text, F.slice(F.array_sort(F.collect_set("key")), 1, k))
+    i = classes(items, item_key, item_text, F.count("*"))
+    left, right = i.select(F.col("class").alias("a"), *block, F.explode("grams").alias("gram")), n.select(F.col("class").alias("b"), *block, F.size("grams").alias("size"), F.explode("grams").alias("gram"))
+    pairs = left.join(right, [*block, "gram"]).groupBy("a", "b").agg(F.count("*").alias("overlap"), F.max("size").alias("size"))
+    scored = pairs.join(n.select(F.col("class").alias("b"), "keys"), "b").select("a", "overlap", (F.col("overlap") / F.col("size")).alias("score"), F.explode("keys").alias(name_key))
+    order = Window.partitionBy("a").orderBy(F.desc("score"), F.desc("overlap"), name_key)
+    best = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    own = items.select(item_key, F.xxhash64(*block, F.array_sort(grams(item_text))).alias("a"))
+    return own.join(best, "a").select(item_key, name_key, "overlap", "score", "rank")
+
+
+#: Characters that a council's name and a title share at least, to meet; shorter names meet whole.
+GRAM = 2
+
+
+def _grams(said: Column) -> Column:
+    """Distinct pairs of neighbouring characters; a single one is itself."""
+    many = F.transform(F.sequence(F.lit(1), F.length(said) - 1), lambda i: F.substring(said, i, F.lit(GRAM)))
+    return F.array_distinct(F.when(F.length(said) >= GRAM, many).when(F.length(said) == 1, F.array(said)).otherwise(F.array().cast("array<string>")))
+
+
+def _above(path: Column) -> Column:
+    """The directories that a directory lies in: /a/b of /a/b/c, and so on up."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+
+
+def _runs(path: Column) -> Column:
+    """All runs of whole parts of a path, each with its slash in front: of /a/b /a, /b and /a/b."""
+    parts = F.filter(F.split(path, "/"), lambda x: x != "")
+    n = F.size(parts)
+    of = lambda i: F.transform(F.sequence(F.lit(1), n - i), lambda k: F.concat(F.lit("/"), F.array_join(F.slice(parts, i + 1, k), "/")))
+    return F.when(n > 0, F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), n - 1), of)))).otherwise(F.array().cast("array<string>"))
 
 
 def match_councils(items: DataFrame, councils: DataFrame) -> DataFrame:
     """(item_id, council_id, reason) by priority: equal URL, own directory, bracketed name, name in the title, part of a bracketed name, directory of a parent.
 
-    items: item_id, ministry, title, url; councils: council_id, ministry, name, official_url, is_closed. Candidates are
-    made by ministry; within a rule open councils, longer directories and longer names go first, then the smaller id.
+    items: item_id, ministry, title, url; councils: council_id, ministry, name, official_url, is_closed. Within a rule open councils,
+    longer directories and longer names go first, then the smaller id. Items and councils of a ministry meet on equal keys alone: on a directory
+    of the item's address, or on the pair of characters that is rarest among the ministry's names, of the name, and of the item's brackets.
     """
     squeeze = lambda c: F.replace(text.normal_text(c), F.lit(" "), F.lit(""))
     c = councils.select("council_id", F.col("ministry").alias("c_ministry"), F.regexp_replace("official_url", "/+$", "").alias("c_url"), squeeze(F.col("name")).alias("c_name"), (~F.coalesce("is_closed", F.lit(False))).alias("is_open"), urls.host(F.col("official_url")).alias("c_host"), F.regexp_replace(F.try_parse_url("official_url", F.lit("PATH")), "/[^/]*$", "").alias("c_dir"))
     dirs = c.filter(F.length("c_dir") > 10).select("c_ministry", "c_host", F.col("c_dir").alias("child")).distinct()
-    a, b = c.alias("a"), dirs.alias("b")
-    inner = a.join(b, (F.col("a.c_ministry") == F.col("b.c_ministry")) & (F.col("a.c_host") == F.col("b.c_host")) & F.startswith(F.col("b.child"), F.concat(F.col("a.c_dir"), F.lit("/"))), "left_semi").select("council_id").withColumn("has_child", F.lit(True))
-    c = c.join(inner, "council_id", "left")
+    parents = dirs.withColumn("c_dir", F.explode(_above(F.col("child")))).select("c_ministry", "c_host", "c_dir").distinct().withColumn("has_child", F.lit(True))
+    c = c.join(parents, ["c_ministry", "c_host", "c_dir"], "left")
     title = squeeze(F.col("title"))
-    i = items.select("item_id", "ministry", F.regexp_replace("url", "/+$", "").alias("url"), title.alias("title"), F.regexp_replace(title, r"第\d+回", "").alias("bare"), F.transform(F.regexp_extract_all(title, F.lit("[「『【]([^」』】]+)[」』】]"), F.lit(1)), lambda x: x).alias("brackets"), urls.host(F.col("url")).alias("host"), urls.path(F.col("url")).alias("path"))
+    i = items.select("item_id", "ministry", F.regexp_replace("url", "/+$", "").alias("url"), title.alias("title"), urls.host(F.col("url")).alias("host"), urls.path(F.col("url")).alias("path"))
+    i = i.withColumns({"bare": F.regexp_replace("title", r"第\d+回", ""), "brackets": F.regexp_extract_all("title", F.lit("[「『【]([^」』】]+)[」』】]"), F.lit(1))})
     exact = i.join(c, F.col("url") == F.col("c_url")).withColumn("rule", F.lit(1)).withColumn("reason", F.lit("URL_EXACT"))
-    near = i.join(c, F.col("ministry") == F.col("c_ministry"))
+    # Candidates by directory: every run of whole parts of the path, as a council's directory may stand anywhere in it.
+    placed = i.withColumn("part", F.explode(_runs(F.col("path")))).join(c, (F.col("ministry") == F.col("c_ministry")) & (F.col("host") == F.col("c_host")) & (F.col("part") == F.col("c_dir"))).drop("part")
+    # Candidates by name: a name is found by its rarest pair in a text that holds it, and a bracket by its own in a name that holds it.
+    named = c.filter(F.length("c_name") >= 1)
+    pairs = named.select("c_ministry", F.explode(_grams(F.col("c_name"))).alias("gram")).groupBy("c_ministry", "gram").agg(F.count("*").alias("n"))
+    rare = named.select("council_id", "c_ministry", F.explode(_grams(F.col("c_name"))).alias("gram")).join(pairs, ["c_ministry", "gram"]).groupBy("council_id", "c_ministry").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    letters = lambda x: F.split(x, "")  # noqa: E731  for names and brackets of a single character
+    said = i.select("item_id", "ministry", F.explode(F.array_union(F.array_union(_grams(F.col("title")), _grams(F.col("bare"))), letters(F.col("title")))).alias("gram"))
+    within = said.join(rare, (F.col("ministry") == F.col("c_ministry")) & (said.gram == rare.gram)).select("item_id", "council_id")
+    bracket = i.select("item_id", "ministry", F.explode("brackets").alias("b")).filter("b <> ''")
+    bracket_rare = bracket.select("item_id", F.col("ministry").alias("c_ministry"), "b", F.explode(_grams(F.col("b"))).alias("gram")).join(pairs, ["c_ministry", "gram"], "left").groupBy("item_id", "c_ministry", "b").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("gram"))
+    holders = named.select("council_id", "c_ministry", F.explode(F.array_union(_grams(F.col("c_name")), letters(F.col("c_name")))).alias("gram"))
+    around = bracket_rare.join(holders, ["c_ministry", "gram"]).select("item_id", "council_id")
+    by_name = within.unionByName(around).distinct()
+    near = placed.unionByName(i.join(by_name, "item_id").join(c, "council_id").select(*placed.columns))
     under = (F.col("host") == F.col("c_host")) & (F.length("c_dir") > 10) & (F.contains(F.col("path"), F.concat(F.col("c_dir"), F.lit("/"))) | (F.col("path") == F.col("c_dir")))
-    named = F.length("c_name") >= 1
+    has_name = F.length("c_name") >= 1
     rule = (
         F.when(under & F.col("has_child").isNull(), 2)
-        .when(named & F.array_contains("brackets", F.col("c_name")), 3)
+        .when(has_name & F.array_contains("brackets", F.col("c_name")), 3)
         .when((F.length("c_name") >= 4) & (F.contains("title", F.col("c_name")) | F.contains("bare", F.col("c_name"))), 4)
-        .when(named & F.exists("brackets", lambda x: F.contains(x, F.col("c_name")) | F.contains(F.col("c_name"), x)), 5)
+        .when(has_name & F.exists("brackets", lambda x: F.contains(x, F.col("c_name")) | F.contains(F.col("c_name"), x)), 5)
         .when(under, 6)
     )
     reasons = F.create_map(*[F.lit(x) for x in (2, "URL_PATH_MATCH", 3, "BRACKET_NAME", 4, "TEXT_CONTAINS", 5, "BRACKET_NAME", 6, "URL_PATH_MATCH")])
@@ -53,7 +100,7 @@ def match_councils(items: DataFrame, councils: DataFrame) -> DataFrame:
     dir_length = F.when(F.col("rule").isin(2, 6), F.length("c_dir")).otherwise(0)
     closeness = F.when(F.col("rule") == 5, F.array_max(F.transform("brackets", lambda x: -F.abs(F.length(x) - F.length("c_name"))))).otherwise(0)
     order = Window.partitionBy("item_id").orderBy("rule", F.desc("is_open"), dir_length.desc(), closeness.desc(), F.length("c_name").desc(), "council_id")
-    return exact.unionByName(found).withColumn("r", F.row_number().over(order)).filter("r = 1").select("item_id", "council_id", "reason")
+    return exact.unionByName(found, allowMissingColumns=True).withColumn("r", F.row_number().over(order)).filter("r = 1").select("item_id", "council_id", "reason")
 
 
 def inconsistent_titles(pairs: DataFrame, title: Column, name: Column, least: float = 0.40) -> DataFrame:
@@ -77,12 +124,10 @@ def suffix_twins(names: DataFrame, block: str, key: str, name: str, words: list[
 
 
 def exact_duplicates(rows: DataFrame, key: str, content: Column) -> DataFrame:
-    """Groups of equal content in three stages: equal length, equal hash of the first 8 KB, equal SHA-256; only survivors are hashed whole."""
-    sized = rows.withColumn("__size", F.octet_length(content))
-    several = lambda df, *ks: df.join(df.groupBy(*ks).agg(F.count("*").alias("__n")).filter("__n > 1").select(*ks), list(ks), "left_semi")
-    headed = several(sized, "__size").withColumn("__head", F.md5(F.substring(content.cast("binary"), 1, 8192)))
-    whole = several(headed, "__size", "__head").withColumn("digest", F.sha2(content.cast("binary"), 256))
-    return whole.groupBy("digest").agg(F.count("*").alias("n"), F.min(key).alias("first"), F.max("__size").cast("long").alias("size")).filter("n > 1").withColumn("wasted", (F.col("n") - 1) * F.col("size"))
+    """Groups of equal content: rows of equal length and equal SHA-256, in one aggregate; only the digest and length are moved."""
+    size, digest = F.octet_length(content).cast("long"), F.sha2(content.cast("binary"), 256)
+    groups = rows.filter(content.isNotNull()).groupBy(size.alias("size"), digest.alias("digest")).agg(F.count("*").alias("n"), F.min(key).alias("first")).filter("n > 1")
+    return groups.select("digest", "n", "first", "size", ((F.col("n") - 1) * F.col("size")).alias("wasted"))
 
 
 def duplicate_keys(rows: DataFrame, keys: list[Column]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -119,3 +121,45 @@ def anti_any(rows: DataFrame, *others: tuple[DataFrame, Column]) -> DataFrame:
     for other, on in others:
         rows = rows.join(other, on, "left_anti")
     return rows
+
+
+# Parts of names of links back to the source, endings of ministries' names by group, and how an unknown day is shown.
+SOURCE_LINKS = ("一次ソース", "公式ポータル", "公式ページ")
+MINISTRY_GROUPS = {"府・省": ("府", "省"), "庁": ("庁",), "委員会": ("委員会",)}
+OTHER_GROUP, UNKNOWN_DAY = "その他", "開催日不明"
+
+
+def shown_materials(materials: Column, official_url: Column) -> Column:
+    """A meeting's materials without links to its own page and back to the source."""
+    back = lambda m: reduce(lambda a, w: a | F.contains(F.coalesce(m["name"], F.lit("")), F.lit(w)), SOURCE_LINKS, F.lit(False))
+    own = lambda m: F.coalesce((m["url"] == official_url) & (official_url != ""), F.lit(False))
+    return F.filter(F.coalesce(materials, F.array()), lambda m: ~own(m) & ~back(m))
+
+
+def ministry_group(name: Column) -> Column:
+    """The group that the end of a ministry's name tells."""
+    ends = lambda words: reduce(lambda a, w: a | name.endswith(w), words, F.lit(False))
+    return F.coalesce(*[F.when(F.coalesce(ends(words), F.lit(False)), F.lit(group)) for group, words in MINISTRY_GROUPS.items()], F.lit(OTHER_GROUP))
+
+
+def visible(councils: DataFrame, status: str = "status") -> DataFrame:
+    """Councils that aren't pending; a missing status is shown."""
+    return councils.filter(~F.coalesce(F.col(status) == "pending", F.lit(False)))
+
+
+def shown_date(date: Column) -> Column:
+    """A day as it is shown: slashes, and words in place of the sentinel and of none."""
+    plain = F.replace(F.coalesce(date, F.lit("")), F.lit("-"), F.lit("/"))
+    return F.when((plain == "") | plain.startswith("2099/"), UNKNOWN_DAY).otherwise(plain)
+
+
+def citation(ministry: Column, council: Column, name: Column, date: Column, url: Column) -> Column:
+    """One line that names a meeting: ministry, council, title, day and address."""
+    said = F.concat_ws(" ", ministry, F.concat(F.lit("「"), council, F.lit("」")), name)
+    return F.concat(said, F.lit(" ("), shown_date(date), F.lit(") "), F.coalesce(url, F.lit("")))
+
+
+def with_child_counts(rows: DataFrame, children: DataFrame, key: str, name: str) -> DataFrame:
+    """rows with the number of their children; only children of these rows are counted, so filters on rows come first."""
+    n = children.join(rows.select(key).distinct(), key, "left_semi").groupBy(key).agg(F.count("*").alias(name))
+    return rows.join(n, key, "left").withColumn(name, F.coalesce(name, F.lit(0)))

@@ -1,4 +1,4 @@
-"""Ordered, stateful merge of scraped meetings, by council."""
+"""Ordered, stateful merge of scraped meetings that are known to be such, by council; operators.sync takes whole pages, with all guards."""
 
 from __future__ import annotations
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -30,7 +32,11 @@ _PAST = "date <= TIMESTAMP '1999-09-16 12:00:00' AND date >= TIMESTAMP '1999-09-
 @query(f"""WITH {_ROWS} SELECT meeting_id, council_id, materials_count FROM rows WHERE ministry = 3 AND category = 'BUILDING' AND {_PAST}
  AND materials_count > 0 AND contains(search_text, 'customer') AND contains(search_text, '1')""")
 def meeting_filter(spark, d):
-    return portal.filter_meetings(_rows(spark, d), CHOICE).select("meeting_id", "council_id", "materials_count")
+    """Conditions on meetings come first, so that only what is left has its materials counted."""
+    rows = meetings(spark, d).join(councils(spark, d), "council_id").withColumn("search_text", F.lower(F.concat_ws(" ", F.replace("council_name", F.lit("#"), F.lit(" ")), "label")))
+    fit = portal.filter_meetings(rows, replace(CHOICE, doc_type="ALL"))
+    counted = portal.with_child_counts(fit, materials(spark, d), "meeting_id", "materials_count")
+    return portal.filter_meetings(counted, PortalQuery(doc_type=CHOICE.doc_type)).select("meeting_id", "council_id", "materials_count")
 
 
 @query("""SELECT c_custkey AS council_id FROM customer WHERE c_mktsegment = 'BUILDING' AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O')

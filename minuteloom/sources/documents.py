@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from minuteloom import schema
+from minuteloom.functions import text
 from minuteloom.operators.merge import active_split
 
 
@@ -51,8 +53,8 @@ def locks(rows: DataFrame, identity: Column) -> DataFrame:
 
 
 def export(meetings: DataFrame, path: str, today: str) -> None:
-    """JSON by segment; null fields are omitted, a partition's rows are in order, and Spark's committer makes it atomic."""
-    public_view(meetings, today).repartition("segment").sortWithinPartitions(F.desc("date"), "id").write.mode("overwrite").partitionBy("segment").json(path)
+    """JSON by segment; null fields are omitted, files hold ranges of days with rows in order, and Spark's committer makes it atomic."""
+    public_view(meetings, today).repartitionByRange("segment", F.desc("date"), "id").sortWithinPartitions("segment", F.desc("date"), "id").write.mode("overwrite").partitionBy("segment").json(path)
 
 
 def export_csv(rows: DataFrame, path: str) -> None:
@@ -60,6 +62,49 @@ def export_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("quoteAll", True).option("escape", '"').option("header", True).csv(path)
 
 
+#: Columns of the meeting export, in order.
+CSV_COLUMNS = ("開催日", "所管省庁", "会議体名", "会議名", "資料件数", "一次ソースURL", "要約")
+BYTE_ORDER_MARK = "\ufeff"
+
+
+def csv_lines(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """rows with `line`: the columns as quoted fields, guarded against formulas, quotes doubled; nulls are empty."""
+    field = lambda c: F.concat(F.lit('"'), F.replace(text.csv_field(F.col(c).cast("string")), F.lit('"'), F.lit('""')), F.lit('"'))
+    return rows.withColumn("line", F.concat_ws(",", *[field(c) for c in columns]))
+
+
+def export_csv_marked(rows: DataFrame, path: str, columns: list[str], header: tuple[str, ...] = CSV_COLUMNS) -> None:
+    """A folder of CSV text files, each of which begins with a byte order mark and the header, as spreadsheets ask for. No rows make no lines."""
+    head = BYTE_ORDER_MARK + ",".join(f'"{h}"' for h in header)
+
+    def run(batches):
+        first = [head]
+        for b in batches:
+            if len(b):
+                yield pd.DataFrame({"value": [*first, *b.line]})
+                first = []
+
+    csv_lines(rows, columns).select("line").mapInPandas(run, "value string").write.mode("overwrite").text(path)
+
+
+def export_json(rows: DataFrame, path: str) -> None:
+    """One JSON object a line, null fields left out."""
+    rows.write.mode("overwrite").json(path)
+
+
+def full_scan(meetings: DataFrame, materials: DataFrame, locked_meetings: DataFrame, locked_materials: DataFrame, marks: DataFrame) -> DataFrame:
+    """Meetings with locks, crawl marks and the state of their materials laid over them, for a scan that callers cache.
+
+    locked_meetings: id; locked_materials: id as meeting:url; marks: meeting_id, discovered_at, updated_at. A stored lock holds as well as a listed one.
+    """
+    per = materials.withColumn("id", F.concat_ws(":", "meeting_id", "url")).join(locked_materials.select("id", F.lit(True).alias("__m")).distinct(), "id", "left")
+    status = F.coalesce("download_status", F.lit("pending"))
+    n = per.groupBy("meeting_id").agg(F.count("*").alias("n_materials"), F.count_if(F.coalesce("__m", F.lit(False))).alias("n_locked"), F.count_if(status == "downloaded").alias("n_downloaded"))
+    own = locked_meetings.select(F.col("id").alias("meeting_id"), F.lit(True).alias("__l")).distinct()
+    j = meetings.join(own, "meeting_id", "left").join(marks, "meeting_id", "left").join(n, "meeting_id", "left")
+    return j.withColumn("manual_lock", F.coalesce("__l", "manual_lock", F.lit(False))).drop("__l").fillna(0, ["n_materials", "n_locked", "n_downloaded"])
+
+
 def save_versioned(rows: DataFrame, root: str, version: str, keep: int = 30) -> None:
     """A new version beside the older ones; only the last `keep` by name stay."""
     spark = rows.sparkSession

@@ -8,7 +8,13 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from minuteloom.batches import in_batches
+from minuteloom.functions import dates
+
+#: Pages of a batch.
+PAGES = 64
 SKIPPED = frozenset({"header", "footer", "nav", "aside", "script", "style"})
 VOID = frozenset({"br", "img", "meta", "link", "input", "hr", "area", "base", "col", "embed", "source", "track", "wbr"})
 DOCUMENT_ENDS = (".pdf", ".docx", ".xlsx", ".doc", ".xls")
@@ -26,14 +32,15 @@ class Walker(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.base, self.links, self.headings, self.rows, self.title = "", [], [], [], ""
-        self.skip, self.anchor, self.heading, self.row, self.cell, self.in_title = [], None, None, None, None, False
+        self.open, self.skip, self.anchor, self.heading, self.row, self.cell, self.in_title = [], 0, None, None, None, None, False
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
         if tag == "base" and not self.base:
             self.base = a.get("href") or ""
-        if tag in SKIPPED:
-            self.skip.append(tag)
+        if tag not in VOID:
+            self.open.append(tag)
+            self.skip += tag in SKIPPED
         if tag == "title":
             self.in_title = True
         if self.skip:
@@ -48,12 +55,14 @@ class Walker(HTMLParser):
             self.cell = {"text": [], "links": []}
 
     def handle_endtag(self, tag):
-        if self.skip and tag == self.skip[-1]:
-            self.skip.pop()
-            return
+        skipped = self.skip
+        if tag in self.open:  # closes all that is open inside of it, too
+            while (last := self.open.pop()) != tag:
+                self.skip -= last in SKIPPED
+            self.skip -= tag in SKIPPED
         if tag == "title":
             self.in_title = False
-        if self.skip:
+        if skipped:
             return
         if tag == "a" and self.anchor:
             link = (self.anchor[0], " ".join("".join(self.anchor[1]).split()))
@@ -120,7 +129,7 @@ def materials_of(pages: DataFrame) -> DataFrame:
             rows = [(p, i, m["name"], m["url"], m["type"]) for p, u, h in zip(b.page_id, b.url, b.html) for i, m in enumerate(parse_materials(h, u))]
             yield pd.DataFrame(rows, columns=["page_id", "position", "name", "url", "type"])
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, position int, name string, url string, type string")
+    return in_batches(pages.select("page_id", "url", "html"), PAGES).mapInPandas(run, "page_id long, position int, name string, url string, type string")
 
 
 def parse_meeting_table(html: str | None, url: str) -> list[dict]:
@@ -166,7 +175,7 @@ def meetings_of(pages: DataFrame) -> DataFrame:
             out = pd.DataFrame(rows, columns=["page_id", "round", "date_text", "name", "n_materials"])
             yield out.astype({"round": "Int64"})
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, round long, date_text string, name string, n_materials long")
+    return in_batches(pages.select("page_id", "url", "html"), PAGES).mapInPandas(run, "page_id long, round long, date_text string, name string, n_materials long")
 
 
 def parse_text_minutes(text: str | None) -> dict:
@@ -183,6 +192,64 @@ def parse_text_minutes(text: str | None) -> dict:
     return {"date_text": date, "round": int(r[1]) if r else None}
 
 
+# Labels of the day of a meeting, and of other days, as they stand in front of a date.
+DAY_LABELS = ("実施日", "開催日時", "開催日")
+OTHER_DAYS = ("更新日", "最終更新", "掲載日", "公表日", "作成日", "ページID", "copyright", "施行期日", "施行日", "施行", "適用期日", "適用日", "公布の日", "公布日", "施行予定")
+#: Characters between such a label and the date that it is about, at most.
+LABEL_REACH = 30
+_DATE = r"(?:(?:令和|平成)\s*(?:[0-9]+|元)|[0-9]{4})\s*年\s*[0-9]{1,2}\s*月\s*[0-9]{1,2}\s*日|[0-9]{4}[/-][0-9]{1,2}[/-][0-9]{1,2}"
+
+
+def _content(html: str | None) -> str:
+    """The text of a page's content: without frames, parts named for navigation and jumps; of <main> or <article> where one holds most."""
+    import re
+
+    from minuteloom.sources.dom import Node, parse
+
+    def named(n: Node) -> str:
+        return f"{n.attrs.get('id', '')} {n.attrs.get('class', '')}".lower()
+
+    frame = re.compile("side|nav|footer|header|menu|breadcrumb|popup|modal|jump|skip")
+    root = parse(html)
+    for n in list(root.nodes()):
+        if n.tag in SKIPPED or n.tag not in ("body", "html", "a") and frame.search(named(n)) or n.tag == "a" and re.search("jump|skip", named(n)):
+            n.children = []
+    main = next((n for n in root.nodes() if n.tag in ("main", "article") and len(n.text()) > 50), None)
+    return (main or next(iter(root.find("body")), root)).text()
+
+
+def date_texts(html: str | None) -> list[dict]:
+    """Dates written in a page's content, in order: {"text", "first": behind a label of a meeting's day}; those behind a label of another day are left out."""
+    import re
+    import unicodedata
+
+    said = unicodedata.normalize("NFKC", _content(html))
+    said = re.sub(r"((?:令和|平成)\s*(?:\d+|元)\s*年|\d{4}\s*年)\s*[(][^)\n]+[)]\s*(\d{1,2}\s*月)", r"\1\2", said)  # 2026年(令和8年)3月24日
+    out = []
+    for m in re.finditer(_DATE, said):
+        before = said[max(0, m.start() - LABEL_REACH) : m.start()]
+        day = re.search("(?:" + "|".join(DAY_LABELS) + r")\s*[:：]?\s*$", before)
+        other = re.search("(?:" + "|".join(OTHER_DAYS) + r")[^年月日]*$", before, re.I)
+        if day or not other:
+            out.append({"text": re.sub(r"\s+", "", m[0]), "first": bool(day)})
+    return out
+
+
+def dates_of(pages: DataFrame, now: str) -> DataFrame:
+    """(page_id, place, text, date): distinct days of each page's content, labelled days of a meeting first; only days from 1990 to two years ahead."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(p, i, d["text"], d["first"]) for p, h in zip(b.page_id, b.html) for i, d in enumerate(date_texts(h))]
+            yield pd.DataFrame(rows, columns=["page_id", "position", "text", "first"])
+
+    found = in_batches(pages.select("page_id", "html"), PAGES).mapInPandas(run, "page_id long, position int, text string, first boolean")
+    valid = found.filter(dates.valid_date(F.col("text"), now).isNotNull())
+    each = valid.groupBy("page_id", "text").agg(F.min(F.struct((~F.col("first")).alias("late"), "position")).alias("place"))
+    order = Window.partitionBy("page_id").orderBy("place")
+    return each.select("page_id", F.row_number().over(order).alias("place"), "text", dates.parse_era_date(F.col("text")).alias("date"))
+
+
 def decode(content: bytes, declared: str | None = None) -> str:
     """Text of a page: the declared charset, the one in its first 2,048 bytes, UTF-8, CP932, EUC-JP; at last UTF-8 with replacements."""
     import re
