@@ -6,16 +6,14 @@ import atexit
 import sys
 import uuid
 from collections.abc import Callable
-from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of an Arrow batch handed to Python; whole texts are long, so batches are kept short.
-BATCH_ROWS = 512
-_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-_CHECKPOINT_DIR = "spark.checkpoint.dir"
+from minuteloom.batches import BATCH_ROWS, CHECKPOINT_DIR, in_batches
+
+__all__ = ["drop_scratch", "fold", "fresh_name", "in_batches", "in_fold", "materialize", "named", "scratch_count", "scratch_dir", "table", "utf8_rows", "with_columns", "worker_cache"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,33 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-_sessions: WeakKeyDictionary[SparkSession, dict[int, SparkSession]] = WeakKeyDictionary()
-
-
-def in_batches(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
-    """df as seen from a session of this library's own, in which an Arrow batch holds at most `rows` rows.
-
-    Spark takes that bound from the session that a plan runs in, so the plan moves, and the caller's session keeps
-    its settings. All else that is set there is set in the other session too.
-    """
-    spark = df.sparkSession
-    if spark.conf.get(_ARROW_ROWS) == str(rows):
-        return df
-    kept = _sessions.setdefault(spark, {})
-    own = kept[rows] if rows in kept else kept.setdefault(rows, spark.newSession())
-    for key, value in spark.conf.getAll.items():
-        shared = key == _CHECKPOINT_DIR or key.startswith("spark.sql.") and key != _ARROW_ROWS
-        if shared and own.conf.get(key, None) != value and (key == _CHECKPOINT_DIR or own.conf.isModifiable(key)):
-            own.conf.set(key, value)
-    own.conf.set(_ARROW_ROWS, str(rows))
-    view = f"minuteloom_{uuid.uuid4().hex}"
-    df.createGlobalTempView(view)
-    try:
-        return own.table(f"global_temp.{view}")
-    finally:
-        spark.catalog.dropGlobalTempView(view)
-
-
 def fold(col: str, mod: int) -> Column:
     """crc32 of an integer written as text, modulo; null for a null id."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % F.lit(mod)
@@ -125,10 +96,10 @@ def scratch_dir(spark: SparkSession) -> str:
     Where spark.checkpoint.dir is unset, a temporary folder is used on a single machine; on a cluster that is an error, as
     executors would write to disks of their own.
     """
-    root = spark.conf.get(_CHECKPOINT_DIR, None)
+    root = spark.conf.get(CHECKPOINT_DIR, None)
     if not root:
         if spark.sparkContext.master.split("[")[0] != "local":
-            raise RuntimeError(f"{_CHECKPOINT_DIR} is not set: intermediate tables need a folder that all executors share")
+            raise RuntimeError(f"{CHECKPOINT_DIR} is not set: intermediate tables need a folder that all executors share")
         if not _local_root:
             import tempfile
 
