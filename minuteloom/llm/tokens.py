@@ -1,7 +1,7 @@
 """Ids of a public word-BPE vocabulary for whole texts, cached by word.
 
 The vocabulary's pre-tokenizer never joins characters across white space, so a text's ids are those of its
-white-space chunks one after another. Chunks repeat, and each worker process keeps their ids in a bounded cache that
+white-space chunks one after another. Chunks and words repeat, and each worker process keeps their ids in a bounded cache that
 outlives tasks. Texts with characters outside a verified range (where Python's lower-casing and white space
 are those of the vocabulary's normalizer) go through the tokenizer itself, whole.
 """
@@ -12,8 +12,8 @@ from minuteloom.llm.common import worker_cache
 
 #: Id written after each document.
 END_ID = 2
-#: Entries of a cache before it is emptied; a worker holds two.
-CACHE_ENTRIES = 250_000
+#: Entries of a cache's young half before they become the old ones, which are forgotten.
+CACHE_ENTRIES = 400_000
 #: Longer chunks are not cached.
 CACHED_CHUNK = 48
 #: The vocabulary's split pattern. Fixed value of the public vocabulary file.
@@ -41,8 +41,8 @@ class TextEncoder:
         for n, b in enumerate(b for b in range(256) if b not in byte_char):
             byte_char[b] = chr(256 + n)
         self.byte_char = byte_char
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         import numpy as np
@@ -53,20 +53,18 @@ class TextEncoder:
         import numpy as np
 
         spelled = "".join([self.byte_char[b] for b in word.encode()])
-        ids = np.array([t.id for t in self.model.tokenize(spelled)], dtype="<u4").tobytes()
-        if len(word) <= CACHED_CHUNK:
-            if len(self.words) >= CACHE_ENTRIES:
-                self.words.clear()
-            self.words[word] = ids
-        return ids
-
-    def chunk(self, chunk: str) -> bytes:
-        words = self.words
-        ids = b"".join([words.get(w) or self.word(w) for w in self.split.findall(chunk)])
-        if len(chunk) <= CACHED_CHUNK:
-            if len(self.chunks) >= CACHE_ENTRIES:
-                self.chunks.clear()
-            self.chunks[chunk] = ids
+        return np.array([t.id for t in self.model.tokenize(spelled)], dtype="<u4").tobytes()
+
+    def piece(self, piece: str) -> bytes:
+        """The ids of a chunk or of a word in it. What was used since the young entries were last full stays."""
+        ids = self.young.get(piece) or self.old.get(piece)
+        if ids is None:
+            parts = self.split.findall(piece)
+            ids = self.word(piece) if parts == [piece] else b"".join([self.young.get(p) or self.piece(p) for p in parts])
+        if len(piece) <= CACHED_CHUNK:
+            if len(self.young) >= CACHE_ENTRIES:
+                self.old, self.young = self.young, {}
+            self.young[piece] = ids
         return ids
 
     def encode(self, text: str | None) -> bytes:
@@ -74,8 +72,8 @@ class TextEncoder:
             return b""
         if not self.plain.fullmatch(text) or "<|" in text and any(s in text for s in self.special):
             return self.whole(text)
-        get, chunk = self.chunks.get, self.chunk
-        return b"".join([get(c) or chunk(c) for c in text.lower().split()])
+        get, piece = self.young.get, self.piece
+        return b"".join([get(c) or piece(c) for c in text.lower().split()])
 
 
 def encoder(path: str) -> TextEncoder:
