@@ -96,3 +96,20 @@ def is_round_or_date_only(title: Column) -> Column:
     round_, year = rf"第\s*{number}\s*[回次](?:合同会議)?", rf"(?:令和|平成|昭和)\s*{number}\s*年度?|[0-9]{{4}}\s*年度?"
     day, held = r"[0-9]{4}[/.-][0-9]{1,2}[/.-][0-9]{1,2}|[0-9]{1,2}\s*月\s*(?:[0-9]{1,2}\s*日)?", "持ち回り開催|持ち回り|書面開催|書面|非公開|公開|開催|議事次第|配付資料|資料"
     return (plain != "") & (_without(plain, round_, year, day, held, r"[\s・_/()\-~〜:,.]") == "")
+
+
+def name_in_news(title: Column, words: list[str]) -> Column:
+    """The council that a news title names, or '': a bracketed name with one of the words, else what stands before the end of the longest word.
+
+    What stands behind the last dash before such a name counts; names have four characters at least.
+    """
+    said = _without(normal_text(title), rf"^(?:{'|'.join(LABELS)})[\s:]+")
+    some = "|".join(words)
+    said = F.regexp_replace(said, rf"^.*?[~―－](?=[^~―－]+(?:{some}))", "")
+    first = lambda i: _bare(F.coalesce(F.get(F.regexp_extract_all(said, F.lit("[「『【]([^」』】]+)[」』】]"), F.lit(1)), F.lit(i)), F.lit("")))
+    fits = lambda c: c.rlike(some) & (F.length(c) >= 4)
+    bracket = [F.when(fits(first(i)), first(i)) for i in range(3)]
+    plain = _bare(said)
+    cut = [F.when(F.contains(plain, F.lit(w)), F.concat(F.substring_index(plain, w, 1), F.lit(w))) for w in sorted(words, key=len, reverse=True)]
+    found = [F.when(fits(F.trim(_bare(c))), F.trim(_bare(c))) for c in cut]
+    return F.coalesce(*bracket, *found, F.lit(""))
