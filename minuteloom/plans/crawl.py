@@ -349,3 +349,31 @@ def news_councils(spark, d):
     url = _pick(other, other, F.concat(place, F.lit("index.html/")), F.concat(place, F.lit("dai3/x.html")), other, other)
     items = m.select(_key().alias("item_id"), F.col("ministry").cast("string").alias("ministry"), title.alias("title"), url.alias("url"))
     return entity.match_councils(items, known)
+
+
+@query("""WITH p AS (SELECT page_id, url, replace(replace(replace(html, '&lt;', ''), '&gt;', ''), '&amp;', '&') AS html FROM pages), t AS (SELECT page_id, url, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS h, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t FROM p) SELECT page_id, CASE WHEN length(trim(h)) > 3 THEN trim(regexp_replace(h, '\\s+', ' ', 'g')) WHEN trim(t) <> '' THEN trim(t) ELSE url END AS title FROM t""")
+def page_titles(spark, d):
+    """The title of each page: its first heading that is one."""
+    return links.page_titles(read(spark, d, "pages")).select("page_id", "title")
+
+
+@query("""SELECT o_orderkey AS page_id, x.n AS name, 'https://e.go.jp/' || o_orderkey || x.u AS url, x.t AS type FROM (SELECT *, CAST(o_orderkey % 9 + 1 AS VARCHAR) AS k FROM orders), unnest([{'n': '第' || k || '回 議題' || k || ' 資料1', 'u': '/1.pdf', 't': 'PDF'}, {'n': '参考の統計', 'u': '/2.xlsx', 't': 'PDF'},
+ {'n': '議事録', 'u': '/gijiroku.html', 't': 'HTML'}, {'n': '育成WG 資料', 'u': '/wg_01/3.pdf', 't': 'PDF'}, {'n': '意見書', 'u': '/pdf/4', 't': 'PDF'}]) AS y(x)""")
+def page_materials(spark, d):
+    """Materials of pages with names that say nothing by themselves: from cells, words before, the file, the folder."""
+    k, place = (_key() % 9 + 1).cast("string"), F.concat(F.lit("/"), _key())
+    link = lambda to, said: F.concat(F.lit('<a href="'), place, F.lit(f'{to}">{said}</a>'))
+    body = F.concat(
+        F.lit("<nav>"), link("/0.pdf", "資料0"), F.lit("</nav><table><tr><td>第"), k, F.lit("回 議題"), k, F.lit("</td><td>資料1："), link("/1.pdf", "PDF"), F.lit("</td></tr></table><ul><li>参考の統計（PDF：3KB） "), link("/2.xlsx", "ダウンロード"),
+        F.lit("<li>"), link("/gijiroku.html", "こちら"), F.lit("</ul><div>"), link("/wg_01/3.pdf", "資料"), F.lit("</div><div>"), link("/pdf/4", "意見書"), link("/pdf/4", "again"), link("/5.html", "地図"), F.lit("<a href='https://twitter.com/x.pdf'>資料9</a></div>"),
+    )
+    pages = meetings(spark, d).select(_key().alias("page_id"), F.concat(F.lit("https://e.go.jp"), place, F.lit("/index.html")).alias("url"), body.alias("html"))
+    return links.page_materials(pages, {"wg_": "育成WG"}).select("page_id", "name", "url", "type")
+
+
+@query("SELECT page_id, " + _case("page_id", "true", "false", "true", "false", "false") + " AS account, " + _case("page_id", "false", "false", "false", "true", "false") + " AS anchor, page_id % 5 = 4 AS material_page FROM pages")
+def material_flags(spark, d):
+    """Accounts and channels, anchors, and links to pages of materials."""
+    u = F.concat(_pick("https://x.com/", "https://www.youtube.com/watch?v=", "https://www.youtube.com/channel/", "https://e.go.jp/a.html#", "https://e.go.jp/m/", by=F.col("page_id")), F.col("page_id"))
+    rows = read(spark, d, "pages").select("page_id", u.alias("u"))
+    return rows.select("page_id", sync.is_account(F.col("u")).alias("account"), sync.is_anchor(F.col("u")).alias("anchor"), titles.is_material_page(F.when(F.col("page_id") % 5 == 4, "配付資料").otherwise("資料1"), F.col("u")).alias("material_page"))

@@ -129,6 +129,12 @@ def rollback(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{found[1]}")
 
 
+def restore_previous(spark: SparkSession, root: str, now: str) -> DataFrame:
+    """The version before the newest becomes the newest, as `now`; what was the newest stays beside it, so a second call gives it back."""
+    rollback(spark, root).write.mode("errorifexists").parquet(f"{root}/{now}")
+    return spark.read.parquet(f"{root}/{now}")
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -145,3 +145,98 @@ def news_items(pages: DataFrame, since: Column | None = None) -> DataFrame:
     found = each.filter("date is not null").groupBy("page_id", "position").agg(F.min_by("date", "place").alias("date"))
     dated = rows.join(found, ["page_id", "position"], "left")
     return dated.filter(F.col("since").isNull() | F.coalesce(F.col("date") >= F.col("since"), F.lit(False))).select("page_id", "position", "title", "url", "date")
+
+
+# Headings of an agenda that are no page's title, and words for minutes by which a page is material.
+AGENDA_HEADINGS = ("開催日時", "日時", "開催日", "場所", "議題", "議事", "出席者", "資料", "傍聴")
+MINUTES = ("議事録", "議事要旨", "議事概要", "議事次第")
+
+
+def page_titles(pages: DataFrame) -> DataFrame:
+    """(page_id, title): the first heading that is a title (h1 before h2 before h3, over three characters, no stock or agenda heading), else the page's
+    <title>, else its address."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for p, h in zip(b.page_id, b.html):
+                root = parse(h)
+                found = [n.text() for tag in ("h1", "h2", "h3") for n in root.find(tag)]
+                rows += [(p, i, False, t) for i, t in enumerate(found)] + [(p, len(found) + i, True, n.text()) for i, n in enumerate(root.find("title")[:1])]
+            yield pd.DataFrame(rows, columns=["page_id", "place", "whole", "said"])
+
+    said = in_batches(pages.select("page_id", "html"), PAGES).mapInPandas(run, "page_id long, place int, whole boolean, said string").withColumn("title", titles.clean_title(F.col("said")))
+    agenda = F.col("title").rlike(r"^[0-9０-９一二三四五六七八九十]+[．.、\s]*(?:" + "|".join(AGENDA_HEADINGS) + ")")
+    fits = ~titles.is_generic_title(F.col("title")) & (F.col("whole") | (F.length("title") > 3) & ~agenda)
+    first = said.filter(fits).groupBy("page_id").agg(F.min_by("title", "place").alias("title"))
+    return pages.select("page_id", "url").join(first, "page_id", "left").select("page_id", F.coalesce("title", "url").alias("title"))
+
+
+def _before(link: Node) -> str:
+    """What stands in the link's own element before it, back to the link before."""
+    out = []
+    for c in link.parent.children:
+        if c is link:
+            break
+        if isinstance(c, Node):
+            out = [] if c.tag == "a" else [*out, c.text()]
+        else:
+            out.append(c)
+    return " ".join(" ".join(out).split())
+
+
+def _cells_before(link: Node) -> str:
+    row = next((n for n in link.above() if n.tag == "tr"), None)
+    if row is None:
+        return ""
+    mine, said = {id(n) for n in link.above()}, []
+    for cell in row.find("td", "th"):
+        if id(cell) in mine:
+            break
+        said.append(cell.text())
+    return " ".join(t for t in said if t and t not in ("PDF", "資料"))
+
+
+def page_materials(pages: DataFrame, folders: dict[str, str] | None = None) -> DataFrame:
+    """(page_id, position, name, url, type): links outside a page's frames that are material: documents (PDF) and pages of minutes (HTML), the first of each address.
+
+    Accounts, anchors and index pages are none. A name that says nothing is made from the cells and the words before the link, else from what is around it,
+    else is that of minutes by the file's name, else gets the label that `folders` has for the file's folder.
+    """
+    columns = ["page_id", "position", "url", "said", "before", "cells", "block", "links"]
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for p, u, h in zip(b.page_id, b.url, b.html):
+                root = parse(h)
+                base = urljoin(u or "", next((n.attrs.get("href", "") for n in root.find("base")), "") or (u or ""))
+                for i, a in enumerate(root.find("a")):
+                    href = a.attrs.get("href", "").strip()
+                    if not href or href.startswith(("#", "javascript:", "mailto:", "tel:")) or any(n.tag in ("header", "footer", "nav", "aside") for n in a.above()):
+                        continue
+                    try:
+                        full = urljoin(base, href)
+                    except ValueError:
+                        continue
+                    block = next((n for n in a.above() if n.tag in ("td", "th", "li", "p", "dd", "dt")), None)
+                    rows.append((p, i, full, a.text(), _before(a), _cells_before(a), block.text() if block else "", len(block.find("a")) if block else 0))
+            yield pd.DataFrame(rows, columns=columns)
+
+    found = in_batches(pages.select("page_id", "url", "html"), PAGES).mapInPandas(run, "page_id long, position int, url string, said string, before string, cells string, block string, links int")
+    note, edges = r"(?i)[（(［]PDF[／/形式:：\s0-9.,KMB]*[）)］]", r"^[\[(（［【\s・:：.\-–—―]+|[\]］【】\s・:：.\-–—―]+$"
+    clean = lambda c: F.regexp_replace(F.trim(F.regexp_replace(text.normal_text(c), note, "")), edges, "")
+    rows = found.withColumns({"name": text.normal_text(F.col("said")), "before": clean(F.col("before")), "cells": clean(F.col("cells")), "block": F.regexp_replace(F.trim(F.regexp_replace(clean(F.col("block")), r"(?i)\bPDF\b", "")), edges, "")})
+    round_alone = F.col("cells").rlike(r"^第[0-9一-九〇百十]+回$|^(?:第[0-9一-九〇百十]+回)?\s*(?:(?:令和|平成|昭和)[0-9元]+年|[0-9]{4}年)[\s0-9年月日時分:()火水木金土日月]*$")
+    cells = F.when(round_alone, "").otherwise(F.col("cells"))
+    says = lambda c: (F.length(c) >= 2) & ~titles.is_plain_material(c)
+    made = F.coalesce(F.when((cells != "") & (F.col("before") != ""), F.concat_ws(" ", cells, "before")), F.when(says(F.col("before")), F.col("before")), F.when(says(cells), cells), F.when((F.col("links") <= 2) & says(F.col("block")), F.col("block")))
+    path = F.regexp_replace(F.lower("url"), "[?#].*$", "")
+    folder, file = F.regexp_extract(path, "([^/]*)/[^/]*$", 1), F.regexp_extract(path, "([^/]*)$", 1)
+    labels = [F.when(F.contains(folder, F.lit(k.lower())), F.concat(F.lit(f"{label} "), "name")) for k, label in (folders or {}).items()]
+    name = F.when(~titles.is_plain_material(F.col("name")), F.col("name")).otherwise(F.coalesce(made, F.when(F.contains(file, F.lit("gijiroku")), F.lit("議事録")), *labels, F.col("name")))
+    document, minutes = urls.is_document(path), has_any(F.col("name"), MINUTES) | F.contains(file, F.lit("gijiroku"))
+    account = has_any(F.lower("url"), ("twitter.com", "facebook.com", "instagram.com", "line.me"))
+    fits = rows.filter((document | minutes & ~urls.is_generic_index(F.col("url"), F.col("name"))) & ~account & ~F.col("name").isin(*v.CONTROLS))
+    kept = fits.select("page_id", "position", name.alias("name"), F.when(document, F.col("url")).otherwise(F.regexp_replace("url", "#.*$", "")).alias("url"), F.when(document, "PDF").otherwise("HTML").alias("type"))
+    return first_per_key(kept, ["page_id", "url"], [F.asc("position")]).select("page_id", "position", "name", "url", "type")

@@ -130,7 +130,7 @@ def test_names_of_files_and_folders(spark):
 def test_export_with_a_byte_order_mark(spark, tmp_path):
     rows = spark.createDataFrame([("2026/01/01", "=1+1", 'a"b')], "day string, name string, note string")
     documents.export_csv_marked(rows, str(tmp_path / "csv"), ["day", "name", "note"], ("日", "名", "注"))
-    whole = "".join(r.value for r in spark.read.option("wholetext", True).text(str(tmp_path / "csv")).collect())
+    whole = "".join(r.value for r in spark.read.text(str(tmp_path / "csv"), wholetext=True).collect())
     assert whole.lstrip("﻿").splitlines() == ['"日","名","注"', '"2026/01/01","\'=1+1","a""b"']
     assert next((tmp_path / "csv").glob("part-*")).read_bytes().startswith(b"\xef\xbb\xbf")
 
@@ -168,3 +168,39 @@ def test_requests_keep_their_distance(spark):
     rows = spark.createDataFrame([(1, "https://www.meti.go.jp/a", 0.0), (2, "https://x.meti.go.jp/a", 0.0), (3, "https://www.meti.go.jp/b", 0.1), (4, "https://www.meti.go.jp/c", 9.0), (5, None, 2.0)], "seq int, url string, at double")
     got = {r.seq: r.starts for r in admin.request_times(rows).collect()}
     assert got == pytest.approx({1: 0.0, 2: 0.0, 3: 1.5, 4: 9.0, 5: 2.0})
+
+
+def test_store_api(spark, tmp_path):
+    from minuteloom import schema
+    from minuteloom.api import Records
+
+    root = str(tmp_path / "db")
+    documents.init_store(spark, root)
+    council = lambda i, **more: {f.name: more.get(f.name, i if f.name == "id" else "x" if f.dataType.simpleString() == "string" and not f.nullable else None) for f in schema.COUNCILS}
+    rows = [council("cas-a", is_newly_discovered=True, manual_lock=True), council("cas-b", is_newly_discovered=True), council("env-c")]
+    spark.createDataFrame([tuple(r.values()) for r in rows], schema.COUNCILS).write.mode("overwrite").parquet(f"{root}/councils")
+    meeting = lambda i, date, new: tuple(i if f.name == "id" else date if f.name == "date" else new if f.name == "is_newly_discovered" else "x" if not f.nullable else None for f in schema.MEETINGS)
+    spark.createDataFrame([meeting("m1", "2026/01/01", True), meeting("m2", "2099/01/01", True), meeting("m3", "2020/01/01", False)], schema.MEETINGS).write.mode("overwrite").parquet(f"{root}/meetings")
+    records = Records(spark, root)
+    target = spark.createDataFrame([("cas-b",)], "id string")
+    left, gone = records.reject(target, "no council", "2026/01/01")
+    assert sorted(r.id for r in left.collect()) == ["cas-a", "env-c"] and rows_of(gone, "id", "reason") == [("cas-b", "no council")]
+    gone.write.mode("overwrite").parquet(f"{root}/gone")
+    assert sorted(r.id for r in records.discovered_councils().collect()) == ["cas-a", "cas-b"]
+    assert [r.id for r in records.new_meetings().collect()] == ["m2", "m1"] and [r.id for r in records.unconfirmed_meetings().collect()] == ["m2"]
+    assert {r.id: r.manual_lock for r in records.toggle_lock("councils", target).collect()} == {"cas-a": True, "cas-b": True, "env-c": False}
+    assert {r.result for r in records.crawl_states().collect()} == {"pending"} and records.rejected_councils().count() == 0
+    assert {r.segment for r in records.public_data("2026-06-01").collect()} == {"active", "archive"}
+    assert [(r.key, r.value) for r in records.save_config("k", "v").collect()] == [("k", "v")] and records.config("k").count() == 0
+    assert records.material_states().count() == 0
+    for v, n in (("v1", 1), ("v2", 2)):
+        records.save("councils", left.limit(n), v)
+    assert records.restore_previous("councils", "v3").count() == 1 and records.restore_previous("councils", "v4").count() == 2
+    assert records.backups("councils") == ["v4", "v3", "v2", "v1"]
+
+
+def test_names_of_materials_from_their_context(spark):
+    page = "<p>配付資料：<a href='a.pdf'>PDF</a></p><table><tr><th>第3回</th><td>令和6年</td><td><a href='b.pdf'>資料</a> 別添の表</td></tr></table><ul><li><a href='c.pdf'>（PDF：3KB）</a></li></ul>"
+    pages = spark.createDataFrame([(1, "https://e.go.jp/x/", page), (2, None, None)], "page_id long, url string, html string")
+    got = {r.url.rsplit("/", 1)[1]: r.name for r in links.page_materials(pages).collect()}
+    assert got["b.pdf"] == "資料 別添の表" and got["c.pdf"] == "(PDF:3KB)" and got["a.pdf"] == "PDF"
