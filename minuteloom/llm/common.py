@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from minuteloom.batches import BATCH_ROWS, CHECKPOINT_DIR, in_batches
 
-__all__ = ["drop_scratch", "fold", "fresh_name", "in_batches", "in_fold", "materialize", "named", "scratch_count", "scratch_dir", "table", "utf8_rows", "with_columns", "worker_cache"]
+__all__ = ["drop_scratch", "fold", "fresh_name", "in_batches", "in_fold", "join_unique", "materialize", "named", "scratch_count", "scratch_dir", "table", "utf8_rows", "with_columns", "worker_cache"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Rows of one key beyond which they are spread over SALTS tasks; keys that have so many are at most MOST_HOT.
+HOT_ROWS = 200_000
+MOST_HOT = 10_000
+SALTS = 64
+
+
+def join_unique(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """left joined on `key` with right, which has a row for a key at most; inner or left. left is a table, as it is counted and read again.
+
+    Rows of a key that has many go to several tasks by their hash, and the key's row of right to all of these, whatever the
+    session's own splitting of skewed joins does.
+    """
+    n = left.count()
+    limit = max(HOT_ROWS, n // MOST_HOT)
+    if n <= limit:
+        return left.join(right, key, how)
+    hot = F.broadcast(left.groupBy(key).agg(F.count("*").alias("__n")).filter(F.col("__n") > limit).select(key, F.lit(True).alias("__hot")))  # under MOST_HOT keys
+    none = F.lit(0).cast("long")
+    many = left.join(hot, key, "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(*left.columns), F.lit(SALTS))).otherwise(none)).drop("__hot")
+    salts = F.when(F.col("__hot"), F.sequence(none, F.lit(SALTS - 1).cast("long"))).otherwise(F.array(none))
+    one = right.join(hot, key, "left").withColumn("__salt", F.explode(salts)).drop("__hot")
+    return many.join(one, [key, "__salt"], how).drop("__salt")
+
+
 def fold(col: str, mod: int) -> Column:
     """crc32 of an integer written as text, modulo; null for a null id."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % F.lit(mod)

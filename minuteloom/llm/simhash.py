@@ -17,7 +17,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from minuteloom.llm.common import in_batches, materialize, named, table, utf8_rows
+from minuteloom.llm.common import in_batches, join_unique, materialize, named, table, utf8_rows
 
 SHINGLE = 4
 SEED = 42
@@ -291,10 +291,12 @@ def components(edges: DataFrame) -> DataFrame:
         place, turn = (lambda c, t=turn: F.struct(F.xxhash64(F.lit(t), F.col(c)).alias("at"), F.col(c).alias("to"))), turn + 1
         both = current.select(F.col("a").alias("n"), F.col("b").alias("m")).unionByName(current.select(F.col("b").alias("n"), F.col("a").alias("m")))
         hop = materialize(both.groupBy("n").agg(F.least(F.min(place("m")), place("n"))["to"].alias("to")))
-        two = materialize(hop.alias("h").join(hop.select(F.col("n").alias("to"), F.col("to").alias("far")), "to", "left").select("n", F.coalesce("far", "to").alias("to")))
-        labels = materialize(two.select(F.col("n").alias("node"), F.col("to").alias("label")) if labels is None else labels.join(two.withColumnRenamed("n", "label"), "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+        two = materialize(join_unique(hop, hop.select(F.col("n").alias("to"), F.col("to").alias("far")), "to", "left").select("n", F.coalesce("far", "to").alias("to")))
+        labels = materialize(two.select(F.col("n").alias("node"), F.col("to").alias("label")) if labels is None else join_unique(labels, two.withColumnRenamed("n", "label"), "label", "left").select("node", F.coalesce("to", "label").alias("label")))
         a, b = (two.select(F.col("n").alias(c), F.col("to").alias(f"{c}2")) for c in "ab")
-        current = materialize(current.join(a, "a").join(b, "b").filter("a2 <> b2").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct())
+        half = join_unique(current, a, "a").select("a2", "b")
+        both = join_unique(materialize(half), b, "b")
+        current = materialize(both.filter("a2 <> b2").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct())
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
@@ -314,8 +316,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = materialize(docs_fp.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = labelled(nodes)
     smallest = roots.groupBy("label").agg(F.min("first").alias("component_id"))
-    by_fp = materialize(roots.join(smallest, "label").select("fp", "component_id"))
-    return docs_fp.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_fp = materialize(join_unique(materialize(roots), smallest, "label").select("fp", "component_id"))
+    return join_unique(docs_fp, by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
 def op8_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:

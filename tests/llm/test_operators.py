@@ -830,3 +830,26 @@ def test_ids_with_several_vectors(spark):
     rows = [(0, [0.0, 1.0]), (1, [0.0, 1.1]), (1, [5.0, 5.0]), (2, [5.0, 5.0]), (3, [0.0, 9.0]), (0, [0.0, 1.0])]
     got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).orderBy("rank").collect()
     assert [r.vec_id for r in got] == [1, 1, 2, 3] and got[0]["score"] == pytest.approx(0.1)
+
+
+def test_hot_keys_are_spread(spark, monkeypatch):
+    left = spark.range(3000).selectExpr("id as v", "if(id % 3 = 0, null, if(id % 3 = 1, 7, id)) as k").cache()
+    right = spark.range(3000).selectExpr("id as k", "id * 2 as w").filter("k % 5 <> 0")
+    for how in ("inner", "left"):
+        want = sorted(map(repr, left.join(right, "k", how).collect()))
+        monkeypatch.setattr(common, "HOT_ROWS", 200_000)
+        assert sorted(map(repr, common.join_unique(left, right, "k", how).collect())) == want
+        monkeypatch.setattr(common, "HOT_ROWS", 100)
+        spread = common.join_unique(left, right, "k", how)
+        assert sorted(map(repr, spread.collect())) == want and spread.columns == left.join(right, "k", how).columns
+
+
+def test_components_with_hot_hubs(spark, monkeypatch):
+    """A star of 300 leaves, a path and equal fingerprints, with every key of over five rows spread."""
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    edges = spark.createDataFrame([(0, i) for i in range(1, 301)] + [(i, i + 1) for i in range(1000, 1040)], "a long, b long")
+    labels = {r.node: r.label for r in simhash.components(edges).collect()}
+    assert len({labels[i] for i in range(301)}) == 1 and len({labels[i] for i in range(1000, 1041)}) == 1 and labels[0] != labels[1000]
+    docs = spark.range(90).selectExpr("id as doc_id", "if(id % 3 = 0, '', concat('text number ', id % 7, ' of several words here')) as text")
+    rows = simhash.near_duplicates(docs).collect()
+    assert [r.component_id for r in rows] == brute_components([r.fp % 2**64 for r in rows], [r.doc_id for r in rows])
