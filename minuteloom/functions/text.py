@@ -85,5 +85,7 @@ def ministry_of(identifier: Column) -> Column:
 
 
 def bytes_label(size: Column) -> Column:
-    step = lambda unit, by: F.concat(F.format_number(size / by, 2), F.lit(f" {unit}"))
-    return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).when(size < 1024**2, step("KB", 1024)).when(size < 1024**3, step("MB", 1024**2)).otherwise(step("GB", 1024**3))
+    """A size in the largest unit that leaves it at 1 or more, up to PB, with two decimals."""
+    units = ("B", "KB", "MB", "GB", "TB", "PB")
+    label = lambda i: F.format_string(f"%.2f {units[i]}", size / F.lit(float(1024**i)))
+    return F.coalesce(*[F.when(size < 1024 ** (i + 1), label(i)) for i in range(5)], label(5))

@@ -113,7 +113,12 @@ def council_order(by: str, name: Column) -> list[Column]:
     """Sort keys of councils; undated ones come last in either direction, ties go by name."""
     col, up = SORTS.get(by, SORTS["NEWEST"])
     key = F.col("latest_date") if col == "date" else F.coalesce(F.col(col), F.lit(0))
-    return [*([F.col("latest_date").isNull().asc()] if col == "date" else []), key.asc() if up else key.desc(), name.asc(), F.col("council_id").asc()]
+    return [*([F.col("latest_date").isNull().asc()] if col == "date" else []), key.asc() if up else key.desc(), by_name(name), F.col("council_id").asc()]
+
+
+def by_name(name: Column) -> Column:
+    """Sort key of names in the order of a Japanese dictionary: kana by sound, whatever their script."""
+    return F.collate(name, "ja").asc()
 
 
 def anti_any(rows: DataFrame, *others: tuple[DataFrame, Column]) -> DataFrame:

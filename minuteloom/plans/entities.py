@@ -125,13 +125,13 @@ for _tag in ("script", "style", "nav", "header", "footer", "aside"):
     _FRAMES = f"regexp_replace({_FRAMES}, '<{_tag}[ >].*?</{_tag}>', '', 'gs')"
 
 
-@query(f"""WITH c AS (SELECT page_id, regexp_extract(url, '^https?://[^/]+') AS host, regexp_extract_all({_FRAMES}, '<a href="(/[^"#]+)">([^<]*)</a>', 1) AS h, regexp_extract_all({_FRAMES}, '<a href="(/[^"#]+)">([^<]*)</a>', 2) AS t FROM pages)
+@query(rf"""WITH c AS (SELECT page_id, regexp_extract(url, '^https?://[^/]+') AS host, regexp_extract_all({_FRAMES}, '<a href="(/[^"#]+)">([^<]*)</a>', 1) AS h, regexp_extract_all({_FRAMES}, '<a href="(/[^"#]+)">([^<]*)</a>', 2) AS t FROM pages)
  SELECT page_id, CAST(i - 1 AS INTEGER) AS position, t[i] AS name, host || h[i] AS url, CASE WHEN regexp_matches(lower(h[i]), '\.(pdf|docx?|xlsx?)$') THEN 'PDF' ELSE 'HTML' END AS type FROM c, unnest(range(1, len(h) + 1)) AS u(i)""")
 def html_materials(spark, d):
     return html.materials_of(read(spark, d, "pages"))
 
 
-@query(f"""WITH r AS (SELECT page_id, unnest(regexp_extract_all({_FRAMES}, '<tr[ >].*?</tr>')) AS x FROM pages UNION ALL SELECT page_id, unnest(regexp_extract_all({_FRAMES}, '<h[1-4][ >].*?</h[1-4]>')) FROM pages)
+@query(rf"""WITH r AS (SELECT page_id, unnest(regexp_extract_all({_FRAMES}, '<tr[ >].*?</tr>')) AS x FROM pages UNION ALL SELECT page_id, unnest(regexp_extract_all({_FRAMES}, '<h[1-4][ >].*?</h[1-4]>')) FROM pages)
  SELECT page_id, CAST(regexp_extract(x, '第\s*([0-9]+)\s*回', 1) AS BIGINT) AS round, CAST(NULL AS VARCHAR) AS date_text, regexp_replace(x, '<[^>]*>', '', 'g') AS name, CAST(len(regexp_extract_all(x, '<a ')) AS BIGINT) AS n_materials FROM r WHERE regexp_matches(x, '第\s*[0-9]+\s*回')""")
 def html_meetings(spark, d):
     return html.meetings_of(read(spark, d, "pages"))

@@ -87,6 +87,12 @@ def export_csv_marked(rows: DataFrame, path: str, columns: list[str], header: tu
     csv_lines(rows, columns).select("line").mapInPandas(run, "value string").write.mode("overwrite").text(path)
 
 
+def markdown_lines(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """rows with `line`: the columns as a line of a Markdown table; bars in values are escaped, nulls are empty."""
+    cell = lambda c: F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|"))
+    return rows.withColumn("line", F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(c) for c in columns]), F.lit(" |")))
+
+
 def export_json(rows: DataFrame, path: str) -> None:
     """One JSON object a line, null fields left out."""
     rows.write.mode("overwrite").json(path)

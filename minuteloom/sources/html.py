@@ -192,6 +192,19 @@ def parse_text_minutes(text: str | None) -> dict:
     return {"date_text": date, "round": int(r[1]) if r else None}
 
 
+def text_minutes(rows: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, date_text, round) of plain minutes."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [parse_text_minutes(t) for t in b[column]]
+            out = pd.DataFrame({key: b[key], "date_text": [f["date_text"] for f in found], "round": [f["round"] for f in found]})
+            yield out.astype({"round": "Int64"})
+
+    return in_batches(rows.select(key, column), PAGES).mapInPandas(run, f"{key} {kind}, date_text string, round long")
+
+
 # Labels of the day of a meeting, and of other days, as they stand in front of a date.
 DAY_LABELS = ("実施日", "開催日時", "開催日")
 OTHER_DAYS = ("更新日", "最終更新", "掲載日", "公表日", "作成日", "ページID", "copyright", "施行期日", "施行日", "施行", "適用期日", "適用日", "公布の日", "公布日", "施行予定")
