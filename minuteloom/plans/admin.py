@@ -96,7 +96,7 @@ def normalised_batch(spark, d):
     return admin.normalise(_texts(spark, d), ["name"])
 
 
-@query("SELECT count_if(p_partkey % 3 <> 2) AS changed, count_if(p_partkey % 3 = 0) AS radicals_before, 0 AS radicals_after FROM part")
+@query("SELECT CAST(count_if(p_partkey % 3 <> 2) AS BIGINT) AS changed, CAST(count_if(p_partkey % 3 = 0) AS BIGINT) AS radicals_before, 0::BIGINT AS radicals_after FROM part")
 def normalised_stats(spark, d):
     rows = _texts(spark, d)
     return admin.normalise_stats(rows, admin.normalise(rows, ["name"]), ["name"])
@@ -136,7 +136,7 @@ def report_head(spark, d):
     return meetings(spark, d).filter("date >= timestamp '2000-06-01'").orderBy("meeting_id").limit(30).select("meeting_id")
 
 
-@query("SELECT 0 AS n")
+@query("SELECT 0::BIGINT AS n")
 def disjoint_segments(spark, d):
     """No meeting is both active and archived."""
     segment = documents.public_view(meetings(spark, d).select("meeting_id", F.date_format("date", "yyyy/MM/dd").alias("date")), "2001-08-01")
@@ -193,7 +193,7 @@ def json_lines(spark, d):
 
 
 @query("""SELECT o_orderkey AS meeting_id, o_orderstatus = 'P' OR o_orderkey % 7 = 0 AS manual_lock, CASE WHEN o_orderkey % 2 = 0 THEN '2026/01/01' END AS discovered_at, coalesce(n, 0) AS n_materials, coalesce(l, 0) AS n_locked, coalesce(w, 0) AS n_downloaded
- FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, count_if(l_linenumber = 1) AS l, count_if(l_linestatus = 'F') AS w FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")
+ FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, CAST(count_if(l_linenumber = 1) AS BIGINT) AS l, CAST(count_if(l_linestatus = 'F') AS BIGINT) AS w FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")
 def full_scan(spark, d):
     """All meetings with locks, crawl marks and download states laid over them."""
     m = meetings(spark, d).select("meeting_id", (F.col("flag") == "P").alias("manual_lock"))
@@ -283,7 +283,7 @@ def anomalies(spark, d):
     return m.select("meeting_id", F.array_join(quality.meeting_anomalies(row, "1999-09-16"), ",").alias("codes"))
 
 
-@query("""SELECT l_orderkey AS meeting_id, l_linenumber AS line, CASE WHEN l_linenumber % 3 = 1 THEN 100 + l_linenumber ELSE 0 END AS file_size, CASE WHEN l_linenumber % 3 = 1 THEN 'downloaded' ELSE 'pending' END AS download_status FROM lineitem""")
+@query("""SELECT l_orderkey AS meeting_id, l_linenumber AS line, CAST(CASE WHEN l_linenumber % 3 = 1 THEN 100 + l_linenumber ELSE 0 END AS BIGINT) AS file_size, CASE WHEN l_linenumber % 3 = 1 THEN 'downloaded' ELSE 'pending' END AS download_status FROM lineitem""")
 def local_files(spark, d):
     """Download states anew from the files that are there: present, empty, or missing."""
     place = F.concat_ws("/", "meeting_id", "line")
@@ -292,7 +292,7 @@ def local_files(spark, d):
     return documents.sync_local_files(rows, files).select("meeting_id", "line", "file_size", "download_status")
 
 
-@query("SELECT 5 AS newly_failed, count(*) AS before, count_if(o_orderstatus <> 'F') AS after, 'ministries_failed' || CASE WHEN count_if(o_orderstatus <> 'F') < 0.95 * count(*) THEN ',shrunk' ELSE '' END AS codes FROM orders")
+@query("SELECT 5 AS newly_failed, count(*) AS before, CAST(count_if(o_orderstatus <> 'F') AS BIGINT) AS after, 'ministries_failed' || CASE WHEN CAST(count_if(o_orderstatus <> 'F') AS BIGINT) < 0.95 * count(*) THEN ',shrunk' ELSE '' END AS codes FROM orders")
 def breaker(spark, d):
     """The verdict on a run from its counts."""
     from minuteloom.operators.merge import breaker as verdict

@@ -108,7 +108,7 @@ def generic_titles(spark, d):
     return rows.select("meeting_id", titles.is_generic_title(F.col("title"), excluded).alias("generic"), titles.is_notice(F.lit(""), F.col("title")).alias("notice"))
 
 
-@query("SELECT page_id, " + _case("page_id", "false", "true", "true", "false", "true", "false", "true", "false") + " AS generic, " + _case("page_id", "false", "false", "false", "false", "false", "true", "true", "false") + " AS notice, page_id % 8 = 7 AS is_parent, page_id % 8 = 3 AS is_document, page_id % 2 = 1 AS foreign_host, CASE WHEN page_id % 2 = 1 THEN 1.5 ELSE 0.5 END AS seconds FROM pages")
+@query("SELECT page_id, " + _case("page_id", "false", "true", "true", "false", "true", "false", "true", "false") + " AS generic, " + _case("page_id", "false", "false", "false", "false", "false", "true", "true", "false") + " AS notice, page_id % 8 = 7 AS is_parent, page_id % 8 = 3 AS is_document, page_id % 2 = 1 AS foreign_host, CAST(CASE WHEN page_id % 2 = 1 THEN 1.5 ELSE 0.5 END AS DOUBLE) AS seconds FROM pages")
 def page_rules(spark, d):
     """Index pages, notices, parents, documents, hosts of another ministry and how long to wait for them."""
     base = F.concat(F.when(F.col("page_id") % 2 == 1, "https://www.meti.go.jp/c/").otherwise("https://council.env.go.jp/c/"), F.col("page_id"))
@@ -121,7 +121,7 @@ def page_rules(spark, d):
     )
 
 
-@query("SELECT user_id AS host, event_id AS seq, w * k + max(t - w * k) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS starts FROM (SELECT event_id, user_id, value AS t, CASE WHEN user_id % 2 = 0 THEN 1.5 ELSE 0.5 END AS w, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events)")
+@query("SELECT user_id AS host, event_id AS seq, w * k + max(t - w * k) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS starts FROM (SELECT event_id, user_id, value AS t, CAST(CASE WHEN user_id % 2 = 0 THEN 1.5 ELSE 0.5 END AS DOUBLE) AS w, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events)")
 def request_times(spark, d):
     """When each request may start so that a host is left alone long enough."""
     from minuteloom.operators.admin import request_times as times

@@ -85,7 +85,7 @@ def admitted_links(spark, d):
     return discovery.admit_links(rows, by_url.unionByName(by_name), ["検討会"]).select("position", "name")
 
 
-@query("SELECT o_orderkey AS meeting_id, CASE o_orderkey % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 WHEN 2 THEN 0.0 ELSE 0.0 END AS ratio, o_orderkey % 4 >= 2 AS inconsistent FROM orders")
+@query("SELECT o_orderkey AS meeting_id, CAST(CASE o_orderkey % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.0 END AS DOUBLE) AS ratio, o_orderkey % 4 >= 2 AS inconsistent FROM orders")
 def title_likeness(spark, d):
     """How like titles are to their council's name: equal, half, not at all, or none."""
     rows = meetings(spark, d).select("meeting_id", _pick("成長検討会", "成長ab", "xyz", None).alias("title"), _pick("成長検討会", "成長cd", "成長検討会", "成長検討会").alias("name"))

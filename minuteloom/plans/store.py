@@ -43,9 +43,9 @@ _MATERIALS = f"m AS (SELECT l_linenumber = 1 AS lock, l_returnflag = 'R' AS got,
 
 
 @query(f"""WITH c AS (SELECT c_acctbal >= 0 AS s, c_nationkey % 5 = 0 AS lock FROM customer), o AS (SELECT o_orderdate < TIMESTAMP '2000-06-01' AS s, o_orderdate >= TIMESTAMP '1999-06-01' AS i, o_orderstatus = 'P' AS lock FROM orders), {_MATERIALS}
- SELECT * FROM (SELECT count_if(NOT s) AS councils_inserted, count_if(s AND NOT lock) AS councils_updated, count_if(s AND lock) AS councils_skipped_lock, count_if(NOT s) AS rules_synced, 0 AS statuses_synced, 0 AS configs_synced FROM c),
- (SELECT count_if(i AND NOT s) AS meetings_inserted, count_if(i AND s AND NOT lock) AS meetings_updated, count_if(i AND s AND lock) AS meetings_skipped_lock FROM o),
- (SELECT count_if(i AND NOT s) AS materials_inserted, count_if(i AND s AND NOT lock) AS materials_updated, count_if(i AND s AND NOT lock AND got) AS materials_preserved, count_if(i AND s AND lock) AS materials_skipped_lock FROM m)""")
+ SELECT * FROM (SELECT CAST(count_if(NOT s) AS BIGINT) AS councils_inserted, CAST(count_if(s AND NOT lock) AS BIGINT) AS councils_updated, CAST(count_if(s AND lock) AS BIGINT) AS councils_skipped_lock, CAST(count_if(NOT s) AS BIGINT) AS rules_synced, 0::BIGINT AS statuses_synced, 0::BIGINT AS configs_synced FROM c),
+ (SELECT CAST(count_if(i AND NOT s) AS BIGINT) AS meetings_inserted, CAST(count_if(i AND s AND NOT lock) AS BIGINT) AS meetings_updated, CAST(count_if(i AND s AND lock) AS BIGINT) AS meetings_skipped_lock FROM o),
+ (SELECT CAST(count_if(i AND NOT s) AS BIGINT) AS materials_inserted, CAST(count_if(i AND s AND NOT lock) AS BIGINT) AS materials_updated, CAST(count_if(i AND s AND NOT lock AND got) AS BIGINT) AS materials_preserved, CAST(count_if(i AND s AND lock) AS BIGINT) AS materials_skipped_lock FROM m)""")
 def sync_counters(spark, d):
     """All thirteen counters of a sync of the whole dataset."""
     return store.sync_dataset(*_tables(spark, d))[1]
@@ -105,7 +105,7 @@ def bundle_checks(spark, d):
     return rows.filter(mine).select(F.col("n").alias("k"), "error").unionByName(one(store.bundle_errors(c, none(m), none(p)))).unionByName(one(store.bundle_errors(none(c), none(m), p)))
 
 
-@query("""WITH n AS (SELECT l_orderkey, count(DISTINCT l_returnflag) AS n FROM lineitem GROUP BY 1) SELECT 'councils' AS name, count(*) AS n, count_if(c_custkey % 3 = 0) AS locked FROM customer UNION ALL SELECT 'meetings', count(*), count_if(o_orderkey % 7 = 0 OR o_orderstatus = 'P') FROM orders
+@query("""WITH n AS (SELECT l_orderkey, count(DISTINCT l_returnflag) AS n FROM lineitem GROUP BY 1) SELECT 'councils' AS name, count(*) AS n, CAST(count_if(c_custkey % 3 = 0) AS BIGINT) AS locked FROM customer UNION ALL SELECT 'meetings', count(*), CAST(count_if(o_orderkey % 7 = 0 OR o_orderstatus = 'P') AS BIGINT) FROM orders
  UNION ALL SELECT 'council_materials', count(*), 0 FROM customer UNION ALL SELECT 'materials', CAST(sum(n) AS BIGINT), (SELECT count(DISTINCT l_orderkey) FROM lineitem WHERE l_returnflag = 'R') FROM n""")
 def seeded_tables(spark, d):
     """Rows and locks of the tables that a nested document gives: parents by the last, children by the first of each address."""
