@@ -51,9 +51,15 @@ def _any(*conditions: Column) -> Column:
     return reduce(or_, [F.coalesce(c, F.lit(False)) for c in conditions])
 
 
-def is_noise(name: Column, raw: Column | None = None, url: Column | None = None) -> Column:
-    """Whether a name is no council's. Null and short names (under 4 characters when cleaned) are noise."""
-    clean, said = names.clean_name(name), F.trim(F.concat_ws(" ", name, *([] if raw is None else [raw])))
+def settled(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with columns that are worked out once: conditions on them are not pushed below, where each would spell them out again."""
+    once = rows.withColumns({**columns, "__once": F.monotonically_increasing_id()})
+    return once.filter("__once >= 0").drop("__once")
+
+
+def is_noise(name: Column, raw: Column | None = None, url: Column | None = None, clean: Column | None = None) -> Column:
+    """Whether a name is no council's. Null and short names (under 4 characters when cleaned) are noise. clean: the cleaned name, where it is a column already."""
+    clean, said = names.clean_name(name) if clean is None else clean, F.trim(F.concat_ws(" ", name, *([] if raw is None else [raw])))
     tests = [F.length(clean) < 4, clean.isin(*PORTALS), F.trim(name).isin(*PORTALS), clean.rlike(PAGE_ENDS), clean.rlike(PAGE_STARTS), said.rlike("|".join(DOINGS)), said.rlike(r"COP\d+"), contains_any(said, OTHER_BODIES)]
     return _any(*tests, *([] if url is None else [url.rlike(FILES)]))
 
@@ -91,18 +97,19 @@ def admit_links(links: DataFrame, known: DataFrame, keywords: list[str], exclude
     """
     body = F.trim("text")
     fits = F.length(body).between(3, 100) & contains_any(body, keywords) & ~contains_any(body, excluded)
-    rows = links.filter(fits & F.col("url").isNotNull() & ~is_noise(F.col("text"), None, F.col("url")) & ~is_press_url(F.col("url")))
-    rows = rows.withColumn("name", F.when(F.col("text").rlike(ROUND), names.clean_name(F.col("text"))).otherwise(body))
-    rows = rows.filter((F.length("name") >= 4) & ~is_noise(F.col("name"), F.col("text"), F.col("url")))
-    rows = rows.withColumns({"key": urls.clean_key(F.col("url")), "clean": names.clean_name(F.col("name")), "core": names.core_name(F.col("name"))})
+    rows = settled(links.filter(fits & F.col("url").isNotNull() & ~is_press_url(F.col("url"))), said=names.clean_name(F.col("text")))
+    rows = rows.filter(~is_noise(F.col("text"), None, F.col("url"), F.col("said")))
+    rows = settled(rows, name=F.when(F.col("text").rlike(ROUND), F.col("said")).otherwise(body))
+    rows = settled(rows, key=urls.clean_key(F.col("url")), clean=names.clean_name(F.col("name")), core=names.core_name(F.col("name")))
+    rows = rows.filter((F.length("name") >= 4) & ~is_noise(F.col("name"), F.col("text"), F.col("url"), F.col("clean")))
     rows = rows.join(known.select(urls.clean_key(F.col("official_url")).alias("key")).distinct(), "key", "left_anti")
     stored = known.select("name").distinct()
     for c in ("name", "clean"):
         rows = rows.join(stored.withColumnRenamed("name", c), c, "left_anti")
     rows = rows.join(stored.select(names.core_name(F.col("name")).alias("core")).filter("core <> ''").distinct(), "core", "left_anti")
+    near = twins(rows.select("ministry", F.explode(F.array("name", "clean")).alias("name")).distinct(), known)
     for c in ("name", "clean"):
-        near = twins(rows.select("ministry", F.col(c).alias("name")).distinct(), known).withColumnRenamed("name", c)
-        rows = rows.join(near, ["ministry", c], "left_anti")
+        rows = rows.join(near.withColumnRenamed("name", c), ["ministry", c], "left_anti")
     first = first_per_key(rows, ["ministry", "core"], [F.asc("position"), F.asc("url")])
     return first.select("ministry", "position", "name", "url", names.category(F.concat_ws(" ", "name", "text")).alias("category"))
 
