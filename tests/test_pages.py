@@ -204,3 +204,39 @@ def test_names_of_materials_from_their_context(spark):
     pages = spark.createDataFrame([(1, "https://e.go.jp/x/", page), (2, None, None)], "page_id long, url string, html string")
     got = {r.url.rsplit("/", 1)[1]: r.name for r in links.page_materials(pages).collect()}
     assert got["b.pdf"] == "資料 別添の表" and got["c.pdf"] == "(PDF:3KB)" and got["a.pdf"] == "PDF"
+
+
+def test_rows_of_queries_without_sql(spark, sf_dir):
+    from difflib import SequenceMatcher
+
+    from minuteloom import registry
+    from minuteloom.schema import councils, meetings
+
+    run = lambda name: registry.QUERIES[name](spark, sf_dir)
+    assert sorted(rows_of(run("council_match"), "item_id", "council_id", "reason")) == [(1, "cas-ai", "BRACKET_NAME"), (2, "cas-dep", "URL_PATH_MATCH"), (3, "cas-dep", "TEXT_CONTAINS"), (4, "cas-old", "URL_EXACT")]
+    assert sorted(rows_of(run("merge_scraped"), "meeting_id", "action")) == [("cas-a-20260401-001", "merged"), ("cas-a-20260501-002", "inserted"), ("cas-b-20260501-s01", "inserted")]
+    known = {r.meeting_id: (r.label, r.category) for r in meetings(spark, sf_dir).join(councils(spark, sf_dir), "council_id").collect()}
+    got = run("title_consistency").collect()
+    assert len(got) == len(known)
+    for r in got:
+        ratio = SequenceMatcher(None, *known[r.meeting_id]).ratio()
+        assert r.ratio == ratio and r.inconsistent == (ratio < 0.40)
+
+
+def test_batches_that_come_twice(spark, tmp_path):
+    """Attempts are seen once a key, and a merge by key gives the same table when a batch comes again."""
+    from minuteloom.operators import merge
+    from minuteloom.streaming import crawl as streams
+
+    rows = spark.createDataFrame([("2024-01-01 10:00:00", 1, "a"), ("2024-01-01 10:00:00", 1, "a"), ("2024-01-01 11:00:00", 2, "b")], "ts string, k int, v string").withColumn("ts", F.to_timestamp("ts"))
+    rows.write.parquet(str(tmp_path / "in"))
+    state = {"table": spark.createDataFrame([(2, "old")], "k int, v string"), "batches": 0}
+
+    def apply(batch, _):
+        for _ in range(2):
+            state["table"] = spark.createDataFrame(merge.upsert(state["table"], batch.select("k", "v"), ["k"]).collect(), "k int, v string")
+        state["batches"] += 1
+
+    stream = streams.first_seen(streams.attempts_stream(spark, str(tmp_path / "in"), rows.schema), "k")
+    streams.upsert_batches(stream, str(tmp_path / "cp"), apply).awaitTermination()
+    assert sorted(map(tuple, state["table"].collect())) == [(1, "a"), (2, "b")] and state["batches"] >= 1
