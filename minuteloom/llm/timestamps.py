@@ -20,6 +20,8 @@ STAMP = rf"\A({_DATE}){_TIME}\z"
 LAYOUTS = (("____-__-__", "yyyy-MM-dd"), ("________", "yyyyMMdd"), ("__.__.____", "dd.MM.yyyy"), ("__ ___ ____", "dd MMM yyyy"))
 SLASHED = "__/__/____"
 DAY_FIRST, MONTH_FIRST = "dd/MM/yyyy", "MM/dd/yyyy"
+#: Tasks over which the open rows of a source are spread.
+SALTS = 64
 SECOND = 1_000_000
 MINUTE = 60 * SECOND
 DAY = 86_400 * SECOND
@@ -31,7 +33,7 @@ def _wall(date: Column, clock: Column, layout: str) -> Column:
 
 
 def parsed(stamps: DataFrame, keep: list[str], raw_col: str, zone_col: str, source_col: str) -> DataFrame:
-    """k0.. (the columns `keep`), zone, source, state (bad, epoch, plain, open), utc, shift, wall, day_first and month_first of every row.
+    """k0.. (the columns `keep`), zone, source, state (bad, epoch, plain, open), utc, shift, wall, day_first, month_first and a salt of every row.
 
     utc is known of epochs, shift (microseconds of the written offset) where there is one, wall of plain stamps. Open stamps have
     both of day_first and month_first, plain slashed ones of a single order just that one.
@@ -56,7 +58,7 @@ def parsed(stamps: DataFrame, keep: list[str], raw_col: str, zone_col: str, sour
     some = F.coalesce("wall", "day_first", "month_first")
     two = F.coalesce(F.col("day_first") != F.col("month_first"), F.lit(False))
     state = F.when(F.col("utc").isNotNull(), "epoch").when(some.isNull() | F.coalesce("broken", F.lit(False)) | ~placed, "bad").when(two, "open").otherwise("plain")
-    return walls.select(*[f"k{i}" for i in range(len(keep))], "zone", "source", state.alias("state"), "utc", "shift", F.when(~two, some).alias("wall"), "day_first", "month_first")
+    return walls.select(*[f"k{i}" for i in range(len(keep))], "zone", "source", state.alias("state"), "utc", "shift", F.when(~two, some).alias("wall"), "day_first", "month_first", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).alias("salt"))
 
 
 def known_zone(zone: Column, spark: SparkSession) -> Column:
@@ -101,8 +103,10 @@ def normalise(stamps: DataFrame, keep: list[str], raw_col: str = "raw", zone_col
     keep = [c for c in keep if c.lower() not in ("utc_us", "rule", "ambiguous")]
     rows = materialize(parsed(stamps, keep, raw_col, zone_col, source_col))
     kept = [f"k{i}" for i in range(len(keep))]
-    open_rows = rows.filter("state = 'open'").select(*kept, "zone", "shift", "day_first", "month_first", _source().alias("of"))
-    voted = join_unique(open_rows, source_votes(rows), "of", "left")
+    open_rows = rows.filter("state = 'open'").select(*kept, "zone", "shift", "day_first", "month_first", "salt", _source().alias("of"))
+    # Each source's winner goes to all salts, so that no source's rows meet in one task.
+    winners = source_votes(rows).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    voted = open_rows.join(winners, ["of", "salt"], "left")
     wall = F.when(F.col("winner") == "d", F.col("day_first")).otherwise(F.col("month_first"))
     rule = F.when(F.col("winner").isNull(), "default").otherwise("votes")
     decided = voted.select(*kept, "zone", "shift", wall.alias("wall"), rule.alias("rule"))
