@@ -1,6 +1,6 @@
 """Queries of this subpackage, and SQL for those that SQL can say."""
 
-from minuteloom.llm import decontaminate, language, neighbours, packing, pii, quality, separators, sharding, simhash, timestamps, toxicity, whitening
+from minuteloom.llm import decontaminate, language, mtree, neighbours, packing, pii, quality, separators, sharding, simhash, timestamps, toxicity, whitening
 
 QUERIES = {
     f.__name__: f
@@ -15,9 +15,10 @@ QUERIES = {
         simhash.op8_simhash_pigeonhole,
         separators.op9_separator_scan,
         neighbours.op10_multiprobe_neighbours,
+        mtree.op11_mtree_products,
         timestamps.op12_mixed_timestamps,
         whitening.op13_tsqr_whitening,
     )
 }
 
-ORACLES = {"op4_wu_manber_decontamination": decontaminate.OP4_SQL, "op12_mixed_timestamps": timestamps.OP12_SQL}
+ORACLES = {"op4_wu_manber_decontamination": decontaminate.OP4_SQL, "op11_mtree_products": mtree.OP11_SQL, "op12_mixed_timestamps": timestamps.OP12_SQL}
