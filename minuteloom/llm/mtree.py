@@ -28,7 +28,7 @@ SCALE = 1024
 MOST = 1 << 53
 LONG = (1 << 63) - 1
 #: Entries of a page, and vectors of a tree, at most.
-PAGE = 128
+PAGE = 256
 TREE_ROWS = 2_048
 #: Pivots and their bytes, at most: they are sent to every task.
 MOST_PIVOTS = 1_024
@@ -87,11 +87,12 @@ def distances(x, c):
     return np.sqrt(((x - c) ** 2).sum(axis=1))
 
 
-def products(x, q):
-    """Exact inner products of rows of whole doubles (2^53 at most) with q, as longs; beyond a long, the nearest one."""
+def products(x, q, most: float | None = None):
+    """Exact inner products of rows of whole doubles (2^53 at most) with q, as longs; beyond a long, the nearest one. most: what bounds the sum of any row's terms."""
     import numpy as np
 
-    most = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * x.shape[1]
+    if most is None:
+        most = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * x.shape[1]
     if most < 1 << 53:
         return (x @ q).astype(np.int64)
     whole, other = x.astype(np.int64), q.astype(np.int64)
@@ -232,11 +233,14 @@ class Forest:
     def __init__(self):
         self.pages: dict[tuple[int, int], tuple] = {}
         self.roots: dict[int, tuple] = {}
-        #: Distances and inner products worked out so far, of entries that were met and that were computed.
+        #: Entries of the pages that were looked at, and those of which a distance or a product was worked out.
         self.met = self.computed = 0
 
     def add(self, tree: int, page: int, leaf: bool, most: float, centre, child, first, near, radius, norm, x) -> None:
-        self.pages[tree, page] = leaf, child, first, near, radius, norm, x
+        import numpy as np
+
+        reach = float(np.abs(x).max(initial=0)) * x.shape[1]
+        self.pages[tree, page] = leaf, child, first, near, None if leaf else radius, norm, norm * norm, reach, x
         if page == 0:
             self.roots[tree] = centre, float((near + radius).max(initial=0.0)), most
 
@@ -244,49 +248,53 @@ class Forest:
         """(cids, firsts, scores) of the `top` largest inner products with q that reach `least`, ties to the smaller first id; best bound first."""
         import numpy as np
 
-        size = float(np.sqrt((q * q).sum()))
+        square = float(q @ q)
+        size, largest = math.sqrt(square), float(np.abs(q).max(initial=0))
         counter, heap = 0, []
-
-        def bound(d, product, near, radius, norm):
-            low = np.maximum(np.abs(d - near) - radius, 0.0)
-            most = np.minimum((size * size + norm * norm - low * low) / 2, product + size * (near + radius))
-            return most + SLACK * (size + norm) ** 2
-
-        def push(tree, page, d, product, most):
-            nonlocal counter
-            counter += 1
-            heapq.heappush(heap, (-most, counter, tree, page, d, product))
-
         for tree in trees:
             centre, radius, norm = self.roots[tree]
             d, product = float(distances(centre[None], q)[0]), float(centre @ q)
-            most = float(bound(d, product, 0.0, radius, norm))
+            low = max(d - radius, 0.0)
+            slack = SLACK * (size + norm) ** 2  # norm bounds those of all entries of the tree
+            most = min((square + norm * norm - low * low) / 2, product + size * radius) + slack
             if most >= least:
-                push(tree, 0, d, product, most)
+                counter += 1
+                heapq.heappush(heap, (-most, counter, tree, 0, d, product, slack))
         cids, firsts, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         while heap and -heap[0][0] >= least:
-            _, _, tree, page, d, product = heapq.heappop(heap)
-            leaf, child, first, near, radius, norm, x = self.pages[tree, page]
-            open_ = np.flatnonzero(bound(d, product, near, radius, norm) >= least)
+            _, _, tree, page, d, product, slack = heapq.heappop(heap)
+            leaf, child, first, near, radius, norm, norms, reach, x = self.pages[tree, page]
+            # What the stored distances to the page's centre allow each entry, before anything of it is worked out.
+            low = np.abs(near - d)
+            if not leaf:
+                low = np.maximum(low - radius, 0.0)
+            far = near if leaf else near + radius
+            bound = np.minimum((square + norms - low * low) / 2, product + size * far) + slack
+            open_ = np.flatnonzero(bound >= least)
             self.met += len(child)
-            self.computed += len(open_)
             if not len(open_):
                 continue
-            own = x if len(open_) == len(x) else x[open_]
-            exact = products(own, q)
-            if not leaf:
-                away = distances(own, q)
-                most = bound(away, exact.astype(np.float64), 0.0, radius[open_], norm[open_])
-                for i in np.flatnonzero(most >= least).tolist():
-                    push(tree, int(child[open_[i]]), float(away[i]), float(exact[i]), float(most[i]))
+            every = 2 * len(open_) > len(x)  # cheaper than to copy most rows
+            own = x if every else x[open_]
+            self.computed += len(own)
+            exact = products(own, q, reach * largest)
+            if leaf:
+                good = np.flatnonzero(exact >= least)
+                if len(good):
+                    at = good if every else open_[good]
+                    cids, firsts, scores = np.concatenate([cids, child[at]]), np.concatenate([firsts, first[at]]), np.concatenate([scores, exact[good]])
+                    some = np.lexsort((cids, firsts, ~scores))[:top]
+                    cids, firsts, scores = cids[some], firsts[some], scores[some]
+                    if len(scores) == top:
+                        least = max(least, float(scores[-1]))
                 continue
-            good = np.flatnonzero(exact >= least)
-            if len(good):
-                cids, firsts, scores = (np.concatenate(pair) for pair in ((cids, child[open_[good]]), (firsts, first[open_[good]]), (scores, exact[good])))
-                some = np.lexsort((cids, firsts, ~scores))[:top]
-                cids, firsts, scores = cids[some], firsts[some], scores[some]
-                if len(scores) == top:
-                    least = max(least, float(scores[-1]))
+            at = np.arange(len(x)) if every else open_
+            away, said = distances(own, q), exact.astype(np.float64)
+            low = np.maximum(away - radius[at], 0.0)
+            most = np.minimum((square + norms[at] - low * low) / 2, said + size * radius[at]) + slack
+            for i in np.flatnonzero(most >= least).tolist():
+                counter += 1
+                heapq.heappush(heap, (-float(most[i]), counter, tree, int(child[at[i]]), float(away[i]), float(said[i]), slack))
         return cids, firsts, scores
 
 

@@ -79,7 +79,7 @@ def test_stored_bounds_spare_computations():
     for at, (leaf, centre, entries, near, radius, norm) in enumerate(pages := mtree.bulk_load(x, 32)):
         shown = x[entries] if leaf else x[[pages[e][1] for e in entries]]
         assert len(entries) <= 32 and np.allclose(near, mtree.distances(shown, x[centre]))
-        forest.add(1, at, leaf, 1e9, x[centre], entries, entries, near, radius, norm, shown)
+        forest.add(1, at, leaf, 1e6, x[centre], entries, entries, near, radius, norm, shown)
     for q in x[::100]:
         ids, _, scores = forest.best(q, [1], 11)
         exact = x @ q
