@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from minuteloom.functions.text import let
 from minuteloom.functions.udf import nfkc
 from minuteloom.schema import UNKNOWN_DATE
 
@@ -68,9 +69,8 @@ def scanned_dates(text: Column) -> Column:
 
 def parse_era_date(text: Column) -> Column:
     """The first readable date by notation: of each the first one found, as long as it is a day. Null for none."""
-    found = scanned_dates(F.trim(text))
-    first = lambda kind: F.get(F.filter(found, lambda x: x["kind"] == kind), F.lit(0))["date"]
-    return F.coalesce(*[first(kind) for kind in range(6)])
+    first = lambda found, kind: F.get(F.filter(found, lambda x: x["kind"] == kind), F.lit(0))["date"]
+    return let(scanned_dates(F.trim(text)), lambda found: F.coalesce(*[first(found, kind) for kind in range(6)]))
 
 
 def valid_date(text: Column, now: str) -> Column:
@@ -82,8 +82,8 @@ def valid_date(text: Column, now: str) -> Column:
 def resolve_date(found: Column, title: Column, url: Column) -> Column:
     """struct(date, unconfirmed): the day that the page, else the title, else the address tells, as yyyy/MM/dd; else the sentinel, unconfirmed."""
     loose = F.try_to_date(F.concat_ws("-", *[F.regexp_extract(found, r"([0-9]{4})[/-]([0-9]{1,2})[/-]([0-9]{1,2})", i) for i in (1, 2, 3)]), "yyyy-M-d")
-    day = F.coalesce(parse_era_date(found), loose, parse_era_date(title), date_from_url(url))
-    return F.struct(F.coalesce(F.date_format(day, "yyyy/MM/dd"), F.lit(UNKNOWN_DATE)).alias("date"), day.isNull().alias("unconfirmed"))
+    days = F.coalesce(parse_era_date(found), loose, parse_era_date(title), date_from_url(url))
+    return let(days, lambda day: F.struct(F.coalesce(F.date_format(day, "yyyy/MM/dd"), F.lit(UNKNOWN_DATE)).alias("date"), day.isNull().alias("unconfirmed")))
 
 
 def news_date(text: Column, base_year: Column) -> Column:
@@ -96,25 +96,43 @@ def news_date(text: Column, base_year: Column) -> Column:
     return F.coalesce(F.date_format(full, "yyyy/MM/dd"), short)
 
 
-#: Dates in an address: digits between separators, or in one run, behind a word for meetings, behind an era's letter. Groups: year, month, day.
-URL_DATES = (
-    (r"(?:^|[/_-])([0-9]{4})[_-]([0-9]{1,2})[_-]([0-9]{1,2})(?:$|[._/-])", 0),
-    (r"(?<![0-9])([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})(?![0-9])", 0),
-    (r"(?<![0-9])([0-9]{4})([0-9]{2})([0-9]{2})(?![0-9])", 0),
-    (r"(?:kai|meeting|giji)([0-9]{4})([0-9]{2})([0-9]{2})", 0),
-    (r"(?:^|[/_-])r0?([0-9]{1,2})[-_]?([0-9]{2})[-_]?([0-9]{2})(?:$|[._/-])", 2018),
-    (r"(?:^|[/_-])h0?([0-9]{1,2})[-_]?([0-9]{2})[-_]?([0-9]{2})(?:$|[._/-])", 1988),
-)
+#: Words in front of a run of eight digits in a file's name.
+FILE_WORDS = ("kai", "meeting", "giji")
 
 
 def date_from_url(url: Column) -> Column:
-    """The day that an address tells, by the first of URL_DATES that gives one from 1995 to 2035; without query and fragment."""
+    """The day that an address tells, from 1995 to 2035, without query and fragment.
+
+    Names between slashes and dots are cut at dashes and underscores. A day is a part of four digits and two of one or two behind it, or a part of
+    eight digits, also behind one of FILE_WORDS, or r or h with the era's year, month and day in one part or in three. Full years count before eras, parted ones before runs.
+    """
     u = F.lower(F.regexp_replace(F.coalesce(url, F.lit("")), "[?#].*$", ""))
-    tries = []
-    for pattern, base in URL_DATES:
-        year, month, day = (F.regexp_extract(u, pattern, i) for i in (1, 2, 3))
-        tries.append(_made(year.try_cast("int") + base, month, day))
-    return F.coalesce(*[F.when(F.year(d).between(1995, 2035), d) for d in tries])
+    parts = F.split(F.regexp_replace(u, "[/.]", "_|_"), "[_-]")
+    # Each part with the two behind it.
+    three = F.arrays_zip(parts.alias("a"), F.slice(parts, 2, 10_000).alias("b"), F.slice(parts, 3, 10_000).alias("c"))
+    day = lambda y, m, d: F.when(m.rlike("^[0-9]{1,2}$") & d.rlike("^[0-9]{1,2}$"), _made(y, m, d))
+    fits = lambda d: F.when(F.year(d).between(1995, 2035), d)
+    first = lambda three, of: F.get(F.filter(F.transform(three, lambda x: fits(of(x["a"], x["b"], x["c"]))), lambda d: d.isNotNull()), F.lit(0))
+
+    def parted(a, b, c):
+        return F.when(a.rlike("^[0-9]{4}$"), day(a.try_cast("int"), b, c))
+
+    def run(a, b, c):
+        words = [F.when(F.contains(a, F.lit(w)), F.regexp_extract(F.substring_index(a, w, -1), "^[0-9]{8}", 0)) for w in FILE_WORDS]
+        digits = F.coalesce(F.when(a.rlike("^[0-9]{8}$"), a), *[F.nullif(w, F.lit("")) for w in words])
+        return day(F.substring(digits, 1, 4).try_cast("int"), F.substring(digits, 5, 2), F.substring(digits, 7, 2))
+
+    def era(mark, base):
+        def of(a, b, c):
+            digits = F.regexp_extract(a, f"^{mark}0?([0-9]{{1,6}})$", 1)
+            n = F.length(digits)
+            whole = F.when(n.isin(5, 6), day(F.substring(digits, F.lit(1), n - 4).try_cast("int") + base, F.right(F.left(digits, n - 2), F.lit(2)), F.right(digits, F.lit(2))))
+            return F.coalesce(whole, F.when(n.isin(1, 2), day(digits.try_cast("int") + base, b, c)))
+
+        return of
+
+    kinds = parted, run, era("r", ERAS["令和"]), era("h", ERAS["平成"])
+    return let(three, lambda parts: F.coalesce(*[first(parts, of) for of in kinds]))
 
 
 def in_range(date: Column, code: str, ref: str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ RADICAL_TARGETS = "民人ノ亻刀小山心手日水火犬王礻糸肉艸艹衤
 RADICAL_CLASS = "[\\x{2E80}-\\x{2EF3}\\x{2F00}-\\x{2FD5}]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body names it; without it plans spell the value out each time. body calls no Python function."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def search_text(*parts: Column) -> Column:
     """NFKC and lower case of all parts side by side; null parts are left out."""
     return F.lower(nfkc(F.concat_ws(" ", *parts)))

@@ -31,6 +31,14 @@ NAVIGATION = (
     "感染症に関する情報一覧", "審議会開催予定", "大臣等記者会見", "記者会見", "政策情報（会議・統計等）", "会議・委員会等", "パンフレット", "リーフレット", "メールマガジン", "メルマガ", "ポスター",
     "調査の実施について", "問い合わせ先", "情報配信サービス", "イベント概要", "セミナーのご案内", "セミナー案内", "議事録・資料等",
 )
+# Texts of links that are no meeting's, as the whole name of one.
+LINK_TEXTS = (
+    "ホーム", "トップ", "トップページ", "トップへ", "トップへ戻る", "目次", "政策について", "組織案内", "プライバシーポリシー", "サイトマップ", "english", "アクセス", "リンク集", "戻る", "前のページへ戻る", "前のページへ",
+    "次へ", "閉じる", "メニュー", "サイト内検索", "利用規約", "ご意見・ご要望", "本文へ移動", "フッターへ移動", "page top", "pagetop", "印刷", "印刷する", "文字サイズ", "拡大", "標準", "関連リンク", "施策紹介", "広報印刷物",
+    "個人情報保護について", "オンライン利用率引上げ", "検査方針・研修実績等", "開催予定表", "調査の依頼方法", "調査の概要", "対象者別メニュー", "提供可能となる食品の情報", "新型コロナウイルス感染症に関する情報一覧",
+    "感染症に関する情報一覧", "御意見・御感想", "ご意見・ご感想", "会見記録", "記者会見", "開催通知", "開催案内", "開催告知", "開催通知等", "開催案内等", "開催告知等", "傍聴案内", "傍聴申込", "傍聴申込み", "傍聴について", "一部訂正",
+    "訂正のお知らせ", "正誤表", "２０２６年", "1.経緯",
+)
 # Texts of controls that are no material.
 CONTROLS = (
     "本文へ移動します", "フッターへ移動します", "閉じる", "メニューを閉じる", "メニューを開く", "このページの先頭へ", "前のページへ戻る", "前のページへ", "先頭へ戻る", "ページトップへ", "ページ先頭へ", "PAGE TOP",
@@ -75,7 +83,13 @@ GOVERNMENT = (
 NOTICE_PARTS = ("kaisaiannai", "_annai_", "annai_", "kaisai_yotei", "kaisaiyotei", "/online_kaisai/", "/annai/", "/event/", "/seminar/")
 NOTICE_ENDS = ("/annai.html", "/kaisai_annai.html")
 NOTICE_TITLES_ALONE = ("会議開催予定", "開催予定", "次回開催予定", "開催案内", "開催通知", "次回開催通知", "開催告知")
-NOTICE_TITLE_ENDS = ("開催予定について", "開催案内について", "開催通知について", "の開催について", "開催について")
+NOTICE_TITLE_ENDS = (
+    "開催予定について", "開催案内について", "開催通知について", "開催について", "開催告知について", "開催通知", "開催告知", "開催のお知らせについて", "開催案内", "開催のお知らせ", "開催", "傍聴の案内", "傍聴について",
+    "傍聴される皆様への留意事項", "の開催概要について", "傍聴の受付", "傍聴申込み", "傍聴申込", "傍聴の申込について", "傍聴の申込みについて", "議事要旨", "議事録", "のご案内", "の案内", "問い合わせ先", "情報配信サービス",
+    "取材の案内について", "取材について",
+)
+# What visitors and the press are told of, and what follows it, as a word of a title by itself.
+VISITS, VISIT_ENDS = ("傍聴", "取材"), ("", "の案内", "について", "希望", "申込", "申込み")
 NOTICE_TITLES = (
     "開催案内", "開催通知", "開催告知", "会議開催予定", "傍聴される皆様への留意事項", "傍聴留意事項", "傍聴申込", "傍聴の受付", "傍聴の申込", "取材の案内", "取材申込み", "取材申込", "標記の会議について",
     "下記のとおり開催", "以下のとおり開催", "を開催します", "を開催いたします",

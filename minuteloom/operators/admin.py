@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from minuteloom.functions import text, titles, urls
 from minuteloom.functions import vocabulary as v
 from minuteloom.functions.titles import has_any
+from minuteloom.operators.analytics import first_per_key
 from minuteloom.schema import UNKNOWN_DATE
 
 #: Endings of files that are no council's page, and headings that are none.
@@ -142,9 +143,10 @@ def normalise_stats(before: DataFrame, after: DataFrame, columns: list[str]) ->
     return after.agg(F.count_if("changed").alias("changed"), total().alias("radicals_after")).crossJoin(before.agg(total().alias("radicals_before")))
 
 
-def replace_rejected(incoming: DataFrame) -> DataFrame:
-    """The new table of rejected councils, whatever the old one had: the last of each id stays, and its ministry is that of the id."""
-    return incoming.dropDuplicates(["id"]).withColumn("ministry", text.ministry_of(F.col("id")))
+def replace_rejected(incoming: DataFrame, order: str) -> DataFrame:
+    """The new table of rejected councils, whatever the old one had: of each id the last by `order` stays, and its ministry is that of the id. Rows without an id are left out."""
+    rows = incoming.filter(F.coalesce("id", F.lit("")) != "")
+    return first_per_key(rows, ["id"], [F.desc(order)]).drop("rank").withColumn("ministry", text.ministry_of(F.col("id")))
 
 
 def since(marks: DataFrame, now: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from minuteloom.functions import dates
+from minuteloom.rounds import cut, ranks
 
 
 def ministry_metrics(councils: DataFrame, meetings: DataFrame, materials: DataFrame, council_materials: DataFrame) -> DataFrame:
@@ -89,30 +90,45 @@ def first_per_key(rows: DataFrame, keys: list[str], order: list[Column], k: int
 
 
 def interleave(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """rows with their turn in a round-robin over keys, and their place: turns go one after another, in each the larger keys first.
+    """rows with their turn in a round-robin over keys, and their place: turns go one after another, in each the larger keys first. order tells rows of a key apart."""
+    by = [F.asc_nulls_first(c) for c in order]
+    sizes = rows.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("__size"))
+    with_turn = ranks(rows, [key], by, "turn").join(sizes, F.col(key).eqNullSafe(F.col("__key")))
+    return ranks(with_turn, [], [F.col("turn").asc(), F.col("__size").desc(), F.col(key).asc()], "place").select(*rows.columns, "turn", "place")
 
-    Places follow from counts of keys by size, so that no task orders all rows.
+
+#: Places of a queue whose running counts one task works out.
+QUEUE_RANGE = 1 << 16
+
+
+def part_neighbours(queue: DataFrame, key: str) -> DataFrame:
+    """An interleaved queue (place from 1 without a gap) with `repaired`: the places once equal neighbours are parted.
+
+    Only at the end, where one key is left, do equal neighbours stand in such a queue. From the second of them on, each moves, in order, to the last
+    gap before that neither neighbour of has the key; those for which there is no gap stay at the end. That is the i-th gap from
+    the end for the i-th of them, so prefix counts of the gaps give all places.
     """
-    turn = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    sizes = rows.groupBy(key).agg(F.count("*").alias("__size"))
-    with_turn = rows.withColumn("turn", turn).join(sizes, key)
-    # How many rows stand before a turn: of each key its size, or as many as there were turns.
-    by_turn = with_turn.groupBy("turn").agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each turn
-    bases = by_turn.withColumn("__base", before).drop("__n")
-    rank = F.row_number().over(Window.partitionBy("turn").orderBy(F.desc("__size"), key))
-    return with_turn.withColumn("__rank", rank).join(bases, "turn").withColumn("place", F.col("__base") + F.col("__rank")).select(*rows.columns, "turn", "place")
-
-
-def spread(keys: list) -> list[int]:
-    """Positions of a crawl's queue such that equal neighbours are parted where a gap between other keys is left before them. For one queue, on the driver."""
-    out: list[int] = []
-    for i, key in enumerate(keys):
-        at = len(out)
-        if out and keys[out[-1]] == key:
-            at = next((j for j in range(len(out) - 1, 0, -1) if key not in (keys[out[j - 1]], keys[out[j]])), len(out))
-        out.insert(at, i)
-    return out
+    last = queue.agg(F.max_by(F.struct(key), "place").alias("x")).select(F.col(f"x.{key}").alias("__last"))
+    marked = queue.crossJoin(last).withColumn("__other", ~F.col(key).eqNullSafe(F.col("__last"))).drop("__last")  # one row
+    shape = marked.agg(F.coalesce(F.max(F.when(F.col("__other"), F.col("place"))), F.lit(0)).alias("start"), F.count("*").alias("n")).first()
+    extra = max(0, shape.n - shape.start - 1)
+    # A gap is in front of a row that, like the row before it, has another key.
+    pairs = marked.select("place", F.col("__other").alias("a"), F.lit(None).cast("boolean").alias("b")).unionByName(marked.select((F.col("place") + 1).alias("place"), F.lit(None).cast("boolean").alias("a"), F.col("__other").alias("b")))
+    gaps = cut(pairs.groupBy("place").agg(F.bool_and("a").alias("a"), F.bool_and("b").alias("b")).filter("a is not null").select("place", F.coalesce(F.col("a") & F.col("b"), F.lit(False)).cast("long").alias("gap")))
+    bucket = F.floor(F.col("place") / QUEUE_RANGE)
+    sums = gaps.groupBy(bucket.alias("bucket")).agg(F.sum("gap").alias("n"))
+    base = sums.select("bucket", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # a row for QUEUE_RANGE places
+    inside = Window.partitionBy("bucket").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    counted = cut(gaps.withColumn("bucket", bucket).withColumn("k", F.sum("gap").over(inside)).join(base, "bucket").select("place", "gap", (F.col("k") + F.col("base")).alias("gaps")))
+    total = sums.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    kept = max(0, total - extra)
+    filled = F.greatest(F.col("gaps") - kept, F.lit(0))
+    moves = F.col("place") - (shape.start + 1)
+    target = counted.filter("gap = 1").select((total - F.col("gaps") + 1).alias("__move"), (F.col("place") + filled - 1).alias("__to"))
+    with_move = queue.join(counted.select("place", filled.alias("__filled")), "place").withColumn("__move", F.when(moves >= 1, moves))
+    out = with_move.join(target, "__move", "left")
+    place = F.when(F.col("__move").isNull(), F.col("place") + F.col("__filled")).otherwise(F.coalesce("__to", "place"))
+    return out.select(*queue.columns, place.alias("repaired"))
 
 
 def line_code_counts(lines: DataFrame, column: str, codes: list[str]) -> DataFrame:

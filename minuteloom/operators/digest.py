@@ -4,29 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from minuteloom.rounds import ranks
 
 
 def ordinals(items: DataFrame, first: str, rest: list[str], name: str = "item_id") -> DataFrame:
-    """items with N001, N002, ... in the order of first and rest. Rows are ranked inside each value of `first`, whose counts give the rest, so no task orders all."""
-    sizes = items.groupBy(first).agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy(F.col(first).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each value
-    bases = sizes.withColumn("__base", before).select(F.col(first).alias("__first"), "__base")
-    rank = F.row_number().over(Window.partitionBy(first).orderBy(*rest))
-    ranked = items.withColumn("__rank", rank).join(bases, F.col(first).eqNullSafe(F.col("__first")))
-    number = (F.col("__base") + F.col("__rank")).cast("string")
+    """items with N001, N002, ... in the order of first and rest, which tell them apart."""
+    ranked = ranks(items, [], [F.asc_nulls_first(first), *[F.asc_nulls_first(c) for c in rest]], "__rank")
+    number = F.col("__rank").cast("string")
     return ranked.select(*items.columns, F.concat(F.lit("N"), F.when(F.length(number) < 3, F.lpad(number, 3, "0")).otherwise(number)).alias(name))
 
 
-def digest_hash(items: DataFrame) -> DataFrame:
-    """(n, digest): SHA-256 of the items as JSON, keys in order, no blanks, items by their number. items: item_id, ministry, date, title, url, similar_existing.
+def digest_hash(items: DataFrame, run: list[str]) -> DataFrame:
+    """(*run, n, digest): of each run's items the SHA-256 of them as JSON, keys in order, no blanks, items by their number. items: the run's columns, item_id, ministry, date, title, url, similar_existing.
 
-    A digest is what one judge reads, some hundred items; it is put together in one task. Nulls count as ''. Control characters, which
-    cleaned titles don't have, are the one thing that JSON writers spell in several ways.
+    A digest is what one judge reads at a time, some hundred items of a ministry's day or week; each is put together in one task. Nulls count as ''.
+    Control characters, which cleaned titles don't have, are the one thing that JSON writers spell in several ways.
     """
     text = lambda c: F.coalesce(c, F.lit(""))
     keys = ["date", "similar_existing", "title", "url"]
     whole = F.to_json(F.struct(text("date").alias("date"), F.col("item_id").alias("id"), text("ministry").alias("ministry"), *[F.col(k) if k == "similar_existing" else text(k).alias(k) for k in keys[1:]]))
-    rows = items.select(F.struct(F.length("item_id").alias("size"), "item_id", whole.alias("json")).alias("x"))
+    rows = items.select(*run, F.struct(F.length("item_id").alias("size"), "item_id", whole.alias("json")).alias("x"))
     joined = F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["json"]), ","), F.lit("]"))
-    return rows.agg(F.count("*").alias("n"), F.sha2(joined.cast("binary"), 256).alias("digest"))
+    return rows.groupBy(*run).agg(F.count("*").alias("n"), F.sha2(joined.cast("binary"), 256).alias("digest"))

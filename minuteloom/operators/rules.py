@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from minuteloom.functions import urls
 from minuteloom.operators.analytics import first_per_key
+from minuteloom.rounds import ranks
 
 #: Addresses of a rule or target, in the order in which they are asked.
 RULE_URLS = ("official_url", "target_url", "url", "archive_url")
@@ -63,9 +64,7 @@ def inherit_ids(found: DataFrame, known: DataFrame, portals: DataFrame) -> DataF
     rows = rows.drop("old").join(first, "position", "left")
     prefix = F.lower(F.col("ministry"))
     top = known.select(F.split_part("council_id", F.lit("-"), F.lit(1)).alias("prefix"), F.regexp_extract("council_id", "-([0-9]+)$", 1).try_cast("long").alias("n")).groupBy("prefix").agg(F.max("n").alias("top"))
-    from pyspark.sql.window import Window
-
-    new = F.sum(F.col("old").isNull().cast("long")).over(Window.partitionBy("ministry").orderBy("position"))
-    numbered = rows.withColumn("n", new).withColumn("prefix", prefix).join(top, "prefix", "left")
+    new = ranks(rows.filter("old is null").select("position", "ministry"), ["ministry"], [F.asc("position")], "n").select("position", "n")
+    numbered = rows.join(new, "position", "left").withColumn("prefix", prefix).join(top, "prefix", "left")
     made = F.concat_ws("-", "prefix", (F.coalesce("top", F.lit(0)) + F.col("n")).cast("string"))
     return numbered.select("position", "ministry", "url", F.coalesce("old", made).alias("council_id"), F.col("old").isNotNull().alias("inherited"))

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from minuteloom.functions import text, titles
 from minuteloom.operators.analytics import first_per_key
+from minuteloom.rounds import ranks
 from minuteloom.schema import UNKNOWN_DATE
 
 #: Counters of a sync, in order.
@@ -179,8 +180,7 @@ def download_plan(materials: DataFrame, folders: DataFrame, per_flush: int = 25)
     n = F.row_number().over(Window.partitionBy("meeting_id", "stem", "extension").orderBy("position"))
     filed = named.withColumn("n", n).withColumn("file", F.concat("stem", F.when(F.col("n") > 1, F.concat(F.lit("_"), F.col("n").cast("string"))).otherwise(""), "extension"))
     placed = filed.join(folders.select("meeting_id", "ministry_dir", "council_dir", "folder"), "meeting_id")
-    place = F.row_number().over(Window.partitionBy("ministry_dir").orderBy("meeting_id", "position"))
-    return placed.withColumn("place", place).select("ministry_dir", "place", F.ceil(F.col("place") / per_flush).cast("int").alias("flush"), "meeting_id", "url", F.concat_ws("/", "ministry_dir", "council_dir", "folder", "file").alias("path"), "extension")
+    return ranks(placed, ["ministry_dir"], [F.asc("meeting_id"), F.asc("position")], "place").select("ministry_dir", "place", F.ceil(F.col("place") / per_flush).cast("int").alias("flush"), "meeting_id", "url", F.concat_ws("/", "ministry_dir", "council_dir", "folder", "file").alias("path"), "extension")
 
 
 def council_id_of(identifier: Column) -> Column:

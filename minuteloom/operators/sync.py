@@ -1,27 +1,30 @@
 """Scraped pages into a council's meetings: which pages may be meetings at all, and the ordered merge of those into the stored ones.
 
 What a page is by itself (guards, cleaned materials, day, rounds, stems) is said in columns. Only the merge, in which each
-page sees what the ones before it changed, is walked in Python, council by council.
+page sees what the ones before it changed, is a fold over rows sorted by council, with indexes for what a page may concern.
 """
 
 from __future__ import annotations
 
 from datetime import date
 from difflib import SequenceMatcher
+from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from minuteloom.functions import dates, names, text, titles, urls
 from minuteloom.functions import vocabulary as v
 from minuteloom.functions.titles import ends_any, has_any, has_one_of
+from minuteloom.rounds import settled
 from minuteloom.schema import UNKNOWN_DATE
 
 MATERIAL = "struct<name:string,url:string,type:string>"
 SYNCED = f"council_id string, meeting_id string, name string, date string, unconfirmed boolean, url string, materials array<{MATERIAL}>, locked boolean, action string"
 #: Least likeness of a page's title stem to the council's and, where there are any, to those of its meetings.
 LIKENESS = 0.40
+#: Meetings of a batch that is handed over.
+OUT_ROWS = 2_000
 #: Days within which a round's number means the same meeting, and by which a page may lie behind the newest one.
 PERIOD = 365
 # What no material's name holds, and addresses of accounts.
@@ -112,13 +115,13 @@ def prepared(scraped: DataFrame, councils: DataFrame, rules: DataFrame | None =
     rows = plain.withColumns({"url": slash(F.col("url")), "title": F.trim(F.coalesce("title", F.lit(""))), "parent": slash(F.col("parent"))})
     u, t = F.col("url"), F.col("title")
     rows = rows.filter(is_admitted(u, t, F.col("page_title"), F.col("ministry"), F.col("parent"), {c: F.col(c) for c in ("no_self", "not_urls", "not_titles", "only_urls")}))
-    rows = rows.withColumn("__said", joined_names(F.col("materials")))
+    rows = settled(rows, __said=joined_names(F.col("materials")), __shown=shown_title(t))
     day = dates.resolve_date(F.get("found_dates", F.lit(0)), t, u)
     wordless = ~(t.rlike(r"第\s*[0-9０-９一二三四五六七八九十百]+\s*回") | has_any(t, v.MEETING_WORDS)) | has_any(t, v.OTHER_WORDS)
     return rows.select(
-        "council_id", "seq", "council", "parent", "url", "title", shown_title(t).alias("shown"), clean_materials(F.col("materials"), F.coalesce("__said", F.lit("")), u, t).alias("materials"), day["date"].alias("date"), day["unconfirmed"].alias("unconfirmed"),
+        "council_id", "seq", "council", "parent", "url", "title", F.col("__shown").alias("shown"), clean_materials(F.col("materials"), F.coalesce("__said", F.lit("")), u, t).alias("materials"), day["date"].alias("date"), day["unconfirmed"].alias("unconfirmed"),
         text.sessions(F.concat_ws(" ", t, u)).alias("rounds"), names.title_stem(t).alias("stem"), names.is_round_or_date_only(t).alias("round_only"), names.title_stem(F.col("council")).alias("council_stem"),
-        (titles.is_generic_title(shown_title(t))).alias("stock"), text.normal_text(shown_title(t)).rlike(r"(?:20|19)[0-9]{2}年度?|(?:令和|平成)[0-9元]+(?:事務)?年|第[0-9]+期").alias("has_period"),
+        titles.is_generic_title(F.col("__shown")).alias("stock"), text.normal_text(F.col("__shown")).rlike(r"(?:20|19)[0-9]{2}年度?|(?:令和|平成)[0-9元]+(?:事務)?年|第[0-9]+期").alias("has_period"),
         wordless.alias("wordless"), has_any(t, v.UNDATED_WORDS).alias("undated_word"),
     )
 
@@ -132,13 +135,46 @@ def _day(value) -> date | None:
 
 
 class Book:
-    """A council's meetings while its pages are merged in. A meeting is a dict with rounds, stem, index (an index page's address) and action."""
+    """A council's meetings while its pages are merged in, indexed by round, address and day, so that a page looks only at what it may concern.
 
-    def __init__(self, council_id: str, council: str, parent: str, meetings: list[dict], taken: set[str], keep_locked: bool):
-        self.id, self.council, self.parent, self.meetings, self.taken, self.keep_locked = council_id, council, parent, meetings, taken, keep_locked
+    A meeting is a dict with rounds, stem, index (an index page's address) and action; meetings are told by their place in the list.
+    """
 
-    def newest(self) -> date | None:
-        return max((d for m in self.meetings if not m["unconfirmed"] and (d := _day(m["date"]))), default=None)
+    def __init__(self, council_id: str, keep_locked: bool):
+        self.id, self.keep_locked, self.council, self.parent = council_id, keep_locked, "", ""
+        self.meetings: list[dict] = []
+        self.by_round: dict[int, list[int]] = {}
+        self.by_url: dict[str, set[int]] = {}
+        self.by_day: dict[str, list[int]] = {}
+        self.names: set[str] = set()
+        self.stems: list[str] = []
+        self.known_stems: set[str] = set()
+        self.taken: set[str] = set()
+        #: The next number that may be free behind a council and day.
+        self.free: dict[str, int] = {}
+        self.newest: date | None = None
+        self.changed = 0
+
+    def add(self, meeting: dict) -> None:
+        at = len(self.meetings)
+        self.meetings.append(meeting)
+        for r in meeting["rounds"]:
+            self.by_round.setdefault(r, []).append(at)
+        self.by_url.setdefault(meeting["url"], set()).add(at)
+        self.by_day.setdefault(meeting["date"], []).append(at)
+        self.names.add(meeting["name"])
+        self.taken.add(meeting["meeting_id"])
+        if meeting["stem"] and meeting["stem"] not in self.known_stems:
+            self.known_stems.add(meeting["stem"])
+            self.stems.append(meeting["stem"])
+        day = None if meeting["unconfirmed"] else _day(meeting["date"])
+        if day and (self.newest is None or day > self.newest):
+            self.newest = day
+
+    def mark(self, meeting: dict, action: str) -> None:
+        changes = ("inserted", "upgraded")
+        self.changed += (action in changes) - (meeting["action"] in changes)
+        meeting["action"] = action
 
     def fits(self, page: dict) -> bool:
         """A title of round and day alone fits; others are like the council's name and like some meeting's."""
@@ -146,74 +182,87 @@ class Book:
             return True
         if not page["stem"]:
             return False
-        like = lambda a, b: 1.0 if a == b else SequenceMatcher(None, a, b).ratio()
-        if page["council_stem"] and like(page["stem"], page["council_stem"]) < LIKENESS:
+        if page["council_stem"] and not like(page["stem"], page["council_stem"]):
             return False
-        stems = [m["stem"] for m in self.meetings if m["stem"]]
-        return page["stem"] == page["council_stem"] or not stems or max(like(page["stem"], s) for s in stems) >= LIKENESS
+        if page["stem"] == page["council_stem"] or not self.stems:
+            return True
+        for i, stem in enumerate(self.stems):
+            if like(page["stem"], stem):
+                self.stems.insert(0, self.stems.pop(i))  # the stem that fitted is likely to fit the next page
+                return True
+        return False
 
     def add_materials(self, meeting: dict, page: dict) -> None:
         known = {m["url"] for m in meeting["materials"]}
         new = [m for m in page["materials"] if m["url"] not in known]
         if new:
             meeting["materials"] = [*meeting["materials"], *new]
-            meeting["action"] = meeting["action"] if meeting["action"] == "inserted" else "merged"
+            self.mark(meeting, meeting["action"] if meeting["action"] == "inserted" else "merged")
 
-    def complete(self, meeting: dict, page: dict) -> None:
+    def complete(self, at: int, page: dict) -> None:
         """The page of a round that is stored: its address takes the place of the council's or an index page's, its materials that of none."""
+        meeting = self.meetings[at]
         own_page = page["url"] not in ("", self.parent)
         weak = meeting["url"] == self.parent or meeting["index"]
         locked = self.keep_locked and meeting["locked"] and meeting["materials"]
         if page["materials"] and not locked and (weak and own_page or not meeting["materials"]):
             if weak and own_page:
+                self.by_url[meeting["url"]].discard(at)
+                self.by_url.setdefault(page["url"], set()).add(at)
                 meeting["url"], meeting["index"] = page["url"], False
             meeting["materials"] = page["materials"]
-            meeting["action"] = "upgraded"
+            self.mark(meeting, "upgraded")
         elif meeting["url"] == page["url"]:
             self.add_materials(meeting, page)
 
     def take(self, page: dict) -> None:
+        self.council, self.parent = page["council"], page["parent"]
         if not self.fits(page):
             return
-        day, rounds, new_period = _day(page["date"]), set(page["rounds"]), False
-        stored = [m for m in self.meetings if rounds & m["rounds"]]
+        day, rounds, new_period = _day(page["date"]), page["rounds"], False
+        stored = sorted({at for r in rounds for at in self.by_round.get(r, ())})
         if stored:
-            newer = False
-            near = []
-            for m in stored:
+            newer, near = False, []
+            for at in stored:
+                m = self.meetings[at]
                 d = None if m["unconfirmed"] else _day(m["date"])
                 if m["url"] in (page["url"], self.parent) or m["index"] or d is None or day is None or abs((day - d).days) <= PERIOD:
-                    near.append(m)
+                    near.append(at)
                 else:
                     newer |= d >= day
-            for m in near:
-                self.complete(m, page)
-            newest = self.newest()
-            late = day is not None and not newer and (newest is None or (newest - day).days <= PERIOD)
+            for at in near:
+                self.complete(at, page)
+            late = day is not None and not newer and (self.newest is None or (self.newest - day).days <= PERIOD)
             if near or not late or page["url"] in ("", self.parent):
                 return
             new_period = True
-        same_page = [m for m in self.meetings if page["url"] and page["url"] != self.parent and m["url"] == page["url"]]
+        same_page = self.by_url.get(page["url"]) if page["url"] not in ("", self.parent) else None
         if same_page:
-            return self.add_materials(same_page[-1], page)
-        if not new_period and any(m["name"] == page["title"] for m in self.meetings):
+            return self.add_materials(self.meetings[max(same_page)], page)
+        if not new_period and page["title"] in self.names:
             return
         if page["unconfirmed"] and (not page["materials"] or not rounds or page["undated_word"]) or not page["materials"] and page["wordless"]:
             return
-        same_day = [m for m in self.meetings if not page["unconfirmed"] and m["date"] == page["date"]]
-        for m in same_day:
-            self.add_materials(m, page)
+        same_day = [] if page["unconfirmed"] else self.by_day.get(page["date"], [])
+        for at in same_day:
+            self.add_materials(self.meetings[at], page)
         if not same_day:
             self.insert(page, sorted(rounds), new_period)
 
+    def identity(self, page: dict, rounds: list[int]) -> str:
+        """Council, day and round, or where there is none or it is taken a running number, the first that is free."""
+        stamp = f"{self.id}-{page['date'].replace('/', '')}"
+        wanted = f"{stamp}-{rounds[0]:03d}" if rounds else f"{stamp}-s{len(self.meetings) + self.changed + 1:02d}"
+        if wanted not in self.taken:
+            return wanted
+        k = self.free.get(stamp, 1)
+        while f"{stamp}-s{k:02d}" in self.taken:
+            k += 1
+        self.free[stamp] = k + 1
+        return f"{stamp}-s{k:02d}"
+
     def insert(self, page: dict, rounds: list[int], new_period: bool) -> None:
         known = not page["unconfirmed"]
-        stamp = f"{self.id}-{page['date'].replace('/', '')}"
-        n = len(self.meetings) + sum(m["action"] in ("inserted", "upgraded") for m in self.meetings) + 1
-        identity = f"{stamp}-{rounds[0]:03d}" if rounds else f"{stamp}-s{n:02d}"
-        k = 1
-        while identity in self.taken:
-            identity, k = f"{stamp}-s{k:02d}", k + 1
         name, stem = page["shown"], page["stem"]
         if page["stock"] or name.startswith("http"):
             name, stem = f"第{rounds[0]}回 {self.council}" if rounds else f"{self.council} ({page['date'] if known else '開催日不明'})", page["council_stem"]
@@ -223,41 +272,79 @@ class Book:
             name = f"{name} ({page['date'][:4]}年)"
         if not known and "開催日不明" not in name:
             name = f"{name} (開催日不明)"
-        self.taken.add(identity)
-        self.meetings.append({
-            "council_id": self.id, "meeting_id": identity, "name": name, "date": page["date"], "unconfirmed": not known, "url": page["url"] or self.parent, "materials": page["materials"], "locked": False,
+        meeting_id = self.identity(page, rounds)
+        self.changed += 1
+        self.add({
+            "meeting_id": meeting_id, "name": name, "date": page["date"], "unconfirmed": not known, "url": page["url"] or self.parent, "materials": page["materials"], "locked": False,
             "rounds": set(rounds), "stem": stem, "index": False, "action": "inserted",
         })
 
 
+@lru_cache(100_000)
+def like(a: str, b: str) -> bool:
+    """Whether two stems are alike; the cheap upper bounds are asked first."""
+    if a == b:
+        return True
+    match = SequenceMatcher(None, a, b)
+    return match.real_quick_ratio() >= LIKENESS and match.quick_ratio() >= LIKENESS and match.ratio() >= LIKENESS
+
+
+SYNCED_COLUMNS = [c.split()[0] for c in SYNCED.replace(f"array<{MATERIAL}>", "array").split(", ")]
+
+
+def _fold(keep_locked: bool):
+    """Arrow batches sorted by council, with stored meetings before pages, to SYNCED rows; a council's book is held while its rows pass."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        material = pa.list_(pa.struct([("name", pa.string()), ("url", pa.string()), ("type", pa.string())]))
+        kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string(), material, pa.bool_(), pa.string()]
+
+        def written(book):
+            for i in range(0, len(book.meetings), OUT_ROWS):
+                some = book.meetings[i : i + OUT_ROWS]
+                yield pa.RecordBatch.from_arrays([pa.array([book.id] * len(some) if c == "council_id" else [m[c] for m in some], k) for c, k in zip(SYNCED_COLUMNS, kinds)], names=SYNCED_COLUMNS)
+
+        book, seen = None, False
+        for b in batches:
+            for row in b.to_pylist():
+                if not seen or row["council_id"] != book.id:
+                    if seen:
+                        yield from written(book)
+                    book, seen = Book(row["council_id"], keep_locked), True
+                row["rounds"] = set(row["rounds"] or ())
+                if row["meeting_id"] is not None:
+                    book.add({**row, "action": "kept"})
+                else:
+                    book.take(row)
+        if seen:
+            yield from written(book)
+
+    return run
+
+
 def sync_scraped(councils: DataFrame, stored: DataFrame, scraped: DataFrame, rules: DataFrame | None = None, keep_locked: bool = True) -> DataFrame:
     """SYNCED: every stored meeting and the inserted ones, each with what was done to it (kept, merged, upgraded, inserted).
 
     councils: council_id, ministry, name, official_url. stored: council_id, meeting_id, name, date (yyyy/MM/dd), unconfirmed, url,
     materials, locked. scraped: council_id, seq, url, title, page_title, found_dates, materials. rules: council_id, no_self, not_urls,
     not_titles, only_urls. Pages are taken by seq; applying them again changes nothing. A locked meeting with materials is not
-    upgraded unless keep_locked is False, but gets further materials of its own page. A council's meetings fit one task.
+    upgraded unless keep_locked is False, but gets further materials of its own page.
+
+    Rows stream by council through one task each, as every page sees what the ones before it changed; what is held is the council's
+    meetings and their indexes, and a page costs as much as the meetings of its rounds, address and day.
     """
     pages = prepared(scraped, councils, rules)
     slash = F.regexp_replace(F.coalesce("url", F.lit("")), "/+$", "")
-    known = stored.select(
+    known = stored.filter("meeting_id is not null").select(
         "council_id", "meeting_id", F.coalesce("name", F.lit("")).alias("name"), F.coalesce("date", F.lit("")).alias("date"), F.coalesce("unconfirmed", F.lit(False)).alias("unconfirmed"), slash.alias("url"),
         F.coalesce("materials", F.array().cast(f"array<{MATERIAL}>")).alias("materials"), F.coalesce("locked", F.lit(False)).alias("locked"),
         text.sessions(F.concat_ws(" ", "name", "url", "meeting_id")).alias("rounds"), names.title_stem(F.col("name")).alias("stem"), urls.is_generic_index(F.col("url"), F.lit("")).alias("index"),
     )
-
-    def run(key, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-        rows = lambda df: [{**r, "materials": [dict(m) for m in r["materials"]], "rounds": {int(x) for x in r["rounds"]}} for r in df.to_dict("records")]
-        meetings = [{**m, "action": "kept"} for m in rows(old.sort_values("meeting_id"))]
-        pages = rows(new.sort_values("seq"))
-        first = pages[0] if pages else {"council": "", "parent": ""}
-        book = Book(key[0], first["council"], first["parent"], meetings, {m["meeting_id"] for m in meetings}, keep_locked)
-        for page in pages:
-            book.take(page)
-        columns = [c.split()[0] for c in ("council_id", "meeting_id", "name", "date", "unconfirmed", "url", "materials", "locked", "action")]
-        return pd.DataFrame([{c: m[c] for c in columns} for m in book.meetings], columns=columns)
-
-    return known.groupBy("council_id").cogroup(pages.groupBy("council_id")).applyInPandas(run, SYNCED)
+    rows = known.unionByName(pages.withColumn("seq", F.col("seq").cast("long")), allowMissingColumns=True)
+    sorted_rows = rows.repartition("council_id").sortWithinPartitions("council_id", F.col("meeting_id").asc_nulls_last(), F.col("seq").asc_nulls_first(), "url", "title")
+    return sorted_rows.mapInArrow(_fold(keep_locked), SYNCED)
 
 
 def council_counts(councils: DataFrame, synced: DataFrame) -> DataFrame:

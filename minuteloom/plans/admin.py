@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from minuteloom.functions import text
+from minuteloom.functions import vocabulary as v
 from minuteloom.operators import admin, analytics, folders, portal, quality
 from minuteloom.plans.base import query
-from minuteloom.plans.crawl import _key, _pick
+from minuteloom.plans.crawl import _key, _pick, sql_has, sql_list
 from minuteloom.schema import attempts, councils, materials, meetings, ministries, read
 from minuteloom.sources import documents
 
@@ -102,12 +103,13 @@ def normalised_stats(spark, d):
     return admin.normalise_stats(rows, admin.normalise(rows, ["name"]), ["name"])
 
 
-@query("SELECT 'n' || lower(replace(n_name, ' ', '')) || '-' || c_custkey AS id, upper('n' || replace(n_name, ' ', '')) AS ministry FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_acctbal < 0")
+@query("""SELECT 'n' || lower(replace(n_name, ' ', '')) || '-' || c_custkey % 50 AS id, upper('n' || replace(n_name, ' ', '')) AS ministry, max(c_custkey) AS seq, arg_max(c_mktsegment, c_custkey) AS reason FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_acctbal < 5000 GROUP BY 1, 2""")
 def rejected_table(spark, d):
-    """The table of rejected councils anew, each id once, with the ministry of its id."""
-    c = councils(spark, d).join(ministries(spark, d), "ministry").filter("stored < 0")
-    rows = c.select(F.concat(F.lit("n"), F.lower(F.replace("ministry_name", F.lit(" "), F.lit(""))), F.lit("-"), "council_id").alias("id"), F.lit("?").alias("ministry"))
-    return admin.replace_rejected(rows.unionByName(rows)).select("id", "ministry")
+    """The table of rejected councils anew: the last row of each id, with the ministry of its id."""
+    c = councils(spark, d).join(ministries(spark, d), "ministry").filter("stored < 5000")
+    k = F.col("council_id")
+    rows = c.select(F.concat(F.lit("n"), F.lower(F.replace("ministry_name", F.lit(" "), F.lit(""))), F.lit("-"), k % 50).alias("id"), F.lit("?").alias("ministry"), k.alias("seq"), F.col("category").alias("reason"))
+    return admin.replace_rejected(rows, "seq")
 
 
 @query("SELECT c_custkey AS council_id, CASE c_custkey % 3 WHEN 0 THEN '1999/12/31' WHEN 1 THEN '2000/02/28' ELSE '2000/03/07' END AS since FROM customer")
@@ -136,12 +138,11 @@ def report_head(spark, d):
     return meetings(spark, d).filter("date >= timestamp '2000-06-01'").orderBy("meeting_id").limit(30).select("meeting_id")
 
 
-@query("SELECT 0::BIGINT AS n")
-def disjoint_segments(spark, d):
-    """No meeting is both active and archived."""
-    segment = documents.public_view(meetings(spark, d).select("meeting_id", F.date_format("date", "yyyy/MM/dd").alias("date")), "2001-08-01")
-    both = segment.filter("segment = 'active'").select("meeting_id").intersect(segment.filter("segment = 'archive'").select("meeting_id"))
-    return both.agg(F.count("*").alias("n"))
+@query("SELECT o_orderkey AS meeting_id FROM orders WHERE o_orderdate >= DATE '2001-08-01' - INTERVAL 730 DAY AND o_orderstatus = 'F'")
+def segment_overlaps(spark, d):
+    """Meetings that the active part of an export has and an older archive, of closed ones, as well."""
+    rows = meetings(spark, d).select("meeting_id", F.date_format("date", "yyyy/MM/dd").alias("date"), "flag")
+    return documents.overlaps(documents.public_view(rows, "2001-08-01").filter("segment = 'active'"), rows.filter("flag = 'F'"), "meeting_id")
 
 
 @query("SELECT l_orderkey AS meeting_id, count(*) AS n FROM lineitem WHERE l_linenumber % 4 NOT IN (0, 1) GROUP BY 1")
@@ -273,13 +274,24 @@ def news_route(spark, d):
     return m.select("meeting_id", route.alias("route"))
 
 
-@query("""SELECT o_orderkey AS meeting_id, concat_ws(',', CASE WHEN o_orderkey % 11 = 0 THEN 'unconfirmed_date' END, CASE WHEN o_orderkey % 3 = 0 THEN 'missing_round' END, CASE WHEN n IS NULL AND o_orderdate < TIMESTAMP '1999-09-17' THEN 'no_materials' END, CASE WHEN o_orderpriority = c_mktsegment OR o_orderkey % 13 = 0 THEN 'identical_to_council' END, CASE WHEN o_orderkey % 17 = 0 THEN 'same_as_council_url' END) AS codes
- FROM orders JOIN customer ON c_custkey = o_custkey LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")
+_SAID = ("第3回 成長検討会", "成長検討会", "資料一覧", "議事録", "Index", "開催結果", "議事次第詳細", "資料について", "第 12 回", "会議資料", " 配布資料詳細 ", "目次")
+
+
+@query(rf"""WITH m AS (SELECT o_orderkey AS k, c_custkey AS c, coalesce(n, 0) AS n, trim({sql_list(_SAID)}[CAST(o_orderkey % {len(_SAID)} AS INT) + 1]) AS name, CASE WHEN o_orderkey % 7 = 0 THEN '2099/01/01' WHEN o_orderkey % 7 = 1 THEN '' WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y/%m/%d') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS day
+  FROM orders JOIN customer ON c_custkey = o_custkey LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey % 3 <> 0 GROUP BY 1) ON l_orderkey = o_orderkey),
+ x AS (SELECT *, day NOT IN ('', '2099/01/01') AND replace(day, '-', '/') > '1999/09/16' AS ahead FROM m)
+ SELECT k AS meeting_id, concat_ws(',', CASE WHEN day IN ('', '2099/01/01') OR k % 11 = 0 THEN 'unconfirmed_date' END, CASE WHEN (k % 5 = 0 OR k % 4 = 1) AND NOT regexp_matches(name, '第\s*[0-9]+\s*回') THEN 'missing_round' END, CASE WHEN n = 0 AND NOT ahead THEN 'no_materials' END,
+  CASE WHEN name = '成長検討会' AND k % 13 <> 0 THEN 'identical_to_council' END, CASE WHEN name IN ('資料一覧', '議事録', 'Index', '開催結果', '議事次第詳細', '会議資料', '配布資料詳細', '目次') THEN 'generic_title' END, CASE WHEN k % 17 IN (0, 1) AND n = 0 AND NOT ahead THEN 'same_as_council_url' END) AS codes FROM x""")
 def anomalies(spark, d):
-    """What looks wrong in each meeting."""
-    n = materials(spark, d).groupBy("meeting_id").agg(F.count("*").alias("n"))
+    """What looks wrong in each meeting: rounds told by names and by ids, stock titles, days to come, none and unknown, addresses with and without a slash."""
+    n = materials(spark, d).filter(_key() % 3 != 0).groupBy("meeting_id").agg(F.count("*").alias("n"))
     m = meetings(spark, d).join(councils(spark, d), "council_id").join(n, "meeting_id", "left")
-    row = {"unconfirmed": _key() % 11 == 0, "round": F.when(_key() % 3 != 0, 1), "materials": F.coalesce("n", F.lit(0)), "date": F.col("date"), "name": F.when(_key() % 13 == 0, F.col("council_name")).otherwise(F.col("label")), "council_name": F.col("council_name"), "url": F.when(_key() % 17 == 0, "u").otherwise("v"), "council_url": F.lit("u")}
+    k = _key()
+    day = F.when(k % 7 == 0, "2099/01/01").when(k % 7 == 1, "").when(k % 2 == 0, F.date_format("date", "yyyy/MM/dd")).otherwise(F.date_format("date", "yyyy-MM-dd"))
+    row = {
+        "id": F.concat(F.lit("c-x-20240101-"), F.when(k % 4 == 1, "s01").otherwise("001")), "unconfirmed": k % 11 == 0, "round": F.when(k % 5 != 0, 1), "materials": F.col("n"), "date": day, "name": F.element_at(F.array(*map(F.lit, _SAID)), (k % len(_SAID)).cast("int") + 1),
+        "council_name": F.when(k % 13 == 0, F.lit(None)).otherwise(" 成長検討会"), "url": _pick("https://e.go.jp/c/", "https://e.go.jp/c", *["https://e.go.jp/c/x"] * 15, by=k), "council_url": F.lit("https://e.go.jp/c"),
+    }
     return m.select("meeting_id", F.array_join(quality.meeting_anomalies(row, "1999-09-16"), ",").alias("codes"))
 
 
@@ -308,12 +320,12 @@ def radical_counts(spark, d):
     return read(spark, d, "documents").filter("text is not null").select("doc_id", text.radical_count(said).cast("long").alias("n"))
 
 
-@query("""WITH x AS (SELECT id, CAST((id // 1) % 3 AS INT) AS materials, CAST((id // 3) % 2 AS INT) AS dates, CAST((id // 6) % 2 AS INT) AS subpages, CAST((id // 12) % 2 AS INT) AS withm, CAST((id // 24) % 2 AS INT) AS generic FROM range(48) AS t(id))
- SELECT id, CASE WHEN subpages > 0 AND withm > 0 THEN 'success' WHEN subpages > 0 THEN 'partial' WHEN materials > 0 AND dates > 0 THEN CASE WHEN generic = 1 THEN 'partial' ELSE 'success' END WHEN materials > 0 OR dates > 0 THEN 'partial' ELSE 'failed' END AS verdict FROM x""")
-def crawl_verdict_table(spark, d):
-    """The verdict for every combination of what a page gave."""
-    rows = spark.range(48).select("id", *[((F.col("id") / step).cast("long") % n).alias(c) for c, step, n in (("materials", 1, 3), ("dates", 3, 2), ("subpages", 6, 2), ("withm", 12, 2), ("generic", 24, 2))])
-    return rows.select("id", quality.crawl_verdict(F.col("materials"), F.col("dates"), F.col("subpages"), F.col("withm"), F.col("generic") == 1).alias("verdict"))
+@query("""WITH x AS (SELECT o_orderkey AS meeting_id, o_orderkey % 3 AS materials, (o_orderkey // 3) % 2 AS dates, (o_orderkey // 6) % 2 AS subpages, (o_orderkey // 12) % 2 AS withm, (o_orderkey // 24) % 2 AS generic FROM orders)
+ SELECT meeting_id, CASE WHEN subpages > 0 AND withm > 0 THEN 'success' WHEN subpages > 0 THEN 'partial' WHEN materials > 0 AND dates > 0 THEN CASE WHEN generic = 1 THEN 'partial' ELSE 'success' END WHEN materials > 0 OR dates > 0 THEN 'partial' ELSE 'failed' END AS verdict FROM x""")
+def crawl_verdicts(spark, d):
+    """The verdict on each meeting's page, by what it gave."""
+    part = lambda step, n: F.floor(_key() / step) % n
+    return meetings(spark, d).select("meeting_id", quality.crawl_verdict(part(1, 3), part(3, 2), part(6, 2), part(12, 2), part(24, 2) == 1).alias("verdict"))
 
 
 @query("SELECT c_custkey AS council_id, regexp_matches(x, '^[a-z0-9]+-[a-z0-9_]+$') AS is_council, regexp_matches(y, '^[a-z0-9]+-[a-z0-9_]+-\\d{8}-(\\d{3,4}|[a-z]\\d{2,3})$') AS is_meeting, CASE WHEN c_custkey % 3 = 0 THEN 'MOE' ELSE 'CAS' END AS ministry FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'env-' ELSE 'cas-' END || CASE WHEN c_custkey % 2 = 0 THEN 'a_' ELSE 'A' END || c_custkey AS x, x || '-20260401-' || CASE c_custkey % 5 WHEN 0 THEN '001' WHEN 1 THEN 's01' WHEN 2 THEN '1' ELSE '0001' END AS y FROM customer)")
@@ -324,10 +336,46 @@ def identifier_rules(spark, d):
     return councils(spark, d).select(k, text.is_council_id(x).alias("is_council"), text.is_meeting_id(y).alias("is_meeting"), text.ministry_of(x).alias("ministry"))
 
 
-@query("""SELECT o_orderkey AS meeting_id, CASE WHEN r = 1 THEN NULL WHEN p = 1 THEN 'standing_document' WHEN p = 2 THEN 'navigation' WHEN p = 3 AND u THEN 'generic_undated' WHEN p = 4 AND u THEN CASE WHEN r = 0 THEN 'undated_placeholder' END END AS reason
- FROM (SELECT o_orderkey, o_orderkey % 2 AS r, o_orderkey % 5 AS p, o_orderkey % 3 = 0 AS u FROM orders)""")
+_JUNK = (*v.STANDING_PAPERS, *v.NAVIGATION, *v.LINK_TEXTS, *v.TITLES_ALONE, *v.TITLES_ANYWHERE, *v.TITLES_SHORT, "報告書", "活動状況", "視察概要", "メニュー開閉", "監査機関フォーラム", "成長", "")
+
+
+@query(rf"""WITH k AS (SELECT o_orderkey AS meeting_id, {sql_list(_JUNK)}[CAST(o_orderkey % {len(_JUNK)} AS INT) + 1] AS w, CAST(o_orderkey // {len(_JUNK)} AS BIGINT) AS j FROM orders),
+ n AS (SELECT *, j % 4 = 3 AS undated, CASE j % 3 WHEN 0 THEN '' WHEN 1 THEN '2．' ELSE '第3回 ' END || w || CASE j % 5 WHEN 0 THEN '' WHEN 1 THEN ' (開催日不明)' WHEN 2 THEN 'の記録' WHEN 3 THEN '検討会 (開催日不明)' ELSE '' END AS said FROM k),
+ c AS (SELECT *, trim(said) AS name, trim(regexp_replace(trim(regexp_replace(trim(said), '\s*\([^)]*開催日不明[^)]*\)$', '')), '^[0-9０-９一二三四五六七八九十]+[．.、\s]+', '')) AS core, regexp_matches(said, '第\s*[0-9]+\s*回') AS numbered FROM n),
+ g AS (SELECT *, {sql_has("core", (*v.TITLES_ALONE, *v.TITLES_ANYWHERE, *v.TITLES_SHORT))} OR core = '' OR regexp_matches(core, '^[0-9０-９]+\s*[.．]\s*({"|".join(v.NUMBERED_SUBJECTS)})') OR contains(core, '機関フォーラム') AS stock FROM c)
+ SELECT meeting_id, CASE WHEN NOT numbered AND ({sql_has("core", v.STANDING_PAPERS)} OR regexp_matches(name, '報告書|活動状況|視察概要|名簿')) THEN 'standing_document' WHEN NOT numbered AND ({sql_has("core", v.NAVIGATION)} OR regexp_matches(name, 'メニュー開閉|政策情報（会議・統計等）|会議・委員会等') OR contains(core, '機関フォーラム')) THEN 'navigation'
+  WHEN NOT numbered AND (list_contains({sql_list(v.LINK_TEXTS)}, core) OR list_contains({sql_list(v.LINK_TEXTS)}, name)) THEN 'link_text' WHEN undated AND stock THEN 'generic_undated' WHEN undated AND NOT numbered AND contains(name, '開催日不明') THEN 'undated_placeholder' END AS reason FROM g""")
 def junk_reasons(spark, d):
-    """Why a row is no meeting: names with and without a round, dated and not."""
-    said = _pick(F.lit("成長検討会"), "委員名簿", "会議・委員会等", F.lit("会議"), "検討会 (開催日不明)", by=_key())
-    name = F.when(_key() % 2 == 1, F.concat(F.lit("第3回 "), said)).otherwise(said)
-    return meetings(spark, d).select("meeting_id", quality.junk_reason(name, F.date_format("date", "yyyy/MM/dd"), _key() % 3 == 0).alias("reason"))
+    """Why a row is no meeting: every word of every rule, behind list numbers and rounds, with and without a day."""
+    w = F.element_at(F.array(*map(F.lit, _JUNK)), (_key() % len(_JUNK)).cast("int") + 1)
+    j = F.floor(_key() / len(_JUNK))
+    name = F.concat(_pick("", "2．", "第3回 ", by=j), w, _pick("", " (開催日不明)", "の記録", "検討会 (開催日不明)", "", by=j))
+    return meetings(spark, d).select("meeting_id", quality.junk_reason(name, F.lit("2026/01/01"), j % 4 == 3, F.array(F.lit("機関フォーラム"))).alias("reason"))
+
+
+_QUEUE = """a AS (SELECT event_id AS seq, CASE WHEN user_id % 3 = 0 THEN -1 ELSE user_id END AS host, ts FROM events),
+ t AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY ts, seq) AS turn, count(*) OVER (PARTITION BY host) AS n FROM a), q AS (SELECT seq, host, row_number() OVER (ORDER BY turn, n DESC, host) AS place FROM t)"""
+
+
+@query(f"""WITH {_QUEUE}, l AS (SELECT *, host <> (SELECT arg_max(host, place) FROM q) AS other FROM q), s AS (SELECT coalesce(max(place) FILTER (WHERE other), 0) AS start, count(*) AS n FROM l),
+ g AS (SELECT *, CASE WHEN other AND coalesce(lag(other) OVER (ORDER BY place), false) THEN 1 ELSE 0 END AS gap FROM l), c AS (SELECT *, sum(gap) OVER (ORDER BY place ROWS UNBOUNDED PRECEDING) AS gaps, sum(gap) OVER () AS total FROM g),
+ f AS (SELECT c.*, greatest(0, gaps - greatest(0, total - greatest(0, n - start - 1))) AS filled, place - start - 1 AS move FROM c, s)
+ SELECT f.seq, CAST(CASE WHEN f.move >= 1 THEN coalesce(h.place + h.filled - 1, f.place) ELSE f.place + f.filled END AS BIGINT) AS place FROM f LEFT JOIN f AS h ON h.gap = 1 AND f.move >= 1 AND h.total - h.gaps + 1 = f.move""")
+def repaired_queue(spark, d):
+    """A round-robin queue in which one host has a third of all: its last ones fill the gaps before them."""
+    from minuteloom.operators.analytics import interleave, part_neighbours
+
+    rows = attempts(spark, d).select("seq", "ts", F.when(F.col("council_id") % 3 == 0, -1).otherwise(F.col("council_id")).alias("host"))
+    return part_neighbours(interleave(rows, "host", ["ts", "seq"]).select("seq", "host", "place"), "host").select("seq", F.col("repaired").alias("place"))
+
+
+@query("""WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey % 40, o_orderstatus ORDER BY o_orderdate, o_orderkey) AS r FROM orders WHERE o_orderkey % 3 <> 0),
+ u AS (SELECT o_custkey % 40 AS c, o_orderstatus AS s, list(DISTINCT o_orderkey % 90 // 3 + 1) AS used FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1, 2)
+ SELECT o_orderkey AS meeting_id, [x for x in range(1, 100000) if NOT list_contains(coalesce(used, []), x)][r] AS number FROM o LEFT JOIN u ON c = o_custkey % 40 AND s = o_orderstatus""")
+def free_numbers(spark, d):
+    """New meetings get the least running numbers that the stored ones of their council and kind leave."""
+    from minuteloom.rounds import free_numbers as allot
+
+    m = meetings(spark, d).select("meeting_id", (F.col("council_id") % 40).alias("council"), "flag", "date")
+    taken = m.filter(_key() % 3 == 0).select("council", "flag", F.floor(_key() % 90 / 3 + 1).alias("number"))
+    return allot(m.filter(_key() % 3 != 0), taken, ["council", "flag"], [F.asc("date"), F.asc("meeting_id")]).select("meeting_id", "number")

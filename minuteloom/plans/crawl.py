@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from minuteloom.functions import dates, names, text, titles, urls
+from minuteloom.functions import vocabulary as v
 from minuteloom.operators import digest, entity, rules, sync
 from minuteloom.operators.analytics import first_per_key
 from minuteloom.plans.base import query
 from minuteloom.schema import councils, materials, meetings, ministries, read
 from minuteloom.sources import html, links
+from minuteloom.sources.meetings import section_meetings, table_meetings
+
 
 def _pick(*options, by=None):
     """One of the options by the key's remainder."""
@@ -28,6 +32,14 @@ def _round(step: int = 12):
     return (_key() % step + 1).cast("string")
 
 
+def sql_list(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def sql_has(text: str, words, test: str = "contains") -> str:
+    return f"len([w for w in {sql_list(words)} if {test}({text}, w)]) > 0"
+
+
 # Functions, as a column needs a session, which isn't there when this module is read.
 def _key():
     return F.col("meeting_id")
@@ -108,6 +120,22 @@ def generic_titles(spark, d):
     return rows.select("meeting_id", titles.is_generic_title(F.col("title"), excluded).alias("generic"), titles.is_notice(F.lit(""), F.col("title")).alias("notice"))
 
 
+#: Titles that announce, in each rule's words, and others that don't.
+_ANNOUNCED = (*v.NOTICE_TITLE_ENDS, *v.NOTICE_TITLES, *v.NOTICE_NEWS, *[a + b for a in v.VISITS for b in v.VISIT_ENDS], "議事次第", "資料", "開催状況", "とりまとめ", "")
+
+
+@query(rf"""WITH k AS (SELECT o_orderkey AS meeting_id, o_orderkey % 2 AS two, {sql_list(_ANNOUNCED)}[CAST(o_orderkey % {len(_ANNOUNCED)} AS INT) + 1] AS w, CAST(o_orderkey // {len(_ANNOUNCED)} AS BIGINT) AS j FROM orders),
+ t AS (SELECT *, CASE j % 3 WHEN 0 THEN '' WHEN 1 THEN '第3回 ' ELSE '成長' END || CASE WHEN two = 0 THEN '検討会' ELSE '検討会 ' END || w || CASE j % 5 WHEN 1 THEN '（非公開）' WHEN 2 THEN ' - 環境省' WHEN 3 THEN '(WEB開催)（第1回）：内閣府ホームページ' WHEN 4 THEN 'の記録' ELSE '' END AS title FROM k),
+ b AS (SELECT *, trim(regexp_replace(trim(regexp_replace(title, '\s*[：-]\s*(環境省|内閣府)(ホームページ)?$', '')), '(\s*[(（][^)）]+[)）])+$', '')) AS bare FROM t)
+ SELECT meeting_id, {sql_has("bare", v.NOTICE_TITLE_ENDS, "ends_with")} OR {sql_has("title", v.NOTICE_TITLES)} OR regexp_matches(title, '[\s(（](傍聴|取材)(の案内|について|希望|申込み|申込)?([\s)）]|$)') OR ({sql_has("title", v.NOTICE_NEWS)} AND NOT regexp_matches(title, '第\s*[0-9]+\s*回')) AS notice FROM b""")
+def notices(spark, d):
+    """Titles with every ending and word of notices, in front of brackets and ministries' names, with and without a round, and titles of none."""
+    w = F.element_at(F.array(*map(F.lit, _ANNOUNCED)), (_key() % len(_ANNOUNCED)).cast("int") + 1)
+    j = F.floor(_key() / len(_ANNOUNCED))
+    title = F.concat(_pick("", "第3回 ", "成長", by=j), F.when(_key() % 2 == 0, "検討会").otherwise("検討会 "), w, _pick("", "（非公開）", " - 環境省", "(WEB開催)（第1回）：内閣府ホームページ", "の記録", by=j))
+    return meetings(spark, d).select("meeting_id", titles.is_notice(F.lit(""), title).alias("notice"))
+
+
 @query("SELECT page_id, " + _case("page_id", "false", "true", "true", "false", "true", "false", "true", "false") + " AS generic, " + _case("page_id", "false", "false", "false", "false", "false", "true", "true", "false") + " AS notice, page_id % 8 = 7 AS is_parent, page_id % 8 = 3 AS is_document, page_id % 2 = 1 AS foreign_host, CAST(CASE WHEN page_id % 2 = 1 THEN 1.5 ELSE 0.5 END AS DOUBLE) AS seconds FROM pages")
 def page_rules(spark, d):
     """Index pages, notices, parents, documents, hosts of another ministry and how long to wait for them."""
@@ -214,10 +242,58 @@ def html_dates(spark, d):
     return html.dates_of(_pages(spark, d), "2026-01-01").select("page_id", F.col("place").cast("int").alias("place"), "date")
 
 
-@query("SELECT o_orderkey AS page_id, (o_orderkey % 12 + 1) AS round, 3 AS n_materials FROM orders")
+_ROUND_SQL = "SELECT o_orderkey AS page_id, o_orderkey % 12 + 1 AS r, strftime(o_orderdate, '%Y/%m/%d') AS date, 'https://www.env.go.jp/council/' || o_orderkey || '/' AS page FROM orders"
+
+
+def _page(spark, d, body):
+    return meetings(spark, d).select(_key().alias("page_id"), F.concat(F.lit("https://www.env.go.jp/council/"), _key(), F.lit("/")).alias("url"), body.alias("html"))
+
+
+def _row(*cells):
+    return F.concat(F.lit("<tr>"), *[x for c in cells for x in (F.lit("<td>"), F.lit(c) if isinstance(c, str) else c, F.lit("</td>"))], F.lit("</tr>"))
+
+
+def _link(href, said):
+    return F.concat(F.lit("<a href='"), F.lit(href) if isinstance(href, str) else href, F.lit("'>"), F.lit(said) if isinstance(said, str) else said, F.lit("</a>"))
+
+
+@query(f"""WITH p AS ({_ROUND_SQL}) SELECT page_id, r AS round, date, page || 'dai' || r || '/index.html' AS url, '資料1,議事録,追加資料' AS names FROM p UNION ALL SELECT page_id, r + 1, NULL, page, '' FROM p
+ UNION ALL SELECT page_id, r + 2, NULL, page || 'dai' || (r + 2) || '.html', '(PDF)' FROM p WHERE page_id % 3 = 1 UNION ALL SELECT page_id, r + 2, NULL, page || 'dai' || (r + 2) || '.html', '第' || (r + 2) || ' 回' FROM p WHERE page_id % 3 = 2
+ UNION ALL SELECT page_id, r + 2, NULL, page || 'dai' || (r + 2) || '.html', '' FROM p WHERE page_id % 3 = 0""")
 def meeting_tables(spark, d):
-    """The meeting that each page's table has; the row without a round is none."""
-    return html.meetings_of(_pages(spark, d)).select("page_id", "round", F.col("n_materials").cast("int").alias("n_materials"))
+    """Meetings of each page's table, with heads that span columns: two rows of one directory, one without papers, one whose page was read, has a file or none; no notices, publications, lists of names."""
+    r = _key() % 12 + 1
+    near = lambda n, tail: F.concat(F.lit("dai"), r + n, F.lit(tail))
+    said = lambda n: F.concat(F.lit("第"), F.translate((r + n).cast("string"), "0123456789", "０１２３４５６７８９"), F.lit(" 回"))
+    wide = _key() % 2 == 0
+    head = F.concat(F.lit("<table><tr>"), F.when(wide, "<th colspan=2>回数</th>").otherwise("<th>回数</th>"), F.lit("<th>開催日</th><th>配付資料</th><th>議事概要</th><th>開催案内</th></tr>"))
+    cells = lambda n, *rest: F.when(wide, _row(said(n), "定例", *rest)).otherwise(_row(said(n), *rest))
+    notice = _link(near(0, "annai.pdf"), said(0))
+    other = F.when(wide, _row("―", "", "", _link("pub.pdf", "公表資料"), "", "")).otherwise(_row("―", "", _link("pub.pdf", "公表資料"), "", ""))
+    body = F.concat(
+        head, cells(0, _era(), F.concat(_link(near(0, "/index.html"), "会議のページ"), _link(near(0, "/1.pdf"), "資料1")), _link(near(0, "/gijiroku.html"), "議事録"), notice),
+        cells(0, "同日", F.concat(_link(near(0, "/gaiyo.html"), "会議の概要"), _link(near(0, "/2.pdf"), "追加資料"), _link(near(0, "/1.pdf"), "資料1（再掲）")), "", ""), other, cells(1, "", "", "", notice),
+        cells(2, "", _link(near(2, ".html"), said(2)), _link("#top", "議事録"), notice), F.lit("</table><table><tr><th>氏名</th><th>所属</th></tr><tr><td>山田</td><td>教授</td></tr><tr><td>佐藤</td><td>第90回座長</td></tr></table>"),
+    )
+    pages = _page(spark, d, body)
+    inside = F.when(_key() % 3 == 1, "<p><a href='/f.pdf'>(PDF)</a></p>").otherwise("<p>本文</p>")
+    fetched = meetings(spark, d).filter(_key() % 3 != 0).select(F.concat(F.lit("https://www.env.go.jp/council/"), _key(), F.lit("/"), near(2, ".html")).alias("url"), inside.alias("html"))
+    found = table_meetings(pages, "2026-01-01", fetched)
+    return found.select("page_id", F.col("round").cast("long").alias("round"), "date", "url", F.array_join(F.transform("materials", lambda m: m["name"]), ",").alias("names"))
+
+
+@query(f"""WITH p AS ({_ROUND_SQL}) SELECT page_id, r AS round, date, page AS url, '資料1:PDF,議事要旨:HTML' AS names FROM p UNION ALL SELECT page_id, r + 1, NULL, page, '別表:PDF' || CASE WHEN page_id % 2 = 0 THEN ',最終報告:PDF,報告書:PDF' ELSE '' END FROM p""")
+def meeting_sections(spark, d):
+    """Meetings of each page's headings: papers up to the next heading, reports to the highest round; none of the frame, and none without papers and day."""
+    r = _key() % 12 + 1
+    report = F.when(_key() % 2 == 0, "報告書について").otherwise("参考")
+    body = F.concat(
+        F.lit("<nav><h2>第50回</h2><p><a href='/50.pdf'>資料</a></p></nav><div class='side-menu'><h3>第51回 2024年1月1日</h3></div><h2>第"), r, F.lit("回（"), _era(), F.lit("）</h2><ul><li>"), _link(F.concat(_key(), F.lit("/1.pdf")), "資料1 [PDF:20KB]"),
+        F.lit("</li></ul><div>"), _link("gijiyoshi.html", "議事要旨"), F.lit("<a href='https://x.com/a.pdf'>資料9</a><a href='other.html'>会場の地図</a></div><h3>第"), r + 1, F.lit("回</h3><p>"), _link("t.xlsx", "別表"), F.lit("</p><h2>"), report, F.lit("</h2><ul><li>"),
+        _link("r.pdf", "最終報告"), F.lit("</li><li>"), _link("s.pdf", ""), F.lit("</li></ul><h2>第99回</h2><p>準備中</p>"),
+    )
+    found = section_meetings(_page(spark, d, body), "2026-01-01")
+    return found.select("page_id", F.col("round").cast("long").alias("round"), "date", "url", F.array_join(F.transform("materials", lambda m: F.concat(m["name"], F.lit(":"), m["type"])), ",").alias("names"))
 
 
 @query("SELECT o_orderkey AS page_id, 'https://www.env.go.jp/' || o_orderkey || '.pdf' AS url, 'PDF' AS type FROM orders")
@@ -278,43 +354,59 @@ def digest_ordinals(spark, d):
     return digest.ordinals(_news(spark, d), "ministry", ["date", "url", "title"]).select("meeting_id", "item_id")
 
 
-@query("WITH " + _ITEMS + """SELECT count(*) AS n, sha256('[' || string_agg('{"date":"' || date || '","id":"' || item_id || '","ministry":"' || ministry || '","similar_existing":[{"id":"' || o_custkey || '","name":"' || c_name || '"}],"title":"' || replace(title, '"', '\\"') || '","url":"' || url || '"}', ',' ORDER BY n) || ']') AS digest FROM q""")
+@query("WITH " + _ITEMS + """SELECT ministry, left(date, 4) AS year, count(*) AS n, sha256('[' || string_agg('{"date":"' || date || '","id":"' || item_id || '","ministry":"' || ministry || '","similar_existing":[{"id":"' || o_custkey || '","name":"' || c_name || '"}],"title":"' || replace(title, '"', '\\"') || '","url":"' || url || '"}', ',' ORDER BY n) || ']') AS digest FROM q GROUP BY 1, 2""")
 def digest_hash(spark, d):
-    """The name of the digest of all news."""
-    return digest.digest_hash(digest.ordinals(_news(spark, d), "ministry", ["date", "url", "title"]))
-
-
-COUNCIL = ("cas-kaigi", "CAS", "成長検討会", "https://www.cas.go.jp/kaigi/index.html")
-STORED = [
-    ("cas-kaigi", "cas-kaigi-20260401-001", "第1回 成長検討会", "2026/04/01", False, "https://www.cas.go.jp/kaigi/dai1/index.html", [("資料1", "https://www.cas.go.jp/kaigi/dai1/1.pdf", "PDF")], False),
-    ("cas-kaigi", "cas-kaigi-20260501-002", "第2回 成長検討会", "2026/05/01", False, "https://www.cas.go.jp/kaigi/index.html", [], False),
-    ("cas-kaigi", "cas-kaigi-20240601-003", "第3回 成長検討会", "2024/06/01", False, "https://www.cas.go.jp/kaigi/r6/dai3.html", [("議事録", "https://www.cas.go.jp/kaigi/r6/3.pdf", "PDF")], True),
-]
-SCRAPED = [
-    (1, "https://www.cas.go.jp/kaigi/dai1/index.html", "第1回 成長検討会", ["令和8年4月1日"], [("資料1", "https://www.cas.go.jp/kaigi/dai1/1.pdf", "PDF"), ("PDF", "https://www.cas.go.jp/kaigi/dai1/gijiroku.pdf", "PDF")]),
-    (2, "https://www.cas.go.jp/kaigi/dai2/", "第2回 成長検討会", ["令和8年5月1日"], [("資料", "https://www.cas.go.jp/kaigi/dai2/2.pdf", "PDF"), ("閉じる", "https://www.cas.go.jp/x.pdf", "PDF")]),
-    (3, "https://www.cas.go.jp/kaigi/dai3/", "第3回 成長検討会", ["令和8年6月1日"], [("資料1", "https://www.cas.go.jp/kaigi/dai3/1.pdf", "PDF")]),
-    (4, "https://www.cas.go.jp/kaigi/old/dai3.html", "第3回 成長検討会", ["平成20年6月1日"], [("資料1", "https://www.cas.go.jp/kaigi/old/1.pdf", "PDF")]),
-    (5, "https://www.cas.go.jp/kaigi/annai/dai5.html", "第5回 成長検討会の開催について", ["令和8年7月1日"], []),
-    (6, "https://www.meti.go.jp/dai6.html", "第6回 成長検討会", ["令和8年7月1日"], [("資料1", "https://www.meti.go.jp/1.pdf", "PDF")]),
-    (7, "https://www.cas.go.jp/kaigi/dai7/", "第7回 成長検討会", [], [("資料1", "https://www.cas.go.jp/kaigi/dai7/1.pdf", "PDF")]),
-    (8, "https://www.cas.go.jp/kaigi/dai8/", "まったく別の話題である農産物の輸出", ["令和8年8月1日"], [("資料1", "https://www.cas.go.jp/kaigi/dai8/1.pdf", "PDF")]),
-    (9, "https://www.cas.go.jp/kaigi/20260601b.html", "成長検討会", ["令和8年6月1日"], [("追加資料", "https://www.cas.go.jp/kaigi/dai3/2.pdf", "PDF")]),
-]
-
-
-def sync_tables(spark):
-    material = "array<struct<name:string,url:string,type:string>>"
-    known = spark.createDataFrame([COUNCIL], "council_id string, ministry string, name string, official_url string")
-    stored = spark.createDataFrame(STORED, f"council_id string, meeting_id string, name string, date string, unconfirmed boolean, url string, materials {material}, locked boolean")
-    scraped = spark.createDataFrame([(COUNCIL[0], s, u, t, None, dd, m) for s, u, t, dd, m in SCRAPED], f"council_id string, seq int, url string, title string, page_title string, found_dates array<string>, materials {material}")
+    """The names of the digests of each ministry's news of a year."""
+    items = digest.ordinals(_news(spark, d), "ministry", ["date", "url", "title"])
+    return digest.digest_hash(items.withColumn("year", F.left("date", F.lit(4))), ["ministry", "year"])
+
+
+_SYNC_SQL = """
+WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderkey % 8 AS kind, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+l AS (SELECT l_orderkey AS k, count(DISTINCT l_linenumber) AS lines, count(DISTINCT CASE WHEN l_linenumber = 1 THEN 1 END) AS one FROM lineitem GROUP BY 1),
+x AS (SELECT o.*, coalesce(lines, 0) AS lines, coalesce(one, 0) AS one, lag(kind) OVER w AS before, lead(kind) OVER w AS next, lead(coalesce(lines, 0)) OVER w AS more FROM o LEFT JOIN l USING (k) WINDOW w AS (PARTITION BY c ORDER BY n)),
+-- A page of kind 7 has the day of the page before it, and joins a meeting that has that day.
+y AS (SELECT *, CASE WHEN kind = 7 AND before IN (0, 1, 3, 5) THEN true ELSE false END AS joins, CASE WHEN next = 7 AND kind IN (0, 1, 3, 5) THEN more ELSE 0 END AS joined FROM x),
+z AS (
+  SELECT *, CASE WHEN kind IN (3, 7) THEN true WHEN kind = 4 THEN lines > 0 ELSE false END AS fresh,
+    CASE WHEN kind IN (1, 2) OR (kind = 5 AND one = 0) THEN lines > 0 WHEN kind = 0 THEN one = 0 AND lines > 0 ELSE false END AS upgraded, kind = 0 AND one = 1 AND lines > 1 AS merged,
+    CASE WHEN kind IN (2, 4) THEN DATE '2099-01-01' WHEN kind = 7 THEN DATE '1990-01-01' + CAST(7 * (n - 1) AS INT) ELSE DATE '1990-01-01' + CAST(7 * n AS INT) END AS day
+  FROM y WHERE kind <> 6 AND NOT joins AND NOT (kind = 4 AND lines = 0))
+SELECT 'c-' || c AS council_id, 'c-' || c || '-' || strftime(day, '%Y%m%d') || '-' || lpad(CAST(n AS VARCHAR), 3, '0') AS meeting_id, '第' || n || '回 成長検討会' || CASE WHEN kind = 4 THEN ' (開催日不明)' ELSE '' END AS name, strftime(day, '%Y/%m/%d') AS date,
+  'https://e.go.jp/c/' || c || CASE WHEN kind = 0 OR fresh OR upgraded THEN '/p' || k ELSE '' END AS url, CAST(joined + CASE WHEN fresh OR upgraded OR merged THEN lines WHEN kind IN (0, 5) THEN one ELSE 0 END AS INT) AS n_materials,
+  CASE WHEN fresh THEN 'inserted' WHEN joined > 0 OR merged THEN 'merged' WHEN upgraded THEN 'upgraded' ELSE 'kept' END AS action FROM z
+"""
+
+
+def sync_tables(spark, d):
+    """(councils, stored, scraped): each order is a page of its customer's council, with a round and its line items as materials; what is stored of it goes by its key."""
+    number = F.row_number().over(Window.partitionBy("council_id").orderBy("meeting_id"))
+    parent = F.concat(F.lit("https://e.go.jp/c/"), "council_id", F.lit("/"))
+    page = F.concat(parent, F.lit("p"), "meeting_id")
+    material = F.struct(F.concat(F.lit("資料"), "line").alias("name"), F.concat(F.lit("https://e.go.jp/m/"), "meeting_id", F.lit("/f"), "line", F.lit(".pdf")).alias("url"), F.lit("PDF").alias("type"))
+    papers = materials(spark, d).groupBy("meeting_id").agg(F.array_sort(F.collect_set(material)).alias("materials"))
+    rows = meetings(spark, d).withColumn("n", number).join(papers, "meeting_id", "left").withColumn("kind", F.col("meeting_id") % 8)
+    council, kind, n = F.concat(F.lit("c-"), "council_id"), F.col("kind"), F.col("n")
+    day = lambda back: F.date_add(F.lit("1990-01-01").cast("date"), (7 * (n - back)).cast("int"))
+    known = councils(spark, d).select(council.alias("council_id"), F.lit("MOE").alias("ministry"), F.lit("成長検討会").alias("name"), parent.alias("official_url"))
+    name = F.concat(F.lit("第"), n, F.lit("回 成長検討会"))
+    undated = kind == 2
+    date = F.when(undated, F.lit("2099/01/01")).otherwise(F.date_format(day(0), "yyyy/MM/dd"))
+    first = F.filter("materials", lambda m: m["name"] == "資料1")
+    stored = rows.filter(kind.isin(0, 1, 2, 5)).select(
+        council.alias("council_id"), F.concat(council, F.lit("-"), F.replace(date, F.lit("/"), F.lit("")), F.lit("-"), F.lpad(n.cast("string"), 3, "0")).alias("meeting_id"), name.alias("name"), date.alias("date"), undated.alias("unconfirmed"),
+        F.when(kind == 0, page).otherwise(parent).alias("url"), F.when(kind.isin(0, 5), first).alias("materials"), (kind == 5).alias("locked"),
+    )
+    told = F.when(kind != 4, F.array(F.date_format(day(F.when(kind == 7, 1).otherwise(0)), "yyyy年M月d日")))
+    title = F.concat(name, F.when(kind == 6, "の開催について").otherwise(""))
+    scraped = rows.select(council.alias("council_id"), n.alias("seq"), page.alias("url"), title.alias("title"), F.lit(None).cast("string").alias("page_title"), told.alias("found_dates"), "materials")
     return known, stored, scraped
 
 
-@query()
+@query(_SYNC_SQL)
 def sync_scraped(spark, d):
-    """Pages of one council into its meetings, by all rules."""
-    return sync.sync_scraped(*sync_tables(spark)).select("meeting_id", "name", "date", "url", F.size("materials").alias("n_materials"), "action")
+    """Every order's page into its customer's meetings: stored with its page, without one, undated, locked, or not at all; notices, undated pages and pages of a day that is stored."""
+    return sync.sync_scraped(*sync_tables(spark, d)).select("council_id", "meeting_id", "name", "date", "url", F.size("materials").alias("n_materials"), "action")
 
 
 @query("SELECT o_orderkey AS meeting_id, 'https://e.go.jp/' || o_orderkey || '/dai' || (o_orderkey % 12 + 1) AS url FROM orders WHERE o_orderkey % 4 IN (0, 2)")
@@ -377,3 +469,32 @@ def material_flags(spark, d):
     u = F.concat(_pick("https://x.com/", "https://www.youtube.com/watch?v=", "https://www.youtube.com/channel/", "https://e.go.jp/a.html#", "https://e.go.jp/m/", by=F.col("page_id")), F.col("page_id"))
     rows = read(spark, d, "pages").select("page_id", u.alias("u"))
     return rows.select("page_id", sync.is_account(F.col("u")).alias("account"), sync.is_anchor(F.col("u")).alias("anchor"), titles.is_material_page(F.when(F.col("page_id") % 5 == 4, "配付資料").otherwise("資料1"), F.col("u")).alias("material_page"))
+
+
+_SHOWN = ("第{}回 成長検討会の議事要旨について", "資料{}：農産物の輸出、ならびに物流の見通し", "会議{}のお知らせ（ＷＧ）", "令和6年度 予算{}")
+
+
+@query("SELECT o_orderkey AS page_id, replace(" + sql_list(_SHOWN) + "[CAST(o_orderkey // 5 % 4 AS INT) + 1], '{}', CAST(o_orderkey AS VARCHAR)) AS title FROM orders")
+def encoded_titles(spark, d):
+    """Titles of pages in four encodings that none of them declares, and one that declares its own, read as they were written."""
+    said = F.replace(F.element_at(F.array(*map(F.lit, _SHOWN)), (F.floor(_key() / 5) % 4 + 1).cast("int")), F.lit("{}"), _key().cast("string"))
+    rows = meetings(spark, d).select(_key().alias("page_id"), said.alias("title"))
+
+    def run(batches):
+        kinds = ("utf-8", "cp932", "euc_jp", "iso2022_jp", "cp932")
+        for b in batches:
+            page = ["<meta charset=shift_jis>" * (p % 5 == 4) + f"<title>{t}</title><p>次の通りに開きます。</p>" for p, t in zip(b.page_id, b.title)]
+            yield b.assign(content=[x.encode(kinds[p % 5]) for p, x in zip(b.page_id, page)])[["page_id", "content"]]
+
+    pages = rows.mapInPandas(run, "page_id long, content binary")
+    return html.decoded(pages).select("page_id", F.regexp_extract("html", "<title>(.*)</title>", 1).alias("title"))
+
+
+@query("""WITH a AS (SELECT DISTINCT user_id, ts, event_id, event_type FROM events), g AS (SELECT user_id, max((ts, event_id)) AS last, count(*) AS n, max(CASE WHEN event_type <> 'error' THEN (ts, event_id) END) AS good FROM a GROUP BY 1)
+ SELECT g.user_id AS council_id, max(a.ts) AS mark, arg_max(a.event_id, (a.ts, a.event_id)) AS seq, max(n) AS attempts, CAST(count_if(good IS NULL OR (a.ts, a.event_id) > good) AS BIGINT) AS consecutive_failures FROM g JOIN a ON a.user_id = g.user_id GROUP BY 1""")
+def source_marks(spark, d):
+    """How far each source has been read, by a stream that is stopped after its first files and started again on the same checkpoint."""
+    from minuteloom.streaming.crawl import replayed_marks
+
+    found = replayed_marks(read(spark, d, "events").select("ts", F.col("event_id").alias("seq"), F.col("user_id").alias("council_id"), F.col("event_type").alias("kind")))
+    return found.withColumn("mark", F.timestamp_micros("mark").cast("timestamp_ntz"))

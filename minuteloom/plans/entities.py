@@ -9,7 +9,6 @@ from minuteloom.functions import text, urls
 from minuteloom.operators import entity
 from minuteloom.plans.base import query
 from minuteloom.schema import councils, materials, meetings, read
-from minuteloom.sources import html
 
 
 @query("SELECT o_custkey AS council_id, CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders GROUP BY 1, 2 HAVING count(*) > 1")
@@ -120,23 +119,6 @@ def suffix_twins(spark, d):
     return twins.filter(F.contains("long_key", F.lit(" ")) & ~F.contains("short_key", F.lit(" "))).select(F.col("long_key").alias("long_name"), F.col("short_key").alias("short_name")).distinct()
 
 
-_FRAMES = "html"
-for _tag in ("script", "style", "nav", "header", "footer", "aside"):
-    _FRAMES = f"regexp_replace({_FRAMES}, '<{_tag}[ >].*?</{_tag}>', '', 'gs')"
-
-
-@query(rf"""WITH c AS (SELECT page_id, regexp_extract(url, '^https?://[^/]+') AS host, regexp_extract_all({_FRAMES}, '<a href="(/[^"#]+)">([^<]*)</a>', 1) AS h, regexp_extract_all({_FRAMES}, '<a href="(/[^"#]+)">([^<]*)</a>', 2) AS t FROM pages)
- SELECT page_id, CAST(i - 1 AS INTEGER) AS position, t[i] AS name, host || h[i] AS url, CASE WHEN regexp_matches(lower(h[i]), '\.(pdf|docx?|xlsx?)$') THEN 'PDF' ELSE 'HTML' END AS type FROM c, unnest(range(1, len(h) + 1)) AS u(i)""")
-def html_materials(spark, d):
-    return html.materials_of(read(spark, d, "pages"))
-
-
-@query(rf"""WITH r AS (SELECT page_id, unnest(regexp_extract_all({_FRAMES}, '<tr[ >].*?</tr>')) AS x FROM pages UNION ALL SELECT page_id, unnest(regexp_extract_all({_FRAMES}, '<h[1-4][ >].*?</h[1-4]>')) FROM pages)
- SELECT page_id, CAST(regexp_extract(x, '第\s*([0-9]+)\s*回', 1) AS BIGINT) AS round, CAST(NULL AS VARCHAR) AS date_text, regexp_replace(x, '<[^>]*>', '', 'g') AS name, CAST(len(regexp_extract_all(x, '<a ')) AS BIGINT) AS n_materials FROM r WHERE regexp_matches(x, '第\s*[0-9]+\s*回')""")
-def html_meetings(spark, d):
-    return html.meetings_of(read(spark, d, "pages"))
-
-
 @query("SELECT doc_id FROM documents WHERE contains(lower(text), 'the')")
 def nfkc_search(spark, d):
     """Documents that hold a word whatever its width and case; the SQL knows no wide letters, and the texts have none of that word."""
@@ -149,9 +131,9 @@ def title_consistency(spark, d):
     return entity.inconsistent_titles(rows, F.col("label"), F.col("category")).select("meeting_id", "ratio", "inconsistent")
 
 
-@query("SELECT doc_id, g AS trigram FROM (SELECT DISTINCT doc_id, lower(substr(text, CAST(i AS INTEGER), 3)) AS g FROM documents, unnest(range(1, least(length(text) - 1, 100000000))) AS t(i)) WHERE g IN ('the', 'ing', 'tio')")
+@query("SELECT DISTINCT doc_id, lower(substr(text, CAST(i AS INTEGER), 3)) AS trigram FROM documents, unnest(range(1, greatest(length(text) - 1, 1))) AS t(i) WHERE length(text) >= 3")
 def trigram_index(spark, d):
-    """Postings of three trigrams; each document gives each of its trigrams once."""
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - 2), lambda i: F.lower(F.substring(F.col("text"), i, F.lit(3)))))
+    """Every trigram of every document, once each."""
     docs = read(spark, d, "documents").filter(F.length("text") >= 3)
-    return docs.select("doc_id", F.explode(grams).alias("trigram")).filter(F.col("trigram").isin("the", "ing", "tio"))
+    grams = F.transform(F.sequence(F.lit(1), F.length("text") - 2), lambda i: F.lower(F.substring(F.col("text"), i, F.lit(3))))
+    return docs.select("doc_id", F.explode(F.array_distinct(grams)).alias("trigram"))

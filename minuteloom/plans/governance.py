@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from minuteloom.functions import names
 from minuteloom.operators import discovery, governance
 from minuteloom.plans.base import query
-from minuteloom.schema import councils, materials, meetings
+from minuteloom.schema import councils, materials, meetings, read
 
 _RECENT = "TIMESTAMP '2001-01-01'"
 
@@ -101,41 +100,52 @@ def cleanup(spark, d):
     return governance.clean_up(meetings(spark, d), junk, ["council_id", "label"], "meeting_id").select("meeting_id", "council_id", "label")
 
 
-NAMES = ["第10回 AI戦略会議の開催について", "令和8年度 成長戦略ワーキンググループ（第3回）配付資料", "お知らせ　水循環検討会", "「原子力委員会」", "IMF国際通貨金融委員会", "大臣が現地を視察", "度", None]
+_NAMED = """n AS (SELECT c_custkey AS k, c_nationkey AS m, CASE c_custkey % 4 WHEN 0 THEN '特別' WHEN 1 THEN '地域特別' WHEN 2 THEN '地域 特別' ELSE '' END || lower(c_mktsegment) || CASE c_custkey % 3 WHEN 0 THEN '検討会' WHEN 1 THEN '政策部会' ELSE '会議' END AS name, 'https://e.go.jp/' || c_custkey % 400 || CASE WHEN c_custkey % 2 = 0 THEN '/' ELSE '' END AS url, c_acctbal < -800 AS known FROM customer)"""
 
 
-@query()
-def council_names(spark, d):
-    n = F.col("name")
-    rows = spark.createDataFrame([(x,) for x in NAMES], "name string")
-    return rows.select("name", names.clean_name(n).alias("clean"), names.core_name(n).alias("core"), names.title_stem(n).alias("stem"), names.category(n)["code"].alias("category"), discovery.is_noise(n).alias("is_noise"), discovery.is_no_council_news(n, F.lit("")).alias("no_council"))
+@query(f"""WITH RECURSIVE {_NAMED}, x AS (SELECT k, known, struct_pack(m := m, n := replace(name, ' ', ''), u := rtrim(url, '/')) AS s FROM n), f AS (SELECT *, row_number() OVER (ORDER BY k) AS i FROM x WHERE NOT known),
+ walk AS (SELECT CAST(0 AS BIGINT) AS i, coalesce((SELECT list(s) FROM x WHERE known), []) AS had, CAST(NULL AS BIGINT) AS k UNION ALL
+  SELECT f.i, CASE WHEN len(t.met) = 0 THEN list_append(t.had, f.s) ELSE t.had END, CASE WHEN len(t.met) = 0 THEN f.k END FROM (SELECT w.i, w.had, [o for o in w.had if o.u = f.s.u OR (o.m = f.s.m AND (o.n = f.s.n OR (length(o.n) >= 4 AND length(f.s.n) >= 4 AND regexp_matches(o.n, '検討会|部会') AND regexp_matches(f.s.n, '検討会|部会')
+   AND ((ends_with(o.n, f.s.n) AND NOT starts_with(o.n, f.s.n)) OR (ends_with(f.s.n, o.n) AND NOT starts_with(f.s.n, o.n))))))] AS met FROM walk AS w JOIN f ON f.i = w.i + 1) AS t JOIN f ON f.i = t.i + 1)
+ SELECT k AS council_id FROM walk WHERE k IS NOT NULL""")
+def new_councils(spark, d):
+    """Found councils in order, less those that a known one or one that was admitted before tells to be there: by address, by name, by an end of a name."""
+    k = F.col("council_id")
+    prefix = F.when(k % 4 == 0, "特別").when(k % 4 == 1, "地域特別").when(k % 4 == 2, "地域 特別").otherwise("")
+    name = F.concat(prefix, F.lower("category"), F.when(k % 3 == 0, "検討会").when(k % 3 == 1, "政策部会").otherwise("会議"))
+    rows = councils(spark, d).select(k, F.col("ministry").cast("string").alias("ministry"), name.alias("name"), F.concat(F.lit("https://e.go.jp/"), k % 400, F.when(k % 2 == 0, "/").otherwise("")).alias("official_url"), "stored")
+    return discovery.keep_new(rows.filter("stored >= -800"), rows.filter("stored < -800"), ["council_id"]).select("council_id")
 
 
-LINKS = [
-    ("CAO", 1, "第3回 水循環検討会", "https://www.cao.go.jp/mizu/3.html"), ("CAO", 2, "水循環検討会", "https://www.cao.go.jp/mizu/"), ("CAO", 3, "原子力委員会", "https://www.cao.go.jp/aec/"),
-    ("CAO", 4, "開発・イノベーション小委員会", "https://www.cao.go.jp/inno/"), ("CAO", 5, "宇宙政策委員会", "https://www.cao.go.jp/press/2026/a.html"), ("CAO", 6, "食品安全部会", "https://www.cao.go.jp/food/"), ("CAO", 7, "大臣が検討会に出席", "https://www.cao.go.jp/x/"),
-]
-
-
-@query()
-def admit_links(spark, d):
-    links = spark.createDataFrame(LINKS, "ministry string, position int, text string, url string")
-    known = spark.createDataFrame([("CAO", "原子力委員会", "https://www.cao.go.jp/old/"), ("CAO", "イノベーション小委員会", "https://www.cao.go.jp/i/")], "ministry string, name string, official_url string")
-    return discovery.admit_links(links, known, ["検討会", "委員会", "部会"]).select("ministry", "position", "name", "url", F.col("category.code").alias("category"))
+@query("""WITH s AS (SELECT s_suppkey AS k, 'https://a' || s_suppkey || '.go.jp/news/' AS portal, 1 + s_suppkey % 9 AS m FROM supplier)
+ SELECT portal, 0 AS rank, CASE WHEN k % 4 = 0 AND m < 9 THEN portal WHEN k % 4 = 0 THEN portal || '20260' || m || '.html' WHEN k % 4 = 1 THEN portal || 'r' || (8 + k % 3) || '_news_menu.html' WHEN k % 4 = 2 THEN portal ELSE portal || '2026/' END AS url FROM s
+ UNION ALL SELECT portal, 1, CASE WHEN k % 4 = 0 AND m < 9 THEN portal || '20260' || m || '.html' WHEN k % 4 = 0 THEN portal || '2026' || lpad(CAST(m - 1 AS VARCHAR), 2, '0') || '.html' ELSE portal || 'x' || k || '.html' END FROM s WHERE k % 4 IN (0, 3)""")
+def portal_pages(spark, d):
+    """The pages to read of each supplier's portal: of months, of an era's menus, of none that is new, and by what the links' texts and addresses tell."""
+    k, m = F.col("s_suppkey"), 1 + F.col("s_suppkey") % 9
+    s = read(spark, d, "supplier").select(k, F.concat(F.lit("https://a"), k, F.lit(".go.jp/news/")).alias("portal"))
+    pattern = F.when(k % 4 == 0, r"news/\d{6}\.html").when(k % 4 == 1, "news_menu")
+    month = lambda back: F.concat(F.lit("2026"), F.lpad((m - back).cast("string"), 2, "0"), F.lit(".html"))
+    menu = lambda back: F.concat(F.lit("r"), 8 + k % 3 - back, F.lit("_news_menu.html"))
+    places = F.when(k % 4 == 0, F.array(F.lit("202512.html"), month(0), month(1))).when(k % 4 == 1, F.array(menu(1), menu(0), menu(2))).when(k % 4 == 2, F.array(F.lit("about.html"))).otherwise(F.array(F.concat(F.lit("x"), k, F.lit(".html")), F.lit("2026/"), F.lit("z.html")))
+    links = s.select("portal", pattern.alias("pattern"), k, F.posexplode(places).alias("position", "place"))
+    said = F.when((k % 4 == 3) & (F.col("position") == 0), "９月の会議").otherwise("一覧")
+    return discovery.resolve_portals(links.select("portal", "pattern", "position", F.concat("portal", "place").alias("url"), said.alias("text")), "2026-09-16")
 
 
-@query()
-def portal_pages(spark, d):
-    rows = [
-        ("https://a.go.jp/news/", r"news/\d{6}\.html", 1, "https://a.go.jp/news/202608.html", "8月"), ("https://a.go.jp/news/", r"news/\d{6}\.html", 2, "https://a.go.jp/news/202607.html", "7月"),
-        ("https://b.go.jp/", "news_menu", 1, "https://b.go.jp/r7_news_menu.html", "令和7"), ("https://b.go.jp/", "news_menu", 2, "https://b.go.jp/r8_news_menu.html", "令和8"),
-        ("https://c.go.jp/", None, 1, "https://c.go.jp/about.html", "概要"), ("https://d.go.jp/", None, 1, "https://d.go.jp/2026/", "2026年"), ("https://d.go.jp/", None, 2, "https://d.go.jp/x.html", "9月"),
-    ]
-    return discovery.resolve_portals(spark.createDataFrame(rows, "portal string, pattern string, position int, url string, text string"), "2026-09-16")
+_SCORES = ((0, 5, 0), (10, 5, 0), (10, 0, 3), (0, 5, 3), (0, 0, 3))
 
 
-@query()
+@query(f"""WITH l AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS n, (l_linenumber + l_orderkey) % 7 AS kind FROM lineitem), s AS (SELECT *, CASE kind {" ".join(f"WHEN {i} THEN {sum(x)}" for i, x in enumerate(_SCORES))} ELSE 0 END AS score FROM l),
+ b AS (SELECT k, arg_min(n, (-score, n)) AS n FROM s WHERE score >= 5 GROUP BY 1) SELECT l_orderkey AS meeting_id, coalesce('https://a.go.jp/' || CASE WHEN (n + l_orderkey) % 7 >= 2 THEN 'kaigi/' ELSE 'x/' END || n, 'https://a.go.jp/report/press/' || l_orderkey || '.html') AS parent_url FROM (SELECT DISTINCT l_orderkey FROM lineitem) LEFT JOIN b ON k = l_orderkey""")
 def parent_page(spark, d):
-    press = "https://a.go.jp/report/press/1.html"
-    rows = [(press, "水循環検討会", 1, "https://a.go.jp/seisaku/x/", "議事要旨一覧"), (press, "水循環検討会", 2, "https://a.go.jp/mizu/", "水循環検討会の開催状況"), (press, "水循環検討会", 3, "https://b.go.jp/mizu/", "水循環検討会の開催状況"), ("https://a.go.jp/kaiken/2.html", "会見の記録", 1, "https://a.go.jp/a/", "アクセス方法")]
-    return discovery.parent_pages(spark.createDataFrame(rows, "press_url string, name string, position int, url string, text string"))
+    """The council's page of each press release, by its links' names, words and paths; another host's, a release and noise are none."""
+    n, k = F.col("line"), F.col("meeting_id")
+    kind = (n + k) % 7
+    host = F.when(kind == 5, "https://b.go.jp/").otherwise("https://a.go.jp/")
+    folder = F.when(kind == 6, "report/press/").when(kind >= 2, "kaigi/").otherwise("x/")
+    said = F.when(kind == 0, "議事要旨一覧").when(kind == 1, "水循環検討会の開催状況").when(kind == 2, "水循環検討会について").when(kind == 3, "配付資料の置き場所").when(kind == 4, "会場への案内図").otherwise("水循環検討会の開催状況")
+    press = F.concat(F.lit("https://a.go.jp/report/press/"), k, F.lit(".html"))
+    links = materials(spark, d).select(k, n).distinct().select(press.alias("press_url"), F.lit("第3回 水循環検討会").alias("name"), n.alias("position"), F.concat(host, folder, n).alias("url"), said.alias("text"))
+    found = discovery.parent_pages(links)
+    return found.select(F.regexp_extract("press_url", "([0-9]+)", 1).cast("long").alias("meeting_id"), "parent_url")

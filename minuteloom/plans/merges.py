@@ -152,19 +152,10 @@ def flatten_children(spark, d):
     return documents.flatten_children(nested, "meeting_id", "children", ["meeting_id", "type"]).select("meeting_id", "type", "line")
 
 
-@query("""SELECT s_suppkey AS k, 'orphan' AS state FROM supplier WHERE s_suppkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey < 90) UNION ALL SELECT DISTINCT o_custkey, 'missing' FROM orders WHERE o_custkey < 90 AND o_custkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey > 10)
- UNION ALL SELECT s_suppkey, 'orphan' FROM supplier WHERE false""")
-def missing_and_orphans(spark, d):
-    parents = meetings(spark, d).filter("council_id < 90").select(F.col("council_id").alias("k"))
-    rules = read(spark, d, "supplier").select(F.col("s_suppkey").alias("k"))
-    late = merge.missing_and_orphans(parents, rules.filter("k > 10"), "k").filter("state = 'missing'")
-    return late.unionByName(merge.missing_and_orphans(parents, rules, "k").filter("state = 'orphan'"))
-
-
 @query("""SELECT DISTINCT s_suppkey AS k, 'orphan' AS state FROM supplier WHERE s_suppkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = s_suppkey)
  UNION ALL SELECT DISTINCT o_custkey, 'missing' FROM orders WHERE o_custkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = o_custkey)""")
-def missing_and_orphans_all(spark, d):
-    """All meetings' councils against all suppliers; missing_and_orphans compares subsets of ids, as its SQL does."""
+def missing_and_orphans(spark, d):
+    """All meetings' councils against all suppliers."""
     parents = meetings(spark, d).select(F.col("council_id").alias("k"))
     return merge.missing_and_orphans(parents, read(spark, d, "supplier").select(F.col("s_suppkey").alias("k")), "k")
 

@@ -47,6 +47,11 @@ def public_view(meetings: DataFrame, today: str) -> DataFrame:
     return meetings.withColumn("segment", active_split(day, today)).drop(*hidden)
 
 
+def overlaps(active: DataFrame, archive: DataFrame, key: str) -> DataFrame:
+    """(key): rows that two parts of an export, maybe of different days, both have; an export is sound if there are none."""
+    return active.select(key).distinct().join(archive.select(key), key, "left_semi")
+
+
 def locks(rows: DataFrame, identity: Column) -> DataFrame:
     """Sorted ids of locked rows (composite ids as parent:url)."""
     return rows.filter("manual_lock").select(identity.alias("id")).distinct().orderBy("id")
@@ -74,17 +79,25 @@ def csv_lines(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def export_csv_marked(rows: DataFrame, path: str, columns: list[str], header: tuple[str, ...] = CSV_COLUMNS) -> None:
-    """A folder of CSV text files, each of which begins with a byte order mark and the header, as spreadsheets ask for. No rows make no lines."""
+    """A folder of CSV text files, each of which begins with a byte order mark and the header, as spreadsheets ask for. No rows make one file of the header alone."""
     head = BYTE_ORDER_MARK + ",".join(f'"{h}"' for h in header)
 
     def run(batches):
+        from pyspark import TaskContext
+
+        # The first task always makes a file, so it has the header even without rows.
         first = [head]
         for b in batches:
             if len(b):
                 yield pd.DataFrame({"value": [*first, *b.line]})
                 first = []
+        if first and TaskContext.get().partitionId() == 0:
+            yield pd.DataFrame({"value": first})
 
-    csv_lines(rows, columns).select("line").mapInPandas(run, "value string").write.mode("overwrite").text(path)
+    lines = csv_lines(rows, columns).select("line")
+    if lines.isEmpty():  # there may be no task at all
+        return lines.sparkSession.createDataFrame([(head,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    lines.mapInPandas(run, "value string").write.mode("overwrite").text(path)
 
 
 def markdown_lines(rows: DataFrame, columns: list[str]) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,7 +15,6 @@ from minuteloom.functions import dates
 #: Pages of a batch.
 PAGES = 64
 SKIPPED = frozenset({"header", "footer", "nav", "aside", "script", "style"})
-VOID = frozenset({"br", "img", "meta", "link", "input", "hr", "area", "base", "col", "embed", "source", "track", "wbr"})
 DOCUMENT_ENDS = (".pdf", ".docx", ".xlsx", ".doc", ".xls")
 
 
@@ -26,77 +24,6 @@ def page_links(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.posexplode(found).alias("position", "href"))
 
 
-class Walker(HTMLParser):
-    """Collects the links, headings and table rows of the parts of a page that are content."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.base, self.links, self.headings, self.rows, self.title = "", [], [], [], ""
-        self.open, self.skip, self.anchor, self.heading, self.row, self.cell, self.in_title = [], 0, None, None, None, None, False
-
-    def handle_starttag(self, tag, attrs):
-        a = dict(attrs)
-        if tag == "base" and not self.base:
-            self.base = a.get("href") or ""
-        if tag not in VOID:
-            self.open.append(tag)
-            self.skip += tag in SKIPPED
-        if tag == "title":
-            self.in_title = True
-        if self.skip:
-            return
-        if tag == "a" and a.get("href"):
-            self.anchor = [a["href"].strip(), []]
-        elif tag in ("h1", "h2", "h3", "h4"):
-            self.heading = []
-        elif tag == "tr":
-            self.row = []
-        elif tag in ("td", "th") and self.row is not None:
-            self.cell = {"text": [], "links": []}
-
-    def handle_endtag(self, tag):
-        skipped = self.skip
-        if tag in self.open:  # closes all that is open inside of it, too
-            while (last := self.open.pop()) != tag:
-                self.skip -= last in SKIPPED
-            self.skip -= tag in SKIPPED
-        if tag == "title":
-            self.in_title = False
-        if skipped:
-            return
-        if tag == "a" and self.anchor:
-            link = (self.anchor[0], " ".join("".join(self.anchor[1]).split()))
-            self.links.append((*link, len(self.headings)))
-            if self.cell is not None:
-                self.cell["links"].append(link)
-            self.anchor = None
-        elif tag in ("h1", "h2", "h3", "h4") and self.heading is not None:
-            self.headings.append(" ".join("".join(self.heading).split()))
-            self.heading = None
-        elif tag in ("td", "th") and self.cell is not None and self.row is not None:
-            self.row.append((" ".join("".join(self.cell["text"]).split()), self.cell["links"]))
-            self.cell = None
-        elif tag == "tr" and self.row is not None:
-            self.rows.append(self.row)
-            self.row = None
-
-    def handle_data(self, data):
-        if self.in_title:
-            self.title += data
-        if self.skip:
-            return
-        for sink in (self.anchor and self.anchor[1], self.heading, self.cell and self.cell["text"]):
-            if sink is not None and sink is not False:
-                sink.append(data)
-
-
-def walk(html: str | None) -> Walker:
-    w = Walker()
-    w.feed(html or "")
-    w.close()
-    return w
-
-
 def _kind(url: str) -> str:
     low = url.lower().split("?")[0]
     return "PDF" if low.endswith(DOCUMENT_ENDS) or "/pdf/" in low else "HTML"
@@ -106,10 +33,14 @@ def parse_materials(html: str | None, url: str) -> list[dict]:
     """Links of a page's content that are material: resolved against <base>, first of each URL, no anchors, scripts or the page itself."""
     from urllib.parse import urljoin, urldefrag
 
-    w = walk(html)
-    root, seen, out = urljoin(url, w.base) if w.base else url, set(), []
-    for href, name, _ in w.links:
-        if href.startswith(("#", "javascript:", "mailto:")):
+    from minuteloom.sources.dom import parse
+
+    page = parse(html)
+    base = next((n.attrs["href"] for n in page.find("base") if n.attrs.get("href")), "")
+    root, seen, out = urljoin(url, base) if base else url, set(), []
+    for a in page.find("a"):
+        href, name = a.attrs.get("href", "").strip(), a.text()
+        if not href or href.startswith(("#", "javascript:", "mailto:")) or any(n.tag in SKIPPED for n in a.above()):
             continue
         try:
             full = urldefrag(urljoin(root, href))[0]
@@ -132,52 +63,6 @@ def materials_of(pages: DataFrame) -> DataFrame:
     return in_batches(pages.select("page_id", "url", "html"), PAGES).mapInPandas(run, "page_id long, position int, name string, url string, type string")
 
 
-def parse_meeting_table(html: str | None, url: str) -> list[dict]:
-    """Meetings of a page's tables: a row needs a round (第N回) or a date; where any row has a round, rows without one are skipped."""
-    import re
-    import unicodedata
-    from urllib.parse import urljoin
-
-    out = []
-    for cells in walk(html).rows:
-        line = unicodedata.normalize("NFKC", " ".join(t for t, _ in cells))
-        m = re.search(r"第\s*(\d+)\s*回", line)
-        d = re.search(r"(?:令和|平成)(?:\d+|元)年\d{1,2}月\d{1,2}日|\d{4}[年/-]\d{1,2}[月/-]\d{1,2}日?", line)
-        if m or d:
-            out.append({"round": int(m[1]) if m else None, "date_text": d[0] if d else None, "name": line, "materials": [{"name": n, "url": urljoin(url, h)} for _, links in cells for h, n in links]})
-    return [r for r in out if r["round"] is not None] if any(r["round"] is not None for r in out) else out
-
-
-def parse_sections(html: str | None, url: str) -> list[dict]:
-    """Meetings of headings with 第N回; links up to the next heading are their materials."""
-    import re
-    import unicodedata
-    from urllib.parse import urljoin
-
-    w = walk(html)
-    out = []
-    for i, heading in enumerate(w.headings):
-        text = unicodedata.normalize("NFKC", heading)
-        if m := re.search(r"第\s*(\d+)\s*回", text):
-            out.append({"round": int(m[1]), "name": text, "materials": [{"name": n, "url": urljoin(url, h)} for h, n, at in w.links if at == i + 1]})
-    return out
-
-
-def meetings_of(pages: DataFrame) -> DataFrame:
-    """(page_id, round, date_text, name, n_materials) from tables, or from headings where no table has any."""
-
-    def run(batches):
-        for b in batches:
-            rows = []
-            for p, u, h in zip(b.page_id, b.url, b.html):
-                found = parse_meeting_table(h, u) or parse_sections(h, u)
-                rows += [(p, r["round"], r.get("date_text"), r["name"], len(r["materials"])) for r in found]
-            out = pd.DataFrame(rows, columns=["page_id", "round", "date_text", "name", "n_materials"])
-            yield out.astype({"round": "Int64"})
-
-    return in_batches(pages.select("page_id", "url", "html"), PAGES).mapInPandas(run, "page_id long, round long, date_text string, name string, n_materials long")
-
-
 def parse_text_minutes(text: str | None) -> dict:
     """Date text of the first 15 lines and round of the first 8 of plain minutes; two-digit years under 50 are 20YY."""
     import re
@@ -263,17 +148,58 @@ def dates_of(pages: DataFrame, now: str) -> DataFrame:
     return each.select("page_id", F.row_number().over(order).alias("place"), "text", dates.parse_era_date(F.col("text")).alias("date"))
 
 
-def decode(content: bytes, declared: str | None = None) -> str:
-    """Text of a page: the declared charset, the one in its first 2,048 bytes, UTF-8, CP932, EUC-JP; at last UTF-8 with replacements."""
+#: Encodings that a page without a declaration may have, in the order in which ties go.
+ENCODINGS = ("utf-8", "cp932", "euc_jp", "iso2022_jp")
+
+
+def likely_japanese(text: str) -> float:
+    """How likely a decoded text is Japanese as people write it, by its letters: kana and common signs count for it, kanji and plain letters little, half-width kana, unused
+    and private ones against it. A text read in the wrong encoding has mostly the latter."""
+    points = 0.0
+    for c in text:
+        o = ord(c)
+        if 0x3041 <= o <= 0x30FE or o in (0x3001, 0x3002, 0x300C, 0x300D):
+            points += 2
+        elif 0x4E00 <= o <= 0x9FFF or 0xFF10 <= o <= 0xFF5A:
+            points += 1
+        elif 0xFF61 <= o <= 0xFF9F or 0xE000 <= o <= 0xF8FF or o < 32 and c not in "\t\n\r" or 0x80 <= o < 0xA0:
+            points -= 3
+        elif o >= 0x80:
+            points -= 1
+    return points / max(1, len(text))
+
+
+def decode(content: bytes | None, declared: str | None = None) -> str:
+    """Text of a page: by the declared charset, else the one in its first 2,048 bytes, where the page decodes by it; else by that of ENCODINGS in which it decodes and
+    looks most like Japanese; at last UTF-8 with replacements. Null and empty pages are ''."""
     import re
 
+    if not content:
+        return ""
     meta = re.search(rb"charset=[\"']?([A-Za-z0-9_-]+)", content[:2048])
-    for name in (declared, meta and meta[1].decode("ascii"), "utf-8", "cp932", "euc-jp"):
-        if name:
-            try:
-                out = content.decode(name)
-            except (LookupError, UnicodeDecodeError):
-                continue
-            if "�" not in out:
-                return out
-    return content.decode("utf-8", "replace")
+
+    def tried(name: str) -> str | None:
+        try:
+            out = content.decode(name)
+        except (LookupError, UnicodeDecodeError):
+            return None
+        return None if "\ufffd" in out else out
+
+    for name in (declared, meta and meta[1].decode("ascii")):
+        if name and (text := tried(name)) is not None:
+            return text
+    found = [(likely_japanese(text), -i, text) for i, name in enumerate(ENCODINGS) if (text := tried(name)) is not None]
+    return max(found)[2] if found else content.decode("utf-8", "replace")
+
+
+def decoded(pages: DataFrame, content: str = "content", declared: str | None = None) -> DataFrame:
+    """pages with `html`, the text of a binary column; declared: the column of the charset that the server told."""
+    shown = pages.withColumn("__charset", F.lit(None).cast("string") if declared is None else F.col(declared))
+    names = [*pages.columns, "html"]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(html=[decode(c, d) for c, d in zip(b[content], b["__charset"])])[names]
+
+    return in_batches(shown, PAGES).mapInPandas(run, f"{kinds}, html string")

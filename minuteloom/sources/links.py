@@ -15,6 +15,7 @@ from minuteloom.functions import dates, text, titles, urls
 from minuteloom.functions import vocabulary as v
 from minuteloom.functions.titles import ends_any, has_any
 from minuteloom.operators.analytics import first_per_key
+from minuteloom.rounds import settled
 from minuteloom.sources.dom import Node, parse
 
 ROUND = re.compile(r"第\s*\d+\s*回")
@@ -197,13 +198,34 @@ def _cells_before(link: Node) -> str:
     return " ".join(t for t in said if t and t not in ("PDF", "資料"))
 
 
+def link_context(link: Node) -> tuple[str, str, str, str, int]:
+    """(said, before, cells, block, links): a link's text, the words and the cells before it, the text of the element around it and how many links that has."""
+    block = next((n for n in link.above() if n.tag in ("td", "th", "li", "p", "dd", "dt")), None)
+    return link.text(), _before(link), _cells_before(link), block.text() if block else "", len(block.find("a")) if block else 0
+
+
+def context_names(found: DataFrame, folders: dict[str, str] | None = None) -> DataFrame:
+    """found (address, said, before, cells, block, links) with `name`: one that says nothing is made from the cells and the words before the link, else from what is
+    around it, else is that of minutes by the file's name, else gets the label that `folders` has for the file's folder."""
+    note, edges = r"(?i)[（(［]PDF[／/形式:：\s0-9.,KMB]*[）)］]", r"^[\[(（［【\s・:：.\-–—―]+|[\]］【】\s・:：.\-–—―]+$"
+    clean = lambda c: F.regexp_replace(F.trim(F.regexp_replace(text.normal_text(c), note, "")), edges, "")
+    rows = settled(found, name=text.normal_text(F.col("said")), before=clean(F.col("before")), cells=clean(F.col("cells")), block=F.regexp_replace(F.trim(F.regexp_replace(clean(F.col("block")), r"(?i)\bPDF\b", "")), edges, ""))
+    round_alone = F.col("cells").rlike(r"^第[0-9一-九〇百十]+回$|^(?:第[0-9一-九〇百十]+回)?\s*(?:(?:令和|平成|昭和)[0-9元]+年|[0-9]{4}年)[\s0-9年月日時分:()火水木金土日月]*$")
+    cells = F.when(round_alone, "").otherwise(F.col("cells"))
+    says = lambda c: (F.length(c) >= 2) & ~titles.is_plain_material(c)
+    made = F.coalesce(F.when((cells != "") & (F.col("before") != ""), F.concat_ws(" ", cells, "before")), F.when(says(F.col("before")), F.col("before")), F.when(says(cells), cells), F.when((F.col("links") <= 2) & says(F.col("block")), F.col("block")))
+    path = F.regexp_replace(F.lower("address"), "[?#].*$", "")
+    folder, file = F.regexp_extract(path, "([^/]*)/[^/]*$", 1), F.regexp_extract(path, "([^/]*)$", 1)
+    labels = [F.when(F.contains(folder, F.lit(k.lower())), F.concat(F.lit(f"{label} "), "name")) for k, label in (folders or {}).items()]
+    return settled(rows, name=F.when(~titles.is_plain_material(F.col("name")), F.col("name")).otherwise(F.coalesce(made, F.when(F.contains(file, F.lit("gijiroku")), F.lit("議事録")), *labels, F.col("name"))))
+
+
 def page_materials(pages: DataFrame, folders: dict[str, str] | None = None) -> DataFrame:
     """(page_id, position, name, url, type): links outside a page's frames that are material: documents (PDF) and pages of minutes (HTML), the first of each address.
 
-    Accounts, anchors and index pages are none. A name that says nothing is made from the cells and the words before the link, else from what is around it,
-    else is that of minutes by the file's name, else gets the label that `folders` has for the file's folder.
+    Accounts, anchors and index pages are none. Names that say nothing are made by context_names.
     """
-    columns = ["page_id", "position", "url", "said", "before", "cells", "block", "links"]
+    columns = ["page_id", "position", "address", "said", "before", "cells", "block", "links"]
 
     def run(batches):
         for b in batches:
@@ -219,24 +241,14 @@ def page_materials(pages: DataFrame, folders: dict[str, str] | None = None) -> D
                         full = urljoin(base, href)
                     except ValueError:
                         continue
-                    block = next((n for n in a.above() if n.tag in ("td", "th", "li", "p", "dd", "dt")), None)
-                    rows.append((p, i, full, a.text(), _before(a), _cells_before(a), block.text() if block else "", len(block.find("a")) if block else 0))
+                    rows.append((p, i, full, *link_context(a)))
             yield pd.DataFrame(rows, columns=columns)
 
-    found = in_batches(pages.select("page_id", "url", "html"), PAGES).mapInPandas(run, "page_id long, position int, url string, said string, before string, cells string, block string, links int")
-    note, edges = r"(?i)[（(［]PDF[／/形式:：\s0-9.,KMB]*[）)］]", r"^[\[(（［【\s・:：.\-–—―]+|[\]］【】\s・:：.\-–—―]+$"
-    clean = lambda c: F.regexp_replace(F.trim(F.regexp_replace(text.normal_text(c), note, "")), edges, "")
-    rows = found.withColumns({"name": text.normal_text(F.col("said")), "before": clean(F.col("before")), "cells": clean(F.col("cells")), "block": F.regexp_replace(F.trim(F.regexp_replace(clean(F.col("block")), r"(?i)\bPDF\b", "")), edges, "")})
-    round_alone = F.col("cells").rlike(r"^第[0-9一-九〇百十]+回$|^(?:第[0-9一-九〇百十]+回)?\s*(?:(?:令和|平成|昭和)[0-9元]+年|[0-9]{4}年)[\s0-9年月日時分:()火水木金土日月]*$")
-    cells = F.when(round_alone, "").otherwise(F.col("cells"))
-    says = lambda c: (F.length(c) >= 2) & ~titles.is_plain_material(c)
-    made = F.coalesce(F.when((cells != "") & (F.col("before") != ""), F.concat_ws(" ", cells, "before")), F.when(says(F.col("before")), F.col("before")), F.when(says(cells), cells), F.when((F.col("links") <= 2) & says(F.col("block")), F.col("block")))
-    path = F.regexp_replace(F.lower("url"), "[?#].*$", "")
-    folder, file = F.regexp_extract(path, "([^/]*)/[^/]*$", 1), F.regexp_extract(path, "([^/]*)$", 1)
-    labels = [F.when(F.contains(folder, F.lit(k.lower())), F.concat(F.lit(f"{label} "), "name")) for k, label in (folders or {}).items()]
-    name = F.when(~titles.is_plain_material(F.col("name")), F.col("name")).otherwise(F.coalesce(made, F.when(F.contains(file, F.lit("gijiroku")), F.lit("議事録")), *labels, F.col("name")))
-    document, minutes = urls.is_document(path), has_any(F.col("name"), MINUTES) | F.contains(file, F.lit("gijiroku"))
-    account = has_any(F.lower("url"), ("twitter.com", "facebook.com", "instagram.com", "line.me"))
-    fits = rows.filter((document | minutes & ~urls.is_generic_index(F.col("url"), F.col("name"))) & ~account & ~F.col("name").isin(*v.CONTROLS))
-    kept = fits.select("page_id", "position", name.alias("name"), F.when(document, F.col("url")).otherwise(F.regexp_replace("url", "#.*$", "")).alias("url"), F.when(document, "PDF").otherwise("HTML").alias("type"))
+    found = in_batches(pages.select("page_id", "url", "html"), PAGES).mapInPandas(run, "page_id long, position int, address string, said string, before string, cells string, block string, links int")
+    rows, u = context_names(found, folders), F.col("address")
+    path = F.regexp_replace(F.lower(u), "[?#].*$", "")
+    document, minutes = urls.is_document(path), has_any(F.col("name"), MINUTES) | F.contains(F.regexp_extract(path, "([^/]*)$", 1), F.lit("gijiroku"))
+    account = has_any(F.lower(u), ("twitter.com", "facebook.com", "instagram.com", "line.me"))
+    fits = rows.filter((document | minutes & ~urls.is_generic_index(u, F.col("name"))) & ~account & ~F.col("name").isin(*v.CONTROLS))
+    kept = fits.select("page_id", "position", "name", F.when(document, u).otherwise(F.regexp_replace(u, "#.*$", "")).alias("url"), F.when(document, "PDF").otherwise("HTML").alias("type"))
     return first_per_key(kept, ["page_id", "url"], [F.asc("position")]).select("page_id", "position", "name", "url", "type")

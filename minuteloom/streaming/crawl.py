@@ -24,6 +24,63 @@ def first_seen(rows: DataFrame, key: str, late: str = "1 day") -> DataFrame:
     return rows.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def upsert_batches(rows: DataFrame, checkpoint: str, merge: Callable[[DataFrame, int], None]):
+def upsert_batches(rows: DataFrame, checkpoint: str, merge: Callable[[DataFrame, int], None], mode: str = "append"):
     """Hand each micro-batch to a keyed merge, which must give the same table when a batch comes twice."""
-    return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return rows.writeStream.outputMode(mode).foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+MARKS = "council_id long, mark long, seq long, attempts long, consecutive_failures long"
+
+
+def source_marks(attempts: DataFrame) -> DataFrame:
+    """MARKS of each source with new attempts (ts, seq, council_id, kind), as a stream of updates: how far it has been read (microseconds), how many attempts were seen and how many of the last failed.
+
+    The state of a source is kept across batches and restarts. Attempts at or before its mark have been seen and count once, however often they come; so
+    those that come late, behind the mark, don't count, as with a crawl that only asks for what is newer.
+    """
+    import pandas as pd
+
+    def fold(key, frames, state):
+        mark, seq, n, failures = state.get if state.exists else (None, None, 0, 0)
+        rows = pd.concat(list(frames)).drop_duplicates(["at", "seq"]).sort_values(["at", "seq"])
+        for at, number, kind in zip(rows["at"].tolist(), rows["seq"].tolist(), rows["kind"].tolist()):
+            if mark is None or (at, number) > (mark, seq):
+                mark, seq, n, failures = at, number, n + 1, failures + 1 if kind == "error" else 0
+        state.update((mark, seq, n, failures))
+        yield pd.DataFrame({"council_id": [key[0]], "mark": [mark], "seq": [seq], "attempts": [n], "consecutive_failures": [failures]})
+
+    rows = attempts.select("council_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "seq", "kind")
+    return rows.groupBy("council_id").applyInPandasWithState(fold, MARKS, "mark long, seq long, attempts long, consecutive_failures long", "update", "NoTimeout")
+
+
+def keep_marks(attempts: DataFrame, checkpoint: str, out: str):
+    """A query that writes each batch's marks to a folder of its own below `out`, in place of what a broken run of that batch left, and ends when all files are read."""
+
+    def put(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
+    return upsert_batches(source_marks(attempts), checkpoint, put, "update")
+
+
+def last_marks(spark: SparkSession, out: str) -> DataFrame:
+    """MARKS of each source by its last batch."""
+    rows = spark.read.schema(f"{MARKS}, epoch long").option("basePath", out).parquet(out)
+    names = [c.split()[0] for c in MARKS.split(", ")]
+    return rows.groupBy("council_id").agg(F.max_by(F.struct(*names[1:]), "epoch").alias("x")).select("council_id", "x.*")
+
+
+def replayed_marks(attempts: DataFrame, starts: int = 3) -> DataFrame:
+    """MARKS of a whole table of attempts, read as a stream that is started several times on one checkpoint: each time with the files of a later time, and those of the time before once more."""
+    from minuteloom.rounds import scratch
+
+    spark, root = attempts.sparkSession, scratch(attempts.sparkSession)
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    ends = attempts.agg(F.percentile_approx(at, [i / starts for i in range(1, starts)]).alias("x")).first().x or [0] * (starts - 1)
+    part = F.lit(0)
+    for end in ends:
+        part = part + (at > end).cast("int")
+    rows = attempts.select("ts", "seq", "council_id", "kind", part.alias("part"))
+    for i in range(starts):
+        rows.filter(F.col("part").between(i - 1, i)).drop("part").write.mode("append").parquet(f"{root}/in")
+        keep_marks(attempts_stream(spark, f"{root}/in", rows.drop("part").schema), f"{root}/checkpoint", f"{root}/out").awaitTermination()
+    return last_marks(spark, f"{root}/out")

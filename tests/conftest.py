@@ -29,7 +29,7 @@ def duck(sf_dir):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
     con.sql("SET timezone = 'UTC'")
-    for name in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
+    for name in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations clicks sales sale_lines clients client_changes vendors items stamps".split():
         con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
     return con
 

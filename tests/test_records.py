@@ -4,11 +4,12 @@ from pyspark.sql import functions as F
 
 from minuteloom import schema
 from minuteloom.functions import dates, text, urls
-from minuteloom.operators import merge, portal, quality, scrape
-from minuteloom.plans.fixtures import DATE_TEXTS
-from minuteloom.sources import documents, html
+from minuteloom.operators import merge, portal, quality
+from minuteloom.sources import documents, html, meetings
 from minuteloom.streaming import crawl
 
+DATE_TEXTS = ["令和6年4月1日", "令和元年5月1日", "平成30年11月28日", "2024年12月3日", "2024/2/29", "R3.12.6", "H30.11.28", "08.8.13", "18.3.7", "令和６年１０月１５日", "令和元年11年15日", "4月 2026年4月13～17日", "2026年2月30日", "なし"]
+
 
 def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()[0]
@@ -69,25 +70,15 @@ def test_upsert_twice_is_once(spark):
     assert sorted(map(tuple, merge.upsert(once, new, ["k"], keep_old=("s",)).collect())) == sorted(map(tuple, once.collect()))
 
 
-def test_scrape_is_idempotent():
-    stored = [{"meeting_id": "c-a-20260401-001", "name": "第1回", "date": "2026/04/01", "round": 1, "url": "u1", "materials": ["p1"]}]
-    scraped = [{"name": "第1回", "date": "2026/04/01", "round": 1, "url": "u1", "materials": ["p1", "p2"]}, {"name": "第2回", "date": "2026/05/01", "round": 2, "url": "u2", "materials": []}, {"name": "お知らせ", "date": "-", "round": None, "url": "", "materials": []}]
-    first = scrape.merge_council(stored, scraped, "c-a")
-    assert [m["action"] for m in first] == ["merged", "inserted"]
-    assert [m["action"] for m in scrape.merge_council(first, scraped, "c-a")] == ["kept", "kept"]
-    locked = scrape.merge_council([{**stored[0], "locked": True}], scraped[:1], "c-a")
-    assert locked[0]["materials"] == ["p1"] and locked[0]["action"] == "kept"
-
-
 def test_html(spark):
     page = """<html><head><base href="https://e.go.jp/x/"><title>t</title></head><body><nav><a href="/n.pdf">n</a></nav><h2>第2回 会議</h2><a href="a.pdf">資料1</a><a href="a.pdf">again</a><a href="#t">top</a>
     <table><tr><th>回</th></tr><tr><td>第１回</td><td>令和6年4月1日</td><td><a href="m1.html">議事録</a></td></tr><tr><td>開催案内</td></tr></table></body></html>"""
     assert [(m["url"], m["type"]) for m in html.parse_materials(page, "https://e.go.jp/i.html")] == [("https://e.go.jp/x/a.pdf", "PDF"), ("https://e.go.jp/x/m1.html", "HTML")]
-    table = html.parse_meeting_table(page, "https://e.go.jp/")
-    assert [(r["round"], r["date_text"], len(r["materials"])) for r in table] == [(1, "令和6年4月1日", 1)]
-    assert html.parse_sections(page, "https://e.go.jp/")[0]["round"] == 2
     pages = spark.createDataFrame([(1, "https://e.go.jp/i.html", page), (2, "https://e.go.jp/", None)], "page_id long, url string, html string")
-    assert html.materials_of(pages).count() == 2 and html.meetings_of(pages).first()["round"] == 1
+    assert html.materials_of(pages).count() == 2
+    found = meetings.meetings_of(pages, "2026-01-01").collect()
+    assert [(r.page_id, r.round, r.date, [m.url for m in r.materials]) for r in found] == [(1, 1, "2024/04/01", ["https://e.go.jp/x/m1.html"])]
+    assert [(r.round, r.date, [m.name for m in r.materials]) for r in meetings.section_meetings(pages, "2026-01-01").collect()] == [(2, None, ["議事録"])]  # a link beside the heading is in no element of its own
     assert html.decode("会議".encode("cp932")) == "会議" and html.decode("会議".encode("euc-jp"), "euc-jp") == "会議"
     assert html.parse_text_minutes("第3回\n24/5/1") == {"date_text": "2024/5/1", "round": 3}
 
