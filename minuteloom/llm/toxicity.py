@@ -81,7 +81,11 @@ def _sampled_words(sample: DataFrame, rows: int) -> DataFrame:
                 lists = [list(words_of(t)) for t in part.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(1), pa.array(lists, pa.list_(pa.string()))], names=["y", "words"])
 
-    first = sample.select("text", F.col("y").cast("int").alias("y"), F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(rows)
+    # Texts stay where they are: only hashes are ordered, and of rows that share the last hash, which are copies, as many are taken as are due.
+    held = materialize(sample.select("text", F.col("y").cast("int").alias("y"), F.xxhash64("doc_id", "text").alias("h")))
+    last = held.select("h").orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    before = held.filter(F.col("h") < last)
+    first = before.unionByName(held.filter(F.col("h") == last).limit(max(0, rows - before.count())))
     return materialize(in_batches(first.repartition(FIT_TASKS, "h").select("text", "y")).mapInArrow(words, "y int, words array<string>"))
 
 
