@@ -12,7 +12,8 @@ from minuteloom.llm.common import drop_scratch, fresh_name, materialize, named,
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't predict to be toxic. Null and empty texts have the prior's score; without labels of
-    both kinds all rows have it. Repeated rows are judged each, and columns may have any names."""
+    both kinds all rows have it. Texts of any length are read whole, repeated rows are judged each, and columns may have any names.
+    Without documents none is left."""
     model, out = toxicity.train(docs, table(spark, sf_dir, "labels")), fresh_name(docs, "toxicity")
     return toxicity.score(docs, model, docs.columns, out=out).filter(F.col(out) < 0.5).select(*map(named, docs.columns))
 
@@ -21,7 +22,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each component one row: that of the smallest id (null ids last), then of the smallest hash; rows that share an id are rows apart.
 
     Null, empty and blank texts are near-duplicates of each other, as equal fingerprints are. Of rows that repeat id and text the
-    one whose other columns come first as JSON stays. Columns may have any names and types.
+    one whose other columns come first as JSON stays. Columns may have any names and types, texts any length. Without documents none is left.
     """
     k1, k2 = fresh_name(docs, "k1"), fresh_name(docs, "k2")
     null, pair = (F.isnull("doc_id"), F.isnull("text")), [k1, k2]
@@ -37,20 +38,28 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs; null and empty texts and repeated clean rows stay, whatever the columns' names."""
+    """Documents in which no window of a benchmark item occurs; null and empty texts and repeated clean rows stay, whatever the columns' names.
+
+    Texts of any length are searched whole. Without documents none is left, and without benchmark items all stay."""
     n, hits, items = (fresh_name(docs, f"benchmark_{x}") for x in ("words", "hits", "items"))
     marked = decontaminate.mark_occurrences(docs, table(spark, sf_dir, "benchmark"), docs.columns, n_words=n, hits=hits, found=items)
     return marked.filter(F.size(hits) == 0).select(*map(named, docs.columns))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by its kind in brackets, and n_chars (if there) of the new text; null for a null text. No row goes."""
+    """All documents, with personal data replaced by its kind in brackets, and n_chars (if there) of the new text; null for a null text. No row goes.
+
+    Texts of any length are read whole, and repeated rows are each kept. All columns keep their names, types and order, those called like
+    one of the operator's own, too. Without documents none is left."""
     clean = pii.redact_pii(docs)
     return clean.select(*[F.length("text").cast(kind).alias(c) if c == "n_chars" else named(c) for c, kind in docs.dtypes])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their ids and places in sequences; a null or empty text is its end id alone."""
+    """The pieces of all documents with their ids and places in sequences; a null or empty text is its end id alone.
+
+    A text of any length is cut into as many pieces as it needs, and repeated rows are packed each. Only doc_id and text are read, so other
+    columns may have any names. Without documents there are no pieces."""
     return packing.pack(docs, tokens.default_vocabulary())
 
 
