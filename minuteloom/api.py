@@ -13,6 +13,11 @@ from minuteloom.schema import UNKNOWN_DATE
 from minuteloom.sources import documents
 
 
+# Types of files by their ending; any other is shown as PDF.
+_SHEET, _LETTER = "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
+CONTENT_TYPES = {".html": "text/html; charset=utf-8", ".htm": "text/html; charset=utf-8", ".txt": "text/plain; charset=utf-8", ".xlsx": _SHEET, ".xls": _SHEET, ".docx": _LETTER, ".doc": _LETTER}
+
+
 @dataclass
 class Records:
     """The record tables of one store: a folder with a Parquet table for each name of documents.EMPTY."""
@@ -48,13 +53,59 @@ class Records:
     def config(self, key: str) -> DataFrame:
         return self.table("admin_configs").filter(F.col("key") == key)
 
-    def unconfirmed_meetings(self) -> DataFrame:
-        """Meetings whose day isn't known."""
-        return self.table("meetings").filter(F.coalesce("is_date_unconfirmed", F.lit(False)) | (F.col("date") == UNKNOWN_DATE))
+    def discovery_keywords(self) -> DataFrame:
+        """(group, keyword, position) of the configured words by which councils are found; a config that is no JSON object of lists has none."""
+        words = self.config("discoveryKeywords").select(F.from_json("value", "map<string,array<string>>").alias("x"))
+        return words.select(F.explode("x").alias("group", "words")).select("group", F.posexplode("words").alias("position", "keyword"))
+
+    def crawler_config(self) -> DataFrame:
+        """(crawl_llm_mode, discovery_llm_mode, daily, weekly, monthly) in one row; what isn't configured has its default."""
+        said = self.config("crawlerConfig").agg(F.first("value").alias("value")).select(F.from_json("value", "llm_mode boolean, crawl_llm_mode boolean, discovery_llm_mode boolean, llm_budget struct<daily:int,weekly:int,monthly:int>").alias("x"))
+        both, budget = F.coalesce("x.llm_mode", F.lit(True)), {"daily": 3, "weekly": 10, "monthly": 30}
+        modes = [F.coalesce(f"x.{m}", both).alias(m) for m in ("crawl_llm_mode", "discovery_llm_mode")]
+        own = F.col("x.llm_budget").isNotNull()
+        return said.select(*modes, *[F.when(own, F.col(f"x.llm_budget.{k}")).otherwise(n).alias(k) for k, n in budget.items()])
+
+    def verification_report(self) -> DataFrame:
+        """The last report that verification wrote, as JSON; no rows without one."""
+        path = f"{self.root}/verification_report.json"
+        found = documents.exists(self.spark, path)
+        return documents.read_document(self.spark, path) if found else self.spark.createDataFrame([], "report string")
+
+    def view_material(self, path: str, base: str) -> DataFrame:
+        """(content, length, content_type) of a downloaded file by its path below `base`; none for a path that leaves it or isn't there."""
+        parts = [p for p in path.replace("\\", "/").split("/") if p not in ("", ".")]
+        full = "/".join((base.rstrip("/"), *parts))
+        if not parts or ".." in parts or path.startswith("/") or not documents.exists(self.spark, full):
+            return self.spark.createDataFrame([], "content binary, length long, content_type string")
+        ending = "." + parts[-1].rsplit(".", 1)[-1].lower()
+        # The path is a file's, so signs that Spark takes for patterns stand for themselves.
+        plain = "".join("\\" + c if c in "*?[]{}\\" else c for c in full)
+        return self.spark.read.format("binaryFile").load(plain).select("content", "length", F.lit(CONTENT_TYPES.get(ending, "application/pdf")).alias("content_type"))
+
+    def _with_council(self, meetings: DataFrame) -> DataFrame:
+        known = self.table("councils").select(F.col("id").alias("council_id"), F.col("name").alias("council_name"), "ministry")
+        return meetings.join(known, "council_id", "left").withColumn("council_name", F.coalesce("council_name", "council_id"))
 
-    def new_meetings(self) -> DataFrame:
-        """Newly found meetings, newest first."""
-        return self.table("meetings").filter("is_newly_discovered").orderBy(F.desc("date"), "id")
+    def unconfirmed_meetings(self) -> DataFrame:
+        """Meetings whose day isn't known, with their council's name and ministry."""
+        unknown = F.coalesce("is_date_unconfirmed", F.lit(False)) | F.coalesce(F.trim("date").startswith(UNKNOWN_DATE[:4]), F.lit(False))
+        return self._with_council(self.table("meetings").filter(unknown))
+
+    def new_meetings(self, days: int = 0, today: str | None = None, unverified_only: bool = False) -> DataFrame:
+        """Newly found meetings, newest first, with their council: flagged ones; with days also those found or updated in so many days up to today, with negative days all that were ever."""
+        slashed = lambda c: F.left(F.replace(F.coalesce(c, F.lit("")), F.lit("-"), F.lit("/")), F.lit(10))
+        found, updated = slashed("discovered_at"), slashed("last_updated_from_crawl")
+        since = F.lit("0") if days < 0 else F.date_format(F.date_sub(F.lit(today).cast("date") if today else F.current_date(), days), "yyyy/MM/dd")
+        recent = F.lit(False) if days == 0 else (found != "") & (found >= since) | (updated != "") & (updated >= since)
+        fits = F.coalesce("is_newly_discovered", F.lit(False)) | recent
+        rows = self.table("meetings").filter(fits & ~(F.lit(unverified_only) & F.coalesce("manual_lock", F.lit(False))))
+        return self._with_council(rows).orderBy(F.desc("date"), "id")
+
+    def crawler_status(self, log: DataFrame, latest: int) -> DataFrame:
+        """(log_id, line, unconfirmed): what the crawl logged since, in order, and how many meetings have no day."""
+        n = self.unconfirmed_meetings().agg(F.count("*").alias("unconfirmed"))
+        return admin.new_lines(log, latest).crossJoin(n)  # one row
 
     def log_lines(self, log: DataFrame, latest: int) -> DataFrame:
         return admin.new_lines(log, latest)

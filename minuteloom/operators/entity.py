@@ -8,25 +8,47 @@ from pyspark.sql.window import Window
 
 from minuteloom.functions import text, urls
 from minuteloom.functions.udf import matching_ratio
+from minuteloom.rounds import cut
+
+
+#: Rarest grams of a name by which its first candidates are found.
+RARE = 2
 
 
 def similar_names(items: DataFrame, names: DataFrame, item_key: str, name_key: str, block: list[str], item_text: Column, name_text: Column, k: int = 3, grams=text.bigrams) -> DataFrame:
-    """(item, name, overlap, score, rank): the k names of the same block with the largest share of their bigrams in the item.
+    """(item, name, overlap, score, rank): the k names of the same block with the largest share of their bigrams in the item; ties by overlap, then by the smaller key.
 
-    An equi join on block and bigram; only pairs with something in common are ever made. Names with the same bigrams, and items with the same, are
-    compared once as a class, and a class of names stands for the k smallest keys it has.
+    The grams of a name are ordered from the rarest among the block's names on. An item first meets the names whose RARE rarest grams it has; the k-th best share
+    among these is one that it surely reaches. A name of n grams with a share of s or more has n s of them at least in the item, so one of its
+    first n - n s + 1, and only by these the item meets others. Names with the same bigrams, and items with the same, are compared once as a
+    class, and a class of names stands for the k smallest keys it has.
     """
     def classes(rows, key, said, keys):
         each = rows.select(F.col(key).alias("key"), *block, F.array_sort(grams(said)).alias("grams"))
         return each.groupBy(*block, "grams").agg(keys.alias("keys")).withColumn("class", F.xxhash64(*block, "grams"))
 
-    n = classes(names, name_key, name_text, F.slice(F.array_sort(F.collect_set("key")), 1, k))
-    i = classes(items, item_key, item_text, F.count("*"))
-    left, right = i.select(F.col("class").alias("a"), *block, F.explode("grams").alias("gram")), n.select(F.col("class").alias("b"), *block, F.size("grams").alias("size"), F.explode("grams").alias("gram"))
-    pairs = left.join(right, [*block, "gram"]).groupBy("a", "b").agg(F.count("*").alias("overlap"), F.max("size").alias("size"))
-    scored = pairs.join(n.select(F.col("class").alias("b"), "keys"), "b").select("a", "overlap", (F.col("overlap") / F.col("size")).alias("score"), F.explode("keys").alias(name_key))
+    n = classes(names, name_key, name_text, F.slice(F.array_sort(F.collect_set("key")), 1, k)).select(F.col("class").alias("b"), *block, "grams", "keys").filter("size(grams) > 0")
+    i = classes(items, item_key, item_text, F.count("*")).select(F.col("class").alias("a"), *block, F.col("grams").alias("own"))
+    n, i = cut(n), cut(i)
+    each = n.select("b", *block, F.size("grams").alias("size"), F.explode("grams").alias("gram"))
+    common = each.groupBy(*block, "gram").agg(F.count("*").alias("n"))
+    at = F.row_number().over(Window.partitionBy("b").orderBy("n", "gram"))  # a name's own grams
+    placed = cut(each.join(common, [*block, "gram"]).withColumn("at", at).select("b", *block, "size", "gram", "at"))
+    left = i.select("a", *block, F.explode("own").alias("gram"))
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(i.select("a", "own"), "a").join(n.select("b", "grams", "keys"), "b")
+        overlap = F.size(F.array_intersect("own", "grams"))
+        return both.select("a", "b", overlap.cast("long").alias("overlap"), (overlap / F.size("grams")).alias("score"), "keys")
+
+    first = cut(scored(left.join(placed.filter(F.col("at") <= RARE), [*block, "gram"]).select("a", "b").distinct()))
+    # A class of several names counts as many times.
+    reach = first.select("a", "score", F.explode(F.sequence(F.lit(1), F.size("keys")))).withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score")))).filter(F.col("r") == k).select("a", F.col("score").alias("reach"))
+    within = F.col("at") <= F.col("size") - F.ceil(F.coalesce("reach", F.lit(0.0)) * F.col("size") - 1e-9) + 1
+    more = left.join(reach, "a", "left").join(placed.filter(F.col("at") > RARE), [*block, "gram"]).filter(within).select("a", "b").distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
+    every = first.unionByName(scored(more)).select("a", "overlap", "score", F.explode("keys").alias(name_key))
     order = Window.partitionBy("a").orderBy(F.desc("score"), F.desc("overlap"), name_key)
-    best = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    best = every.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     own = items.select(item_key, F.xxhash64(*block, F.array_sort(grams(item_text))).alias("a"))
     return own.join(best, "a").select(item_key, name_key, "overlap", "score", "rank")
 
@@ -130,5 +152,26 @@ def exact_duplicates(rows: DataFrame, key: str, content: Column) -> DataFrame:
     return groups.select("digest", "n", "first", "size", ((F.col("n") - 1) * F.col("size")).alias("wasted"))
 
 
+# Bodies of a council that meet apart, in the order in which a title is asked for them; a directory of one meeting.
+OWN_BODIES = ("幹事会", "懇談会", "作業部会", "ワーキンググループ", "WG", "専門委員会", "専門調査会", "分科会", "部会", "小委員会")
+OWN_DIRECTORY = r"(?i)/(?:dai|round|kai|r0[0-9]_dai)[0-9]+"
+
+
+def split_meetings(meetings: DataFrame, councils: DataFrame) -> DataFrame:
+    """(council_id, kind, date, key, n, first): what a council has several times on a day: a page (url), a round of one body (round), a directory of one meeting (directory).
+
+    meetings: meeting_id, council_id, name, date, url. councils: council_id, official_url. The council's own page is no meeting's, and rows without a page or round have no such key.
+    """
+    bare = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), "/+$", "")
+    rows = meetings.join(councils.select("council_id", bare("official_url").alias("parent")), "council_id", "left").withColumn("page", bare("url"))
+    own = F.when((F.col("page") != "") & (F.col("page") != F.coalesce("parent", F.lit(""))), F.col("page"))
+    number = F.nullif(F.regexp_extract(F.coalesce("name", F.lit("")), r"第\s*([0-9]+)\s*回", 1), F.lit("")).try_cast("long").cast("string")
+    body = F.coalesce(*[F.when(F.contains("name", F.lit(w)), F.lit(w)) for w in OWN_BODIES], F.lit(""))
+    folder = F.lower(F.regexp_replace(urls.path(own), "/[^/]*$", ""))
+    keys = {"url": own, "round": F.concat(number, body), "directory": F.when(folder.rlike(OWN_DIRECTORY), folder)}
+    each = rows.select("council_id", F.coalesce("date", F.lit("")).alias("date"), "meeting_id", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("key")) for k, c in keys.items()])).alias("x")).filter("x.key is not null")
+    return each.groupBy("council_id", "x.kind", "date", "x.key").agg(F.count("*").alias("n"), F.min("meeting_id").alias("first")).filter("n > 1")
+
+
 def duplicate_keys(rows: DataFrame, keys: list[Column]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")

@@ -342,6 +342,11 @@ def sync_scraped(councils: DataFrame, stored: DataFrame, scraped: DataFrame, rul
         F.coalesce("materials", F.array().cast(f"array<{MATERIAL}>")).alias("materials"), F.coalesce("locked", F.lit(False)).alias("locked"),
         text.sessions(F.concat_ws(" ", "name", "url", "meeting_id")).alias("rounds"), names.title_stem(F.col("name")).alias("stem"), urls.is_generic_index(F.col("url"), F.lit("")).alias("index"),
     )
+    return folded(known, pages, keep_locked)
+
+
+def folded(known: DataFrame, pages: DataFrame, keep_locked: bool) -> DataFrame:
+    """SYNCED of stored meetings and prepared pages: the fold alone."""
     rows = known.unionByName(pages.withColumn("seq", F.col("seq").cast("long")), allowMissingColumns=True)
     sorted_rows = rows.repartition("council_id").sortWithinPartitions("council_id", F.col("meeting_id").asc_nulls_last(), F.col("seq").asc_nulls_first(), "url", "title")
     return sorted_rows.mapInArrow(_fold(keep_locked), SYNCED)

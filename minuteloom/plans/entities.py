@@ -17,6 +17,20 @@ def dup_sameday(spark, d):
     return entity.duplicate_keys(meetings(spark, d), [F.col("council_id"), F.to_date("date").alias("day")])
 
 
+@query("""WITH m AS (SELECT o_orderkey AS k, o_custkey % 20 AS c, strftime(o_orderdate, '%Y/%m') AS date, o_orderkey % 3 AS r, o_orderkey % 4 AS b FROM orders), p AS (SELECT *, CASE WHEN k % 5 <> 0 THEN 'https://e.go.jp/c' || c || '/' || CASE b WHEN 0 THEN 'Dai' || r WHEN 1 THEN 'r05_dai' || r ELSE 'x' || r END || '/p' || k % 9 || '.html' END AS page FROM m)
+ SELECT c AS council_id, 'url' AS kind, date, page AS key, count(*) AS n, min(k) AS first FROM p WHERE page IS NOT NULL GROUP BY 1, 3, 4 HAVING count(*) > 1 UNION ALL SELECT c, 'round', date, r || CASE b WHEN 1 THEN '部会' WHEN 2 THEN 'WG' ELSE '' END, count(*), min(k) FROM p WHERE b <> 3 GROUP BY 1, 3, 4 HAVING count(*) > 1
+ UNION ALL SELECT c, 'directory', date, lower('/c' || c || '/' || CASE b WHEN 0 THEN 'dai' ELSE 'r05_dai' END || r), count(*), min(k) FROM p WHERE page IS NOT NULL AND b < 2 GROUP BY 1, 3, 4 HAVING count(*) > 1""")
+def split_meetings(spark, d):
+    """Pages, rounds of one body and directories that a council has twice in a month, but for its own page."""
+    k, c = F.col("meeting_id"), F.col("council_id") % 20
+    site = F.concat(F.lit("https://e.go.jp/c"), c)
+    folder = F.when(k % 4 == 0, F.concat(F.lit("Dai"), k % 3)).when(k % 4 == 1, F.concat(F.lit("r05_dai"), k % 3)).otherwise(F.concat(F.lit("x"), k % 3))
+    body = F.when(k % 4 == 1, "保険部会").when(k % 4 == 2, "医療WG").otherwise("検討会")
+    name = F.when(k % 4 == 3, "検討会").otherwise(F.concat(F.lit("第 "), k % 3, F.lit("回 "), body))
+    rows = meetings(spark, d).select("meeting_id", c.alias("council_id"), name.alias("name"), F.date_format("date", "yyyy/MM").alias("date"), F.when(k % 5 == 0, F.concat(site, F.lit("/"))).otherwise(F.concat(site, F.lit("/"), folder, F.lit("/p"), k % 9, F.lit(".html"))).alias("url"))
+    return entity.split_meetings(rows, rows.select("council_id").distinct().withColumn("official_url", F.concat(F.lit("https://e.go.jp/c"), "council_id")))
+
+
 @query("SELECT o_custkey AS council_id, o_orderpriority AS label, o_orderstatus AS flag, count(*) AS n FROM orders GROUP BY 1, 2, 3 HAVING count(*) > 1")
 def dup_keys(spark, d):
     return entity.duplicate_keys(meetings(spark, d), [F.col("council_id"), F.col("label"), F.col("flag")])

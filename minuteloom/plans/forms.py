@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from minuteloom.functions import names, text, titles, urls
 from minuteloom.operators import discovery, entity, portal
 from minuteloom.plans.base import query
+from minuteloom.rounds import ranks
 from minuteloom.plans.crawl import _key, _pick
 from minuteloom.schema import councils, meetings, ministries, read
 from minuteloom.sources import documents, html
@@ -115,7 +115,7 @@ def names_by_sound(spark, d):
     """Places of councils in their ministry by name, in a Japanese dictionary's order."""
     k = F.col("council_id")
     c = councils(spark, d).withColumn("name", F.concat(_pick("い", "ア", "あ", "漢", "b", by=k), k))
-    return c.select("council_id", F.row_number().over(Window.partitionBy("ministry").orderBy(portal.by_name(F.col("name")), "council_id")).cast("long").alias("place"))
+    return ranks(c, ["ministry"], [portal.by_name(F.col("name")), F.asc("council_id")], "place").select("council_id", "place")
 
 
 @query("""SELECT metric, value, '| ' || metric || ' | ' || value || ' |' AS line FROM (SELECT 'councils' AS metric, count(*) AS value FROM customer UNION ALL SELECT 'meetings', count(*) FROM orders UNION ALL SELECT 'ministries', count(*) FROM nation)""")

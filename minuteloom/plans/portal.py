@@ -11,6 +11,7 @@ from minuteloom.functions import dates, text
 from minuteloom.operators import merge, portal
 from minuteloom.operators.portal import PortalQuery
 from minuteloom.plans.base import query
+from minuteloom.rounds import ranks
 from minuteloom.schema import attempts, councils, materials, meetings, ministries, read
 
 REF = "1999-09-16 12:00:00"
@@ -91,8 +92,7 @@ def _sorted(by, sql_key):
  SELECT meeting_id, row_number() OVER (PARTITION BY ministry ORDER BY {sql_key} date DESC, meeting_id) AS place FROM rows JOIN c USING (council_id)""", name=f"sort_{by.lower()}")
     def run(spark, d):
         n = meetings(spark, d).groupBy("council_id").agg(F.count("*").alias("meetings_count"))
-        order = Window.partitionBy("ministry").orderBy(*portal.meeting_order(by))
-        return _rows(spark, d).join(n, "council_id").select("meeting_id", F.row_number().over(order).cast("long").alias("place"))
+        return ranks(_rows(spark, d).join(n, "council_id"), ["ministry"], portal.meeting_order(by), "place").select("meeting_id", "place")
 
 
 for _by, _key in (("NEWEST", ""), ("OLDEST", "date,"), ("DOCS_DESC", "materials_count DESC,"), ("DOCS_ASC", "materials_count,"), ("MEETINGS_DESC", "meetings_count DESC,"), ("MEETINGS_ASC", "meetings_count,")):
@@ -103,8 +103,8 @@ for _by, _key in (("NEWEST", ""), ("OLDEST", "date,"), ("DOCS_DESC", "materials_
  SELECT c_custkey AS council_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY latest_date IS NULL, latest_date DESC, c_name, c_custkey) AS place FROM customer LEFT JOIN m ON o_custkey = c_custkey""")
 def sort_parents(spark, d):
     latest = meetings(spark, d).groupBy("council_id").agg(F.max("date").alias("latest_date"))
-    order = Window.partitionBy("ministry").orderBy(*portal.council_order("NEWEST", F.col("council_name")))
-    return councils(spark, d).join(latest, "council_id", "left").select("council_id", F.row_number().over(order).cast("long").alias("place"))
+    order = portal.council_order("NEWEST", F.col("council_name"))
+    return ranks(councils(spark, d).join(latest, "council_id", "left"), ["ministry"], order, "place").select("council_id", "place")
 
 
 @query("""SELECT c_custkey AS council_id, max(o_orderdate) AS latest_date FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')

@@ -93,6 +93,26 @@ def test_sync_rules_of_a_council(spark):
     assert synced(spark, [], []).count() == 0
 
 
+def test_a_new_session_leaves_locked_ones_alone(spark):
+    paper = lambda n: (f"第{n}回 次第", f"https://www.cas.go.jp/kaigi/{n}.pdf", "PDF")
+    locked = ("cas-kaigi-20260324-001", "第1回 成長検討会", "2026/03/24", False, "https://www.cas.go.jp/kaigi/s1.html", [paper(1)], True)
+    pages = [("https://www.cas.go.jp/kaigi/s1.html", "第1回 成長検討会", ["2026/03/24"], [paper(1)]), ("https://www.cas.go.jp/kaigi/s2.html", "第2回 成長検討会", ["2026/04/15"], [paper(2), ("配布資料 (PDF)", "https://www.cas.go.jp/kaigi/2b.pdf", "PDF")])]
+    got = {r.meeting_id: r for r in synced(spark, [locked], pages).collect()}
+    old, new = got["cas-kaigi-20260324-001"], got["cas-kaigi-20260415-002"]
+    assert len(got) == 2 and (old.action, old.locked, len(old.materials)) == ("kept", True, 1)
+    assert (new.action, new.date, [m.url for m in new.materials]) == ("inserted", "2026/04/15", ["https://www.cas.go.jp/kaigi/2.pdf", "https://www.cas.go.jp/kaigi/2b.pdf"])
+    known, _, _ = sync_tables(spark)
+    assert sync.council_counts(known, spark.createDataFrame(list(got.values()), sync.SYNCED)).first().meetings == 2
+
+
+def test_a_page_of_its_own_takes_the_place_of_the_councils(spark):
+    """A meeting that was stored before its day, with the council's page and no materials, gets both, under another spelling of its title."""
+    before = ("cas-kaigi-20260828-263", "第263回 成長検討会", "2026/08/28", False, COUNCIL[3], [], False)
+    page = ("https://www.cas.go.jp/stf/newpage_75439.html", "第263回成長検討会（web会議）資料", ["令和8年8月28日"], [("議事次第", "https://www.cas.go.jp/c/1.pdf", "PDF"), ("資料1", "https://www.cas.go.jp/c/2.pdf", "PDF")])
+    got = synced(spark, [before], [page, page]).collect()
+    assert [(r.meeting_id, r.action, r.url, [m.name for m in r.materials]) for r in got] == [(before[0], "upgraded", page[0], ["議事次第", "資料1"])]
+
+
 def test_a_new_period_may_start_rounds_anew(spark):
     """A round that is stored from years ago comes anew with its year, but older periods aren't dug up, and stated terms get no year."""
     stored = [(f"cas-kaigi-{d.replace('/', '')}-{n:03d}", f"第{n}回 成長検討会", d, False, f"https://www.cas.go.jp/kaigi/{d[:4]}/{n}.html", [("資料", f"https://www.cas.go.jp/{d[:4]}/{n}.pdf", "PDF")], False) for n, d in ((1, "2025/08/26"), (4, "2019/05/10"), (6, "2026/09/04"), (7, "2022/03/24"))]
@@ -191,6 +211,40 @@ def test_ranks_of_a_group_over_many_ranges(spark):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 
 
+def test_names_of_files_and_folders(spark):
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert one(titles.file_name(F.lit('a/b:c*?"<>|\\'))) == "a／b：c＊？”＜＞｜￥" and one(titles.file_name(F.lit(" .. "))) == "untitled" and one(titles.file_name(F.lit("x" * 200))) == "x" * 150
+    assert one(titles.folder_name(F.lit("2025/12/13"), F.lit("第16回 成長　検討会"), F.lit("成長　検討会"))) == "20251213_第16回" and one(titles.folder_name(F.lit(None).cast("string"), F.lit("x"), F.lit("x"))) == "00000000"
+    assert one(titles.is_material_page(F.lit("配付資料"), F.lit("https://e/x.html"))) and not one(titles.is_material_page(F.lit("配付資料"), F.lit("https://e/x.pdf?1")))
+    assert one(names.title_stem(F.lit("(1) 第3回 会議（2026年10月開催）"))) == "(1)会議"
+    assert one(urls.ministry_of_host(F.lit("https://www.cas.go.jp/x"))) == ["CAO", "CAS"]
+    assert one(text.sessions(F.lit("第１０回 dai3/_12giji"))) == [10, 3, 12]
+
+
+def test_export_with_a_byte_order_mark(spark, tmp_path):
+    rows = spark.createDataFrame([("2026/01/01", "=1+1", 'a"b')], "day string, name string, note string")
+    head, line = '"日","名","注"', '"2026/01/01","\'=1+1","a""b"'
+    late = spark.createDataFrame(spark.sparkContext.parallelize([], 3).union(rows.rdd), rows.schema)
+    for name, table, want in (("one", rows, [line]), ("wide", rows.repartition(3, "day"), [line]), ("none", rows.filter("false"), []), ("no_task", spark.createDataFrame([], rows.schema), []), ("late", late, [line])):
+        documents.export_csv_marked(table, str(tmp_path / name), ["day", "name", "note"], ("日", "名", "注"))
+        files = [f.read_bytes() for f in sorted((tmp_path / name).glob("part-*"))]
+        assert files and all(f.startswith(b"\xef\xbb\xbf" + head.encode()) for f in files), name
+        assert [x for f in files for x in f.decode("utf-8-sig").splitlines() if x != head] == want
+
+
+def test_folder_points(spark):
+    canonical = spark.createDataFrame([(1, "m", "c", "20260101_第1回", "20260101"), (2, "m", "c", "20260101_第2回", "20260101")], "meeting_id long, ministry_dir string, council_dir string, folder string, day string")
+    stray = spark.createDataFrame([("m", "c", "20260101_old"), ("m", "c", "20260101_x第2回"), ("m", "c", "20250101"), ("m", "c", "00_会議体資料")], "ministry_dir string, council_dir string, folder string")
+    files = spark.createDataFrame([("m", "c", "20260101_old", "Agenda.pdf"), ("m", "c", "20260101_第2回", "agenda.pdf")], "ministry_dir string, council_dir string, folder string, file string")
+    expected = spark.createDataFrame([(1, "agenda")], "meeting_id long, material string")
+    got = dict(rows_of(folders.choose_canonical(stray, files, canonical, expected), "folder", "target"))
+    assert got == {"20260101_old": "20260101_第2回", "20260101_x第2回": "20260101_第2回"}
+    two = files.withColumns({"size": F.lit(1), "digest": F.col("file")})
+    plan = folders.merge_plan(two, spark.createDataFrame([("m", "c", "20260101_old", "20260101_第2回")], "ministry_dir string, council_dir string, folder string, target string"))
+    assert rows_of(plan, "file", "action", "new_name") == [("Agenda.pdf", "move", "Agenda.pdf")]
+    assert folders.merge_stats(plan).first().unique_files_moved == 1
+
+
 def test_digest_is_the_same_in_any_order(spark):
     items = spark.createDataFrame([("A", "2026/01/01", "t1", "u1"), ("A", "", "t0", "u0"), (None, "2026/01/02", "t2", "u2")], "ministry string, date string, title string, url string").withColumn("similar_existing", F.array(F.struct(F.lit("c1").alias("id"), F.lit("n").alias("name"))))
     made = lambda df: digest.digest_hash(digest.ordinals(df, "ministry", ["date", "url", "title"]), []).first()
@@ -236,6 +290,19 @@ def test_store_api(spark, tmp_path):
     assert {r.segment for r in records.public_data("2026-06-01").collect()} == {"active", "archive"}
     assert [(r.key, r.value) for r in records.save_config("k", "v").collect()] == [("k", "v")] and records.config("k").count() == 0
     assert records.material_states().count() == 0
+    assert [(r.id, r.council_name) for r in records.new_meetings(7, "2026-01-05").collect()] == [("m2", "x"), ("m1", "x")] and records.crawler_config().first()[:5] == (True, True, 3, 10, 30)
+    records.save_config("discoveryKeywords", '{"a": ["検討会", "部会"]}').unionByName(spark.createDataFrame([("crawlerConfig", '{"llm_mode": false, "discovery_llm_mode": true, "llm_budget": {"daily": 1}}')], "key string, value string")).write.mode("overwrite").parquet(f"{root}/more")
+    spark.read.parquet(f"{root}/more").write.mode("overwrite").parquet(f"{root}/admin_configs")
+    assert rows_of(records.discovery_keywords(), "group", "position", "keyword") == [("a", 0, "検討会"), ("a", 1, "部会")] and records.crawler_config().first()[:5] == (False, True, 1, None, None)
+    log = spark.createDataFrame([(1, "a"), (2, "b")], "log_id int, line string")
+    assert rows_of(records.crawler_status(log, 1), "log_id", "unconfirmed") == [(2, 1)] and records.verification_report().count() == 0
+    (tmp_path / "db" / "verification_report.json").write_text('{"approved": 3}')
+    assert records.verification_report().first().approved == 3
+    (tmp_path / "files" / "cas").mkdir(parents=True)
+    (tmp_path / "files" / "cas" / "a[1].txt").write_text("x")
+    seen = records.view_material("cas/a[1].txt", str(tmp_path / "files")).first()
+    assert (bytes(seen.content), seen.content_type) == (b"x", "text/plain; charset=utf-8")
+    assert [records.view_material(p, str(tmp_path / "files")).count() for p in ("../db/verification_report.json", "", "cas/none.pdf", "/etc/hosts")] == [0] * 4
     for v, n in (("v1", 1), ("v2", 2)):
         records.save("councils", left.limit(n), v)
     assert records.restore_previous("councils", "v3").count() == 1 and records.restore_previous("councils", "v4").count() == 2
@@ -281,3 +348,40 @@ def test_batches_that_come_twice(spark, tmp_path):
     stream = streams.first_seen(streams.attempts_stream(spark, str(tmp_path / "in"), rows.schema), "k")
     streams.upsert_batches(stream, str(tmp_path / "cp"), apply).awaitTermination()
     assert sorted(map(tuple, state["table"].collect())) == [(1, "a"), (2, "b")] and state["batches"] >= 1
+
+
+def test_similar_names_equal_all_pairs(spark):
+    """Names of few common letters, so that bounds have ties to keep, and copies."""
+    from minuteloom.operators import entity
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdeあいう") for _ in range(rng.randint(1, 7)))
+    names_ = [(j, rng.choice("xy"), rng.choice(["同じ名", word(), word(), word()])) for j in range(150)]
+    items = [(i, rng.choice("xy"), word() + word() + rng.choice(["", "同じ名"])) for i in range(60)]
+    grams = lambda t: {t[p : p + 2] for p in range(len(t) - 1)} or {t}
+    want = []
+    for i, m, t in items:
+        scored = [(-len(grams(t) & grams(s)) / len(grams(s)), -len(grams(t) & grams(s)), j) for j, n, s in names_ if n == m]
+        want += [(i, j, -o, -s, r) for r, (s, o, j) in enumerate(sorted(x for x in scored if x[1])[:3], 1)]
+    got = entity.similar_names(spark.createDataFrame(items, "i int, m string, t string"), spark.createDataFrame(names_, "j int, m string, s string"), "i", "j", ["m"], F.col("t"), F.col("s"))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_a_council_of_many_pages(spark):
+    """200,000 pages of one council, a third of them stored: each page costs what concerns it, and doing it again changes nothing."""
+    n, parent = 200_000, "https://www.cas.go.jp/kaigi/"
+    known = spark.createDataFrame([COUNCIL], "council_id string, ministry string, name string, official_url string")
+    k = F.col("id")
+    day = F.date_add(F.lit("1500-01-01").cast("date"), k.cast("int"))
+    name, page = F.concat(F.lit("第"), k, F.lit("回 成長検討会")), F.concat(F.lit(parent), F.lit("p"), k)
+    paper = F.array(F.struct(F.lit("資料1").alias("name"), F.concat(page, F.lit(".pdf")).alias("url"), F.lit("PDF").alias("type")))
+    rows = spark.range(1, n + 1)
+    said = F.struct(day.alias("day"), name.alias("name"), page.alias("page"), paper.alias("paper"))
+    # What sync_scraped prepares of each page and meeting, so that the test is of the fold.
+    pages = rows.select(F.lit(COUNCIL[0]).alias("council_id"), k.alias("seq"), said.alias("x")).select("council_id", "seq", F.lit(COUNCIL[2]).alias("council"), F.lit(parent).alias("parent"), F.col("x.page").alias("url"), F.col("x.name").alias("title"), F.col("x.name").alias("shown"), F.col("x.paper").alias("materials"), F.date_format("x.day", "yyyy/MM/dd").alias("date"), F.lit(False).alias("unconfirmed"), F.array(F.col("seq").cast("int")).alias("rounds"), F.lit(COUNCIL[2]).alias("stem"), F.lit(False).alias("round_only"), F.lit(COUNCIL[2]).alias("council_stem"), *[F.lit(False).alias(c) for c in ("stock", "has_period", "wordless", "undated_word")])
+    stored = rows.filter(k % 3 == 0).select(F.lit(COUNCIL[0]).alias("council_id"), F.format_string("m%09d", k).alias("meeting_id"), name.alias("name"), F.date_format(day, "yyyy/MM/dd").alias("date"), F.lit(False).alias("unconfirmed"), F.lit(parent).alias("url"), F.array().cast(f"array<{sync.MATERIAL}>").alias("materials"), F.lit(False).alias("locked"), F.array(k.cast("int")).alias("rounds"), F.lit(COUNCIL[2]).alias("stem"), F.lit(False).alias("index"))
+    once = sync.folded(stored, pages, True).persist()
+    assert {r.action: r["count"] for r in once.groupBy("action").count().collect()} == {"inserted": n - n // 3, "upgraded": n // 3}
+    again = once.drop("action").withColumns({"rounds": F.array(F.regexp_extract("name", "第([0-9]+)回", 1).cast("int")), "stem": F.lit(COUNCIL[2]), "index": F.lit(False)})
+    assert sync.folded(again, pages, True).filter("action <> 'kept'").count() == 0
+    once.unpersist()
