@@ -31,8 +31,9 @@ TABLES = 4
 WIDTH = 1.5
 #: Queries whose true neighbours are looked up to fit the width.
 FIT_QUERIES = 48
-#: Share of simulated neighbours that the probes must reach.
+#: Share of simulated neighbours, and of true ones of two thirds of the sample, that the probes must reach, and of those of the last third, which had no part in the choice.
 FIT_RECALL = 0.97
+HELD_RECALL = 0.93
 MOST_PROBES = 600
 #: Vector lengths that are hashed; rows of any other length are compared with all of theirs.
 MOST_FITTED = 16
@@ -179,26 +180,44 @@ def choose_probes(dim: int, k: int, width: float, queries: list[list[float]], ne
     return max(needed) if max(needed) <= MOST_PROBES else None
 
 
+def reached(dim: int, k: int, width: float, probes: int, queries: list[list[float]], near: list[list[tuple[float, list[float]]]]) -> float:
+    """The share of the queries' true neighbours that so many probes reach in any table; 1 if there are none."""
+    import numpy as np
+
+    pairs = [(a, v) for a, vs in zip(queries, near) for d, v in vs if d > 0]
+    if not pairs:
+        return 1.0
+    q, x = (np.array(side, dtype=float) for side in zip(*pairs))
+    h = Hashes(dim, k, TABLES, width, probes)
+    met = np.zeros(len(q), dtype=bool)
+    for t in range(TABLES):
+        met |= (h.probes(q, t) == h.keys(x, t)[:, None]).any(axis=1)
+    return float(met.mean())
+
+
 class Fit(NamedTuple):
-    """How vectors of one length are hashed. With no projections one bucket holds all of them, and the search is exact."""
+    """How vectors of one length are hashed, and the recall on sample queries that had no part in the choice. With no projections one bucket holds all of them, and the search is exact."""
 
     k: int = 0
     width: float = 1.0
     probes: int = 1
     distance: float = 0.0
+    recall: float = 1.0
 
 
 def fit(dim: int, n: int, queries: list[list[float]], near: list[list[tuple[float, list[float]]]]) -> Fit:
-    """The most projections, up to what n classes ask for, at which MOST_PROBES reach FIT_RECALL; none where no number does."""
+    """The most projections, up to what n classes ask for, at which MOST_PROBES reach FIT_RECALL, and then HELD_RECALL of the queries held out; none where no number does."""
     import numpy as np
 
+    some = -(-2 * len(queries) // 3)
+    (queries, held), (near, far) = (queries[:some], queries[some:]), (near[:some], near[some:])
     distance = float(np.quantile([vs[-1][0] for vs in near if vs], 0.9)) if any(near) else 0.0
     if not 0 < distance < math.inf:
         return Fit()
     for k in range(max(0, round(0.8 * math.log2(n / 256))) if n > 256 else 0, 0, -1):
         probes = choose_probes(dim, k, WIDTH * distance, queries, near, distance)
-        if probes:
-            return Fit(k, WIDTH * distance, probes, distance)
+        if probes and (recall := reached(dim, k, WIDTH * distance, probes, held, far)) >= HELD_RECALL:
+            return Fit(k, WIDTH * distance, probes, distance, recall)
     return Fit()
 
 

@@ -689,6 +689,27 @@ def test_stages_on_odd_rows(spark, sf_dir, clashing):
             assert len(rows) == len(before)
 
 
+def test_stages_on_a_very_long_text(spark, sf_dir):
+    """A text of 20 MB with a benchmark passage, personal data and toxic words far behind its start, beside clean documents."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    stages = dict(corpus_pipeline.STAGES)
+    item = table(spark, sf_dir, "benchmark").first().text
+    filler = " ".join(f"w{i % 5003} x{i % 7001}" for i in range(1_800_000))
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    of = lambda *texts: spark.createDataFrame([(i, t, None, "s", len(t)) for i, t in enumerate(texts)], columns)
+    assert len(filler) > 19_000_000
+    found = stages["decontamination"](spark, of(f"{filler} {item}", "a clean text of a few words"), sf_dir).collect()
+    assert [r.doc_id for r in found] == [1]
+    clean = stages["pii"](spark, of(f"{filler} jane@example.org", "b"), sf_dir).orderBy("doc_id").collect()
+    assert clean[0].text.lower() == f"{filler} [email]" and clean[1].text == "b"
+    one = stages["near_duplicates"](spark, of(filler, f"{filler} ", "other"), sf_dir).collect()
+    assert sorted(r.doc_id for r in one) == [0, 2]
+    assert {r.doc_id for r in stages["toxicity"](spark, of(filler, "a kind text"), sf_dir).collect()} >= {1}
+    pieces = stages["packing"](spark, of(filler, "c"), sf_dir).select("doc_id", "start", "length", "doc_tokens").collect()
+    own = sorted((r.start, r.length, r.doc_tokens) for r in pieces if r.doc_id == 0)
+    assert sum(n for _, n, _ in own) == own[0][2] > 3_000_000 and all(a + n == b for (a, n, _), (b, _, _) in zip(own, own[1:]))
+
+
 def test_batches_are_bound_without_touching_the_session(spark, sample):
     before = dict(spark.conf.getAll)
     sizes = in_batches(sample.select("doc_id"), 7).mapInArrow(lambda bs: bs, "doc_id long")
