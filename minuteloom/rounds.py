@@ -21,9 +21,12 @@ def _shared_folder(spark: SparkSession) -> str:
     if spark.sparkContext.master.split("[")[0] != "local":
         raise RuntimeError(f"{CHECKPOINT_DIR} is not set: rounds need a folder that all executors share")
     if not _local_folder:
+        import atexit
+        import shutil
         import tempfile
 
         _local_folder.append(tempfile.mkdtemp(prefix="minuteloom-rounds-"))
+        atexit.register(shutil.rmtree, _local_folder[0], True)
     return _local_folder[0]
 
 
