@@ -91,8 +91,7 @@ def ministry_of(identifier: Column) -> Column:
     return F.when(code == "ENV", "MOE").otherwise(code)
 
 
-def bytes_label(size: Column) -> Column:
-    """A size in the largest unit that leaves it at 1 or more, up to PB, with two decimals."""
-    units = ("B", "KB", "MB", "GB", "TB", "PB")
+def bytes_label(size: Column, units: tuple[str, ...] = ("B", "KB", "MB", "GB", "TB", "PB")) -> Column:
+    """A size in the largest of the units that leaves it at 1 or more, with two decimals."""
     label = lambda i: F.format_string(f"%.2f {units[i]}", size / F.lit(float(1024**i)))
-    return F.coalesce(*[F.when(size < 1024 ** (i + 1), label(i)) for i in range(5)], label(5))
+    return F.coalesce(*[F.when(size < 1024 ** (i + 1), label(i)) for i in range(len(units) - 1)], label(len(units) - 1))
