@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of an Arrow batch handed to Python.
 BATCH_ROWS = 512
+#: Tasks for each core of work in Python.
+TASKS_A_CORE = 4
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 _sessions: WeakKeyDictionary[SparkSession, dict[int, SparkSession]] = WeakKeyDictionary()
@@ -36,3 +38,14 @@ def in_batches(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
         return own.table(f"global_temp.{view}")
     finally:
         spark.catalog.dropGlobalTempView(view)
+
+
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows, by their keys, over several tasks for each core, however few splits their files have: what follows is work in Python for each row.
+
+    A file of one row group is one task's, whatever its size. This goes in front of columns that make rows long, so that short ones are moved. The number
+    is given, as adaptive plans would else put short rows back together.
+    """
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), TASKS_A_CORE * spark.sparkContext.defaultParallelism)
+    return rows.repartition(tasks, *keys)

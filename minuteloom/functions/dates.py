@@ -46,12 +46,20 @@ def scanned_dates(text: Column) -> Column:
     Kinds: 0 and 1 the eras in words, 2 a year with its sign, 3 a year with slashes or dashes, 4 an era's letter, 5 two digits with dots. A
     year's sign in the month's place is read as the month's.
     """
-    t = nfkc(text)
+    return scanned_plain(nfkc(text))
+
+
+#: Groups of SCAN side by side, with a mark between them that no group holds.
+_GROUPS = "\u0001".join(f"${i}" for i in range(1, 9))
+
+
+def scanned_plain(t: Column) -> Column:
+    """scanned_dates of a text in NFKC. Each date is matched once more for its groups, and what they say is worked out once."""
     for era, mark in ERA_MARKS.items():
         t = F.replace(t, F.lit(era), F.lit(mark))
 
-    def read(x: Column) -> Column:
-        mark, letter, year, s1, month, s2, day, end = (F.trim(F.regexp_extract(x, SCAN, i)) for i in range(1, 9))
+    def said(g: Column) -> Column:
+        mark, letter, year, s1, month, s2, day, end = (F.get(g, F.lit(i)) for i in range(8))
         signed = (s1 == "年") & s2.isin("年", "月") & (end == "日")
         slashed = s1.isin("/", "-") & s2.isin("/", "-")
         marked = [(signed & (mark == ERA_MARKS[era]), kind, _era_year(base, year)) for kind, (era, base) in enumerate(ERAS.items())]
@@ -60,10 +68,10 @@ def scanned_dates(text: Column) -> Column:
         by_letter = F.coalesce(*[F.when(F.upper(letter) == k, _era_year(base, year)) for k, base in LETTER_ERAS.items()])
         short = F.when(number.between(1, 15), number + 2018).when(number.between(16, 31), number + 1988)
         rules = [*marked, (bare & four & signed, 2, number), (bare & four & slashed, 3, number), (era_letter, 4, by_letter), (bare & (F.length(year) <= 2) & (s1 == ".") & (s2 == "."), 5, short)]
-        kind = F.coalesce(*[F.when(rule, k) for rule, k, _ in rules])
-        of = F.coalesce(*[F.when(rule, y) for rule, _, y in rules])
-        return F.struct(kind.alias("kind"), _made(of, month, day).alias("date"))
+        found = F.coalesce(*[F.when(rule, F.struct(F.lit(k).alias("kind"), y.alias("of"))) for rule, k, y in rules])
+        return let(found, lambda f: F.struct(f["kind"].alias("kind"), _made(f["of"], month, day).alias("date")))
 
+    read = lambda x: let(F.transform(F.split(F.regexp_replace(x, SCAN, _GROUPS), "\u0001"), lambda s: F.trim(s)), said)
     return F.filter(F.transform(F.regexp_extract_all(t, F.lit(SCAN), F.lit(0)), read), lambda x: x["kind"].isNotNull())
 
 
@@ -88,11 +96,16 @@ def resolve_date(found: Column, title: Column, url: Column) -> Column:
 
 def news_date(text: Column, base_year: Column) -> Column:
     """yyyy/MM/dd of a news item: its full date, else month and day in the base year, with no test of the day; null for none."""
-    full = F.get(F.filter(scanned_dates(text), lambda x: (x["kind"] <= 3) & x["date"].isNotNull()), F.lit(0))["date"]
+    return news_date_plain(nfkc(text), base_year)
+
+
+def news_date_plain(plain: Column, base_year: Column) -> Column:
+    """news_date of a text in NFKC."""
+    full = F.get(F.filter(scanned_plain(plain), lambda x: (x["kind"] <= 3) & x["date"].isNotNull()), F.lit(0))["date"]
     signed, slashed = r"(?<![0-9])([0-9]{1,2})月([0-9]{1,2})日", r"(?<![0-9A-Za-z_/-])([0-9]{1,2})[/-]([0-9]{1,2})(?![0-9A-Za-z_/-])"
-    plain = nfkc(text)
     part = lambda i: F.when(plain.rlike(signed), F.regexp_extract(plain, signed, i)).otherwise(F.regexp_extract(plain, slashed, i)).try_cast("int")
-    short = F.when(part(1).between(1, 12) & part(2).between(1, 31), F.format_string("%04d/%02d/%02d", base_year.cast("int"), part(1), part(2)))
+    numbers = F.when(plain.rlike("[0-9]"), F.struct(part(1).alias("month"), part(2).alias("day")))
+    short = let(numbers, lambda n: F.when(n["month"].between(1, 12) & n["day"].between(1, 31), F.format_string("%04d/%02d/%02d", base_year.cast("int"), n["month"], n["day"])))
     return F.coalesce(F.date_format(full, "yyyy/MM/dd"), short)
 
 

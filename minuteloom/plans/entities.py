@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from minuteloom.batches import in_batches
+from minuteloom.batches import in_batches, spread
 from minuteloom.functions import text, urls
 from minuteloom.operators import entity
 from minuteloom.plans.base import query
@@ -149,6 +149,7 @@ def title_consistency(spark, d):
 @query("SELECT DISTINCT doc_id, lower(substr(text, CAST(i AS INTEGER), 3)) AS trigram FROM documents, unnest(range(1, greatest(length(text) - 1, 1))) AS t(i) WHERE length(text) >= 3")
 def trigram_index(spark, d):
     """Every trigram of every document, once each."""
-    docs = read(spark, d, "documents").filter(F.length("text") >= 3)
-    grams = F.transform(F.sequence(F.lit(1), F.length("text") - 2), lambda i: F.lower(F.substring(F.col("text"), i, F.lit(3))))
+    docs = spread(read(spark, d, "documents").filter(F.length("text") >= 3).select("doc_id", "text"), "doc_id")
+    # A text is cut into characters once: to find its i-th place anew for each gram costs the square of its length.
+    grams = text.let(F.split("text", ""), lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - 3), lambda i: F.lower(F.concat(F.get(c, i), F.get(c, i + 1), F.get(c, i + 2)))))
     return docs.select("doc_id", F.explode(F.array_distinct(grams)).alias("trigram"))

@@ -14,6 +14,7 @@ from minuteloom.batches import in_batches
 from minuteloom.functions import dates, text, titles, urls
 from minuteloom.functions import vocabulary as v
 from minuteloom.functions.titles import ends_any, has_any
+from minuteloom.functions.udf import nfkc
 from minuteloom.operators.analytics import first_per_key
 from minuteloom.rounds import settled
 from minuteloom.sources.dom import Node, parse
@@ -142,9 +143,11 @@ def news_items(pages: DataFrame, since: Column | None = None) -> DataFrame:
     about = (has_any(F.col("title"), v.NEWS_WORDS) | F.col("title").rlike(titles.ROUND)) & ~has_any(F.col("title"), v.NEWS_NAVIGATION)
     rows = rows.filter((F.col("title") != "") & about).join(own, "page_id")
     year = F.coalesce(F.regexp_extract("since", "^([0-9]{4})", 1).try_cast("int"), F.regexp_extract("page", "/(20[0-9]{2})[/-]?", 1).try_cast("int"))
-    each = rows.select("page_id", "position", F.posexplode("near").alias("place", "said"), year.alias("year")).withColumn("date", dates.news_date(F.col("said"), F.col("year")))
-    found = each.filter("date is not null").groupBy("page_id", "position").agg(F.min_by("date", "place").alias("date"))
-    dated = rows.join(found, ["page_id", "position"], "left")
+    # All texts around a link are normalised as one, with marks between them: pages are parsed once, and no row leaves its task.
+    around = nfkc(F.array_join(F.transform("near", lambda x: F.translate(x, "\u0001", "\u0002")), "\u0001"))
+    rows = settled(rows, said=around, year=year)
+    dated = rows.withColumn("date", F.get(F.filter(F.transform(F.split("said", "\u0001"), lambda x: dates.news_date_plain(x, F.col("year"))), lambda x: x.isNotNull()), F.lit(0)))
+    dated = settled(dated.select("page_id", "position", "title", "url", "since", "date"))
     return dated.filter(F.col("since").isNull() | F.coalesce(F.col("date") >= F.col("since"), F.lit(False))).select("page_id", "position", "title", "url", "date")
 
 
