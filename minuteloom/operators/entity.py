@@ -53,14 +53,22 @@ def similar_names(items: DataFrame, names: DataFrame, item_key: str, name_key: s
     return own.join(best, "a").select(item_key, name_key, "overlap", "score", "rank")
 
 
-#: Characters that a council's name and a title share at least, to meet; shorter names meet whole.
-GRAM = 2
+def _class(said: Column) -> Column:
+    """The largest power of two that a text's length reaches: the length of the windows that it is found by."""
+    return F.call_function("shiftleft", F.lit(1), F.length(F.bin(F.length(said))) - 1)
 
 
-def _grams(said: Column) -> Column:
-    """Distinct pairs of neighbouring characters; a single one is itself."""
-    many = F.transform(F.sequence(F.lit(1), F.length(said) - 1), lambda i: F.substring(said, i, F.lit(GRAM)))
-    return F.array_distinct(F.when(F.length(said) >= GRAM, many).when(F.length(said) == 1, F.array(said)).otherwise(F.array().cast("array<string>")))
+def _windows(block: Column, said: Column, sizes: Column) -> Column:
+    """Hashes of the distinct windows of a text, of the lengths in an array; those of different blocks are apart."""
+    of = lambda n: F.transform(F.sequence(F.lit(1), F.length(said) - n + 1), lambda k: F.xxhash64(block, F.substring(said, k, n)))
+    return F.array_distinct(F.flatten(F.transform(F.filter(sizes, lambda n: n <= F.length(said)), of)))
+
+
+def _rarest(texts: DataFrame, by: list[str], counted: DataFrame) -> DataFrame:
+    """(*by, w) of texts (*by, w): the window that fewest of the counted rows (w) have; a text with a window that none has is left out."""
+    counts = counted.groupBy("w").agg(F.count("*").alias("n"))
+    each = texts.join(counts, "w", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return each.groupBy(*by).agg(F.min_by("w", F.struct("n", "w")).alias("w"), F.min("n").alias("n")).filter("n > 0").drop("n")
 
 
 def _above(path: Column) -> Column:
@@ -82,7 +90,8 @@ def match_councils(items: DataFrame, councils: DataFrame) -> DataFrame:
 
     items: item_id, ministry, title, url; councils: council_id, ministry, name, official_url, is_closed. Within a rule open councils,
     longer directories and longer names go first, then the smaller id. Items and councils of a ministry meet on equal keys alone: on a directory
-    of the item's address, or on the pair of characters that is rarest among the ministry's names, of the name, and of the item's brackets.
+    of the item's address, or on a window of characters: of the windows of a name, half as long as it at least, the one that is rarest among the ministry's
+    names, and likewise of a bracket. Texts, names and brackets that are equal meet as one, and of councils that only an id tells apart the first does.
     """
     squeeze = lambda c: F.replace(text.normal_text(c), F.lit(" "), F.lit(""))
     c = councils.select("council_id", F.col("ministry").alias("c_ministry"), F.regexp_replace("official_url", "/+$", "").alias("c_url"), squeeze(F.col("name")).alias("c_name"), (~F.coalesce("is_closed", F.lit(False))).alias("is_open"), urls.host(F.col("official_url")).alias("c_host"), F.regexp_replace(F.try_parse_url("official_url", F.lit("PATH")), "/[^/]*$", "").alias("c_dir"))
@@ -92,22 +101,34 @@ def match_councils(items: DataFrame, councils: DataFrame) -> DataFrame:
     title = squeeze(F.col("title"))
     i = items.select("item_id", "ministry", F.regexp_replace("url", "/+$", "").alias("url"), title.alias("title"), urls.host(F.col("url")).alias("host"), urls.path(F.col("url")).alias("path"))
     i = i.withColumns({"bare": F.regexp_replace("title", r"第\d+回", ""), "brackets": F.regexp_extract_all("title", F.lit("[「『【]([^」』】]+)[」』】]"), F.lit(1))})
-    exact = i.join(c, F.col("url") == F.col("c_url")).withColumn("rule", F.lit(1)).withColumn("reason", F.lit("URL_EXACT"))
+    i, c = cut(i), cut(c)
+    # Of the councils of one address or directory the first is enough, as names are asked for apart.
+    open_first = F.struct(~F.col("is_open"), -F.coalesce(F.length("c_name"), F.lit(0)), "council_id")
+    first_of = lambda *by: c.groupBy(*by).agg(F.min_by(F.struct(*[x for x in c.columns if x not in by]), open_first).alias("__c")).select(*by, "__c.*")
+    exact = i.join(first_of("c_url"), F.col("url") == F.col("c_url")).withColumn("rule", F.lit(1)).withColumn("reason", F.lit("URL_EXACT"))
     # Candidates by directory: every run of whole parts of the path, as a council's directory may stand anywhere in it.
-    placed = i.withColumn("part", F.explode(_runs(F.col("path")))).join(c, (F.col("ministry") == F.col("c_ministry")) & (F.col("host") == F.col("c_host")) & (F.col("part") == F.col("c_dir"))).drop("part")
-    # Candidates by name: a name is found by its rarest pair in a text that holds it, and a bracket by its own in a name that holds it.
-    named = c.filter(F.length("c_name") >= 1)
-    pairs = named.select("c_ministry", F.explode(_grams(F.col("c_name"))).alias("gram")).groupBy("c_ministry", "gram").agg(F.count("*").alias("n"))
-    rare = named.select("council_id", "c_ministry", F.explode(_grams(F.col("c_name"))).alias("gram")).join(pairs, ["c_ministry", "gram"]).groupBy("council_id", "c_ministry").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
-    letters = lambda x: F.split(x, "")  # noqa: E731  for names and brackets of a single character
-    said = i.select("item_id", "ministry", F.explode(F.array_union(F.array_union(_grams(F.col("title")), _grams(F.col("bare"))), letters(F.col("title")))).alias("gram"))
-    within = said.join(rare, (F.col("ministry") == F.col("c_ministry")) & (said.gram == rare.gram)).select("item_id", "council_id")
-    bracket = i.select("item_id", "ministry", F.explode("brackets").alias("b")).filter("b <> ''")
-    bracket_rare = bracket.select("item_id", F.col("ministry").alias("c_ministry"), "b", F.explode(_grams(F.col("b"))).alias("gram")).join(pairs, ["c_ministry", "gram"], "left").groupBy("item_id", "c_ministry", "b").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("gram"))
-    holders = named.select("council_id", "c_ministry", F.explode(F.array_union(_grams(F.col("c_name")), letters(F.col("c_name")))).alias("gram"))
-    around = bracket_rare.join(holders, ["c_ministry", "gram"]).select("item_id", "council_id")
-    by_name = within.unionByName(around).distinct()
-    near = placed.unionByName(i.join(by_name, "item_id").join(c, "council_id").select(*placed.columns))
+    by_dir = first_of("c_ministry", "c_host", "c_dir")
+    placed = i.withColumn("part", F.explode(_runs(F.col("path")))).join(by_dir, (F.col("ministry") == F.col("c_ministry")) & (F.col("host") == F.col("c_host")) & (F.col("part") == F.col("c_dir"))).drop("part")
+    # Candidates by name: a name is found by its rarest window in a text that holds it, and a bracket by its own in a name that holds it.
+    ministry, name = F.col("ministry"), F.col("name")
+    named = c.filter(F.length("c_name") >= 1).groupBy(F.col("c_ministry").alias("ministry"), F.col("c_name").alias("name")).agg(F.min(F.struct(~F.col("is_open"), "council_id")).alias("first")).filter("ministry is not null")
+    own = named.select("ministry", "name", F.explode(_windows(ministry, name, F.array(_class(name)))).alias("w"))
+    rare = _rarest(own, ["ministry", "name"], own)
+    lengths = named.groupBy("ministry").agg(F.collect_set(_class(name)).alias("sizes"))
+    texts = i.select("ministry", "title", "bare").distinct().join(lengths, "ministry")
+    said = texts.select("ministry", "title", "bare", F.explode(F.array_union(_windows(ministry, F.col("title"), F.col("sizes")), _windows(ministry, F.col("bare"), F.col("sizes")))).alias("w"))
+    held = said.join(rare.select("w", "name"), "w").filter(F.contains("title", name) | F.contains("bare", name)).select("ministry", "title", "name").distinct()
+    within = i.select("item_id", "ministry", "title").join(held.join(named, ["ministry", "name"]).select("ministry", "title", "first.council_id"), ["ministry", "title"]).select("item_id", "council_id")
+    brackets = i.select("item_id", "ministry", F.explode("brackets").alias("b")).filter("b <> ''")
+    b = F.col("b")
+    asked = brackets.select("ministry", "b").distinct()
+    sizes = asked.groupBy("ministry").agg(F.collect_set(_class(b)).alias("sizes"))
+    holders = named.join(sizes, "ministry").select("ministry", "name", "first", F.explode(_windows(ministry, name, F.col("sizes"))).alias("w"))
+    sought = _rarest(asked.select("ministry", "b", F.explode(_windows(ministry, b, F.array(_class(b)))).alias("w")), ["ministry", "b"], holders)
+    # How close a name is to an item's brackets is told by its length, so of each length the first is enough.
+    around = sought.join(holders.select("w", "name", "first"), "w").filter(F.contains(name, b)).groupBy("ministry", "b", F.length(name).alias("size")).agg(F.min("first").alias("first"))
+    around = brackets.join(around, ["ministry", "b"]).select("item_id", "first.council_id")
+    near = placed.unionByName(i.join(within.unionByName(around), "item_id").join(c, "council_id").select(*placed.columns))
     under = (F.col("host") == F.col("c_host")) & (F.length("c_dir") > 10) & (F.contains(F.col("path"), F.concat(F.col("c_dir"), F.lit("/"))) | (F.col("path") == F.col("c_dir")))
     has_name = F.length("c_name") >= 1
     rule = (
