@@ -37,16 +37,17 @@ def parse_materials(html: str | None, url: str) -> list[dict]:
 
     page = parse(html)
     base = next((n.attrs["href"] for n in page.find("base") if n.attrs.get("href")), "")
-    root, seen, out = urljoin(url, base) if base else url, set(), []
+    root, own, seen, out = urljoin(url, base) if base else url, None, set(), []
     for a in page.find("a"):
         href, name = a.attrs.get("href", "").strip(), a.text()
         if not href or href.startswith(("#", "javascript:", "mailto:")) or any(n.tag in SKIPPED for n in a.above()):
             continue
         try:
             full = urldefrag(urljoin(root, href))[0]
+            own = urldefrag(url)[0] if own is None else own
         except ValueError:
             continue
-        if full and full not in seen and full != urldefrag(url)[0]:
+        if full and full not in seen and full != own:
             seen.add(full)
             out.append({"name": name, "url": full, "type": _kind(full)})
     return out
