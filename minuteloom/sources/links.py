@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
@@ -36,72 +37,94 @@ MEETING_TEXT = r"第\s*[0-9０-９]+\s*回|開催|議事|資料|(?:令和|平成
 LINKS = "page_id long, position int, href string, url string, text string, same_host boolean, heading string, column_head string, row_has_no_round boolean, around string, near array<string>, inside_frame boolean"
 
 
-def _table_place(link: Node) -> tuple[str, bool]:
-    """The head of the link's column, and whether its row lacks the round that other rows of the table have."""
-    row = next((n for n in link.above() if n.tag == "tr"), None)
-    table = row and next((n for n in row.above() if n.tag == "table"), None)
-    rows = table.find("tr") if table else []
+def _table_heads(table: Node) -> tuple[list[str], int | None, bool]:
+    """The heads of a table's columns, the column of rounds, and whether a row tells a round; no heads for a table of fewer than two rows."""
+    rows = table.find("tr")
     if len(rows) < 2:
+        return [], None, False
+    heads = [c.text() for c in next((r for r in rows[:3] if r.find("th")), rows[0]).find("th", "td")]
+    place = next((i for i, h in enumerate(heads) if h == "回" or any(k in h for k in ROUND_COLUMNS)), None)
+    return heads, place, place is not None and any(ROUND.search(unicodedata.normalize("NFKC", r.text())) for r in rows[1:])
+
+
+def _table_place(above: list[Node], tables: dict[int, tuple]) -> tuple[str, bool]:
+    """The head of the column of a link with these elements above it, and whether its row lacks the round that other rows of the table have. tables: what is known of those, by their order."""
+    row = next((i for i, n in enumerate(above) if n.tag == "tr"), None)
+    table = None if row is None else next((n for n in above[row + 1 :] if n.tag == "table"), None)
+    if table is None:
         return "", False
-    head = next((r for r in rows[:3] if r.find("th")), rows[0]).find("th", "td")
-    heads = [c.text() for c in head]
-    cells = row.find("td", "th")
-    mine = {id(n) for n in link.above()}
+    if table.order not in tables:
+        tables[table.order] = _table_heads(table)
+    heads, place, numbered = tables[table.order]
+    cells, mine = above[row].find("td", "th"), {id(n) for n in above}
     column = next((heads[i] for i, c in enumerate(cells) if id(c) in mine and i < len(heads)), "")
-    place = next((i for i, h in enumerate(heads) if h == "回" or any(k in h for k in ROUND_COLUMNS)), None)
     if place is None or place >= len(cells):
         return column, False
-    numbered = any(ROUND.search(unicodedata.normalize("NFKC", r.text())) for r in rows[1:])
     return column, numbered and not re.search(r"\d", unicodedata.normalize("NFKC", cells[place].text()))
 
 
 def links_of(html: str | None, url: str | None) -> list[dict]:
     """The links of a page in order, resolved against its base, with the heading before them, their place in a table and the texts around them."""
     root = parse(html)
-    base = next((n.attrs.get("href", "") for n in root.find("base")), "")
+    every = list(root.nodes())
+    base = next((n.attrs.get("href", "") for n in every if n.tag == "base"), "")
     start = urljoin(url or "", base) if base else url or ""
-    marks = [n for n in root.nodes() if n.tag in HEADINGS or n.tag in ("dt", "summary") or n.tag in ("p", "div", "span") and "date" in n.attrs.get("class", "").lower()]
-    out = []
-    for a in root.find("a"):
+    own = None
+    marks = [n for n in every if n.tag in HEADINGS or n.tag in ("dt", "summary") or n.tag in ("p", "div", "span") and "date" in n.attrs.get("class", "").lower()]
+    places, headings = [n.order for n in marks], [n for n in marks if n.tag in HEADINGS]
+    heading_places, loose, tables, out = [n.order for n in headings], {}, {}, []
+    for a in every:
+        if a.tag != "a":
+            continue
         href = a.attrs.get("href", "").strip()
         if not href or href.startswith(("#", "javascript:", "mailto:", "tel:")):
             continue
         try:
             full = urljoin(start, href).replace(" ", "%20")
-            host, scheme = urlsplit(full).netloc.lower(), urlsplit(full).scheme
+            parts = urlsplit(full)
+            own = urlsplit(url or "").netloc.lower() if own is None else own
         except ValueError:
             continue
-        if scheme not in ("http", "https"):
+        if parts.scheme not in ("http", "https"):
             continue
-        before = [n for n in marks if n.order < a.order]
-        heading = next((n.text() for n in reversed(before) if n.tag in HEADINGS), "")
-        block = next((n.text() for n in a.above() if n.tag in BLOCKS), "")
+        above = list(a.above())
+        before = bisect_left(heading_places, a.order)
+        heading = headings[before - 1].text() if before else ""
+        block = next((n.text() for n in above if n.tag in BLOCKS), "")
         near = []
-        for n in [n for n in a.above() if n.tag in CHAIN][:4]:
+        for n in [n for n in above if n.tag in CHAIN][:4]:
             if n.tag in ("div", "dl", "article") and len(n.find("a")) > 3:
                 break
             stamps = [t.attrs["datetime"][:10] for t in n.find("time") if t.attrs.get("datetime")]
             near += [*stamps[:1], n.text()]
-        for n in [n for n in reversed(before) if not any(p.tag == "li" for p in n.above())][:10]:
-            near.append(n.text())
-            if n.tag in ("h2", "h3"):
-                break
-        column, lacks = _table_place(a)
-        frame = any(n.tag in ("header", "footer", "nav") for n in a.above())
-        out.append({"href": href, "url": full, "text": a.text(), "same_host": host == urlsplit(url or "").netloc.lower(), "heading": heading, "column_head": column, "row_has_no_round": lacks, "around": block, "near": [*near, a.text()], "inside_frame": frame})
+        shown = 0
+        for i in range(bisect_left(places, a.order) - 1, -1, -1):
+            n = marks[i]
+            if i not in loose:
+                loose[i] = not any(p.tag == "li" for p in n.above())
+            if loose[i]:
+                near.append(n.text())
+                shown += 1
+                if shown == 10 or n.tag in ("h2", "h3"):
+                    break
+        column, lacks = _table_place(above, tables)
+        frame = any(n.tag in ("header", "footer", "nav") for n in above)
+        out.append({"href": href, "url": full, "text": a.text(), "same_host": parts.netloc.lower() == own, "heading": heading, "column_head": column, "row_has_no_round": lacks, "around": block, "near": [*near, a.text()], "inside_frame": frame})
     return out
 
 
-def extract_links(pages: DataFrame) -> DataFrame:
-    """LINKS of pages (page_id, url, html); a null page has none."""
-    names = [c.strip().split()[0] for c in LINKS.split(",")]
+def extract_links(pages: DataFrame, *kept: str) -> DataFrame:
+    """LINKS of pages (page_id, url, html), with the page's columns `kept`; a null page has none."""
+    names = [*kept, *[c.strip().split()[0] for c in LINKS.split(",")]]
+    kinds = "".join(f"`{c}` {pages.schema[c].dataType.simpleString()}, " for c in kept)
 
     def run(batches):
         for b in batches:
-            rows = [{"page_id": p, "position": i, **link} for p, u, h in zip(b.page_id, b.url, b.html) for i, link in enumerate(links_of(h, u))]
+            own = zip(*[b[c] for c in kept]) if kept else [()] * len(b)
+            rows = [(*o, p, i, *link.values()) for o, p, u, h in zip(own, b.page_id, b.url, b.html) for i, link in enumerate(links_of(h, u))]
             yield pd.DataFrame(rows, columns=names)
 
-    return in_batches(pages.select("page_id", "url", "html"), PAGES).mapInPandas(run, LINKS)
+    return in_batches(pages.select(*kept, "page_id", "url", "html"), PAGES).mapInPandas(run, kinds + LINKS)
 
 
 def subpages(pages: DataFrame, pattern: Column | None = None, strict: Column | None = None) -> DataFrame:
@@ -110,8 +133,9 @@ def subpages(pages: DataFrame, pattern: Column | None = None, strict: Column | N
     pattern: a council's own regular expression of addresses, over page_id, and strict whether only that counts. Files, index pages, notices,
     navigation, standing papers, reports without a round, archives of a year and links among related ones are left out; the first of each address stays.
     """
-    own = pages.select("page_id", F.col("url").alias("page"), (F.lit(None).cast("string") if pattern is None else pattern).alias("pattern"), (F.lit(False) if strict is None else F.coalesce(strict, F.lit(False))).alias("strict"))
-    rows = extract_links(pages).join(own, "page_id")
+    own = {"page": F.col("url"), "pattern": F.lit(None).cast("string") if pattern is None else pattern, "strict": F.lit(False) if strict is None else F.coalesce(strict, F.lit(False))}
+    # A link takes along what its page says, so that it is judged in the task that found it.
+    rows = extract_links(pages.filter("page_id is not null").withColumns(own), *own)
     t, u = F.trim(F.col("text")), F.col("url")
     bare = F.trim(F.regexp_replace(t, r"^[0-9０-９一二三四五六七八九十]+[．.、\s]+", ""))
     low = F.regexp_replace(F.lower("href"), "[?#].*$", "")
@@ -138,10 +162,10 @@ def news_items(pages: DataFrame, since: Column | None = None) -> DataFrame:
     The date is that of the closest text around the link that has one, then of the headings before it, then of the text itself; days without a year
     are in that of `since`, else of the page's address, else null. With since (yyyy/MM/dd, over page_id), older and undated items are left out.
     """
-    own = pages.select("page_id", F.col("url").alias("page"), (F.lit(None).cast("string") if since is None else since).alias("since"))
-    rows = extract_links(pages).filter(~F.col("inside_frame")).withColumn("title", text.normal_text(F.col("text")))
+    own = {"page": F.col("url"), "since": F.lit(None).cast("string") if since is None else since}
+    rows = extract_links(pages.filter("page_id is not null").withColumns(own), *own).filter(~F.col("inside_frame")).withColumn("title", text.normal_text(F.col("text")))
     about = (has_any(F.col("title"), v.NEWS_WORDS) | F.col("title").rlike(titles.ROUND)) & ~has_any(F.col("title"), v.NEWS_NAVIGATION)
-    rows = rows.filter((F.col("title") != "") & about).join(own, "page_id")
+    rows = rows.filter((F.col("title") != "") & about)
     year = F.coalesce(F.regexp_extract("since", "^([0-9]{4})", 1).try_cast("int"), F.regexp_extract("page", "/(20[0-9]{2})[/-]?", 1).try_cast("int"))
     # All texts around a link are normalised as one, with marks between them: pages are parsed once, and no row leaves its task.
     around = nfkc(F.array_join(F.transform("near", lambda x: F.translate(x, "\u0001", "\u0002")), "\u0001"))
