@@ -32,8 +32,15 @@ def date_of(text: Column) -> Column:
     return F.try_to_date(F.replace(text, F.lit("-"), F.lit("/")), "yyyy/M/d")
 
 
-def _made(year: Column, month: Column, day: Column) -> Column:
-    return F.try_to_date(F.concat_ws("-", year.cast("string"), month, day), "yyyy-M-d")
+def _made(year: Column, month: Column, day: Column, least: int = 1000) -> Column:
+    """A day of numbers, null for none. They are tested before: to read a text that is no day costs an exception, and most texts are none."""
+    def made(x: Column) -> Column:
+        y, m, d = x["y"], x["m"], x["d"]
+        leap = (y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))
+        last = F.when(m.isin(4, 6, 9, 11), 30).when(m == 2, F.when(leap, 29).otherwise(28)).otherwise(31)
+        return F.when(y.between(least, 9999) & m.between(1, 12) & (d >= 1) & (d <= last), F.make_date(y, m, d))
+
+    return let(F.struct(year.cast("int").alias("y"), month.try_cast("int").alias("m"), day.try_cast("int").alias("d")), made)
 
 
 def _era_year(base: int, year: Column) -> Column:
@@ -89,7 +96,8 @@ def valid_date(text: Column, now: str) -> Column:
 
 def resolve_date(found: Column, title: Column, url: Column) -> Column:
     """struct(date, unconfirmed): the day that the page, else the title, else the address tells, as yyyy/MM/dd; else the sentinel, unconfirmed."""
-    loose = F.try_to_date(F.concat_ws("-", *[F.regexp_extract(found, r"([0-9]{4})[/-]([0-9]{1,2})[/-]([0-9]{1,2})", i) for i in (1, 2, 3)]), "yyyy-M-d")
+    year, month, day = (F.regexp_extract(found, r"([0-9]{4})[/-]([0-9]{1,2})[/-]([0-9]{1,2})", i) for i in (1, 2, 3))
+    loose = _made(year.try_cast("int"), month, day, 1)
     days = F.coalesce(parse_era_date(found), loose, parse_era_date(title), date_from_url(url))
     return let(days, lambda day: F.struct(F.coalesce(F.date_format(day, "yyyy/MM/dd"), F.lit(UNKNOWN_DATE)).alias("date"), day.isNull().alias("unconfirmed")))
 
