@@ -226,10 +226,13 @@ def parent_pages(links: DataFrame) -> DataFrame:
     links: press_url, name, position, url (absolute), text. A page of the same host, no release and no noise, scores 10 for the name in its
     text, 5 for a word and 3 for a path of council pages; the first of the highest from 5 on wins.
     """
-    links = settled(links, __clean=names.clean_name(F.col("name")), __said=names.clean_name(F.col("text")))
     clean, text, url = F.col("__clean"), F.col("text"), F.col("url")
+    # Pages say the same few things in many links: names and texts are judged once each. A null text is noise.
+    named = settled(links.select("name").distinct(), __clean=names.clean_name(F.col("name")))
+    said = settled(links.select("text").distinct(), __said=names.clean_name(text))
+    said = settled(said.filter(~is_noise(text, clean=F.col("__said"))).select("text"), __word=contains_any(text, PAGE_WORDS))
     points = lambda c, n: F.when(F.coalesce(c, F.lit(False)), n).otherwise(0)
-    score = points((clean != "") & F.contains(text, clean), 10) + points(contains_any(text, PAGE_WORDS), 5) + points(contains_any(url, PAGE_PATHS), 3)
-    fit = (urls.host(url) == urls.host(F.col("press_url"))) & ~is_press_url(url) & ~is_noise(text, clean=F.col("__said"))
-    best = first_per_key(links.filter(fit).withColumn("score", score).filter("score >= 5"), ["press_url"], [F.desc("score"), F.asc("position")])
+    own = links.filter((urls.host(url) == urls.host(F.col("press_url"))) & ~is_press_url(url)).join(said, "text").join(named, "name", "left")
+    score = points((clean != "") & F.contains(text, clean), 10) + points(F.col("__word"), 5) + points(contains_any(url, PAGE_PATHS), 3)
+    best = first_per_key(own.withColumn("score", score).filter("score >= 5"), ["press_url"], [F.desc("score"), F.asc("position")])
     return links.select("press_url").distinct().join(best.select("press_url", F.col("url").alias("parent_url")), "press_url", "left").withColumn("parent_url", F.coalesce("parent_url", "press_url"))
