@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from minuteloom.batches import spread
 from minuteloom.functions import names, urls
 from minuteloom.functions.titles import ends_any
 from minuteloom.operators.analytics import first_per_key
@@ -152,7 +153,7 @@ def admit_links(links: DataFrame, known: DataFrame, keywords: list[str], exclude
     """
     body = F.trim("text")
     fits = F.length(body).between(3, 100) & contains_any(body, keywords) & ~contains_any(body, excluded)
-    rows = settled(links.filter(fits & F.col("url").isNotNull() & ~is_press_url(F.col("url"))), said=names.clean_name(F.col("text")))
+    rows = settled(spread(links.filter(fits & F.col("url").isNotNull() & ~is_press_url(F.col("url"))), "ministry", "position", "url"), said=names.clean_name(F.col("text")))
     rows = rows.filter(~is_noise(F.col("text"), None, F.col("url"), F.col("said")))
     rows = settled(rows, name=F.when(F.col("text").rlike(ROUND), F.col("said")).otherwise(body))
     rows = settled(rows, key=urls.clean_key(F.col("url")), clean=names.clean_name(F.col("name")), core=names.core_name(F.col("name")))
