@@ -13,6 +13,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from minuteloom.batches import spread
 from minuteloom.functions import dates, names, text, titles, urls
 from minuteloom.functions import vocabulary as v
 from minuteloom.functions.titles import ends_any, has_any, has_one_of
@@ -112,7 +113,8 @@ def prepared(scraped: DataFrame, councils: DataFrame, rules: DataFrame | None =
     else:
         plain = plain.join(rules.select("council_id", "no_self", "not_urls", "not_titles", "only_urls"), "council_id", "left")
     slash = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), "/+$", "")
-    rows = plain.withColumns({"url": slash(F.col("url")), "title": F.trim(F.coalesce("title", F.lit(""))), "parent": slash(F.col("parent"))})
+    # What a page is by itself is worked out in tasks of equal size, however councils and the joins' short rows lie.
+    rows = spread(plain, "council_id", "seq").withColumns({"url": slash(F.col("url")), "title": F.trim(F.coalesce("title", F.lit(""))), "parent": slash(F.col("parent"))})
     u, t = F.col("url"), F.col("title")
     rows = rows.filter(is_admitted(u, t, F.col("page_title"), F.col("ministry"), F.col("parent"), {c: F.col(c) for c in ("no_self", "not_urls", "not_titles", "only_urls")}))
     rows = settled(rows, __said=joined_names(F.col("materials")), __shown=shown_title(t))
