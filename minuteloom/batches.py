@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 BATCH_ROWS = 512
 #: Tasks for each core of work in Python.
 TASKS_A_CORE = 4
+#: Short rows of a task that sorts or gathers them.
+TASK_ROWS = 250_000
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 _sessions: WeakKeyDictionary[SparkSession, dict[int, SparkSession]] = WeakKeyDictionary()
@@ -49,3 +51,13 @@ def spread(rows: DataFrame, *keys: str) -> DataFrame:
     spark = rows.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), TASKS_A_CORE * spark.sparkContext.defaultParallelism)
     return rows.repartition(tasks, *keys)
+
+
+def tasks_for(table: DataFrame) -> int:
+    """As many tasks as a table's rows ask for, at least those of a shuffle: a set number gives each a share that grows with the input. A table of Parquet files is counted by their footers."""
+    return max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-table.count() // TASK_ROWS))
+
+
+def sized(rows: DataFrame, *keys: str, like: DataFrame | None = None) -> DataFrame:
+    """rows, by their keys, over as many tasks as their number asks for, or that of `like` where this is less work to count: what a task sorts or gathers by these keys stays small, however large the table."""
+    return rows.repartition(tasks_for(rows if like is None else like), *keys)

@@ -8,10 +8,12 @@ from pyspark.sql.window import Window
 
 from minuteloom.functions import titles
 from minuteloom.operators.analytics import first_per_key
+from minuteloom.rounds import settled
 
 #: The folder of a council's own materials, which no plan touches.
 PERMANENT = "00_会議体資料"
 PLACE = ["ministry_dir", "council_dir"]
+UNKNOWN_COUNCIL = "会議体不明"
 
 
 def canonical_folders(meetings: DataFrame, councils: DataFrame, ministries: DataFrame) -> DataFrame:
@@ -19,11 +21,15 @@ def canonical_folders(meetings: DataFrame, councils: DataFrame, ministries: Data
 
     meetings: meeting_id, council_id, name, date; councils: council_id, council_name, ministry; ministries: ministry, ministry_name.
     """
-    known = meetings.join(councils.select("council_id", "council_name", "ministry"), "council_id", "left").join(F.broadcast(ministries.select("ministry", "ministry_name")), "ministry", "left")  # a few dozen ministries
     ministry = F.coalesce("ministry_name", F.col("ministry").cast("string"), F.lit("UNKNOWN"))
-    council = F.coalesce("council_name", F.lit("会議体不明"))
+    own = councils.select("council_id", "council_name", "ministry").join(F.broadcast(ministries.select("ministry", "ministry_name")), "ministry", "left")  # a few dozen ministries
+    dirs = settled(own, ministry_dir=titles.file_name(ministry, 60), council_dir=titles.file_name(F.coalesce("council_name", F.lit(UNKNOWN_COUNCIL)), 80))
+    known = meetings.join(dirs.select("council_id", "council_name", *PLACE), "council_id", "left")
+    council = F.coalesce("council_name", F.lit(UNKNOWN_COUNCIL))
     digits = F.left(F.regexp_replace(F.coalesce("date", F.lit("")), "[^0-9]", ""), F.lit(8))
-    return known.select("meeting_id", titles.file_name(ministry, 60).alias("ministry_dir"), titles.file_name(council, 80).alias("council_dir"), titles.folder_name(F.col("date"), F.col("name"), council).alias("folder"), digits.alias("day"))
+    # Made once: folders are filtered and joined by, and the code of a condition on all of this is too long to be compiled.
+    rows = settled(known, folder=titles.folder_name(F.col("date"), F.col("name"), council), day=digits)
+    return rows.select("meeting_id", F.coalesce("ministry_dir", F.lit("UNKNOWN")).alias("ministry_dir"), F.coalesce("council_dir", F.lit(UNKNOWN_COUNCIL)).alias("council_dir"), "folder", "day")
 
 
 def _touchable(folders: DataFrame) -> DataFrame:

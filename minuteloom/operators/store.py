@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from minuteloom.batches import tasks_for
 from minuteloom.functions import text, titles
 from minuteloom.operators.analytics import first_per_key
-from minuteloom.rounds import ranks
+from minuteloom.rounds import ranks, settled
 from minuteloom.schema import UNKNOWN_DATE
 
 #: Counters of a sync, in order.
@@ -175,12 +176,15 @@ def download_plan(materials: DataFrame, folders: DataFrame, per_flush: int = 25)
     materials: meeting_id, position, name, url, type, download_status; folders as of canonical_folders. Of one meeting's materials with one address the first counts; names
     that repeat get _2, _3 ... by position.
     """
-    once = first_per_key(materials.filter(F.coalesce("download_status", F.lit("pending")) != "downloaded"), ["meeting_id", "url"], [F.asc("position")]).drop("rank")
-    named = once.withColumns({"stem": titles.file_name(titles.material_name(F.col("name")), 100), "extension": titles.extension(F.col("url"), F.col("type"))})
+    pending = materials.filter(F.coalesce("download_status", F.lit("pending")) != "downloaded").select("meeting_id", "position", "name", "url", "type")
+    # Names are made in front of the shuffle, as what follows it is read twice: for the bounds of ranges, and for their rows.
+    stems = settled(pending, stem=titles.file_name(titles.material_name(F.col("name")), 100), extension=titles.extension(F.col("url"), F.col("type"))).drop("name", "type")
+    tasks = tasks_for(folders)
+    named = first_per_key(stems.repartition(tasks, "meeting_id"), ["meeting_id", "url"], [F.asc("position")]).drop("rank")
     n = F.row_number().over(Window.partitionBy("meeting_id", "stem", "extension").orderBy("position"))
     filed = named.withColumn("n", n).withColumn("file", F.concat("stem", F.when(F.col("n") > 1, F.concat(F.lit("_"), F.col("n").cast("string"))).otherwise(""), "extension"))
     placed = filed.join(folders.select("meeting_id", "ministry_dir", "council_dir", "folder"), "meeting_id")
-    return ranks(placed, ["ministry_dir"], [F.asc("meeting_id"), F.asc("position")], "place").select("ministry_dir", "place", F.ceil(F.col("place") / per_flush).cast("int").alias("flush"), "meeting_id", "url", F.concat_ws("/", "ministry_dir", "council_dir", "folder", "file").alias("path"), "extension")
+    return ranks(placed, ["ministry_dir"], [F.asc("meeting_id"), F.asc("position")], "place", tasks).select("ministry_dir", "place", F.ceil(F.col("place") / per_flush).cast("int").alias("flush"), "meeting_id", "url", F.concat_ws("/", "ministry_dir", "council_dir", "folder", "file").alias("path"), "extension")
 
 
 def council_id_of(identifier: Column) -> Column:

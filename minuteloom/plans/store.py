@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from minuteloom.batches import sized
 from minuteloom.functions import names
 from minuteloom.operators import folders, store
 from minuteloom.plans.base import query
@@ -16,7 +17,7 @@ _DAY = "strftime(o_orderdate, '%Y/%m/%d')"
 
 def _lines(spark, d):
     """Materials with one row for each number, as keys ask for."""
-    return materials(spark, d).groupBy("meeting_id", "line").agg(F.min("type").alias("type"), F.min("download_status").alias("download_status"))
+    return sized(materials(spark, d), "meeting_id").groupBy("meeting_id", "line").agg(F.min("type").alias("type"), F.min("download_status").alias("download_status"))
 
 
 def _tables(spark, d):

@@ -49,14 +49,14 @@ def settled(rows: DataFrame, **columns: Column) -> DataFrame:
     return once.filter("__once >= 0").drop("__once")
 
 
-def ranks(rows: DataFrame, group: list[str], order: list[Column], name: str = "rank") -> DataFrame:
+def ranks(rows: DataFrame, group: list[str], order: list[Column], name: str = "rank", tasks: int | None = None) -> DataFrame:
     """rows with their place from 1 in their group, in an order that tells them apart; null is a group like any other.
 
     Rows are sorted by ranges of group and order, so a large group spans many tasks. A row's place is that in its range, and what earlier
-    ranges hold of the group, which is counted; what is summed up is a row for each group and range that has rows of it.
+    ranges hold of the group, which is counted; what is summed up is a row for each group and range that has rows of it. There are as many ranges as a shuffle has tasks, or as `tasks` says.
     """
     by = [*[F.col(g).asc() for g in group], *order]
-    laid = cut(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__at", 33)))
+    laid = cut(rows.repartitionByRange(*([tasks] if tasks else []), *by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__at", 33)))
     runs = laid.groupBy("__part", *group).agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
     before = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     bases = runs.select(F.col("__part").alias("__p"), *[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)], (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first") + 1).alias("__base"))
