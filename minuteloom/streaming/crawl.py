@@ -30,27 +30,57 @@ def upsert_batches(rows: DataFrame, checkpoint: str, merge: Callable[[DataFrame,
 
 
 MARKS = "council_id long, mark long, seq long, attempts long, consecutive_failures long"
+#: Stands for no source, time or number: before all others.
+LEAST = -(1 << 63)
+#: Groups that sources are dealt to by their hash; a checkpoint is for one number of them.
+SHARES = 512
 
 
 def source_marks(attempts: DataFrame) -> DataFrame:
     """MARKS of each source with new attempts (ts, seq, council_id, kind), as a stream of updates: how far it has been read (microseconds), how many attempts were seen and how many of the last failed.
 
     The state of a source is kept across batches and restarts. Attempts at or before its mark have been seen and count once, however often they come; so
-    those that come late, behind the mark, don't count, as with a crawl that only asks for what is newer.
+    those that come late, behind the mark, don't count, as with a crawl that only asks for what is newer. A call of Python with state costs milliseconds and
+    sources are many with few attempts each, so one call folds all sources of a share, as arrays; a share's state is a table of its sources (id, mark, seq, attempts, failures).
     """
+    import numpy as np
     import pandas as pd
 
     def fold(key, frames, state):
-        mark, seq, n, failures = state.get if state.exists else (None, None, 0, 0)
-        rows = pd.concat(list(frames)).drop_duplicates(["at", "seq"]).sort_values(["at", "seq"])
-        for at, number, kind in zip(rows["at"].tolist(), rows["seq"].tolist(), rows["kind"].tolist()):
-            if mark is None or (at, number) > (mark, seq):
-                mark, seq, n, failures = at, number, n + 1, failures + 1 if kind == "error" else 0
-        state.update((mark, seq, n, failures))
-        yield pd.DataFrame({"council_id": [key[0]], "mark": [mark], "seq": [seq], "attempts": [n], "consecutive_failures": [failures]})
-
-    rows = attempts.select("council_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "seq", "kind")
-    return rows.groupBy("council_id").applyInPandasWithState(fold, MARKS, "mark long, seq long, attempts long, consecutive_failures long", "update", "NoTimeout")
+        ids, marks, seqs, counts, failures = np.frombuffer(state.get[0], np.int64).reshape(5, -1) if state.exists else np.empty((5, 0), np.int64)
+        frames = list(frames)
+        source, at, seq, bad = (np.concatenate([f[c].to_numpy() for f in frames]) for c in ("source", "at", "seq", "bad"))
+        if len(ids):
+            place = np.minimum(np.searchsorted(ids, source), len(ids) - 1)
+            new = (ids[place] != source) | (at > marks[place]) | ((at == marks[place]) & (seq > seqs[place]))
+            source, at, seq, bad = source[new], at[new], seq[new], bad[new]
+        if not len(source):
+            return
+        order = np.lexsort((seq, at, source))
+        source, at, seq, bad = source[order], at[order], seq[order], bad[order]
+        once = np.append(True, (source[1:] != source[:-1]) | (at[1:] != at[:-1]) | (seq[1:] != seq[:-1]))
+        source, at, seq, bad = source[once], at[once], seq[once], bad[once]
+        starts = np.flatnonzero(np.append(True, source[1:] != source[:-1]))
+        lasts = np.append(starts[1:], len(source)) - 1
+        good = np.maximum.reduceat(np.where(bad, -1, np.arange(len(source))), starts)
+        found = source[starts]
+        had = np.isin(found, ids)
+        before = np.zeros((2, len(found)), np.int64)
+        before[:, had] = np.array((counts, failures))[:, np.searchsorted(ids, found[had])]
+        size = lasts - starts + 1
+        rows = np.array((found, at[lasts], seq[lasts], before[0] + size, np.where(good >= starts, lasts - good, before[1] + size)), np.int64)
+        kept = ~np.isin(ids, found)
+        table = np.concatenate((np.array((ids, marks, seqs, counts, failures))[:, kept], rows), axis=1)
+        state.update((table[:, np.argsort(table[0])].tobytes(),))
+        yield pd.DataFrame(dict(zip((c.split()[0] for c in MARKS.split(", ")), rows)))
+
+    known = lambda c: F.coalesce(c, F.lit(LEAST))
+    source = known(F.col("council_id").cast("long"))
+    rows = attempts.select(
+        F.pmod(F.xxhash64(source), F.lit(SHARES)).alias("share"), source.alias("source"), known(F.unix_micros(F.col("ts").cast("timestamp"))).alias("at"), known(F.col("seq").cast("long")).alias("seq"), F.coalesce(F.col("kind") == "error", F.lit(False)).alias("bad")
+    )
+    marks = rows.groupBy("share").applyInPandasWithState(fold, MARKS, "sources binary", "update", "NoTimeout")
+    return marks.withColumns({c: F.nullif(c, F.lit(LEAST)) for c in ("council_id", "mark", "seq")})
 
 
 def keep_marks(attempts: DataFrame, checkpoint: str, out: str):
