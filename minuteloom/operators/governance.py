@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from minuteloom.batches import tasks_for
 from minuteloom.operators.analytics import first_per_key
 
 
@@ -24,9 +25,10 @@ def register(stored: DataFrame, incoming: DataFrame, key: str, columns: list[str
 
 
 def replace_children(stored: DataFrame, incoming: DataFrame, parent: str, identity: str, order: str) -> DataFrame:
-    """The incoming parents' children are replaced as a whole; of incoming rows with one identity the first by order stays."""
-    fresh = first_per_key(incoming, [parent, identity], [F.asc(order)])
-    return stored.join(incoming.select(parent).distinct(), parent, "left_anti").unionByName(fresh.select(*stored.columns))
+    """The incoming parents' children are replaced as a whole; of incoming rows with one identity the first by order stays. Both are sorted in as many tasks as the stored rows ask for, each by its own keys, so that no task holds both."""
+    tasks = tasks_for(stored)
+    fresh = first_per_key(incoming.repartition(tasks, parent, identity), [parent, identity], [F.asc(order)])
+    return stored.repartition(tasks, parent).join(incoming.select(parent).repartition(tasks, parent).distinct(), parent, "left_anti").unionByName(fresh.select(*stored.columns))
 
 
 def set_closed(councils: DataFrame, targets: DataFrame, key: str, reason: Column, closed: str = "is_closed", why: str = "closed_reason") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from minuteloom.batches import sized
 from minuteloom.operators import discovery, governance
 from minuteloom.plans.base import query
 from minuteloom.schema import councils, materials, meetings, read
@@ -27,9 +28,9 @@ def register_bundle(spark, d):
  SELECT l_orderkey, l_partkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderdate >= {_RECENT} GROUP BY 1, 2) AS t(o_orderkey, part)""")
 def replace_materials(spark, d):
     """Recent meetings get a new list of materials, each part once."""
-    recent = meetings(spark, d).filter(f"date >= {_RECENT}").select("meeting_id")
     stored = materials(spark, d).select("meeting_id", F.col("part").cast("long").alias("part"), "line")
-    incoming = stored.join(recent, "meeting_id", "left_semi")
+    recent = sized(meetings(spark, d).filter(f"date >= {_RECENT}").select("meeting_id"), "meeting_id", like=stored)
+    incoming = sized(stored, "meeting_id").join(recent, "meeting_id", "left_semi")
     return governance.replace_children(stored, incoming, "meeting_id", "part", "line").select("meeting_id", "part")
 
 
