@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from minuteloom import schema
+from minuteloom.batches import tasks_for
 from minuteloom.functions import text
 from minuteloom.operators.merge import active_split
 
@@ -25,9 +26,10 @@ def flatten_children(parents: DataFrame, key: str, children: str, identity: list
 
 
 def nest_children(parents: DataFrame, children: DataFrame, key: str, name: str, order: list[str], columns: list[str]) -> DataFrame:
-    """Each parent with its children as an ordered array of structs; none is an empty array."""
-    grouped = children.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, *[c for c in columns if c not in order]))).alias(name))
-    return parents.join(grouped, key, "left").withColumn(name, F.coalesce(name, F.array().cast(grouped.schema[name].dataType)))
+    """Each parent with its children as an ordered array of structs; none is an empty array. There are as many tasks as the children ask for."""
+    tasks = tasks_for(children)
+    grouped = children.repartition(tasks, key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, *[c for c in columns if c not in order]))).alias(name))
+    return parents.repartition(tasks, key).join(grouped, key, "left").withColumn(name, F.coalesce(name, F.array().cast(grouped.schema[name].dataType)))
 
 
 def with_defaults(materials: DataFrame) -> DataFrame:
