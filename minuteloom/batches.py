@@ -15,7 +15,7 @@ TASKS_A_CORE = 4
 TASK_ROWS = 250_000
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 CHECKPOINT_DIR = "spark.checkpoint.dir"
-_sessions: WeakKeyDictionary[SparkSession, dict[int, SparkSession]] = WeakKeyDictionary()
+_sessions: WeakKeyDictionary[SparkSession, dict[tuple, SparkSession]] = WeakKeyDictionary()
 
 
 def in_batches(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
@@ -24,16 +24,25 @@ def in_batches(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
     Spark takes that bound from the session that a plan runs in, so the plan moves, and the caller's session keeps
     its settings. All else that is set there is set in the other session too.
     """
+    return df if df.sparkSession.conf.get(ARROW_ROWS) == str(rows) else _moved(df, {ARROW_ROWS: str(rows)})
+
+
+def in_tasks(df: DataFrame, tasks: int) -> DataFrame:
+    """df as seen from a session of this library's own, in which each shuffle has that many tasks and none are put together: for plans whose joins and windows each go by keys of their own."""
+    return _moved(df, {"spark.sql.shuffle.partitions": str(tasks), "spark.sql.adaptive.coalescePartitions.enabled": "false"})
+
+
+def _moved(df: DataFrame, settings: dict[str, str]) -> DataFrame:
     spark = df.sparkSession
-    if spark.conf.get(ARROW_ROWS) == str(rows):
-        return df
     kept = _sessions.setdefault(spark, {})
-    own = kept[rows] if rows in kept else kept.setdefault(rows, spark.newSession())
+    at = tuple(sorted(settings.items()))
+    own = kept[at] if at in kept else kept.setdefault(at, spark.newSession())
     for key, value in spark.conf.getAll.items():
-        shared = key == CHECKPOINT_DIR or key.startswith("spark.sql.") and key != ARROW_ROWS
+        shared = key == CHECKPOINT_DIR or key.startswith("spark.sql.") and key not in settings
         if shared and own.conf.get(key, None) != value and (key == CHECKPOINT_DIR or own.conf.isModifiable(key)):
             own.conf.set(key, value)
-    own.conf.set(ARROW_ROWS, str(rows))
+    for key, value in settings.items():
+        own.conf.set(key, value)
     view = f"minuteloom_{uuid.uuid4().hex}"
     df.createGlobalTempView(view)
     try:

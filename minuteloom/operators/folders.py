@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from minuteloom.batches import in_tasks, tasks_for
 from minuteloom.functions import titles
 from minuteloom.operators.analytics import first_per_key
 from minuteloom.rounds import settled
@@ -68,11 +69,12 @@ def choose_canonical(folders: DataFrame, files: DataFrame, canonical: DataFrame,
     return first_per_key(scored, [*PLACE, "folder"], order).select(*PLACE, "folder", "target")
 
 
-def merge_plan(files: DataFrame, chosen: DataFrame) -> DataFrame:
+def merge_plan(files: DataFrame, chosen: DataFrame, like: DataFrame | None = None) -> DataFrame:
     """(ministry_dir, council_dir, folder, file, target, action, new_name): what becomes of each file of a folder that is merged.
 
     files: PLACE, folder, file, size, digest. A file whose content the target has, under its own name or, if that is free, any, is deleted, and so is the later
-    of equal ones that come in; others move, as name_altN.ext where the name is taken.
+    of equal ones that come in; others move, as name_altN.ext where the name is taken. Files are counted, or a table `like` them that is less work to count, for
+    as many tasks as they ask for: each step sorts a task's share of them.
     """
     there = files.select(*PLACE, F.col("folder").alias("target"), "file", "size", "digest")
     moving = files.join(chosen, [*PLACE, "folder"])
@@ -88,7 +90,8 @@ def merge_plan(files: DataFrame, chosen: DataFrame) -> DataFrame:
     n = F.row_number().over(Window.partitionBy(*PLACE, "target", "file", "gone").orderBy("folder"))
     rows = rows.withColumn("alt", F.when(~F.col("gone"), n - F.when(F.col("taken"), 0).otherwise(1)).otherwise(0))
     alt = F.concat(F.regexp_replace("file", r"\.[^.]*$", ""), F.lit("_alt"), F.col("alt").cast("string"), F.regexp_extract("file", r"(\.[^.]*)$", 1))
-    return rows.select(*PLACE, "folder", "file", "target", F.when(F.col("gone"), "delete").otherwise("move").alias("action"), F.when(F.col("gone"), None).when(F.col("alt") == 0, F.col("file")).otherwise(alt).alias("new_name"))
+    plan = rows.select(*PLACE, "folder", "file", "target", F.when(F.col("gone"), "delete").otherwise("move").alias("action"), F.when(F.col("gone"), None).when(F.col("alt") == 0, F.col("file")).otherwise(alt).alias("new_name"))
+    return in_tasks(plan, tasks_for(files if like is None else like))
 
 
 def merge_stats(plan: DataFrame) -> DataFrame:

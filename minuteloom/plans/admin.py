@@ -258,10 +258,11 @@ def folder_merge(spark, d):
     """Materials of a meeting, each from a folder of its own, into one where a file of their name is: equal contents go, others move under new names."""
     k, n, flag = F.col("meeting_id"), F.col("line"), F.col("type")
     content = F.when(n % 2 == 1, F.lit("there")).otherwise(F.concat(F.lit("c"), flag))
-    own = materials(spark, d).select(k.cast("string").alias("ministry_dir"), F.lit("c").alias("council_dir"), F.lpad(n.cast("string"), 2, "0").alias("folder"), F.lit("f.pdf").alias("file"), F.lit(1).alias("size"), content.alias("digest"))
+    lines = materials(spark, d)
+    own = lines.select(k.cast("string").alias("ministry_dir"), F.lit("c").alias("council_dir"), F.lpad(n.cast("string"), 2, "0").alias("folder"), F.lit("f.pdf").alias("file"), F.lit(1).alias("size"), content.alias("digest"))
     there = own.select("ministry_dir", "council_dir").distinct().select("*", F.lit("t").alias("folder"), F.lit("f.pdf").alias("file"), F.lit(1).alias("size"), F.lit("there").alias("digest"))
     chosen = own.select(*folders.PLACE, "folder").distinct().withColumn("target", F.lit("t"))
-    plan = folders.merge_plan(own.unionByName(there), chosen)
+    plan = folders.merge_plan(own.unionByName(there), chosen, lines)
     return plan.select(F.col("ministry_dir").cast("long").alias("meeting_id"), F.col("folder").cast("int").alias("line"), "action", "new_name")
 
 
