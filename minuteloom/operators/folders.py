@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -23,7 +23,8 @@ def canonical_folders(meetings: DataFrame, councils: DataFrame, ministries: Data
     meetings: meeting_id, council_id, name, date; councils: council_id, council_name, ministry; ministries: ministry, ministry_name.
     """
     ministry = F.coalesce("ministry_name", F.col("ministry").cast("string"), F.lit("UNKNOWN"))
-    own = councils.select("council_id", "council_name", "ministry").join(F.broadcast(ministries.select("ministry", "ministry_name")), "ministry", "left")  # a few dozen ministries
+    shared = councils.select("council_id", "council_name", "ministry").repartition("council_id")  # as for the join below, as many of them lie in one split of a file
+    own = shared.join(F.broadcast(ministries.select("ministry", "ministry_name")), "ministry", "left")  # a few dozen ministries
     dirs = settled(own, ministry_dir=titles.file_name(ministry, 60), council_dir=titles.file_name(F.coalesce("council_name", F.lit(UNKNOWN_COUNCIL)), 80))
     known = meetings.join(dirs.select("council_id", "council_name", *PLACE), "council_id", "left")
     council = F.coalesce("council_name", F.lit(UNKNOWN_COUNCIL))
@@ -45,28 +46,46 @@ def cleanup_targets(folders: DataFrame, canonical: DataFrame) -> DataFrame:
     return rows.withColumn("reason", F.when(lost & empty, "undefined_and_empty").when(lost, "undefined").when(empty, "empty")).filter("reason is not null").select(*PLACE, "folder", "reason")
 
 
+def _name_day(folder: str) -> Column:
+    """The day that a folder's name starts with, else ''."""
+    return F.regexp_extract(folder, "^([0-9]{8})(?:_|$)", 1)
+
+
 def choose_canonical(folders: DataFrame, files: DataFrame, canonical: DataFrame, expected: DataFrame) -> DataFrame:
     """(ministry_dir, council_dir, folder, target): for folders that no meeting has, the canonical one of the same day: the only one, else the first whose
     title is in the folder's name, else that with the most points for its files (3 for a name that is there, 2 for an expected material in a name, 1 for the
     title in a name), ties to the first meeting.
 
-    folders: PLACE, folder. files: PLACE, folder, file. canonical: with meeting_id for the order. expected: meeting_id, material.
+    folders: PLACE, folder. files: PLACE, folder, file. canonical: with meeting_id for the order. expected: meeting_id, material. The canonical folders are
+    read twice and counted, for as many tasks as they ask for. What is of one day of a council meets in one task, by a hash that is also what rows are
+    sorted by first, as names of one ministry differ late. Only folders that their day and name leave open are joined with their files.
     """
-    first = first_per_key(canonical.filter("day <> ''"), [*PLACE, "day", "folder"], [F.asc("meeting_id")]).select(*PLACE, "day", F.col("folder").alias("target"), "meeting_id")
-    stray = _touchable(folders).join(canonical.select(*PLACE, "folder").distinct(), [*PLACE, "folder"], "left_anti").withColumn("day", F.regexp_extract("folder", "^([0-9]{8})(?:_|$)", 1))
-    pairs = stray.select(*PLACE, "folder", "day").join(first, [*PLACE, "day"])
+    tasks = tasks_for(canonical)
+    at, day = F.xxhash64(*PLACE, "day").alias("at"), ["at", *PLACE, "day"]
+    placed = lambda rows, *columns: rows.filter("day <> ''").select(*PLACE, "day", *columns, at)
+    named = lambda rows, *columns: placed(rows.withColumn("day", _name_day("folder")), "folder", *columns)
+    first = placed(canonical, F.col("folder").alias("target"), "meeting_id").repartition(tasks, "at")
+    first = first_per_key(first, [*day, "target"], [F.asc("meeting_id")]).drop("rank")
+    stray = named(_touchable(folders)).join(named(canonical), [*day, "folder"], "left_anti").repartition(tasks, "at")
     title = F.regexp_extract("target", "^[^_]*_(.*)$", 1)
-    pairs = pairs.withColumns({"title": title, "named": (title != "") & F.contains("folder", title)})
-    own = files.select(*PLACE, "folder", F.lower("file").alias("file"))
-    there = files.select(*PLACE, F.col("folder").alias("target"), F.lower("file").alias("file")).distinct().withColumn("there", F.lit(3))
-    wanted = expected.join(first.select(*PLACE, "target", "meeting_id"), "meeting_id").select(*PLACE, "target", F.lower("material").alias("material")).filter("material <> ''").distinct()
-    lists = wanted.groupBy(*PLACE, "target").agg(F.collect_list("material").alias("wanted"))  # a meeting's materials
-    each = pairs.join(own, [*PLACE, "folder"], "left").join(there, [*PLACE, "target", "file"], "left").join(lists, [*PLACE, "target"], "left")
+    pairs = stray.join(first, day).withColumn("title", title).withColumn("named", (F.col("title") != "") & F.contains("folder", "title"))
+    turn = Window.partitionBy(*day, "folder").orderBy(F.desc("named"), F.asc("meeting_id"))
+    # Named ones come first, so the first one tells whether there are any.
+    pairs = pairs.withColumns({"turn": F.row_number().over(turn), "clear": F.coalesce(F.first("named").over(turn), F.lit(False)), "more": F.lead(F.lit(True)).over(turn)})
+    pairs = pairs.filter("turn = 1 or not clear").withColumn("open", ~F.col("clear") & ((F.col("turn") > 1) | F.col("more").isNotNull())).drop("turn", "clear", "more")
+    own = named(files, F.lower("file").alias("file")).withColumn("open", F.lit(True)).repartition(tasks, "at")
+    each = pairs.join(own, [*day, "folder", "open"], "left")
+    wanted = expected.select("meeting_id", F.lower("material").alias("material")).filter("material <> ''").distinct()
+    each = each.join(wanted.groupBy("meeting_id").agg(F.collect_list("material").alias("wanted")), "meeting_id", "left")  # a meeting's materials
+    target = F.xxhash64(*PLACE, "target").alias("target_at")
+    there = files.select(*PLACE, F.col("folder").alias("target"), F.lower("file").alias("file")).select("*", target).repartition(tasks, "target_at").distinct().withColumn("there", F.lit(3))
+    each = each.select("*", target).repartition(tasks, "target_at").join(there, ["target_at", *PLACE, "target", "file"], "left")
     hits = F.coalesce(F.size(F.filter("wanted", lambda w: F.contains("file", w))), F.lit(0))
     points = F.coalesce("there", F.lit(0)) + 2 * hits + F.when((F.col("title") != "") & F.contains("file", F.lower("title")), 1).otherwise(0)
-    scored = each.groupBy(*PLACE, "folder", "target", "meeting_id", "named").agg(F.sum(points).alias("points"))
+    told = each.select(*day, "folder", "target", "meeting_id", "named", points.alias("points")).repartition(tasks, "at")
+    scored = told.groupBy(*day, "folder", "target", "meeting_id", "named").agg(F.sum("points").alias("points"))
     order = [F.desc("named"), F.when(F.col("named"), 0).otherwise(-F.col("points")).asc(), F.asc("meeting_id")]
-    return first_per_key(scored, [*PLACE, "folder"], order).select(*PLACE, "folder", "target")
+    return in_tasks(first_per_key(scored, [*day, "folder"], order).select(*PLACE, "folder", "target"), tasks, by_shares=True)
 
 
 def merge_plan(files: DataFrame, chosen: DataFrame, like: DataFrame | None = None) -> DataFrame:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from minuteloom.batches import in_tasks, tasks_for
 from minuteloom.functions import text
 from minuteloom.functions import vocabulary as v
 from minuteloom.operators import admin, analytics, folders, portal, quality
 from minuteloom.plans.base import query
 from minuteloom.plans.crawl import _key, _pick, sql_has, sql_list
+from minuteloom.rounds import kept
 from minuteloom.schema import attempts, councils, materials, meetings, ministries, read
 from minuteloom.sources import documents
 
@@ -211,14 +213,24 @@ def interleave_order(spark, d):
 
 
 def _folders(spark, d):
-    """Canonical folders of all meetings, and the folders that are there: of five kinds by the meeting's number."""
+    """Canonical folders of all meetings, and the folders that are there."""
     m = meetings(spark, d).join(councils(spark, d).select("council_id", "council_name"), "council_id")
     title = F.concat(F.lit("第"), _key() % 9 + 1, F.lit("回 "), F.col("council_name"))
     own = m.select("meeting_id", "council_id", title.alias("name"), F.date_format("date", "yyyy/MM/dd").alias("date"))
     canonical = folders.canonical_folders(own, councils(spark, d), ministries(spark, d))
+    return canonical, _there(canonical)
+
+
+def _there(canonical):
+    """The folders that are there: of five kinds by the meeting's number."""
     stray = F.concat("day", F.lit("_x"), _key(), F.when(_key() % 2 == 0, F.concat(F.lit("第"), _key() % 9 + 1, F.lit("回"))).otherwise(""))
-    there = canonical.select(*folders.PLACE, _pick(F.col("folder"), F.col("folder"), stray, stray, folders.PERMANENT).alias("folder"), (_key() % 5).isin(0, 2).cast("int").alias("files"), "meeting_id")
-    return canonical, there
+    return canonical.select(*folders.PLACE, _pick(F.col("folder"), F.col("folder"), stray, stray, folders.PERMANENT).alias("folder"), (_key() % 5).isin(0, 2).cast("int").alias("files"), "meeting_id")
+
+
+def _made_folders(spark, d):
+    """The same, made once and in tasks of a bounded share of meetings: for what reads them several times."""
+    canonical = kept(in_tasks(_folders(spark, d)[0], tasks_for(meetings(spark, d))))
+    return canonical, _there(canonical)
 
 
 _CANON = "c AS (SELECT o_orderkey AS k, n_name AS ministry_dir, c_name AS council_dir, strftime(o_orderdate, '%Y%m%d') AS day, '第' || (o_orderkey % 9 + 1) || '回' AS t FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey) "
@@ -242,12 +254,13 @@ def folder_targets(spark, d):
  SELECT ministry_dir, council_dir, folder, target FROM r WHERE n = 1""")
 def folder_choices(spark, d):
     """Where the files of an undefined folder belong: by its name, by a file that is there, else to the day's first meeting."""
-    canonical, there = _folders(spark, d)
+    canonical, there = _made_folders(spark, d)
     stray = there.filter(_key() % 5 == 2)
     files = stray.select(*folders.PLACE, "folder", F.when(_key() % 3 == 0, "shared.pdf").otherwise(F.concat(F.lit("own"), _key(), F.lit(".pdf"))).alias("file"))
     # Canonical folders whose first meeting is the fifth of five hold a file of the same name.
     first = canonical.groupBy(*folders.PLACE, "folder").agg(F.min("meeting_id").alias("meeting_id")).filter(_key() % 5 == 0)
     files = files.unionByName(first.select(*folders.PLACE, "folder", F.lit("shared.pdf").alias("file")))
+    files = kept(in_tasks(files, tasks_for(canonical)))
     expected = spark.createDataFrame([], "meeting_id long, material string")
     return folders.choose_canonical(stray.select(*folders.PLACE, "folder"), files, canonical, expected)
 

@@ -43,6 +43,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df, written as Parquet to the folder that all executors share and read back: for what several steps read, each some of its columns."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def settled(rows: DataFrame, **columns: Column) -> DataFrame:
     """rows with columns that are worked out once: conditions on them are not pushed below, where each would spell them out again."""
     once = rows.withColumns({**columns, "__once": F.monotonically_increasing_id()})
