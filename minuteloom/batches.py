@@ -27,13 +27,18 @@ def in_batches(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
     return df if df.sparkSession.conf.get(ARROW_ROWS) == str(rows) else _moved(df, {ARROW_ROWS: str(rows)})
 
 
-def in_tasks(df: DataFrame, tasks: int, by_shares: bool = False) -> DataFrame:
-    """df as seen from a session of this library's own, in which each shuffle has that many tasks and none are put together: for plans whose joins and windows each go by keys of their own.
+def in_tasks(df: DataFrame, tasks: int) -> DataFrame:
+    """df as seen from a session of this library's own, in which each shuffle has that many tasks and none are put together: for plans whose joins and windows each go by keys of their own."""
+    return _moved(df, _in_tasks(tasks))
 
-    by_shares: tables that are shared out by some of a join's keys are joined as they are, not shared out again by all of them.
-    """
-    joins = {"spark.sql.requireAllClusterKeysForCoPartition": "false"} if by_shares else {}
-    return _moved(df, {"spark.sql.shuffle.partitions": str(tasks), "spark.sql.adaptive.coalescePartitions.enabled": "false", **joins})
+
+def in_shares(df: DataFrame, tasks: int) -> DataFrame:
+    """df as in_tasks has it, for plans that share tables out themselves: files are read in as many tasks, as far as their row groups go, and what is shared out by some of a join's keys is joined as it is, not shared out again by all of them."""
+    return _moved(df, {**_in_tasks(tasks), "spark.sql.files.minPartitionNum": str(tasks), "spark.sql.requireAllClusterKeysForCoPartition": "false"})
+
+
+def _in_tasks(tasks: int) -> dict[str, str]:
+    return {"spark.sql.shuffle.partitions": str(tasks), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
 
 
 def _moved(df: DataFrame, settings: dict[str, str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from minuteloom.batches import in_tasks, tasks_for
+from minuteloom.batches import in_shares, in_tasks, tasks_for
 from minuteloom.functions import titles
 from minuteloom.operators.analytics import first_per_key
 from minuteloom.rounds import settled
@@ -85,7 +85,7 @@ def choose_canonical(folders: DataFrame, files: DataFrame, canonical: DataFrame,
     told = each.select(*day, "folder", "target", "meeting_id", "named", points.alias("points")).repartition(tasks, "at")
     scored = told.groupBy(*day, "folder", "target", "meeting_id", "named").agg(F.sum("points").alias("points"))
     order = [F.desc("named"), F.when(F.col("named"), 0).otherwise(-F.col("points")).asc(), F.asc("meeting_id")]
-    return in_tasks(first_per_key(scored, [*day, "folder"], order).select(*PLACE, "folder", "target"), tasks, by_shares=True)
+    return in_shares(first_per_key(scored, [*day, "folder"], order).select(*PLACE, "folder", "target"), tasks)
 
 
 def merge_plan(files: DataFrame, chosen: DataFrame, like: DataFrame | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from minuteloom.batches import in_tasks, tasks_for
+from minuteloom.batches import in_shares, tasks_for
 from minuteloom.functions import text
 from minuteloom.functions import vocabulary as v
 from minuteloom.operators import admin, analytics, folders, portal, quality
@@ -229,7 +229,7 @@ def _there(canonical):
 
 def _made_folders(spark, d):
     """The same, made once and in tasks of a bounded share of meetings: for what reads them several times."""
-    canonical = kept(in_tasks(_folders(spark, d)[0], tasks_for(meetings(spark, d))))
+    canonical = kept(in_shares(_folders(spark, d)[0], tasks_for(meetings(spark, d))))
     return canonical, _there(canonical)
 
 
@@ -260,7 +260,7 @@ def folder_choices(spark, d):
     # Canonical folders whose first meeting is the fifth of five hold a file of the same name.
     first = canonical.groupBy(*folders.PLACE, "folder").agg(F.min("meeting_id").alias("meeting_id")).filter(_key() % 5 == 0)
     files = files.unionByName(first.select(*folders.PLACE, "folder", F.lit("shared.pdf").alias("file")))
-    files = kept(in_tasks(files, tasks_for(canonical)))
+    files = kept(in_shares(files, tasks_for(canonical)))
     expected = spark.createDataFrame([], "meeting_id long, material string")
     return folders.choose_canonical(stray.select(*folders.PLACE, "folder"), files, canonical, expected)
 
