@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: Rows of an Arrow batch handed to Python.
 BATCH_ROWS = 512
@@ -79,3 +81,36 @@ def tasks_for(table: DataFrame) -> int:
 def sized(rows: DataFrame, *keys: str, like: DataFrame | None = None) -> DataFrame:
     """rows, by their keys, over as many tasks as their number asks for, or that of `like` where this is less work to count: what a task sorts or gathers by these keys stays small, however large the table."""
     return rows.repartition(tasks_for(rows if like is None else like), *keys)
+
+
+def _arrow(kind):
+    """The Arrow type of a Spark type, made of those that rows of pages have."""
+    import pyarrow as pa
+
+    if kind.typeName() == "array":
+        return pa.list_(_arrow(kind.elementType))
+    if kind.typeName() == "struct":
+        return pa.struct([(f.name, _arrow(f.dataType)) for f in kind])
+    return {"long": pa.int64(), "integer": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}[kind.typeName()]
+
+
+def page_rows(pages: DataFrame, kept: list[str], columns: str, rows_of: Callable[[str | None, str | None], list[tuple]], size: int) -> DataFrame:
+    """The columns `kept` of pages, and those that rows_of gives of each page's html and url: a row for each tuple, as Arrow columns. columns: 'name type, ...'; size: pages of a batch."""
+    import pyarrow as pa
+
+    made = [(f.name, _arrow(f.dataType)) for f in StructType.fromDDL(columns)]
+    names = [*kept, *[name for name, _ in made]]
+
+    def run(batches):
+        for b in batches:
+            of, rows = [], []
+            for i, (h, u) in enumerate(zip(b.column("html").to_pylist(), b.column("url").to_pylist())):
+                found = rows_of(h, u)
+                of += [i] * len(found)
+                rows += found
+            place = pa.array(of, pa.int32())
+            said = zip(*rows) if rows else [()] * len(made)
+            yield pa.RecordBatch.from_arrays([*[b.column(c).take(place) for c in kept], *[pa.array(x, kind) for x, (_, kind) in zip(said, made)]], names)
+
+    own = "".join(f"`{c}` {pages.schema[c].dataType.simpleString()}, " for c in kept)
+    return in_batches(pages.select(*dict.fromkeys([*kept, "url", "html"])), size).mapInArrow(run, own + columns)

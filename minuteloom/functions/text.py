@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -30,14 +32,54 @@ def normal_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(nfkc(F.translate(F.coalesce(text, F.lit("")), RADICALS, RADICAL_TARGETS)), r"(?U)[\s\x{3000}]+", " "))
 
 
+_RADICALS, _TARGETS = re.compile(f"[{RADICALS}]"), str.maketrans(RADICALS, RADICAL_TARGETS)
+_WHITE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: The longest text whose normal form is kept for the next one that is like it.
+KEPT_TEXT = 100
+
+
+def plain(text: str) -> str:
+    """NFKC of a text."""
+    return text if text.isascii() or unicodedata.is_normalized("NFKC", text) else unicodedata.normalize("NFKC", text)
+
+
+def _normal(text: str) -> str:
+    said = plain(text)
+    return _WHITE.sub(" ", said.translate(_TARGETS) if _RADICALS.search(said) else said).strip(" ")
+
+
+class Kept(dict):
+    """What a function gave for texts, up to a number of them; empty in each task that it is sent to, as caches of functools don't go there."""
+
+    MOST = 4096
+
+    def __init__(self, of: Callable):
+        self.of = of
+
+    def __missing__(self, text):
+        if len(self) >= self.MOST:
+            self.clear()
+        found = self[text] = self.of(text)
+        return found
+
+    def __reduce__(self):
+        return Kept, (self.of,)
+
+
+_known_normal = Kept(_normal)
+
+
+def normal(text: str) -> str:
+    """normal_text of a text that is in Python already, so that no column has to go there once more."""
+    return _known_normal[text] if len(text) <= KEPT_TEXT else _normal(text)
+
+
 def ascii_digits(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), "０１２３４５６７８９", "0123456789")
 
 
 def terms(query: str) -> list[str]:
     """Search terms: split on white space, the ideographic one included; lower-cased after NFKC."""
-    import unicodedata
-
     return unicodedata.normalize("NFKC", query).lower().split()
 
 

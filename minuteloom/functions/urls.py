@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from minuteloom.functions import vocabulary as v
-from minuteloom.functions.titles import ends_any, has_any, has_one_of
+from minuteloom.functions.text import let
+from minuteloom.functions.titles import closes_any, ends_any, has_any, has_one_of, holds_any, line
 
 NEWS_HOSTS = "(twitter|facebook|youtube|instagram|line)\\.(com|me)|x\\.com"
 
@@ -80,19 +83,35 @@ def is_generic_index(url: Column, title: Column, url_parts: Column | None = None
     u, t = F.lower(F.coalesce(url, F.lit(""))), F.trim(F.coalesce(title, F.lit("")))
     page = "(?:" + "|".join(v.INDEX_PAGES) + r")(?:\.html|/)?$"
     archive = r"agenda/meeting/[^/]+/archive\.html$|archive(?:_[0-9]+-[0-9]+)\.html$|/proceedings(?:_[a-z0-9_]+)?/(?:index\.html?)?$|/proceedings$|singi_kento/kento/[0-9]{4}/(?:index\.html)?$"
-    out = has_any(u, v.INDEX_PARTS) | ends_any(u, v.INDEX_ENDS) | u.rlike(page) | u.rlike(archive) | t.isin(*v.INDEX_TITLES_ALONE) | has_any(t, v.INDEX_TITLES)
-    for said, listed in ((u, url_parts), (t, words)):
-        if listed is not None:
-            out = out | has_one_of(said, listed)
-    return (u == "") | ~is_document(url) & out
+
+    def told(x: Column) -> Column:
+        u, t, end = x["u"], x["t"], x["end"]
+        archives = holds_any(u, ("archive", "proceedings", "kento")) & u.rlike(archive)
+        pages = holds_any(u, v.INDEX_PAGES) & u.rlike(page)
+        out = t.isin(*v.INDEX_TITLES_ALONE) | closes_any(end, v.INDEX_ENDS) | holds_any(u, v.INDEX_PARTS) | holds_any(t, v.INDEX_TITLES) | pages | archives
+        for said, listed in ((u, url_parts), (t, words)):
+            if listed is not None:
+                out = out | has_one_of(said, listed)
+        return (u == "") | out
+
+    return ~u.rlike("(?:" + "|".join(re.escape(e) for e in v.DOCUMENTS) + ")$|/pdf/") & let(F.struct(u.alias("u"), t.alias("t"), line(u).alias("end")), told)
+
+
+#: A plain address with a path whose last name is not one of those that is_parent_or_nav asks for.
+OTHER_PAGE = r"\Ahttps?://[A-Za-z0-9.-]+/(?:[A-Za-z0-9._~-]+/)*(?!(?:index(?:\.html)?|shingikai)/*\z)[A-Za-z0-9._~-]+/*\z"
 
 
 def is_parent_or_nav(url: Column, target: Column) -> Column:
     """The target itself, or a shorter index page of its host."""
-    a, b = (F.regexp_replace(F.coalesce(u, F.lit("")), "/+$", "") for u in (url, target))
-    here, there = path(url), path(target)
-    index = (F.length(here) < F.length(there)) & ((here == "") | here.rlike("/index(?:\\.html)?$"))
-    return (a == b) | (host(url) == host(target)) & (index | here.isin("/shingikai/index.html", "/shingikai", "/index.html"))
+    a, b = (F.rtrim(F.coalesce(u, F.lit("")), F.lit("/")) for u in (url, target))
+
+    def shorter(x: Column) -> Column:
+        here = x["here"]
+        index = (F.length(here) < F.length(x["there"])) & ((here == "") | here.rlike("/index(?:\\.html)?$"))
+        return (index | here.isin("/shingikai/index.html", "/shingikai", "/index.html")) & (host(url) == host(target))
+
+    # Most addresses are no index page's by their last name; those are not taken apart.
+    return (a == b) | ~F.coalesce(url, F.lit("")).rlike(OTHER_PAGE) & let(F.struct(path(url).alias("here"), path(target).alias("there")), shorter)
 
 
 def of_other_ministry(url: Column, ministry: Column, hosts: dict[str, tuple[str, ...]] | None = None) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from minuteloom.batches import spread
 from minuteloom.functions import dates, names, text, titles, urls
 from minuteloom.functions import vocabulary as v
-from minuteloom.functions.titles import ends_any, has_any, has_one_of
+from minuteloom.functions.titles import ends_any, has_any, has_one_of, holds_any
 from minuteloom.rounds import settled
 from minuteloom.schema import UNKNOWN_DATE
 
@@ -36,14 +36,14 @@ ACCOUNT_HOSTS = ("twitter.com", "x.com", "facebook.com", "instagram.com", "line.
 def is_account(url: Column) -> Column:
     """Accounts and channels of public relations; recordings of meetings are none. A substring test, as for hosts of news."""
     u = F.lower(F.coalesce(url, F.lit("")))
-    channel = F.contains(u, F.lit("youtube.com")) & has_any(u, ("/user/", "/channel/", "/c/", "/@")) & ~has_any(u, ("/live/", "watch?v=", "/embed/"))
-    return has_any(u, ACCOUNT_HOSTS) | channel
+    channel = lambda u: F.contains(u, F.lit("youtube.com")) & has_any(u, ("/user/", "/channel/", "/c/", "/@")) & ~has_any(u, ("/live/", "watch?v=", "/embed/"))
+    return text.let(u, lambda u: holds_any(u, ACCOUNT_HOSTS) | channel(u))
 
 
 def is_anchor(url: Column) -> Column:
     """A place in a page, but not in a document."""
     u = F.trim(F.coalesce(url, F.lit("")))
-    return u.startswith("#") | F.contains(u, F.lit("#")) & ~urls.is_document(F.regexp_replace(u, "#.*$", ""))
+    return F.contains(u, F.lit("#")) & (u.startswith("#") | ~urls.is_document(F.regexp_replace(u, "#.*$", "")))
 
 
 def joined_names(materials: Column) -> Column:

@@ -110,9 +110,9 @@ def _content(html: str | None) -> str:
 
     frame = re.compile("side|nav|footer|header|menu|breadcrumb|popup|modal|jump|skip")
     root = parse(html)
-    for n in list(root.nodes()):
+    for n in root.nodes():
         if n.tag in SKIPPED or n.tag not in ("body", "html", "a") and frame.search(named(n)) or n.tag == "a" and re.search("jump|skip", named(n)):
-            n.children = []
+            n.cut()
     main = next((n for n in root.nodes() if n.tag in ("main", "article") and len(n.text()) > 50), None)
     return (main or next(iter(root.find("body")), root)).text()
 
