@@ -94,7 +94,7 @@ def is_generic_index(url: Column, title: Column, url_parts: Column | None = None
                 out = out | has_one_of(said, listed)
         return (u == "") | out
 
-    return ~u.rlike("(?:" + "|".join(re.escape(e) for e in v.DOCUMENTS) + ")$|/pdf/") & let(F.struct(u.alias("u"), t.alias("t"), line(u).alias("end")), told)
+    return ~u.rlike("(?:" + "|".join(re.escape(e) for e in v.DOCUMENTS) + ")$|/pdf/") & let(let(F.struct(u.alias("u"), t.alias("t")), lambda x: F.struct(x["u"].alias("u"), x["t"].alias("t"), line(x["u"]).alias("end"))), told)
 
 
 #: A plain address with a path whose last name is not one of those that is_parent_or_nav asks for.

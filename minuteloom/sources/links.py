@@ -195,7 +195,7 @@ def subpages(pages: DataFrame, pattern: Column | None = None, strict: Column | N
     own = {"page": F.col("url"), "pattern": F.lit(None).cast("string") if pattern is None else pattern, "strict": F.lit(False) if strict is None else F.coalesce(strict, F.lit(False))}
     # A link takes along what its page says, so that it is judged in the task that found it.
     rows = extract_links(pages.filter("page_id is not null").withColumns(own), *own, near=False)
-    rows = rows.withColumns({"t": F.trim(F.col("text")), "low": F.regexp_replace(F.lower("href"), "[?#].*$", "")})
+    rows = settled(rows.filter("same_host and not row_has_no_round"), t=F.trim(F.col("text")), low=F.regexp_replace(F.lower("href"), "[?#].*$", ""))
     t, u, low = F.col("t"), F.col("url"), F.col("low")
     meeting = F.lower(u).rlike(MEETING_ADDRESS)
     numbered = r"^[0-9０-９一二三四五六七八九十]+[．.、\s]+"
@@ -209,7 +209,7 @@ def subpages(pages: DataFrame, pattern: Column | None = None, strict: Column | N
     loose = ~(F.col("strict") & F.col("pattern").isNotNull())
     fits = loose & by_text | F.when(F.col("pattern").isNotNull(), custom).otherwise(meeting) | loose & meeting
     # What is told at once is asked first, and the rest only of what is left.
-    stays = F.col("same_host") & ~F.col("row_has_no_round") & ~file_of(low, NO_PAGES) & fits & ~notices & ~noise(t) & ~bare & ~year_alone & ~report & ~has_any(F.col("heading"), LINK_SECTIONS)
+    stays = ~file_of(low, NO_PAGES) & fits & ~notices & ~noise(t) & ~bare & ~year_alone & ~report & ~has_any(F.col("heading"), LINK_SECTIONS)
     stays = stays & ~(t.isin(*v.TITLES_ALONE, *v.TITLES_SHORT, *v.TITLES_ANYWHERE) & ~meeting) & ~urls.is_parent_or_nav(u, F.col("page")) & ~titles.is_notice(u, t) & ~urls.is_generic_index(u, t)
     key = F.regexp_replace(F.regexp_replace("url", "#.*$", ""), "/+$", "")
     return first_per_key(rows.filter(stays).withColumn("__key", key), ["page_id", "__key"], [F.asc("position")]).select("page_id", "position", "url", "text", "around")
